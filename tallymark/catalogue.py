@@ -1,4 +1,8 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from tallymark.plans import events
+
+QUERIES: dict = {**events.QUERIES}
+ORACLES: dict = {**events.ORACLES}
