@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallymark.plans import events
+from tallymark.plans import events, fleet
 
-QUERIES: dict = {**events.QUERIES}
-ORACLES: dict = {**events.ORACLES}
+QUERIES: dict = {**events.QUERIES, **fleet.QUERIES}
+ORACLES: dict = {**events.ORACLES, **fleet.ORACLES}
