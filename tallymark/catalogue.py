@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallymark.plans import events, fleet
+from tallymark.plans import corpus, events, fleet
 
-QUERIES: dict = {**events.QUERIES, **fleet.QUERIES}
-ORACLES: dict = {**events.ORACLES, **fleet.ORACLES}
+QUERIES: dict = {**events.QUERIES, **fleet.QUERIES, **corpus.QUERIES}
+ORACLES: dict = {**events.ORACLES, **fleet.ORACLES, **corpus.ORACLES}
