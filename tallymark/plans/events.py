@@ -233,7 +233,7 @@ QUERIES = {f.__name__: f for f in (user_profile, active_time_by_user, active_min
 _E = "e AS (SELECT *, CAST(floor(value * 100) AS BIGINT) AS v, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, epoch_us(ts) AS us, CAST(ts AS DATE) AS d FROM events)"
 _MIN = """m AS (SELECT DISTINCT user_id, us // 60000000 AS mi FROM e),
 g AS (SELECT user_id, mi - lag(mi) OVER (PARTITION BY user_id ORDER BY mi) AS gap FROM m),
-active AS (SELECT user_id, CAST(CASE WHEN count(*) = 1 THEN 1 ELSE coalesce(sum(least(gap, 15)), 0) END AS BIGINT) AS active_minutes FROM g GROUP BY user_id)"""
+active AS (SELECT user_id, CAST(CASE WHEN count(*) = 1 THEN 1 ELSE coalesce(sum(least(gap, 15)) FILTER (WHERE gap IS NOT NULL), 0) END AS BIGINT) AS active_minutes FROM g GROUP BY user_id)"""
 _SPAN = "spans AS (SELECT user_id, min(us) AS first_micros, max(us) AS last_micros, count(*) AS events, count(DISTINCT us // 60000000) AS minutes, count(DISTINCT d) AS days FROM e GROUP BY user_id)"
 
 
