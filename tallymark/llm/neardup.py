@@ -13,10 +13,13 @@ How it stays whole and spread out:
 
 * texts of equal words are one node before anything else, by a partial
   aggregation on their digest; copies are never paired;
+* buckets of equal members are one bucket;
 * in a bucket every node is first aligned with two of its members, a number
   linear in the bucket's size; what is linked becomes one component;
-* then only pairs of a bucket that are still in different components are left,
-  and all of these are aligned. Links inside a component change no class.
+* in buckets that still hold several components, the nodes outside the largest
+  one meet all others in blocks of bounded size. A task counts the k-mers that
+  its nodes share, aligns the pairs that can reach the threshold and skips those
+  already connected: links inside a component change no class.
 
 Cases: a null text is in a class of its own. Texts without a word are equal
 only if the same string. A row without id has a null class. Rows with one id
@@ -42,6 +45,8 @@ from tallymark.llm.words import mix, occurrence_labelled, shingles, words, words
 K, SIMILARITY = 5, 0.8
 #: Chance to share a bucket at similarity 0.8: 1 - (1 - 0.8**(L * ROWS))**BANDS, 0.99.
 L, ROWS, BANDS = 2, 3, 16
+#: Nodes of a bucket that one task compares with as many others.
+BLOCK = 256
 #: Hash values held at once while a text is sketched.
 HELD = 1 << 20
 
@@ -119,12 +124,12 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     return similarity if similarity >= least else 0.0
 
 
-NODES = "id long, node binary, n_kmers int, keys array<long>"
+NODES = "id long, node binary, keys array<long>"
 PAIR = "a long, b long"
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Digest, k-mer count and bucket keys of each document with an id."""
+    """Digest and bucket keys of each document with an id."""
     arrow = to_arrow_schema(StructType.fromDDL(NODES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,21 +143,20 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 if labelled.size:
                     found[i] = order_minhash(labelled, ROWS * BANDS)
             keys = [row if size else [] for row, size in zip(bucket_keys(found), sizes, strict=True)]
-            yield arrow_batch(arrow, batch.column("id"), nodes, sizes, keys)
+            yield arrow_batch(arrow, batch.column("id"), nodes, keys)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     return rows.mapInArrow(run, NODES)
 
 
-def links(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, least: float) -> DataFrame:
+def links(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
     """Those of the pairs whose texts are similar, by banded alignment.
 
-    Each text goes out once to the pairs that ask for it; a pair's two texts
-    meet in one row.
+    ``bodies`` has id and text. Each text goes out to the pairs that ask for it,
+    and a pair's two texts meet in one row.
     """
     asked = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
-    bodies = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    met = asked.join(bodies, "id").groupBy("a", "b").agg(F.max(F.when(F.col("id") == F.col("a"), F.col("text"))).alias("left"), F.max(F.when(F.col("id") == F.col("b"), F.col("text"))).alias("right"))
+    met = bodies.hint("merge").join(asked, "id").groupBy("a", "b").agg(F.max(F.when(F.col("id") == F.col("a"), F.col("text"))).alias("left"), F.max(F.when(F.col("id") == F.col("b"), F.col("text"))).alias("right"))
     arrow = to_arrow_schema(StructType.fromDDL(PAIR))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,6 +167,83 @@ def links(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, least: floa
     return met.mapInArrow(run, PAIR)
 
 
+def compare_block(rows: list[tuple[int, int, bool, str]], least: float) -> list[tuple[int, int]]:
+    """Links between nodes of a block: rows are (id, component, outside, text); outside nodes meet all.
+
+    A pair's shared k-mers bound its similarity from above, so only pairs that
+    can reach ``least`` are aligned, the likeliest first, and none that earlier
+    links of the block have connected.
+    """
+    nodes: dict[int, tuple[int, bool, str]] = {}
+    for i, label, outside, text in rows:
+        nodes[i] = (label, outside or (i in nodes and nodes[i][1]), text)
+    ids = sorted(nodes)
+    found = [kmers(nodes[i][2]) for i in ids]
+    sizes = np.array([k.size for k in found])
+    values, inverse = np.unique(np.concatenate(found), return_inverse=True)
+    begin = np.cumsum(sizes) - sizes
+    parent = {label: label for label, _, _ in nodes.values()}
+
+    def root(label: int) -> int:
+        while parent[label] != label:
+            parent[label] = parent[parent[label]]
+            label = parent[label]
+        return label
+
+    near = []
+    for x, i in enumerate(ids):
+        if not nodes[i][1] or not sizes[x]:
+            continue
+        mark = np.zeros(values.size, dtype=np.int64)
+        mark[inverse[begin[x] : begin[x] + sizes[x]]] = 1
+        shared = np.add.reduceat(np.append(mark[inverse], 0), begin) * (sizes > 0)
+        bound = shared / (sizes + sizes[x] - shared)
+        for y in np.flatnonzero(bound >= least).tolist():
+            if y != x and not (nodes[ids[y]][1] and y < x):
+                near.append((-float(bound[y]), x, y))
+    links = []
+    for _, x, y in sorted(near):
+        a, b = root(nodes[ids[x]][0]), root(nodes[ids[y]][0])
+        if a != b and aligned_similarity(found[x], found[y], least) > 0:
+            parent[max(a, b)] = min(a, b)
+            links.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+    return links
+
+
+def across(buckets: DataFrame, labels: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
+    """Links between components that share a bucket: all that are not implied by others found."""
+    labelled = materialise(buckets.select("key", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
+    sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    inside = labelled.join(mixed.select("key", "main", blocks(F.col("n")).alias("all"), blocks(F.col("n") - F.col("most")).alias("out")), "key")
+    mine = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    # A node outside the main component goes to every block of all nodes, any node to every block of outside ones.
+    outside = inside.where("label <> main").select("key", mine(F.col("out")).alias("o"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("a"), "id", "label", F.lit(True).alias("outside"))
+    every = inside.select("key", F.explode(F.sequence(F.lit(0), F.col("out") - 1)).alias("o"), mine(F.col("all")).alias("a"), "id", "label", F.lit(False).alias("outside"))
+    # One row where a node is both in a block.
+    dealt = outside.unionByName(every).groupBy("key", "o", "a", "id", "label").agg(F.max("outside").alias("outside"))
+    met = bodies.hint("merge").join(dealt, "id").select("key", "o", "a", "id", "label", "outside", "text")
+    met = met.repartition("key", "o", "a").sortWithinPartitions("key", "o", "a")
+    arrow = to_arrow_schema(StructType.fromDDL(PAIR))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, bool, str]] = []
+        at = None
+        for batch in batches:
+            out = []
+            for key, o, a, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "o", "a", "id", "label", "outside", "text")), strict=True):
+                if (key, o, a) != at:
+                    out += compare_block(held, least) if held else []
+                    held, at = [], (key, o, a)
+                held.append(tuple(row))
+            yield arrow_batch(arrow, *(zip(*out, strict=True) if out else [[], []]))
+        out = compare_block(held, least) if held else []
+        yield arrow_batch(arrow, *(zip(*out, strict=True) if out else [[], []]))
+
+    return met.mapInArrow(run, PAIR)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """The least id of each connected component: (id, label), for ids with an edge.
 
@@ -184,29 +265,22 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """A row per document: its id, its class (the least id of it), and whether it is that id."""
     sketched = materialise(sketches(docs, doc_id, text), "sketches")
-    nodes = materialise(sketched.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n_kmers").alias("n_kmers"), F.first("keys").alias("keys")), "nodes")
-    slots = nodes.select("id", "n_kmers", F.explode("keys").alias("key"))
-    heads = slots.groupBy("key").agg(F.min("id").alias("first"), F.min_by("id", F.xxhash64("id")).alias("other"), F.max("id").alias("last")).where("first <> last")
+    nodes = materialise(sketched.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "nodes")
+    slots = nodes.select("id", F.explode("keys").alias("key"))
+    heads = slots.groupBy("key").agg(F.min("id").alias("first"), F.min_by("id", F.xxhash64("id")).alias("other"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("n > 1")
+    # Buckets of equal members, by number and two exclusive ors of hashes, are one.
+    heads = heads.groupBy("n", "x", "y", "first", "other").agg(F.min("key").alias("key")).select("key", "first", "other")
     buckets = materialise(slots.join(heads, "key"), "buckets")
+    # The texts of all that share a bucket: one shuffle of the corpus, read again by both rounds.
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
+    bodies = materialise(texts.join(buckets.select("id").distinct().hint("merge"), "id", "left_semi"), "bodies")
 
     star = buckets.select("id", F.explode(F.array("first", "other")).alias("head")).where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
-    star = materialise(star, "star")
-    found = materialise(links(star, docs, doc_id, text, least), "links")
+    found = materialise(links(materialise(star, "star"), bodies, least), "links")
     labels = components(found)
-
-    labelled = buckets.select("key", "id", "n_kmers", "first").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    labelled = materialise(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "low")
-    inside = labelled.join(mixed, "key")
-    # Of two components in a bucket, one at most is the bucket's lowest.
-    left = inside.where("label <> low").select("key", F.col("id").alias("x"), F.col("label").alias("xl"), F.col("n_kmers").alias("xn"))
-    right = inside.select("key", F.col("id").alias("y"), F.col("label").alias("yl"), F.col("n_kmers").alias("yn"))
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("yl") < F.col("xl")) & (F.least("xn", "yn") >= F.lit(least) * F.greatest("xn", "yn")))
-    rest = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    rest = materialise(rest, "rest")
-    if not rest.isEmpty():
-        more = materialise(links(rest, docs, doc_id, text, least), "links")
-        labels = components(found.unionByName(more)) if not more.isEmpty() else labels
+    more = materialise(across(buckets, labels, bodies, least), "links")
+    if not more.isEmpty():
+        labels = components(found.unionByName(more))
 
     classes = nodes.select("node", F.col("id").alias("rep")).join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("node", F.coalesce("label", "rep").alias("class_id"))
     out = sketched.select("id", "node").join(classes, "node", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))
