@@ -182,6 +182,10 @@ def search(item: np.ndarray, region: np.ndarray, most: int) -> tuple[int, int, i
 
     Of equally close stretches the one that ends first, and of those the shortest.
     """
+    # An edit takes away one of the item's words at most.
+    here = set(region.tolist())
+    if sum(w in here for w in item.tolist()) < item.size - most:
+        return None
     end, edits = _ends(item, region)
     if edits > most:
         return None
