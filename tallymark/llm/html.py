@@ -79,9 +79,10 @@ def attribute_words(attributes: str) -> tuple[str, ...]:
 def blocks(html: str | None) -> list[Block]:
     """The page's leaf blocks in order."""
     out: list[Block] = []
+    # Open elements: block-level ones, and inline ones whose attributes say something.
     stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[str] = []
-    linked = depth = 0  # depth: open links
+    linked, in_link = 0, False
     html = html or ""
 
     def end() -> None:
@@ -102,17 +103,19 @@ def blocks(html: str | None) -> list[Block]:
             if piece[0] != "<" or piece == "<":
                 piece = entities.unescape(piece) if "&" in piece else piece
                 held.append(piece)
-                if depth:
+                if in_link:
                     linked += len(piece)
             continue
         tag = tag.lower()
         if m[1]:
-            places = [i for i, (name, _) in enumerate(stack) if name == tag]
             if tag in BLOCK:
                 end()
-            if places:
-                depth -= sum(name == "a" for name, _ in stack[places[-1] :])
-                del stack[places[-1] :]
+            if tag in BLOCK or tag == "a":
+                in_link = False
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == tag:
+                    del stack[i:]
+                    break
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
@@ -126,16 +129,15 @@ def blocks(html: str | None) -> list[Block]:
             closing = CLOSES.get(tag, frozenset())
             for i in range(len(stack) - 1, -1, -1):
                 name = stack[i][0]
-                if name in closing or name == "p" and tag not in ("option", "optgroup"):
-                    depth -= sum(n == "a" for n, _ in stack[i:])
+                if name == "p" or name in closing:
                     del stack[i:]
-                    if name == "p":
-                        continue
                 elif name in BOUNDS:
                     break
+        in_link = in_link or tag == "a"
         if tag not in VOID and not m[3].endswith("/"):
-            depth += tag == "a"
-            stack.append((tag, attribute_words(m[3]) if "=" in m[3] or "hidden" in m[3] else ()))
+            told = attribute_words(m[3]) if "=" in m[3] or "hidden" in m[3] else ()
+            if told or tag in BLOCK:
+                stack.append((tag, told))
     end()
     return out
 
@@ -176,7 +178,7 @@ def features(page: list[Block]) -> list[list[str]]:
 
 # Tags and attributes of the pages made to train on.
 ARTICLE = ['article', 'main', 'div class="post-content"', 'div id="content"', 'div class="entry-content"', 'div class="article-body"', 'section class="story"', 'div itemprop="articleBody"', 'div class="text"', 'div id="main" role="main"', 'div class="post"', 'div class="page-body"', 'div class="blog-entry"']
-REST = ['nav', 'header', 'footer', 'aside', 'form', 'menu', 'dialog', 'div class="sidebar"', 'div class="ad"', 'div class="ad-slot"', 'ins class="adsbygoogle"', 'div class="advertisement"', 'div class="advert banner"', 'div class="ads sponsored"', 'div class="cookie-notice"', 'div class="notice"', 'div class="comments"', 'section id="comments"', 'ul class="menu"', 'ol class="comment-list"', 'div class="related"', 'div class="share social"', 'div class="breadcrumbs"', 'div class="newsletter subscribe"', 'div class="popup modal"', 'div role="navigation"', 'div role="banner"', 'div role="contentinfo"', 'div role="complementary"', 'div class="promo promotion"', 'div class="pagination pager"', 'div id="header"', 'div id="footer"', 'div class="site-header masthead"', 'div class="site-footer copyright"', 'div class="navbar navigation"', 'div class="widget"', 'div class="login search"', 'div class="consent gdpr privacy"', 'div class="alert message"', 'div class="toolbar topbar"', 'div class="discussion replies"', 'div class="user-comment reply"', 'div class="disclaimer legal"', 'div class="side right-column"', 'div id="secondary"', 'div class="recommended more-stories"', 'div class="tags categories"', 'div hidden']
+REST = ['nav', 'header', 'footer', 'aside', 'form', 'menu', 'dialog', 'div class="sidebar"', 'div class="ad"', 'div class="ad-slot"', 'ins class="adsbygoogle"', 'div class="advertisement"', 'div class="advert banner"', 'div class="ads sponsored"', 'div class="cookie-notice"', 'div class="notice"', 'div class="comments"', 'section id="comments"', 'ul class="menu"', 'ol class="comment-list"', 'div class="related"', 'div class="share social"', 'div class="breadcrumbs"', 'div class="newsletter subscribe"', 'div class="popup modal"', 'div role="navigation"', 'div role="banner"', 'div role="contentinfo"', 'div role="complementary"', 'div class="promo promotion"', 'div class="pagination pager"', 'div id="header"', 'div id="footer"', 'div id="masthead"', 'div class="topbar"', 'div class="copyright"', 'div class="banner"', 'div class="site-header masthead"', 'div class="site-footer copyright"', 'div class="navbar navigation"', 'div class="widget"', 'div class="login search"', 'div class="consent gdpr privacy"', 'div class="alert message"', 'div class="toolbar topbar"', 'div class="discussion replies"', 'div class="user-comment reply"', 'div class="disclaimer legal"', 'div class="side right-column"', 'div id="secondary"', 'div class="recommended more-stories"', 'div class="tags categories"', 'div hidden']
 
 
 def labelled_by_structure(page: list[Block]) -> list[int] | None:
@@ -205,7 +207,8 @@ def made_page(texts: list[str], others: list[str], rng: random.Random) -> tuple[
         form = rng.choice(["p", "li", "div", "a", "span"])
         marks.extend([0] * len(items))
         tag = "div" if form in ("a", "span") else form
-        inner = "".join(wrapped(tag, f"<a href='#'>{item}</a>" if form == "a" else item) for item in items)
+        heading = rng.choice(["h1", "h2", "h3", "h4"]) if rng.random() < 0.35 else tag
+        inner = "".join(wrapped(tag if i else heading, f"<a href='#'>{item}</a>" if form == "a" else item) for i, item in enumerate(items))
         out.append(wrapped(opening, wrapped("div", inner) if deep else inner))
 
     for _ in range(rng.randint(0, 3)):

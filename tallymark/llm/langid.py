@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from tallymark.llm.store import arrow_batch
+from tallymark.llm.store import arrow_batch, fresh
 from tallymark.llm.words import code_points, lowered
 
 UNKNOWN = "und"
@@ -124,6 +124,8 @@ def gram_parts(texts: list[str | None], bits: int) -> Iterator[tuple[np.ndarray,
 def score(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """The best language of each text and its posterior probability."""
     n = len(texts)
+    if not model.languages:
+        return [UNKNOWN] * n, np.zeros(n)
     sums = np.zeros((n, len(model.languages)))
     seen = np.zeros(n, dtype=np.int64)
     bits = int(model.matrix.shape[0]).bit_length() - 1
@@ -134,8 +136,6 @@ def score(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]
         # Owners rise within an n-gram size: a few runs, each summed at once.
         runs = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
         np.add.at(sums, owner[runs], np.add.reduceat(model.matrix[buckets], runs, axis=0))
-    if not model.languages:
-        return [UNKNOWN] * n, np.zeros(n)
     sums += model.prior
     best = sums.argmax(1)
     posterior = 1 / np.exp(sums - sums[np.arange(n), best][:, None]).sum(1)
@@ -187,17 +187,18 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", bits: int =
     return Model(names, np.log(matrix / matrix.sum(0)), np.log(total / total.sum()))
 
 
-def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with ``lang_pred`` and ``score``; other columns are not read."""
+def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns with the language and score, called ``names``; other columns are not read."""
     sent = df.sparkSession.sparkContext.broadcast(model)
-    kept = df.select(*keep, F.col(text).alias("__text"))
-    schema = StructType([*(kept.schema[c] for c in keep), StructField("lang_pred", StringType()), StructField("score", kept.select(F.lit(0.0)).schema[0].dataType)])
+    read = fresh(df, "text_read")
+    kept = df.select(*keep, F.col(text).alias(read))
+    schema = StructType([*(kept.schema[c] for c in keep), StructField(names[0], StringType()), StructField(names[1], DoubleType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = score(sent.value, batch.column("__text").to_pylist())
-            yield arrow_batch(arrow, *(batch.column(c) for c in keep), names, scores)
+            languages, scores = score(sent.value, batch.column(read).to_pylist())
+            yield arrow_batch(arrow, *(batch.column(c) for c in keep), languages, scores)
 
     return kept.mapInArrow(run, schema)
 
@@ -213,8 +214,9 @@ def keep_identified(docs: DataFrame, least_score: float = 0.5, model: Model | No
     Without a ``model`` one is fitted on the documents themselves. Columns are those given.
     """
     model = model or fit(docs)
-    sent = predict(docs, model, keep=tuple(docs.columns))
-    return sent.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(*docs.columns)
+    names = fresh(docs, "lang_pred"), fresh(docs, "score")
+    sent = predict(docs, model, keep=tuple(docs.columns), names=names)
+    return sent.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least_score)).select(*docs.columns)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from tallymark.llm.store import arrow_batch, materialise
+from tallymark.llm.store import arrow_batch, fresh, materialise
 
 MIN_WORDS = 50
 UNIT = "doc_id long, start int, end int, digest binary"
@@ -86,32 +86,37 @@ def repeated_spans(docs: DataFrame, by: str = "line", min_words: int = MIN_WORDS
     return later.select("doc_id", "start", "end", "first_doc")
 
 
-def remove_repeats(docs: DataFrame, by: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with later repeats cut from ``text``, and columns ``cut_starts``, ``cut_ends``.
+def remove_repeats(docs: DataFrame, by: str = "line", min_words: int = MIN_WORDS, names: tuple[str, str] = ("cut_starts", "cut_ends")) -> DataFrame:
+    """``docs`` with later repeats cut from ``text``, and two columns called ``names``.
 
-    The new columns are the cut units' offsets in the text as given, in order.
+    The new columns are the cut units' offsets in the text as given, in order;
+    they take the place of columns of those names.
     """
     mark = MARKS[by]
-    spans = repeated_spans(docs, by, min_words).groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__cuts"))
-    met = docs.join(spans, F.col("doc_id").cast("long") == F.col("__id"), "left").select(*docs.columns, F.col("__cuts.start").alias("__starts"), F.col("__cuts.end").alias("__ends"))
+    spans = repeated_spans(docs, by, min_words).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts"))
+    ident, cuts = fresh(docs, "cut_doc"), fresh(docs, "cuts")
+    starts, ends = fresh(docs, "starts"), fresh(docs, "ends")
+    spans = spans.select(F.col("doc_id").alias(ident), F.col("cuts").alias(cuts))
+    given = [c for c in docs.columns if c not in names]
+    met = docs.join(spans, F.col("doc_id").cast("long") == F.col(ident), "left").select(*given, F.col(f"{cuts}.start").alias(starts), F.col(f"{cuts}.end").alias(ends))
     ints = ArrayType(IntegerType())
-    schema = StructType([*(StructField(f.name, f.dataType) for f in docs.schema), StructField("cut_starts", ints), StructField("cut_ends", ints)])
+    schema = StructType([*(StructField(f.name, f.dataType) for f in docs.schema if f.name in given), StructField(names[0], ints), StructField(names[1], ints)])
     arrow = to_arrow_schema(schema)
-    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts, ends = ([x or [] for x in batch.column(c).to_pylist()] for c in ("__starts", "__ends"))
+            begun, ended = ([x or [] for x in batch.column(c).to_pylist()] for c in (starts, ends))
             texts = batch.column("text")
-            if any(starts):
-                texts = [t and cut(t, list(zip(a, b, strict=True)), mark) for t, a, b in zip(texts.to_pylist(), starts, ends, strict=True)]
-            yield arrow_batch(arrow, *(texts if c == "text" else batch.column(c) for c in names), starts, ends)
+            if any(begun):
+                texts = [t and cut(t, list(zip(a, b, strict=True)), mark) for t, a, b in zip(texts.to_pylist(), begun, ended, strict=True)]
+            yield arrow_batch(arrow, *(texts if c == "text" else batch.column(c) for c in given), begun, ended)
 
     return met.mapInArrow(run, schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with later repeats cut; documents left without any text by it are dropped."""
-    out = remove_repeats(docs)
-    emptied = (F.size("cut_starts") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
+    names = fresh(docs, "cut_starts"), fresh(docs, "cut_ends")
+    out = remove_repeats(docs, names=names)
+    emptied = (F.size(names[0]) > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
     return out.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)

@@ -50,3 +50,11 @@ def arrow_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     """A record batch of ``schema`` from lists, numpy arrays or Arrow arrays."""
     arrays = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
