@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallymark.plans import corpus, events, fleet
+from tallymark.plans import corpus, events, fleet, reports
 
-QUERIES: dict = {**events.QUERIES, **fleet.QUERIES, **corpus.QUERIES}
-ORACLES: dict = {**events.ORACLES, **fleet.ORACLES, **corpus.ORACLES}
+QUERIES: dict = {**events.QUERIES, **fleet.QUERIES, **corpus.QUERIES, **reports.QUERIES}
+ORACLES: dict = {**events.ORACLES, **fleet.ORACLES, **corpus.ORACLES, **reports.ORACLES}

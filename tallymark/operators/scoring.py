@@ -108,3 +108,20 @@ def against(now: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
     met = now.join(base.withColumnRenamed("level", "base"), [*keys, "axis", "name"], "full")
     delta = F.coalesce("level", F.lit(0)) - F.coalesce("base", F.lit(0))
     return met.select(*keys, "axis", F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("base", F.lit(0)).alias("base"), delta.alias("delta"), F.when(delta >= 50, 1).when(delta <= -50, -1).otherwise(0).alias("sign"))
+
+
+def gauges(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Intensity, consistency and craft from 0 to 5, in thousandths.
+
+    Needs hours_30d, total_m (millions of tokens), active_days, elapsed_days,
+    streak, langs, hands_on_pct and delegation; what is null counts as 0.
+    """
+    c = lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+    lg = lambda name, mid: log_scale(c(name), F.lit(float(mid)))
+    density = F.coalesce(F.try_divide(c("active_days"), c("elapsed_days")), F.lit(0.0))
+    out = {
+        "intensity": lg("hours_30d", 8) * 0.5 + lg("total_m", 5) * 0.5,
+        "consistency": density * 5 * 0.5 + lg("streak", 3) * 0.5,
+        "craft": lg("langs", 2) * 0.4 + c("hands_on_pct") / 100 * 5 * 0.3 + lg("delegation", 3) * 0.3,
+    }
+    return df.select(*keys, *(F.floor(F.least(F.lit(5.0), F.greatest(F.lit(0.0), v)) * 1000 + 0.5).cast("long").alias(n) for n, v in out.items()))
