@@ -1,29 +1,32 @@
-"""Substring dedup by hashing lines: of equal lines the earliest stays.
-
-A text's units are its lines (or paragraphs). A unit is normalised, lower case
-with single blanks, and hashed; digests are grouped over all documents; the
-occurrence of least (doc_id, offset) stays and the others are cut out of their
-texts. Cut spans are code point offsets of the text as given and hold the unit
-with the line break after it (for a text's last unit: before it). Units of
-fewer than ``min_words`` words stay: short lines recur by chance.
-
-Texts are split and cut inside their own tasks, in time linear in a text. The
+"""Substring dedup by hashing lines and paragraphs: of equal ones the earliest stays.
+
+A text's units are its clauses: anything but blanks, hyphens and apostrophes
+between two words, such as a comma or a line break, ends a unit. From each unit on,
+the shortest run of whole units with at least ``min_words`` words is a
+paragraph. Paragraphs are normalised to their words without regard to case,
+hashed, and grouped over all documents; the occurrence of least (doc_id, offset)
+stays and the others are cut out of their texts. So a passage is found as a
+line, as a paragraph, or inside a line that begins or ends otherwise; what of
+it stays is at most a clause cut in two by its insertion, and less than one
+unit at its end. Cuts are code point offsets of the text as given, from a
+paragraph's first word up to the next word after it; cuts that touch are one.
+
+Texts are read and cut inside their own tasks, in time linear in a text. The
 first place of a digest comes from a partial aggregation, and its later places
 from an equi-join that Spark can split where a passage is in very many
 documents; texts are shuffled once, to meet their cuts.
 
 Cases: a null text stays null and an empty one empty. Rows without an id are
-given back as they are and count nowhere. Rows with one id are told apart by
-their text: equal rows are handled alike (a unit of theirs stays in each of
-them if it stays in one). An empty table gives an empty result.
+given back as they are and count nowhere. Rows with one id are versions of one
+document: a paragraph that stays in it stays in each of them. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from hashlib import md5
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,85 +34,115 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from tallymark.llm.store import arrow_batch, fresh, materialise
+from tallymark.llm.words import code_points, mix, words_of
+
+#: Passages of over 50 words, less what a clause cut in two may take.
+MIN_WORDS = 45
+INSIDE = np.array([ord(c) for c in " -'\u2019"], dtype=np.uint32)
+PARAGRAPH = "doc_id long, digest long, span long, again boolean"
+#: Base of the polynomial hash of words.
+BASE = 0x100000001B3
+
+
+def prefix_hashes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of word hashes times powers of the base, and the powers' inverses."""
+    n = hashes.size + 1
+    powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n - 1, BASE, dtype=np.uint64))), dtype=np.uint64)
+    back = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n - 1, pow(BASE, -1, 1 << 64), dtype=np.uint64))), dtype=np.uint64)
+    return np.concatenate(([np.uint64(0)], np.cumsum(hashes * powers[:-1], dtype=np.uint64))), back
+
+
+def paragraphs(text: str, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end offset and digest of each paragraph; the words are given by ``words_of``."""
+    n = hashes.size
+    if n < min_words:
+        return (np.empty(0, np.int64),) * 3
+    stops = np.concatenate(([0], np.cumsum(~np.isin(code_points(text), INSIDE))))
+    first = np.concatenate(([0], 1 + np.flatnonzero(stops[starts[1:]] > stops[ends[:-1]])))
+    last = np.append(first[1:], n)
+    unit = np.searchsorted(last, first + min_words)
+    first = first[unit < last.size]
+    stop = last[unit[unit < last.size]]
+    sums, back = prefix_hashes(hashes)
+    digest = mix(mix((sums[stop] - sums[first]) * back[first]) + (stop - first).astype(np.uint64)).view(np.int64)
+    return starts[first], np.append(starts, len(text))[stop], digest
+
+
+def repeated_inside(digests: np.ndarray) -> np.ndarray:
+    """Which of one text's digests stand in it before."""
+    again = np.ones(digests.size, dtype=bool)
+    again[np.unique(digests, return_index=True)[1]] = False
+    return again
+
+
+def found_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, digest, span (start * 2**32 + end), and whether it stands in its text before, of each paragraph."""
+    arrow = to_arrow_schema(StructType.fromDDL(PARAGRAPH))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            found = [paragraphs(t, *w, min_words) for t, w in zip(texts, words_of(texts), strict=True)]
+            if not found:
+                continue
+            counts = np.array([f[0].size for f in found])
+            ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(counts.size), counts)))
+            starts, ends, digests = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in range(3))
+            yield arrow_batch(arrow, ids, digests, (starts << 32) + ends, np.concatenate([repeated_inside(f[2]) for f in found]).astype(bool))
 
-MIN_WORDS = 50
-UNIT = "doc_id long, start int, end int, digest binary"
-MARKS = {"line": "\n", "paragraph": "\n\n"}
-_BLANKS = re.compile(r"[ \t\r\n\f\x0b]+")
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
+    return rows.mapInArrow(run, PARAGRAPH)
 
 
-def normalised(unit: str) -> str:
-    """Lower case, white space to single blanks, trimmed."""
-    return _BLANKS.sub(" ", unit.lower()).strip(" ")
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """A row per paragraph that is not the earliest of its digest: doc_id, span, first_doc."""
+    found = materialise(found_paragraphs(docs, min_words), "paragraphs")
+    first = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return found.join(first, "digest").where("doc_id <> first_doc or again").select("doc_id", "span", "first_doc")
 
 
-def long_units(text: str, mark: str, min_words: int) -> Iterator[tuple[int, int, bytes]]:
-    """Start, end and digest of each unit of at least ``min_words`` words."""
-    at = 0
-    for unit in text.split(mark):
-        if len(unit) >= 2 * min_words - 1:
-            norm = normalised(unit)
-            if norm and norm.count(" ") + 1 >= min_words:
-                yield at, at + len(unit), md5(norm.encode("utf-8", "surrogatepass")).digest()
-        at += len(unit) + len(mark)
+def merged(cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that overlap or touch made one; the spans are sorted."""
+    out: list[tuple[int, int]] = []
+    for a, b in cuts:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
-def cut(text: str, cuts: list[tuple[int, int]], mark: str) -> str:
-    """The text without the cut units, each with the break after it, or before it at the end."""
+def cut(text: str, cuts: list[tuple[int, int]]) -> str:
+    """The text without the spans, which are in order."""
     kept, at = [], 0
     for start, end in cuts:
         kept.append(text[at:start])
-        at = end + len(mark)
-    joined = "".join(kept) + text[at:]
-    return joined.removesuffix(mark) if cuts and cuts[-1][1] == len(text) else joined
-
-
-def units(docs: DataFrame, by: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start, end and digest of each unit that is long enough."""
-    mark = MARKS[by]
-    arrow = to_arrow_schema(StructType.fromDDL(UNIT))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(i, *unit) for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for unit in long_units(text, mark, min_words)]
-            yield arrow_batch(arrow, *(zip(*rows, strict=True) if rows else [[]] * 4))
-
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, UNIT)
-
-
-def repeated_spans(docs: DataFrame, by: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """A row per unit that is not the earliest of its digest: doc_id, start, end, first_doc."""
-    found = materialise(units(docs, by, min_words), "units")
-    first = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.min_by("start", F.struct("doc_id", "start")).alias("first_start"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = found.join(first, "digest").where("not (doc_id = first_doc and start = first_start)")
-    return later.select("doc_id", "start", "end", "first_doc")
+        at = end
+    return "".join(kept) + text[at:]
 
 
-def remove_repeats(docs: DataFrame, by: str = "line", min_words: int = MIN_WORDS, names: tuple[str, str] = ("cut_starts", "cut_ends")) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, names: tuple[str, str] = ("cut_starts", "cut_ends")) -> DataFrame:
     """``docs`` with later repeats cut from ``text``, and two columns called ``names``.
 
-    The new columns are the cut units' offsets in the text as given, in order;
-    they take the place of columns of those names.
+    The new columns are the cuts' offsets in the text as given, in order; they
+    take the place of columns of those names.
     """
-    mark = MARKS[by]
-    spans = repeated_spans(docs, by, min_words).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts"))
+    spans = repeated_spans(docs, min_words).groupBy("doc_id").agg(F.array_sort(F.collect_set("span")).alias("cuts"))
     ident, cuts = fresh(docs, "cut_doc"), fresh(docs, "cuts")
-    starts, ends = fresh(docs, "starts"), fresh(docs, "ends")
     spans = spans.select(F.col("doc_id").alias(ident), F.col("cuts").alias(cuts))
     given = [c for c in docs.columns if c not in names]
-    met = docs.join(spans, F.col("doc_id").cast("long") == F.col(ident), "left").select(*given, F.col(f"{cuts}.start").alias(starts), F.col(f"{cuts}.end").alias(ends))
+    met = docs.join(spans.hint("merge"), F.col("doc_id").cast("long") == F.col(ident), "left").select(*given, cuts)
     ints = ArrayType(IntegerType())
     schema = StructType([*(StructField(f.name, f.dataType) for f in docs.schema if f.name in given), StructField(names[0], ints), StructField(names[1], ints)])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            begun, ended = ([x or [] for x in batch.column(c).to_pylist()] for c in (starts, ends))
-            texts = batch.column("text")
-            if any(begun):
-                texts = [t and cut(t, list(zip(a, b, strict=True)), mark) for t, a, b in zip(texts.to_pylist(), begun, ended, strict=True)]
-            yield arrow_batch(arrow, *(texts if c == "text" else batch.column(c) for c in given), begun, ended)
+            # Rows with one id share their spans; a shorter text has none beyond its end.
+            texts = batch.column("text").to_pylist()
+            spans = [merged([(x >> 32, x & 0xFFFFFFFF) for x in found or () if t is not None and x & 0xFFFFFFFF <= len(t)]) for t, found in zip(texts, batch.column(cuts).to_pylist(), strict=True)]
+            texts = [t and cut(t, s) for t, s in zip(texts, spans, strict=True)]
+            yield arrow_batch(arrow, *(texts if c == "text" else batch.column(c) for c in given), [[a for a, _ in s] for s in spans], [[b for _, b in s] for s in spans])
 
     return met.mapInArrow(run, schema)
 

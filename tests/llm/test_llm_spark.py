@@ -120,17 +120,46 @@ def test_blocks_find_links_that_two_heads_miss(spark):
 # lines
 
 
+def brute_cuts(rows, least=linededup.MIN_WORDS):
+    """Kept text of each (doc_id, text), the earliest occurrence of each paragraph staying."""
+    from test_llm_units import plain_paragraphs
+
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        spans = []
+        for a, b, w in plain_paragraphs(t, least):
+            if w in seen:
+                spans.append((a, b))
+            seen.add(w)
+        out[i] = linededup.cut(t, linededup.merged(sorted(spans)))
+    return out
+
+
+def test_line_dedup_equals_brute_force(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: r.text for r in linededup.remove_repeats(d).collect()}
+    want = brute_cuts([(r.doc_id, r.text) for r in d.collect()])
+    assert got == want and any(got[r.doc_id] != r.text for r in d.collect())
+
+
+def test_passages_inside_lines_are_found(spark):
+    passage = " ".join(f"p{i}." if i % 10 == 9 else f"p{i}" for i in range(60))
+    rows = [(i, f"only here{i} and then {passage} {i} after it\nnext{i} line", "en", "s") for i in range(5)]
+    got = {r.doc_id: r.text for r in linededup.remove_repeats(docs(spark, rows)).collect()}
+    assert "p30" in got[0] and all("p30" not in got[i] and f"here{i}" in got[i] and f"next{i}" in got[i] for i in range(1, 5))
+
+
 def test_line_dedup_edges(spark, odd):
     line = " ".join(f"L{i}" for i in range(50))
-    d = docs(spark, [(3, f"a\n{line}\nb", "en", "s"), (1, f"{line}", "en", "s"), (2, f"x\n{line.upper()}  ", "en", "s"), (4, " ".join(line.split()[:49]), "en", "s"), (5, " ".join(line.split()[:49]), "en", "s"), (6, f"{line}\n{line}", "en", "s")])
+    short = " ".join(line.split()[: linededup.MIN_WORDS - 1])
+    d = docs(spark, [(3, f"a\n{line}\nb", "en", "s"), (1, f"{line}", "en", "s"), (2, f"x\n{line.upper()}  ", "en", "s"), (4, short, "en", "s"), (5, short, "en", "s"), (6, f"{line}\n{line}", "en", "s")])
     got = {r.doc_id: (r.text, list(r.cut_starts)) for r in linededup.remove_repeats(clashing(d)).collect()}
-    assert got[1] == (line, []) and got[2] == ("x", [2]) and got[3] == ("a\nb", [2]) and got[4][1] == got[5][1] == [] and got[6] == ("", [0, len(line) + 1])
+    assert got[1] == (line, []) and got[2] == ("x\n", [2]) and got[3] == ("a\nb", [2]) and got[4][1] == got[5][1] == [] and got[6] == ("", [0])
     assert {r.doc_id for r in linededup.without_repeats(d).collect()} == {1, 2, 3, 4, 5}
     out = linededup.remove_repeats(clashing(odd))
-    # LONG and PROSE are one line each: 6's rows repeat 4's, 5's has a tail.
+    # LONG and PROSE are one unit each: 6's rows repeat 4's, 5's has a tail.
     assert out.count() == odd.count() and {r.doc_id for r in out.where("size(cut_starts) > 0").collect()} == {6}
     assert linededup.remove_repeats(odd.limit(0)).count() == 0
-    assert linededup.remove_repeats(docs(spark, [(1, f"{line}\n\n{line}", None, None)]), by="paragraph").first().text == line
 
 
 # decontamination

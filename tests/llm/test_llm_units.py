@@ -143,9 +143,35 @@ def test_decontamination_edges():
     assert decontam.find(["a b c"], decontam.prepare([], 0.2)) == []
 
 
-def test_line_cuts():
-    for text, cuts, want in (("a\nX\nb", [(2, 3)], "a\nb"), ("a\nX", [(2, 3)], "a"), ("X\nY", [(0, 1), (2, 3)], ""), ("X", [(0, 1)], ""), ("X\na", [(0, 1)], "a"), ("a\n", [], "a\n")):
-        assert linededup.cut(text, cuts, "\n") == want
+def plain_paragraphs(text, least):
+    """Paragraphs by a plain reading: (start, end, words)."""
+    found = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W_]+", text)]
+    begins = [i for i in range(len(found)) if i == 0 or re.search(r"[^ '’-]", text[found[i - 1][1] : found[i][0]])]
+    out = []
+    for i in begins:
+        for j in [*begins, len(found)]:
+            if j - i >= least:
+                out.append((found[i][0], found[j][0] if j < len(found) else len(text), tuple(w for _, _, w in found[i:j])))
+                break
+    return out
+
+
+def test_paragraphs_equal_a_plain_reading():
+    rng = random.Random(4)
+    digests = {}
+    for _ in range(200):
+        text = "".join(rng.choice(["a", "b", "Cc", "é"]) + rng.choice([" ", " ", ", ", ". ", "! ", "\n", " – "]) for _ in range(rng.randint(0, 60))) + rng.choice(["", "end", "...x"])
+        want = plain_paragraphs(text, 5)
+        starts, ends, digest_ = linededup.paragraphs(text, *words.words(text), 5)
+        assert [(a, b) for a, b, _ in want] == list(zip(starts, ends))
+        for (_, _, w), d in zip(want, digest_.tolist()):
+            assert digests.setdefault(w, d) == d
+    assert len(set(digests.values())) == len(digests)
+
+
+def test_cuts():
+    assert linededup.merged([(0, 3), (2, 5), (5, 6), (8, 9)]) == [(0, 6), (8, 9)]
+    assert linededup.cut("abcdefghij", [(0, 2), (4, 6)]) == "cdghij" and linededup.cut("ab", []) == "ab"
 
 
 def test_pfair_lag_is_below_one_block():
