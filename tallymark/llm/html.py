@@ -352,7 +352,10 @@ def extract(html: str | None, model: Crf, cache: dict | None = None) -> str:
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Crf:
     """Train on at most ``sample`` pages, those of least hash, and on pages made from them."""
-    drawn = pages.where("html is not null").select("html", F.xxhash64("html").alias("h")).orderBy("h").limit(sample).select("html")
+    hashed = pages.where("html is not null").select("html", F.xxhash64("html").alias("h"))
+    # Hashes alone are ranked; the bound is the sample-th of them. Copies of one page are one.
+    least = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    drawn = hashed.where(F.col("h") <= least).groupBy("h").agg(F.first("html").alias("html")).orderBy("h") if least is not None else hashed.limit(0)
     return train(labelled_pages([r["html"] for r in drawn.collect()]))
 
 
