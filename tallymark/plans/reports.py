@@ -37,12 +37,17 @@ def share_url(spark, sf_dir):
     return made.select("c_custkey", "url", F.url_decode(F.parse_url("url", F.lit("QUERY"), F.lit("n"))).alias("name"), F.parse_url("url", F.lit("QUERY"), F.lit("v")).cast("long").alias("v"))
 
 
+# The options that a scan knows.
+OPTIONS = ["roots", "fleet", "join_fleet", "machine", "label", "accounts", "show_accounts", "no_projects", "no_providers", "no_snapshot", "ledger", "profile", "json", "search_top"]
+
+
 def flag_suggestion(spark, sf_dir):
-    """For each part's colour the nearest other word of any part within three edits; ties by name."""
-    words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
-    pairs = words.select(F.col("w").alias("given")).join(F.broadcast(words), F.col("given") != F.col("w"))
-    near = pairs.withColumn("d", F.levenshtein("given", "w")).where("d <= 3")
-    return near.groupBy("given").agg(F.min_by(F.struct("w", "d"), F.struct("d", "w")).alias("b")).select("given", F.col("b.w").alias("suggestion"), F.col("b.d").cast("long").alias("edits"))
+    """For each unknown word the nearest option within three edits, ties by name; options are few and fixed."""
+    parts = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("given"))
+    words = parts.union(table(spark, sf_dir, "customer").select(F.lower("c_mktsegment"))).distinct()
+    near = F.array_sort(F.filter(F.transform(F.array(*map(F.lit, OPTIONS)), lambda o: F.struct(F.levenshtein("given", o).alias("d"), o.alias("w"))), lambda x: x["d"] <= 3))
+    found = words.select("given", F.try_element_at(near, F.lit(1)).alias("b"))
+    return found.select("given", F.col("b.w").alias("suggestion"), F.col("b.d").cast("long").alias("edits"))
 
 
 def allowlist_findings(spark, sf_dir):
@@ -99,7 +104,7 @@ ORACLES = {
     "proficiency_gauges": f"{_G} SELECT user_id, {_clamp(_lg('hours', 8) + ' * 0.5 + ' + _lg('total_m', 5) + ' * 0.5')} AS intensity, {_clamp('active_days / elapsed::DOUBLE * 5 * 0.5 + ' + _lg('longest', 3) + ' * 0.5')} AS consistency, {_clamp(_lg('langs', 2) + ' * 0.4 + pct / 100.0::DOUBLE * 5 * 0.3 + ' + _lg('deleg', 3) + ' * 0.3')} AS craft FROM gi",
     "signature_line": f"{_G} SELECT user_id, CASE WHEN longest * 5 >= 30 THEN 'streak' WHEN floor(hours) >= 100 THEN 'nights' WHEN active_days * 2 >= 60 THEN 'days' WHEN floor(hours) * 4 >= 200 THEN 'hours' WHEN active_days > 0 THEN 'some_days' ELSE 'none' END AS signature FROM gi",
     "share_url": "SELECT c_custkey, 'https://example.com/s?n=' || replace(c_name, '#', '%23') || '&v=' || CAST(floor(c_acctbal) AS BIGINT) AS url, c_name AS name, CAST(floor(c_acctbal) AS BIGINT) AS v FROM customer",
-    "flag_suggestion": "WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part), p AS (SELECT a.w AS given, b.w, levenshtein(a.w, b.w) AS d FROM w a JOIN w b ON a.w <> b.w) SELECT given, w AS suggestion, d AS edits FROM p WHERE d <= 3 QUALIFY row_number() OVER (PARTITION BY given ORDER BY d, w) = 1",
+    "flag_suggestion": f"WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS g FROM part UNION SELECT DISTINCT lower(c_mktsegment) FROM customer), o AS (SELECT unnest({OPTIONS}) AS o), p AS (SELECT g, o, levenshtein(g, o) AS d FROM w, o) SELECT w.g AS given, min_by(o, (d, o)) AS suggestion, min(d) AS edits FROM w LEFT JOIN p ON p.g = w.g AND d <= 3 GROUP BY w.g",
     "allowlist_findings": "WITH p AS (SELECT c_nationkey, min_by(sha256(c_mktsegment), c_custkey) AS pin FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1) SELECT CASE WHEN pin IS NULL THEN 'new' WHEN pin = sha256(c_mktsegment) THEN 'pinned' ELSE 'changed' END AS state, count(*) AS n FROM customer LEFT JOIN p USING (c_nationkey) GROUP BY 1",
     "known_path_prefix": f"WITH {_PATHS} SELECT CASE WHEN starts_with(path, '/home/someone/red/widget/') THEN '/home/someone/red/widget' WHEN starts_with(path, '/home/someone/red/') THEN '/home/someone/red' WHEN starts_with(path, '/home/someone/small/') THEN '/home/someone/small' END AS known, count(*) AS n FROM pt GROUP BY 1",
     "receipt": "WITH p AS (SELECT octet_length(encode(html)) AS size FROM pages) SELECT CASE WHEN size > 20000 THEN 'too large' WHEN size < 1000 THEN 'too small' ELSE 'read' END AS reason, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, max(size) AS largest FROM p GROUP BY 1",
