@@ -52,7 +52,7 @@ def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     toxic, poor = labels.where("toxic = 1").select("doc_id"), labels.where("toxic = 0 and quality = 0").select("doc_id")
     takedown = tokens.deletes(counts.join(toxic, "doc_id", "left_semi"))
     rollup.commit("0002-takedown", takedown)
-    revised = docs.join(poor, "doc_id", "left_semi").withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " ")))
+    revised = docs.join(poor.hint("merge"), "doc_id", "left_semi").withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " ")))
     rollup.commit("0003-revision", tokens.revisions(counts.join(poor, "doc_id", "left_semi"), tokens.by_tokenizer(tokens.with_token_counts(revised))))
     rollup.commit("0002-takedown", takedown)
     return rollup.totals()
