@@ -291,4 +291,4 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The documents that stand for their class, and those without an id; columns as given."""
     gone = near_duplicates(docs, least=least).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
