@@ -147,9 +147,13 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, names: tuple[str
     return met.mapInArrow(run, schema)
 
 
+def emptied_dropped(out: DataFrame, starts: str) -> DataFrame:
+    """Rows but those left without any text by the cuts that begin at the column ``starts``."""
+    emptied = (F.size(starts) > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
+    return out.where(~F.coalesce(emptied, F.lit(False)))
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with later repeats cut; documents left without any text by it are dropped."""
     names = fresh(docs, "cut_starts"), fresh(docs, "cut_ends")
-    out = remove_repeats(docs, names=names)
-    emptied = (F.size(names[0]) > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
-    return out.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
+    return emptied_dropped(remove_repeats(docs, names=names), names[0]).select(*docs.columns)

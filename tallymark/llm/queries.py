@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import chat, decontam, digest, html, langid, linededup, mixing, neardup, tokens, warc
+from tallymark.llm import chat, decontam, digest, html, langid, linededup, mixing, neardup, passages, tokens, warc
 from tallymark.llm.store import materialise, scratch_path, table
 
 #: Conversation -1 holds control strings in its texts.
@@ -63,13 +63,22 @@ def op6_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.edited_digests(table(spark, sf_dir, "documents"))
 
 
-def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's later repeats of lines and paragraphs cut, with the cuts' offsets."""
-    out = linededup.remove_repeats(table(spark, sf_dir, "documents"))
+def cut_rows(out: DataFrame) -> DataFrame:
+    """Number and offsets of each document's cuts, and length and digest of what is kept."""
     spans = F.array_join(F.transform(F.arrays_zip("cut_starts", "cut_ends"), lambda x: F.concat_ws(":", x["cut_starts"], x["cut_ends"])), ";")
     return out.select("doc_id", F.size("cut_starts").cast("long").alias("n_cut"), spans.alias("cut_spans"), F.length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's later repeats of lines and paragraphs cut, with the cuts' offsets."""
+    return cut_rows(linededup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's later repeats of over 50 words cut, wherever they stand, with the cuts' offsets."""
+    return cut_rows(passages.remove_passages(table(spark, sf_dir, "documents")))
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html.main_text(table(spark, sf_dir, "pages"))
@@ -92,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_order_minhash, op4_warc_bundles, op5_token_rollup, op6_quartile_digest, op7_line_dedup, op8_main_text, op9_decontaminate, op10_pfair_mix, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_order_minhash, op4_warc_bundles, op5_token_rollup, op6_quartile_digest, op7_line_dedup, op7_passage_dedup, op8_main_text, op9_decontaminate, op10_pfair_mix, pipeline)}
 
 ORACLES = {
     "op1_chat_format": r"""

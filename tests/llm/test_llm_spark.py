@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tallymark.llm import chat, decontam, digest, html, langid, linededup, mixing, neardup, queries, tokens, warc, words
+from tallymark.llm import chat, decontam, digest, html, langid, linededup, mixing, neardup, passages, queries, tokens, warc, words
 from tallymark.llm.store import scratch_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -162,6 +162,52 @@ def test_line_dedup_edges(spark, odd):
     assert linededup.remove_repeats(odd.limit(0)).count() == 0
 
 
+def plain_cuts(rows, least=passages.LEAST):
+    """Kept text of each (doc_id, text), the earliest occurrence of each run of ``least`` words staying."""
+    first, out = {}, {}
+    for i, t in sorted(rows):
+        found = list(re.finditer(r"[^\W_]+", t))
+        low, spans = [m.group().lower() for m in found], []
+        for a in range(len(low) - least + 1):
+            at = first.setdefault(tuple(low[a : a + least]), (i, a))
+            if at != (i, a):
+                # Of its own earlier occurrence no word is cut.
+                b = max(a, at[1] + least) if at[0] == i else a
+                spans.append((found[b].start(), found[a + least].start() if a + least < len(found) else len(t)))
+        out[i] = linededup.cut(t, linededup.merged(sorted(spans)))
+    return out
+
+
+def test_passages_equal_brute_force(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: r.text for r in passages.remove_passages(d).collect()}
+    want = plain_cuts([(r.doc_id, r.text) for r in d.collect()])
+    assert got == want and any(got[r.doc_id] != r.text for r in d.collect())
+
+
+def test_passages_cut_in_mid_clause_are_found(spark):
+    import corpus_pipeline as P
+
+    lone = " ".join(f"q{i}" for i in range(51))
+    stop = " ".join(f"p{i}," if i % 9 == 4 else f"p{i}" for i in range(51))
+    odd = "r0 " + " ".join(f"r{i}" + (". " if i in (39, 44, 57, 70, 83) else "") for i in range(84))
+    rows = [(9 * k + i, f"Only here{i} near{i} {p} then{i} after it, end{i}", "en", "s") for k, p in enumerate((lone, stop, odd)) for i in range(3)]
+    rows += [(50, " ".join(lone.split()[:50]) + " x", "en", "s"), (51, "a " * 120, "en", "s")]
+    texts = {i: t for i, t, _, _ in rows}
+    for got in (passages.remove_passages(docs(spark, rows)), P.substring_dedup(spark, docs(spark, rows), "")):
+        got = {r.doc_id: r.text for r in got.collect()}
+        assert got == plain_cuts(texts.items())
+        for k in range(3):
+            assert got[9 * k] == texts[9 * k] and all(got[9 * k + i] == f"Only here{i} near{i} then{i} after it, end{i}" for i in (1, 2))
+        assert got[50] == texts[50] and got[51].split() == ["a"] * 51
+
+
+def test_passages_edges(spark, odd):
+    out = {(r.doc_id, r.text) for r in passages.remove_passages(clashing(odd)).collect()}
+    assert {(4, PROSE), (5, "tail"), (5, "another text"), (6, ""), (None, PROSE), (1, None), (2, "")} <= out and passages.remove_passages(odd).count() == odd.count()
+    assert passages.remove_passages(odd.limit(0)).count() == 0
+
+
 # decontamination
 
 
