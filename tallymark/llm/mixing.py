@@ -6,8 +6,16 @@ and deadline ceil((i + 1) / w) in slots; in every slot the released block of
 earliest deadline runs. So after any number of slots t a source has run less
 than one block more or less than w * t.
 
-Weights are whole shares of ``period`` slots, so the schedule repeats: at each
-multiple of the period every source has run exactly its share. One period, a
+:func:`deal` does this with the weights as they are given, as fractions, so
+nothing is rounded and nothing adds up, however long the run and however many
+the sources. Its schedule is not periodic; one task walks it slot by slot,
+holding one entry a source, and documents meet it by an equi-join on (source,
+block).
+
+:func:`mix` by default rounds weights to whole shares of ``period`` slots, as
+its SQL does, so less than one block holds against the rounded shares only; with
+weights that are given, or more sources than slots, it deals exactly. With
+shares the schedule repeats: at each multiple of the period every source has run exactly its share. One period, a
 table of fixed size, is all that is scheduled; documents get their slots by an
 equi-join on (source, block modulo share). The run lasts until every source
 has shown all its documents; a source that is through earlier starts over
@@ -19,16 +27,24 @@ sizes of the ranges before, so no task holds a source.
 
 Cases: a null source is a source of its own. Rows of null id and repeated rows
 are documents like others. Text is not read. Sources not named in ``weights``
-are an error; so are more sources than slots in a period. An empty table gives
-an empty result.
+are an error. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from tallymark.llm.store import arrow_batch, materialise
 
 PERIOD = 1000
 BLOCK = 8
@@ -36,6 +52,9 @@ BLOCK = 8
 SMOOTHING = 0.7
 #: Documents in a hash range are about so many.
 RANGE = 2_000
+DEALT = "at long, block long, slot long"
+#: Slots sent on at once.
+TOGETHER = 1 << 15
 
 
 def shares(weights: dict, period: int = PERIOD) -> dict:
@@ -68,6 +87,35 @@ def pfair(share: dict) -> list:
     return slots
 
 
+def whole(weights: list) -> list[int]:
+    """Integers in exactly the proportion of the weights."""
+    if any(not w > 0 for w in weights):
+        raise ValueError("weights must be positive")
+    exact = [Fraction(w) for w in weights]
+    scale = math.lcm(*(w.denominator for w in exact))
+    return [int(w * scale) for w in exact]
+
+
+def dealt(weights: list, blocks: list[int]) -> Iterator[tuple[int, int]]:
+    """Source and its block of each slot, earliest deadline first, until every source has run its ``blocks``."""
+    weights = whole(weights)
+    total = sum(weights)
+    done, left = [0] * len(weights), sum(n > 0 for n in blocks)
+    waiting = [(0, k) for k in range(len(weights))]
+    ready: list[tuple[int, int]] = []
+    slot = 0
+    while left:
+        while waiting and waiting[0][0] <= slot:
+            k = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(done[k] + 1) * total // weights[k]), k))
+        k = heapq.heappop(ready)[1]
+        yield k, done[k]
+        done[k] += 1
+        left -= done[k] == blocks[k]
+        heapq.heappush(waiting, (done[k] * total // weights[k], k))
+        slot += 1
+
+
 def ranked(docs: DataFrame, ranges: int) -> DataFrame:
     """doc_id, source and rank in the source by hash of the id, from 0."""
     rows = docs.select("doc_id", "source", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
@@ -80,18 +128,48 @@ def ranked(docs: DataFrame, ranges: int) -> DataFrame:
     return met.select("doc_id", "source", (F.col("offset") + F.col("nth")).cast("long").alias("rank"))
 
 
+def deal(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
+    """The columns of :func:`mix`, less than one block from the target weights themselves after every slot."""
+    spark = docs.sparkSession
+    sizes = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if weights is not None and (unknown := [s for s in sizes if s not in weights]):
+        raise ValueError(f"no weight for {unknown[:5]}")
+    names = sorted(sizes, key=lambda k: (k is not None, k))
+    exact = whole([weights[s] if weights is not None else sizes[s] ** SMOOTHING for s in names])
+    blocks = [-(-sizes[s] // block) for s in names]
+    arrow = to_arrow_schema(StructType.fromDDL(DEALT))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            slots, first = dealt(exact, blocks), 0
+            while held := list(islice(slots, TOGETHER)):
+                yield arrow_batch(arrow, [k for k, _ in held], [b for _, b in held], list(range(first, first + len(held))))
+                first += len(held)
+
+    table = materialise(spark.range(0, 1, 1, 1).mapInArrow(run, DEALT), "schedule")
+    sources = spark.createDataFrame([(s, k, sizes[s]) for k, s in enumerate(names)], f"s {docs.schema['source'].dataType.simpleString()}, at long, size long")
+    runs = F.broadcast(sources.join(table.groupBy("at").agg(F.count(F.lit(1)).alias("blocks")), "at"))
+    order = ranked(docs, max(1, -(-sum(sizes.values()) // RANGE)))
+    places = F.explode(F.sequence(F.col("rank"), F.greatest(F.col("rank"), F.col("blocks") * block - 1), F.col("size")))
+    shown = order.join(runs, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "at", "size", places.alias("i"))
+    met = shown.withColumn("block", F.floor(F.col("i") / block)).join(table, ["at", "block"])
+    return met.select("slot", (F.col("i") % block).alias("place"), "doc_id", "source", "block", F.floor(F.col("i") / F.col("size")).alias("epoch"))
+
+
 def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
     """A row per scheduled document: slot, place (in the slot's block), doc_id, source, block, epoch.
 
     Ordered by (slot, place) it is the mixed stream. ``weights`` maps a source to
     its target weight; by default they are sizes to the power ``SMOOTHING``.
     """
+    if weights is not None:
+        return deal(docs, weights, block)
     spark = docs.sparkSession
     schema = f"source {docs.schema['source'].dataType.simpleString()}, k int, share int, size long, at int, slots long"
     sizes = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(period + 1).collect()}
-    if weights is not None and (unknown := [s for s in sizes if s not in weights]):
-        raise ValueError(f"no weight for {unknown[:5]}")
-    share = shares({s: weights[s] if weights else n**SMOOTHING for s, n in sizes.items()}, period)
+    if len(sizes) > period:
+        return deal(docs, block=block)
+    share = shares({s: n**SMOOTHING for s, n in sizes.items()}, period)
     turns: dict = {s: [] for s in share}
     for at, s in enumerate(pfair(share)):
         turns[s].append(at)

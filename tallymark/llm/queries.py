@@ -94,6 +94,11 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_exact_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed stream of all documents by target weights that are not rounded."""
+    return mixing.deal(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over all documents."""
     import corpus_pipeline
@@ -101,7 +106,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_order_minhash, op4_warc_bundles, op5_token_rollup, op6_quartile_digest, op7_line_dedup, op7_passage_dedup, op8_main_text, op9_decontaminate, op10_pfair_mix, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_order_minhash, op4_warc_bundles, op5_token_rollup, op6_quartile_digest, op7_line_dedup, op7_passage_dedup, op8_main_text, op9_decontaminate, op10_pfair_mix, op10_exact_mix, pipeline)}
 
 ORACLES = {
     "op1_chat_format": r"""

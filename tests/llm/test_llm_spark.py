@@ -252,6 +252,33 @@ def test_mixing_edges(spark, odd):
         mixing.mix(odd, weights={"a": 1})
 
 
+def test_given_weights_are_kept_over_many_periods(spark):
+    d = docs(spark, [(i, "t", "en", "a" if i < 10 else "b") for i in range(13)])
+    out = mixing.mix(d, weights={"a": 0.999, "b": 0.001}, block=1).orderBy("slot").collect()
+    assert [r.slot for r in out] == list(range(len(out))) and len(out) > 2000 and {r.doc_id for r in out} == set(range(13))
+    done = 0
+    for t, r in enumerate(out, 1):
+        done += r.source == "b"
+        assert abs(done - 0.001 * t) < 1
+
+
+def test_more_sources_than_slots(spark):
+    d = docs(spark, [(i, "t", "en", f"s{i % 1100}" if i % 1100 else None) for i in range(1200)])
+    out = mixing.mix(d, block=1).collect()
+    assert {r.doc_id for r in out} == set(range(1200)) and sorted(r.slot for r in out) == list(range(len(out)))
+
+
+def test_exact_mix_keeps_the_default_weights(spark, odd):
+    out = mixing.deal(clashing(odd), block=2).orderBy("slot", "place").collect()
+    assert [(r.slot, r.place) for r in out] == [(i // 2, i % 2) for i in range(len(out))] and sum(r.epoch == 0 for r in out) == odd.count()
+    sizes = {r["source"]: r["count"] ** mixing.SMOOTHING for r in odd.groupBy("source").count().collect()}
+    done = Counter()
+    for t, r in enumerate(out[::2], 1):
+        done[r.source] += 1
+        assert all(abs(done[s] - w / sum(sizes.values()) * t) < 1 for s, w in sizes.items())
+    assert mixing.deal(odd.limit(0)).count() == 0
+
+
 # WARC
 
 

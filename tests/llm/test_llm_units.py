@@ -187,6 +187,24 @@ def test_pfair_lag_is_below_one_block():
         mixing.shares({"a": 0})
 
 
+def test_dealt_lag_is_below_one_block_of_the_weights():
+    rng = random.Random(1)
+    cases = [[0.999, 0.001], [0.3] + [0.7 / 19] * 19, [1.0] * 1500] + [[rng.random() ** 3 + 1e-6 for _ in range(rng.randint(1, 30))] for _ in range(10)]
+    for weights in cases:
+        total, done = sum(map(mixing.Fraction, weights)), [0] * len(weights)
+        exact = [float(mixing.Fraction(w) / total) for w in weights]
+        slots = 0
+        for t, (k, b) in enumerate(mixing.dealt(weights, [6_000] + [0] * (len(weights) - 1)), 1):
+            assert b == done[k]
+            done[k] += 1
+            slots = t
+            if len(weights) < 100 or t % 1000 == 0:
+                assert all(abs(n - w * t) < 1 + 1e-6 for n, w in zip(done, exact))
+            if t == 12_000:
+                break
+        assert slots >= 6_000
+
+
 def test_digest():
     assert digest.fingerprint(None) == digest.fingerprint("") == "0" * 66
     text = "the quick brown fox jumps over the lazy dog " * 40
