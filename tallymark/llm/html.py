@@ -15,7 +15,9 @@ Text: character references are decoded, white space inside a block becomes one
 blank, blocks are trimmed and joined by a blank line, in page order.
 
 Cases: null html is empty; no text gives an empty string. Cut-off and badly
-nested pages are read as far as they go. Very long pages are read whole, in
+nested pages are read as far as they go. Scripts and the like are no text, nor
+are closed drawings, players and objects; an element of those that is never
+closed takes nothing with it. Formulas (MathML) are text. Very long pages are read whole, in
 linear time. Rows are independent: repeated rows give repeated results.
 """
 
@@ -46,7 +48,9 @@ EPOCHS, RATE, DECAY = 6, 0.3, 1e-4
 # How HTML elements behave.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template title svg math iframe object canvas audio video textarea".split())
+RAW = frozenset("script style noscript template title iframe textarea".split())
+#: Not text between their tags either, but not text to the page's end if left open.
+INSET = frozenset("svg object canvas audio video".split())
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "tbody": "tbody thead tr td th", "tfoot": "tbody thead tr td th"}
 CLOSES = {k: frozenset(v.split()) for k, v in CLOSES.items()}
 BOUNDS = frozenset("article aside body div dl footer form header html main nav ol section table ul".split())
@@ -76,6 +80,29 @@ def attribute_words(attributes: str) -> tuple[str, ...]:
     return tuple(sorted(found))
 
 
+def raw_end(html: str, tag: str, at: int) -> int:
+    """Where a raw element whose text begins at ``at`` ends: after its closing tag or with the page."""
+    close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
+    return close.end() if close else len(html)
+
+
+def inset_ends(html: str) -> dict[int, int]:
+    """Where each closed inset ends, by the end of its opening tag; those left open are not in it."""
+    out: dict[int, int] = {}
+    opened: dict[str, list[int]] = {tag: [] for tag in INSET}
+    at = 0
+    while at < len(html) and (m := _TOKEN.match(html, at)):
+        at = m.end()
+        tag = (m[2] or "").lower()
+        if m[1] and opened.get(tag):
+            out[opened[tag].pop()] = at
+        elif not m[1] and tag in RAW:
+            at = raw_end(html, tag, at)
+        elif not m[1] and tag in INSET and not (tag == "svg" and m[3].endswith("/")):
+            opened[tag].append(at)
+    return out
+
+
 def blocks(html: str | None) -> list[Block]:
     """The page's leaf blocks in order."""
     out: list[Block] = []
@@ -84,6 +111,7 @@ def blocks(html: str | None) -> list[Block]:
     held: list[str] = []
     linked, in_link = 0, False
     html = html or ""
+    insets: dict[int, int] | None = None
 
     def end() -> None:
         nonlocal linked
@@ -118,10 +146,15 @@ def blocks(html: str | None) -> list[Block]:
                     break
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-            at = close.end() if close else size
+            at = raw_end(html, tag, at)
             held.append(" ")
             continue
+        if tag in INSET:
+            insets = inset_ends(html) if insets is None else insets
+            if at in insets:
+                at = insets[at]
+                held.append(" ")
+                continue
         if tag == "br":
             held.append("\n")
         if tag in BLOCK:

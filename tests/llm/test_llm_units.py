@@ -259,6 +259,18 @@ def test_blocks_of_badly_nested_pages():
     assert [b.text for b in html.blocks("<p>x<b>" * 20_000)] == ["x"] * 20_000
 
 
+def test_insets_take_no_article_text():
+    read = lambda page: [b.text for b in html.blocks(page)]
+    for tag in ("svg", "math"):
+        assert read(f"<article><p>One<{tag} class='i'/> two<p>Three<{tag}></{tag}></article>") == ["One two", "Three"]
+    for tag in sorted(html.INSET):
+        assert read(f"<p>One<{tag} id=x>two<p>Three<p>Four") == ["Onetwo", "Three", "Four"]
+        assert read(f"<p>One<{tag}>two<p>Three<{tag}>no</{tag}> four<p>Five") == ["Onetwo", "Three four", "Five"]
+        assert read(f"<p>One <{tag}>no<{tag}>no</{tag}>no</{tag}> two<script>'</{tag}><{tag}>'</script> three") == ["One two three"]
+    assert read("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds") == ["So x=2 holds"]
+    assert len(read("<p>x<video>" * 20_000)) == 20_000
+
+
 def test_crf_learns_and_decodes_like_enumeration():
     rng = random.Random(0)
     pages = [([[f"f{rng.randint(0, 1)}" if rng.random() < 0.1 else f"f{y}", "bias"] for y in ys], ys) for ys in ([0] * rng.randint(1, 4) + [1] * rng.randint(1, 6) + [0] * rng.randint(0, 3) for _ in range(60))]
