@@ -5,16 +5,18 @@ between two words, such as a comma or a line break, ends a unit. From each unit
 the shortest run of whole units with at least ``min_words`` words is a
 paragraph. Paragraphs are normalised to their words without regard to case,
 hashed, and grouped over all documents; the occurrence of least (doc_id, offset)
-stays and the others are cut out of their texts. So a passage is found as a
-line, as a paragraph, or inside a line that begins or ends otherwise; what of
-it stays is at most a clause cut in two by its insertion, and less than one
-unit at its end. Cuts are code point offsets of the text as given, from a
-paragraph's first word up to the next word after it; cuts that touch are one.
+stays and the others are cut out of their texts. So lines and paragraphs that
+repeat whole are found, wherever they stand. A passage whose ends lie inside
+longer clauses is found only if ``min_words`` words of whole clauses remain in
+it; ``passages`` finds every one. Cuts are code point offsets of the text as
+given, from a paragraph's first word up to the next word after it; cuts that
+touch are one.
 
 Texts are read and cut inside their own tasks, in time linear in a text. The
-first place of a digest comes from a partial aggregation, and its later places
-from an equi-join that Spark can split where a passage is in very many
-documents; texts are shuffled once, to meet their cuts.
+first place of a digest that repeats comes from a partial aggregation and is
+written; the join with it has a shuffle on either side, so Spark's skew rule
+splits a digest that is in very many documents. Texts are shuffled once, to
+meet their cuts.
 
 Cases: a null text stays null and an empty one empty. Rows without an id are
 given back as they are and count nowhere. Rows with one id are versions of one
@@ -33,10 +35,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from tallymark.llm.store import arrow_batch, fresh, materialise
+from tallymark.llm.store import Scratch, arrow_batch, fresh
 from tallymark.llm.words import code_points, mix, words_of
 
-#: Passages of over 50 words, less what a clause cut in two may take.
+#: Words of the shortest paragraph.
 MIN_WORDS = 45
 INSIDE = np.array([ord(c) for c in " -'\u2019"], dtype=np.uint32)
 PARAGRAPH = "doc_id long, digest long, span long, again boolean"
@@ -96,8 +98,9 @@ def found_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """A row per paragraph that is not the earliest of its digest: doc_id, span, first_doc."""
-    found = materialise(found_paragraphs(docs, min_words), "paragraphs")
-    first = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    held = Scratch(docs.sparkSession, "paragraphs")
+    found = held.table(found_paragraphs(docs, min_words), "found")
+    first = held.table(found.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
     return found.join(first, "digest").where("doc_id <> first_doc or again").select("doc_id", "span", "first_doc")
 
 

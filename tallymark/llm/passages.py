@@ -14,9 +14,11 @@ elsewhere as well meet those anchors, and the windows around them, these alone,
 are hashed, grouped and cut. Nothing is extended or sampled, so the result is
 that of comparing all windows.
 
-Both groupings are partial aggregations followed by equi-joins that Spark can
-split where a passage is in very many documents. Texts are shuffled twice, to
-meet their anchors and to meet their cuts. Work is linear in a text.
+Both groupings are partial aggregations. Their results, the repeated digests
+only, are written before rows join them, so both sides of a join are shuffles of
+their own and Spark's skew rule splits a digest that is in very many documents.
+Texts are shuffled twice, to meet their anchors and to meet their cuts. Work is
+linear in a text.
 
 Cases: a null text stays null and an empty one empty. Rows without an id are
 given back as they are and count nowhere. Rows with one id are versions of one
@@ -36,7 +38,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from tallymark.llm.linededup import cut, emptied_dropped, merged, prefix_hashes
-from tallymark.llm.store import arrow_batch, fresh, materialise
+from tallymark.llm.store import Scratch, arrow_batch, fresh
 from tallymark.llm.words import mix, words_of
 
 #: Passages of over 50 words.
@@ -131,11 +133,13 @@ def found_windows(met: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id and span of each window, or part of one, that is not the earliest of its digest."""
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    anchored = materialise(found_anchors(rows), "anchors")
-    often = anchored.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    held = Scratch(docs.sparkSession, "passages")
+    anchored = held.table(found_anchors(rows), "anchors")
+    often = held.table(anchored.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "often")
     runs = anchored.join(often, "digest").groupBy("doc_id").agg(F.collect_set("run").alias("runs"))
-    found = materialise(found_windows(rows.join(runs.hint("merge"), "doc_id").select("doc_id", "text", "runs")), "windows")
-    first = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    found = held.table(found_windows(rows.join(runs.hint("merge"), "doc_id").select("doc_id", "text", "runs")), "windows")
+    held.drop("anchors", "often")
+    first = held.table(found.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
     later = found.join(first, "digest").where("doc_id <> first_doc or lead >= 0")
     # A part begins so many words later and is so many words shorter.
     return later.select("doc_id", F.when(F.col("doc_id") == F.col("first_doc"), F.col("span") + F.col("lead") * 63).otherwise(F.col("span")).alias("span"))

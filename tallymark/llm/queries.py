@@ -69,16 +69,16 @@ def cut_rows(out: DataFrame) -> DataFrame:
     return out.select("doc_id", F.size("cut_starts").cast("long").alias("n_cut"), spans.alias("cut_spans"), F.length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's later repeats of lines and paragraphs cut, with the cuts' offsets."""
-    return cut_rows(linededup.remove_repeats(table(spark, sf_dir, "documents")))
-
-
 def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's later repeats of over 50 words cut, wherever they stand, with the cuts' offsets."""
     return cut_rows(passages.remove_passages(table(spark, sf_dir, "documents")))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's later repeats of lines and paragraphs cut, with the cuts' offsets."""
+    return cut_rows(linededup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html.main_text(table(spark, sf_dir, "pages"))
@@ -106,7 +106,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_order_minhash, op4_warc_bundles, op5_token_rollup, op6_quartile_digest, op7_line_dedup, op7_passage_dedup, op8_main_text, op9_decontaminate, op10_pfair_mix, op10_exact_mix, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_order_minhash, op4_warc_bundles, op5_token_rollup, op6_quartile_digest, op7_passage_dedup, op7_line_dedup, op8_main_text, op9_decontaminate, op10_pfair_mix, op10_exact_mix, pipeline)}
 
 ORACLES = {
     "op1_chat_format": r"""
@@ -132,6 +132,29 @@ SELECT page_id, octet_length(encode(body)) AS payload_bytes,
   CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> best THEN best END AS refers_to
 FROM d""",
+    "op7_passage_dedup": r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+')) AS tok, generate_subscripts(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+'), 1) AS k
+  FROM documents WHERE text IS NOT NULL),
+o AS (
+  SELECT *, CAST(sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY k) - length(tok) AS BIGINT) AS pos, regexp_matches(tok, '^[\p{L}\p{N}]') AS word FROM t),
+w AS (
+  SELECT doc_id, pos, lower(tok) AS tok, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, lead(pos) OVER (PARTITION BY doc_id ORDER BY k) AS next_pos
+  FROM o WHERE word),
+d AS (SELECT doc_id, list(tok ORDER BY i) AS toks FROM w GROUP BY doc_id),
+p AS (SELECT w.doc_id, i, hash(array_to_string(toks[i:i + 50], ' ')) AS h FROM w JOIN d ON d.doc_id = w.doc_id WHERE i + 50 <= len(toks)),
+f AS (SELECT *, min(doc_id) OVER (PARTITION BY h) AS first_doc, min(i) OVER (PARTITION BY h, doc_id) AS before FROM p),
+x AS (SELECT doc_id, CASE WHEN doc_id = first_doc THEN greatest(i, before + 51) ELSE i END AS i, i + 50 AS j FROM f WHERE doc_id <> first_doc OR i > before),
+r AS (
+  SELECT x.doc_id, b.pos AS a, coalesce(e.next_pos, length(text)) AS z FROM x JOIN documents ON documents.doc_id = x.doc_id
+  JOIN w b ON b.doc_id = x.doc_id AND b.i = x.i JOIN w e ON e.doc_id = x.doc_id AND e.i = x.j),
+g AS (SELECT *, CASE WHEN a <= max(z) OVER (PARTITION BY doc_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM r),
+m AS (SELECT doc_id, min(a) AS a, max(z) AS z FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS nth FROM g) GROUP BY doc_id, nth),
+c AS (SELECT doc_id, count(*) AS n_cut, string_agg(a || ':' || z, ';' ORDER BY a) AS cut_spans FROM m GROUP BY doc_id),
+k AS (SELECT o.doc_id, string_agg(tok, '' ORDER BY k) AS kept FROM o LEFT JOIN m ON m.doc_id = o.doc_id AND o.pos >= m.a AND o.pos < m.z WHERE m.doc_id IS NULL GROUP BY o.doc_id)
+SELECT documents.doc_id, coalesce(n_cut, 0) AS n_cut, coalesce(cut_spans, '') AS cut_spans,
+  CASE WHEN text IS NOT NULL THEN length(coalesce(kept, '')) END AS kept_chars, CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256
+FROM documents LEFT JOIN c ON c.doc_id = documents.doc_id LEFT JOIN k ON k.doc_id = documents.doc_id""",
     "op7_line_dedup": r"""
 WITH t AS (
   SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+')) AS tok, generate_subscripts(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+'), 1) AS k

@@ -1,12 +1,14 @@
 """Shared scratch space: intermediate tables that outlive a lost executor.
 
 Long plans are cut by writing a Parquet table below the folder the cluster
-names in ``spark.checkpoint.dir``. Only where that setting is absent (tests on
-one machine) a local folder is made and set.
+names in ``spark.checkpoint.dir``. Only where that setting is absent and the
+master is local (tests on one machine) a local folder is made and set; on a
+cluster its absence is an error, for executors would write to their own disks.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,6 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI or path."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master!r} share")
         folder = "file://" + tempfile.mkdtemp(prefix="tallymark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -35,6 +40,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one call; each goes by its name once nothing reads it any more.
+
+    Tables that the lazy result reads stay in the shared folder.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, scratch_path(spark, name)
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` as the table ``name`` and read it back, cutting its lineage."""
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Delete tables of which no later step reads anything."""
+        for name in names:
+            delete(self.spark, f"{self.path}/{name}")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` exists in whichever Hadoop file system holds it."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
