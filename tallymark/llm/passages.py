@@ -12,7 +12,9 @@ words by hash, which equal windows share and neighbouring windows mostly share
 too: one row for about sixteen words. Texts that hold an anchor which stands
 elsewhere as well meet those anchors, and the windows around them, these alone,
 are hashed, grouped and cut. Nothing is extended or sampled, so the result is
-that of comparing all windows.
+that of comparing all windows. A text whose words are those of an earlier
+document, told by 128 bits of their digest, has all its windows there: it is
+cut whole, and only the earliest copy's windows are written.
 
 Both groupings are partial aggregations. Their results, the repeated digests
 only, are written before rows join them, so both sides of a join are shuffles of
@@ -29,6 +31,7 @@ an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from tallymark.llm.linededup import cut, emptied_dropped, merged, prefix_hashes
+from tallymark.llm.linededup import cut, emptied_dropped, merged, prefix_hashes, repeated_inside
 from tallymark.llm.store import Scratch, arrow_batch, fresh
 from tallymark.llm.words import mix, words_of
 
@@ -45,7 +48,8 @@ from tallymark.llm.words import mix, words_of
 LEAST = 51
 #: Words of an anchor.
 ANCHOR = 20
-ANCHORS = "doc_id long, digest long, run long"
+#: Rows of texts' own digests have no mark, and the digest's second half as run.
+ANCHORS = "doc_id long, digest long, run long, mark int"
 WINDOWS = "doc_id long, digest long, span long, lead int"
 
 
@@ -67,9 +71,29 @@ def anchors(hashes: np.ndarray, least: int = LEAST, k: int = ANCHOR) -> tuple[np
     return runs[at[first]].view(np.int64), first, np.append(first[1:], at.size) - 1
 
 
-def mark(hashes: np.ndarray) -> int:
-    """25 bits of a text's words, by which versions of a document are told apart."""
-    return int(mix(prefix_hashes(hashes)[0][-1:])[0]) >> 39
+def text_digest(hashes: np.ndarray) -> np.ndarray:
+    """128 bits of a text's words, as two integers."""
+    return np.frombuffer(blake2b(hashes.tobytes(), digest_size=16).digest(), dtype=np.int64)
+
+
+def whole(hashes: np.ndarray) -> int:
+    """The span that is all of a text; its mark, 25 bits, tells versions of a document apart."""
+    return (int(text_digest(hashes)[1]) >> 39 & 0x1FFFFFF) << 38
+
+
+def anchor_rows(hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Digest, run (first window * 2**32 + last) and mark of a text's anchors, with a row for the text itself.
+
+    Anchors of equal texts have equal marks; where one stands in its text again
+    the mark is another.
+    """
+    digests, first, last = anchors(hashes)
+    if not digests.size:
+        return digests, digests, digests, np.empty(0, bool)
+    own = text_digest(hashes)
+    again = repeated_inside(digests)
+    marks = np.where(again, ~own[1], own[1]).astype(np.int32)
+    return np.append(digests, own[0]), np.append((first << 32) + last, own[1]), np.append(marks, 0), np.append(np.zeros(digests.size, bool), True)
 
 
 def windows(hashes: np.ndarray, runs: list[int], least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,38 +118,44 @@ def windows(hashes: np.ndarray, runs: list[int], least: int = LEAST) -> tuple[np
 
 
 def found_anchors(docs: DataFrame) -> DataFrame:
-    """doc_id, digest and run (first window * 2**32 + last) of each anchor."""
+    """doc_id and :func:`anchor_rows` of each text."""
     arrow = to_arrow_schema(StructType.fromDDL(ANCHORS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [anchors(w[2]) for w in words_of(batch.column("text").to_pylist())]
+            found = [anchor_rows(w[2]) for w in words_of(batch.column("text").to_pylist())]
             if not found:
                 continue
             counts = np.array([f[0].size for f in found])
             ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(counts.size), counts)))
-            digests, first, last = (np.concatenate([f[j] for f in found]).astype(np.int64) for j in range(3))
-            yield arrow_batch(arrow, ids, digests, (first << 32) + last)
+            digests, runs, marks, texts = (np.concatenate([f[j] for f in found]) for j in range(4))
+            yield arrow_batch(arrow, ids, digests.astype(np.int64), runs.astype(np.int64), pa.array(marks.astype(np.int32), mask=texts.astype(bool)))
 
     return docs.mapInArrow(run, ANCHORS)
 
 
 def found_windows(met: DataFrame) -> DataFrame:
-    """doc_id, digest, span (mark * 2**38 + place * 2**6 + LEAST) and lead of the windows in ``runs``."""
+    """doc_id, digest, span (mark * 2**38 + place * 2**6 + LEAST) and lead of the windows in ``runs``.
+
+    Texts whose :func:`whole` span is in ``copies`` have none.
+    """
     arrow = to_arrow_schema(StructType.fromDDL(WINDOWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            held = [(w[2], runs) for w, runs in zip(words_of(texts), batch.column("runs").to_pylist(), strict=True)]
-            found = [windows(h, runs) for h, runs in held]
+            held = []
+            for w, runs, copies in zip(words_of(texts), batch.column("runs").to_pylist(), batch.column("copies").to_pylist(), strict=True):
+                mark = whole(w[2])
+                held.append((w[2], mark, [] if mark in copies else runs))
+            found = [windows(h, runs) for h, _, runs in held]
             if not found:
                 continue
             counts = np.array([f[0].size for f in found])
             ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(counts.size), counts)))
             digests, at, lead = (np.concatenate([f[j] for f in found]).astype(np.int64) for j in range(3))
-            marks = np.repeat(np.array([mark(h) for h, _ in held], dtype=np.int64), counts)
-            yield arrow_batch(arrow, ids, digests, (marks << 38) + (at << 6) + LEAST, lead)
+            marks = np.repeat(np.array([mark for _, mark, _ in held], dtype=np.int64), counts)
+            yield arrow_batch(arrow, ids, digests, marks + (at << 6) + LEAST, lead)
 
     return met.mapInArrow(run, WINDOWS)
 
@@ -135,14 +165,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
     held = Scratch(docs.sparkSession, "passages")
     anchored = held.table(found_anchors(rows), "anchors")
-    often = held.table(anchored.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "often")
-    runs = anchored.join(often, "digest").groupBy("doc_id").agg(F.collect_set("run").alias("runs"))
-    found = held.table(found_windows(rows.join(runs.hint("merge"), "doc_id").select("doc_id", "text", "runs")), "windows")
-    held.drop("anchors", "often")
+    texts, places = anchored.where("mark is null"), anchored.where("mark is not null")
+    same = held.table(texts.groupBy("digest", "run").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc"), "same")
+    mark = F.shiftleft(F.shiftrightunsigned("run", 39), 38)
+    copies = held.table(texts.join(same, ["digest", "run"]).where("doc_id > first_doc").select("doc_id", mark.alias("span")), "copies")
+    often = held.table(places.groupBy("digest").agg(F.min("mark").alias("least"), F.max("mark").alias("most")).where("least < most").select("digest"), "often")
+    none = F.lit(None).cast("long")
+    asked = places.join(often, "digest").select("doc_id", "run", none.alias("span")).unionByName(copies.select("doc_id", none.alias("run"), "span"))
+    runs = asked.groupBy("doc_id").agg(F.collect_set("run").alias("runs"), F.collect_set("span").alias("copies")).where("size(runs) > 0")
+    found = held.table(found_windows(rows.join(runs.hint("merge"), "doc_id").select("doc_id", "text", "runs", "copies")), "windows")
+    held.drop("anchors", "same", "often")
     first = held.table(found.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
     later = found.join(first, "digest").where("doc_id <> first_doc or lead >= 0")
     # A part begins so many words later and is so many words shorter.
-    return later.select("doc_id", F.when(F.col("doc_id") == F.col("first_doc"), F.col("span") + F.col("lead") * 63).otherwise(F.col("span")).alias("span"))
+    return later.select("doc_id", F.when(F.col("doc_id") == F.col("first_doc"), F.col("span") + F.col("lead") * 63).otherwise(F.col("span")).alias("span")).unionByName(copies)
 
 
 def cuts_of(text: str | None, spans: list[int] | None) -> list[tuple[int, int]]:
@@ -150,8 +186,8 @@ def cuts_of(text: str | None, spans: list[int] | None) -> list[tuple[int, int]]:
     if not text or not spans:
         return []
     starts, _, hashes = next(words_of([text]))
-    own = mark(hashes)
-    held = sorted((s >> 6 & 0xFFFFFFFF, (s >> 6 & 0xFFFFFFFF) + (s & 63)) for s in spans if s >> 38 == own)
+    own = whole(hashes)
+    held = [(0, starts.size)] if own in spans else sorted((s >> 6 & 0xFFFFFFFF, (s >> 6 & 0xFFFFFFFF) + (s & 63)) for s in spans if s >> 38 == own >> 38)
     ends = np.append(starts, len(text))
     return [(int(starts[a]), int(ends[b])) for a, b in merged(held)]
 
