@@ -8,7 +8,9 @@ reader fetches one frame. An index row maps a record to (bundle, frame, offset
 in the frame, length).
 
 Of records with equal payloads that of the largest page_id carries it as a
-``response``; the others are ``revisit`` records that refer to it.
+``response``; the others are ``revisit`` records that refer to it. Only payloads
+that repeat are written down and joined, so Spark's skew rule can split one that
+very many pages have.
 
 Bundles have names of their own for each task attempt, and the index, written
 by Spark after them, names those of the attempts that counted: what a lost
@@ -36,10 +38,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tallymark.llm.store import arrow_batch, scratch_path
+from tallymark.llm.store import Scratch, arrow_batch, scratch_path
 
 #: Uncompressed bytes of a frame, and compressed bytes of a bundle, about.
 FRAME, BUNDLE = 1 << 20, 128 << 20
+#: Uncompressed bytes that a task reads back, about.
+DEALT = 8 << 20
 #: Fixed values of the seekable format: skippable frame and footer magic numbers.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Fixed value: the date of records without one of their own.
@@ -154,8 +158,9 @@ def open_fs(uri: str):
 def write(pages: DataFrame, folder: str) -> DataFrame:
     """Write all pages as records into bundles below ``folder``; returns the index."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    best = rows.groupBy("digest").agg(F.max("page_id").alias("best"))
-    met = rows.join(best, "digest").select("page_id", "url", "html", F.when(F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best")), F.col("best")).alias("refers_to"))
+    held = Scratch(pages.sparkSession, "payloads")
+    repeated = held.table(rows.groupBy("digest").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
+    met = rows.join(repeated, "digest", "left").select("page_id", "url", "html", F.when(F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best")), F.col("best")).alias("refers_to"))
     arrow = to_arrow_schema(StructType.fromDDL(INDEX))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,6 +185,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
             bundle.close()
 
     met.mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
+    held.drop("repeated")
     return pages.sparkSession.read.schema(INDEX).parquet(f"{folder}/index")
 
 
@@ -213,10 +219,13 @@ def fetch(folder: str, bundle: str, frame: int, offset: int, length: int) -> byt
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """All records of the bundles that the index names, read from the bundles: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Frames are dealt out, not bundles: every task reads frames from any bundle.
-    The digest and size of a response are computed from the payload read.
+    Frames are dealt out by the bytes in them, not by their rows in the index:
+    a task reads about ``DEALT`` bytes, from any bundle. The digest and size of a
+    response are computed from the payload read.
     """
-    frames = spark.read.schema(INDEX).parquet(f"{folder}/index").select("bundle", "frame").distinct()
+    index = spark.read.schema(INDEX).parquet(f"{folder}/index")
+    tasks = 1 + (index.agg(F.sum("length")).first()[0] or 0) // DEALT
+    frames = index.where("offset = 0").select("bundle", "frame").repartition(tasks, "bundle", "frame")
     arrow = to_arrow_schema(StructType.fromDDL(READ))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
