@@ -111,7 +111,8 @@ def edited_digests(docs: DataFrame) -> DataFrame:
         # Of rows with a head's id the first by text is the one that follows.
         again = dealt.join(table, F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("to", "doc_id").agg(F.min("text").alias("text")).select(F.col("to").alias("part"), F.lit(True).alias("after"), "doc_id", "text")
         rows = rows.unionByName(again)
-    rows = rows.repartition(max(1, len(heads)), "part").sortWithinPartitions("part", "after", F.col("doc_id").asc_nulls_first(), "text")
+    # By range, a part a task: by hash some tasks would have several parts and some none.
+    rows = rows.repartitionByRange(max(1, len(heads)), "part").sortWithinPartitions("part", "after", F.col("doc_id").asc_nulls_first(), "text")
     arrow = to_arrow_schema(StructType.fromDDL(EDITED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
