@@ -15,12 +15,12 @@ block).
 :func:`mix` by default rounds weights to whole shares of ``period`` slots, as
 its SQL does, so less than one block holds against the rounded shares only; with
 weights that are given, or more sources than slots, it deals exactly. With
-shares the schedule repeats: at each multiple of the period every source has run exactly its share. One period, a
-table of fixed size, is all that is scheduled; documents get their slots by an
-equi-join on (source, block modulo share). The run lasts until every source
-has shown all its documents; a source that is through earlier starts over
-(``epoch`` counts from 0), so no document is left out and the weights hold to
-the end.
+shares the schedule repeats: at each multiple of the period every source has
+run exactly its share. One period, a table of fixed size, is all that is
+scheduled; slots are a range that meets it, and documents meet the slots by an
+equi-join on (source, rank). The run lasts until every source has shown all its
+documents; a source that is through earlier starts over (``epoch`` counts from
+0), so no document is left out and the weights hold to the end.
 
 A rank inside a source is the rank inside one of many hash ranges plus the
 sizes of the ranges before, so no task holds a source.
@@ -128,6 +128,22 @@ def ranked(docs: DataFrame, ranges: int) -> DataFrame:
     return met.select("doc_id", "source", (F.col("offset") + F.col("nth")).cast("long").alias("rank"))
 
 
+def shown(docs: DataFrame, sizes: dict, names: list, slots: DataFrame, block: int) -> DataFrame:
+    """The documents that the blocks of ``slots`` (at, block, slot) show; ``at`` is a source's place in ``names``.
+
+    Each place of a block asks for one rank of its source, so a document that is
+    shown very often is as many rows, not a long one, and Spark's skew rule can
+    split their join.
+    """
+    sources = docs.sparkSession.createDataFrame([(s, k, sizes[s]) for k, s in enumerate(names)], f"s {docs.schema['source'].dataType.simpleString()}, at long, size long")
+    nth = F.col("block") * block + F.col("place")
+    places = slots.join(sources.select("at", "size"), "at").withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(block - 1).cast("long"))))
+    places = places.select("at", "block", "slot", "place", (nth % F.col("size")).alias("rank"), F.floor(nth / F.col("size")).alias("epoch"))
+    order = ranked(docs, max(1, -(-sum(sizes.values()) // RANGE)))
+    order = order.join(sources.select("s", "at"), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "at", "rank")
+    return places.join(order, ["at", "rank"]).select("slot", "place", "doc_id", "source", "block", "epoch")
+
+
 def deal(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
     """The columns of :func:`mix`, less than one block from the target weights themselves after every slot."""
     spark = docs.sparkSession
@@ -147,13 +163,7 @@ def deal(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> Da
                 first += len(held)
 
     table = materialise(spark.range(0, 1, 1, 1).mapInArrow(run, DEALT), "schedule")
-    sources = spark.createDataFrame([(s, k, sizes[s]) for k, s in enumerate(names)], f"s {docs.schema['source'].dataType.simpleString()}, at long, size long")
-    runs = F.broadcast(sources.join(table.groupBy("at").agg(F.count(F.lit(1)).alias("blocks")), "at"))
-    order = ranked(docs, max(1, -(-sum(sizes.values()) // RANGE)))
-    places = F.explode(F.sequence(F.col("rank"), F.greatest(F.col("rank"), F.col("blocks") * block - 1), F.col("size")))
-    shown = order.join(runs, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "at", "size", places.alias("i"))
-    met = shown.withColumn("block", F.floor(F.col("i") / block)).join(table, ["at", "block"])
-    return met.select("slot", (F.col("i") % block).alias("place"), "doc_id", "source", "block", F.floor(F.col("i") / F.col("size")).alias("epoch"))
+    return shown(docs, sizes, names, table, block)
 
 
 def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
@@ -165,7 +175,6 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, period
     if weights is not None:
         return deal(docs, weights, block)
     spark = docs.sparkSession
-    schema = f"source {docs.schema['source'].dataType.simpleString()}, k int, share int, size long, at int, slots long"
     sizes = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(period + 1).collect()}
     if len(sizes) > period:
         return deal(docs, block=block)
@@ -175,13 +184,8 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, period
         turns[s].append(at)
     # The slot after that in which the last source has shown all its documents.
     slots = max((((blocks := -(-n // block)) - 1) // share[s] * period + turns[s][(blocks - 1) % share[s]] + 1 for s, n in sizes.items()), default=0)
-    table = spark.createDataFrame([(s, k, share[s], sizes[s], at, slots) for s in share for k, at in enumerate(turns[s])], schema)
-    # Blocks that source s runs: all whole periods' shares and those of the last, begun one.
-    runs = table.groupBy("source").agg(F.first("size").alias("size"), F.first("share").alias("share"), (F.floor(F.first("slots") / period) * F.first("share") + F.sum((F.col("at") < F.col("slots") % period).cast("int"))).cast("long").alias("blocks"))
-    order = ranked(docs, max(1, -(-sum(sizes.values()) // RANGE)))
-    runs = F.broadcast(runs.withColumnRenamed("source", "s"))
-    shown = order.join(runs, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "share", "size", F.explode(F.sequence(F.col("rank"), F.greatest(F.col("rank"), F.col("blocks") * block - 1), F.col("size"))).alias("i"), "blocks")
-    shown = shown.where(F.col("i") < F.col("blocks") * block).withColumn("block", F.floor(F.col("i") / block))
-    times = F.broadcast(table.select(F.col("source").alias("s"), "k", "at"))
-    met = shown.join(times, F.col("source").eqNullSafe(F.col("s")) & ((F.col("block") % F.col("share")) == F.col("k")))
-    return met.select((F.floor(F.col("block") / F.col("share")) * period + F.col("at")).alias("slot"), (F.col("i") % block).alias("place"), "doc_id", "source", "block", F.floor(F.col("i") / F.col("size")).alias("epoch"))
+    names = list(share)
+    once = spark.createDataFrame([(at, n, k, share[s]) for n, s in enumerate(names) for k, at in enumerate(turns[s])], "turn int, at long, k long, share long")
+    run = spark.range(slots).withColumn("turn", (F.col("id") % period).cast("int")).join(F.broadcast(once), "turn")
+    dealt_out = run.select("at", (F.floor(F.col("id") / period) * F.col("share") + F.col("k")).alias("block"), F.col("id").alias("slot"))
+    return shown(docs, sizes, names, dealt_out, block)
