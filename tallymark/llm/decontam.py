@@ -16,13 +16,14 @@ edits of n words leave a run of (n - d) // (d + 1) words, so a window without
 any such run of an item (at most three words of it are used) cannot match, and
 no window is lost by leaving it out. All texts and all words are read.
 
-The items are broadcast: of more than ``MOST_CHARS`` characters, blocks of that
-size are searched one after the other and the results united.
+The items are broadcast: of more than ``MOST_CHARS`` characters, blocks of about
+that size are indexed, sent and searched one after the other, so the driver and
+the tasks hold one block at a time.
 
 Cases: a null or wordless text or item matches nothing. Items of fewer than
-five words allow no edit. Rows without an id keep a null id. Repeated documents
-each get their rows, repeated item ids one row for the closest text. Empty
-tables give an empty result.
+five words allow no edit. Rows of one id are one document, also those of none,
+and items of one id one item: the closest match counts. Cleaning judges every
+row by itself, with or without an id. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -33,12 +34,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tallymark.llm.store import arrow_batch
+from tallymark.llm.store import Scratch, arrow_batch
 from tallymark.llm.words import mix, words, words_of
 
 SHARE = 0.2
@@ -260,18 +262,27 @@ def find(texts: list[str | None], items: Items) -> list[tuple[int, int, int, int
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """A row per document and item found in it: edits, the item's words, and the span in the text."""
-    spark = docs.sparkSession
-    wanted = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+def item_blocks(benchmark: DataFrame) -> list[DataFrame]:
+    """The items in as many blocks as their characters need, a block to be broadcast at a time."""
+    wanted = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     chars = wanted.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = 1 + chars // MOST_CHARS
+    return [wanted.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block) for block in range(blocks)]
+
+
+def send(items: DataFrame, share: float) -> Broadcast:
+    """A block's items, indexed and broadcast."""
+    return items.sparkSession.sparkContext.broadcast(prepare([(r["item_id"], r["text"]) for r in items.collect()], share))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """A row per document and item found in it: edits, the item's words, and the span in the text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     arrow = to_arrow_schema(StructType.fromDDL(HITS))
+    held = Scratch(docs.sparkSession, "hits")
     parts = []
-    for block in range(blocks):
-        mine = wanted.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block) if blocks > 1 else wanted
-        sent = spark.sparkContext.broadcast(prepare([(r["item_id"], r["text"]) for r in mine.distinct().collect()], share))
+    for nth, items in enumerate(item_blocks(benchmark)):
+        sent = send(items, share)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -279,14 +290,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
                 hits = [(ids[doc], sent.value.ids[item], *rest) for doc, item, *rest in find(batch.column("text").to_pylist(), sent.value)]
                 yield arrow_batch(arrow, *(zip(*hits, strict=True) if hits else [[]] * 6))
 
-        parts.append(rows.mapInArrow(run, HITS))
-    hits = reduce(DataFrame.union, parts)
-    if wanted.groupBy("item_id").count().where("count > 1").isEmpty() and blocks == 1:
-        return hits
-    return hits.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "start", "n_words", "end")).alias("h")).select("doc_id", "item_id", "h.distance", "h.n_words", "h.start", "h.end")
+        parts.append(held.table(rows.mapInArrow(run, HITS), f"block{nth}"))
+        sent.destroy()
+    best = F.min(F.struct("distance", "start", "n_words", "end")).alias("h")
+    return reduce(DataFrame.union, parts).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "h.distance", "h.n_words", "h.start", "h.end")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """The documents in which no item is found; columns as given."""
-    hit = contaminated(docs, benchmark, share).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """The rows in whose text no item is found, each judged by itself; columns as given."""
+    held = Scratch(docs.sparkSession, "clean")
+    blocks = item_blocks(benchmark)
+    for nth, items in enumerate(blocks):
+        sent = send(items, share)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = {doc for doc, *_ in find(batch.column("text").to_pylist(), sent.value)}
+                yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+        if nth < len(blocks) - 1:
+            docs = held.table(docs, f"block{nth}")
+            sent.destroy()
+    return docs
