@@ -11,14 +11,16 @@ attempt, or a retry after a crash, changes nothing.
 Cases: a null text has no tokens and no characters but counts as a document.
 Null sources and languages are groups of their own. Repeated rows count as
 often as they occur. An empty batch commits and changes nothing. A batch whose
-writing broke off has no success mark, is not read and is written anew.
+writing broke off is not read and is written anew; of two writers of one batch
+id one commits.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
-from functools import cache, reduce
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tallymark.llm.store import arrow_batch, path_exists
+from tallymark.llm.store import arrow_batch, delete, folders, fresh, path_exists, rename_once
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the byte-level BPE splits text before merging.
@@ -48,14 +50,15 @@ def encoding(path: str):
 
 def with_token_counts(docs: DataFrame, ranks: str = RANKS, keep: tuple[str, ...] = ("doc_id", "source", "lang")) -> DataFrame:
     """``keep`` columns, n_chars and a count by tokenizer version: columns BPE and WORDS."""
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
+    read = fresh(docs, "text_read")
+    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias(read))
     schema = StructType([*(rows.schema[c] for c in keep), *(StructField(c, LongType()) for c in ("n_chars", BPE, WORDS))])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(ranks).encode_ordinary
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
+            texts = batch.column(read).to_pylist()
             yield arrow_batch(arrow, *(batch.column(c) for c in keep), [len(t) for t in texts], [len(encode(t)) for t in texts], [len(t.split()) for t in texts])
 
     return rows.mapInArrow(run, schema)
@@ -96,29 +99,40 @@ class Rollup:
 
     def committed(self, batch_id: str) -> bool:
         """Whether the batch's deltas count."""
-        return path_exists(self.spark, f"{self._batch(batch_id)}/_SUCCESS")
+        return path_exists(self.spark, self._batch(batch_id))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
-        """Add a batch of signed changes; False if that batch had been committed."""
+        """Add a batch of signed changes; False if that batch had been committed, or another writer was first.
+
+        The deltas are written aside and renamed to the batch's folder, in one
+        step and only if it does not exist.
+        """
         if self.committed(batch_id):
             return False
         deltas = changes.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)).where(" or ".join(f"{c} <> 0" for c in SUMS))
-        deltas.write.mode("overwrite").parquet(self._batch(batch_id))
-        return True
+        aside = f"{self.path}/_aside-{uuid.uuid4().hex}"
+        deltas.write.parquet(aside)
+        if rename_once(self.spark, aside, self._batch(batch_id)):
+            return True
+        delete(self.spark, aside)
+        return False
+
+    def deltas(self) -> DataFrame | None:
+        """All committed deltas with their batch, one scan however many there are; None before the first."""
+        if not path_exists(self.spark, self.path):
+            return None
+        sums = ", ".join(f"{c} long" for c in SUMS)
+        found = self.spark.read.schema(f"source string, lang string, tokenizer string, {sums}, batch string").parquet(self.path)
+        return found if "batch" in found.columns else None
 
     def batches(self) -> list[str]:
         """Ids of the committed batches."""
-        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        files = jpath.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(jpath):
-            return []
-        names = [f.getPath().getName() for f in files.listStatus(jpath)]
-        return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch=") and self.committed(n.removeprefix("batch=")))
+        return sorted(name.removeprefix("batch=") for name in folders(self.spark, self.path) if name.startswith("batch="))
 
     def totals(self) -> DataFrame:
         """The rollup: sums of the committed deltas, without groups that have come to nothing."""
-        parts = [self.spark.read.parquet(self._batch(b)) for b in self.batches()]
-        if not parts:
+        found = self.deltas()
+        if found is None:
             return self.spark.createDataFrame([], "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long")
-        sums = reduce(DataFrame.unionByName, parts).groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS))
+        sums = found.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS))
         return sums.where(" or ".join(f"{c} <> 0" for c in SUMS))
