@@ -6,10 +6,12 @@ rest, scores every block by its ancestors' tags and attribute words and by its
 text (length, share of links, punctuation, place in the page) and every step
 from block to block; Viterbi decoding finds the best labels of a whole page.
 
-It is trained here. Labelled pages are a bounded sample of the pages whose
-structure tells (``article`` or ``main`` and no part of them set apart), and
-the same blocks set anew into pages of other make-up, whose labels are known
-by construction. The model, some thousand weights, is broadcast.
+It is trained here, on labelled pages of three kinds: a bounded sample of the
+pages whose own markup tells where the article is (``article`` or ``main``);
+the blocks of these set anew into pages of other make-up, whose labels are known
+by construction; and pages made in that way from sentences of this module, so
+that a table in which no page has such markup gets a model too. The model, some
+thousand weights, is broadcast.
 
 Text: character references are decoded, white space inside a block becomes one
 blank, blocks are trimmed and joined by a blank line, in page order.
@@ -17,8 +19,9 @@ blank, blocks are trimmed and joined by a blank line, in page order.
 Cases: null html is empty; no text gives an empty string. Cut-off and badly
 nested pages are read as far as they go. Scripts and the like are no text, nor
 are closed drawings, players and objects; an element of those that is never
-closed takes nothing with it. Formulas (MathML) are text. Very long pages are read whole, in
-linear time. Rows are independent: repeated rows give repeated results.
+closed takes nothing with it. Formulas (MathML) are text. Very long pages are read
+whole, in linear time. Under one model rows are independent: repeated rows give
+repeated results.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ from tallymark.llm.store import arrow_batch
 
 #: Pages sampled to be labelled, and pages made from each.
 SAMPLE, MADE = 300, 6
+#: Pages made without a page, times MADE; characters of a block that may stand in a menu.
+OWN, SHORT = 40, 60
 EPOCHS, RATE, DECAY = 6, 0.3, 1e-4
 
 # How HTML elements behave.
@@ -58,6 +63,7 @@ BOUNDS = frozenset("article aside body div dl footer form header html main nav o
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)|[^<]++|<", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_DIGIT = re.compile(r"\d")
 
 
 @dataclass(slots=True)
@@ -198,7 +204,7 @@ def text_features(block: Block, place: int, n: int) -> list[str]:
         f"end={text[-1] if not text[-1].isalnum() and text[-1].isascii() else 'w'}",
         f"stops={min(4, sum(map(text.count, '.!?')))}",
         f"sign={'©' in text or '|' in text}",
-        f"digits={sum(map(str.isdigit, text[:200])) > 20}",
+        f"digits={min(3, 10 * len(_DIGIT.findall(text)) // len(text))}",
         f"first={place == 0}",
         f"last={place == n - 1}",
     ]
@@ -210,19 +216,43 @@ def features(page: list[Block]) -> list[list[str]]:
 
 
 # Tags and attributes of the pages made to train on.
-ARTICLE = ['article', 'main', 'div class="post-content"', 'div id="content"', 'div class="entry-content"', 'div class="article-body"', 'section class="story"', 'div itemprop="articleBody"', 'div class="text"', 'div id="main" role="main"', 'div class="post"', 'div class="page-body"', 'div class="blog-entry"']
+ARTICLE = ['article', 'main', 'div class="post-content"', 'div id="content"', 'div class="entry-content"', 'div class="article-body"', 'section class="story"', 'div itemprop="articleBody"', 'div class="text"', 'div id="main" role="main"', 'div class="post"', 'div class="page-body"', 'div class="blog-entry"', 'div class="column main"', 'td class="column"', None, None]
 REST = ['nav', 'header', 'footer', 'aside', 'form', 'menu', 'dialog', 'div class="sidebar"', 'div class="ad"', 'div class="ad-slot"', 'ins class="adsbygoogle"', 'div class="advertisement"', 'div class="advert banner"', 'div class="ads sponsored"', 'div class="cookie-notice"', 'div class="notice"', 'div class="comments"', 'section id="comments"', 'ul class="menu"', 'ol class="comment-list"', 'div class="related"', 'div class="share social"', 'div class="breadcrumbs"', 'div class="newsletter subscribe"', 'div class="popup modal"', 'div role="navigation"', 'div role="banner"', 'div role="contentinfo"', 'div role="complementary"', 'div class="promo promotion"', 'div class="pagination pager"', 'div id="header"', 'div id="footer"', 'div id="masthead"', 'div class="topbar"', 'div class="copyright"', 'div class="banner"', 'div class="site-header masthead"', 'div class="site-footer copyright"', 'div class="navbar navigation"', 'div class="widget"', 'div class="login search"', 'div class="consent gdpr privacy"', 'div class="alert message"', 'div class="toolbar topbar"', 'div class="discussion replies"', 'div class="user-comment reply"', 'div class="disclaimer legal"', 'div class="side right-column"', 'div id="secondary"', 'div class="recommended more-stories"', 'div class="tags categories"', 'div hidden']
 
 
+# Words of attributes that set a part of an article apart from it.
+APART = frozenset("ad ads advert advertisement sponsored promo comment comments replies related recommended share social newsletter subscribe breadcrumbs pagination cookie consent toc".split())
+#: Sentences of the pages that are made without a page.
+SENTENCES = [
+    "The council met on Tuesday to hear what had been found in the spring, and most of those who spoke were in favour of a new bridge.",
+    "Rain fell for nine days. On the tenth the river stood at the door of the mill, and the miller moved the flour to the upper floor.",
+    "We measured the loss at four temperatures and found that it rises slowly at first, then much faster above sixty degrees.",
+    "Add the onions when the butter begins to brown; after five minutes pour in the stock and let it simmer without a lid.",
+    "She had come to the city to study law, but within a year she was painting scenery for a small theatre near the harbour.",
+    "Why does the second method need fewer steps? Because it never looks at a pair twice, as the figure above shows.",
+    "El tren sale a las ocho y llega antes del mediodía, si no hay nieve en el paso.",
+    "Der Versuch wurde dreimal wiederholt, und jedes Mal war das Ergebnis dasselbe.",
+    "Le vent avait tourné pendant la nuit, et au matin les bateaux étaient tous rentrés au port.",
+]
+#: What stands in menus, headers, footers and notices.
+ODDMENTS = "Home|About us|Contact|Search|Sign in|Subscribe to our newsletter|All rights reserved. © The Site|Privacy policy|We use cookies. Accept|Share this|Read more: ten stories you missed|Next page|Buy one, get one free. Order today!|Great post, thank you for writing it.|Tags: travel, food|Follow us|Terms of use|Skip to content|Advertisement|3 comments".split("|")
+
+
 def labelled_by_structure(page: list[Block]) -> list[int] | None:
-    """1 for blocks of the article; None if the page's tags do not tell."""
-    apart = {"nav", "aside", "footer", "form", "menu", "dialog", "header"}
-    words = {w for x in REST for w in attribute_words(x)}
+    """1 for blocks of the article; None if the page's tags do not tell.
+
+    The article is what stands in ``article`` or ``main``, but for parts that
+    tags or attributes set apart inside it. What encloses it says nothing. A
+    header inside an ``article`` holds its title.
+    """
+    apart = frozenset("nav aside footer form menu dialog button".split())
     labels = []
     for b in page:
         names = [t for t, _ in b.chain]
-        inside = "article" in names or "main" in names
-        labels.append(int(inside and not apart & set(names) and not words & {w for _, ws in b.chain for w in ws}))
+        start = names.index("article") if "article" in names else names.index("main") if "main" in names else len(names)
+        told = {w for _, ws in b.chain[start + 1 :] for w in ws}
+        header = "header" in names[start:] and "article" not in names
+        labels.append(int(start < len(names) and not header and not apart & set(names) and not APART & told))
     return labels if any(labels) else None
 
 
@@ -247,16 +277,17 @@ def made_page(texts: list[str], others: list[str], rng: random.Random) -> tuple[
     for _ in range(rng.randint(0, 3)):
         rest(rng.random() < 0.3)
     outer = rng.choice([None, None, 'div class="container"', 'div id="page"', 'div class="wrapper"'])
+    # None: the article stands in the body, or in the outer block, by itself.
     opening = rng.choice(ARTICLE)
     out.append(f"<{outer}>" if outer else "")
-    out.append(f"<{opening}>")
+    out.append(f"<{opening}>" if opening else "")
     inner = rng.choice([None, None, 'div class="inner"', "section"])
     out.append(f"<{inner}>" if inner else "")
     i = 0
     while i < len(texts):
         if rng.random() < 0.12:
             points = texts[i : i + 4]
-            out.append(wrapped(rng.choice(["ul", "ol"]), "".join(wrapped("li", t if rng.random() < 0.5 else t[:60].rpartition("&")[0] or t[:60]) for t in points)))
+            out.append(wrapped(rng.choice(["ul", "ol"]), "".join(wrapped("li", t) for t in points)))
             marks.extend([1] * len(points))
             i += len(points)
         else:
@@ -267,7 +298,7 @@ def made_page(texts: list[str], others: list[str], rng: random.Random) -> tuple[
         if rng.random() < 0.25:
             rest(False)
     out.append(f"</{inner.split()[0]}>" if inner else "")
-    out.append(f"</{opening.split()[0]}>")
+    out.append(f"</{opening.split()[0]}>" if opening else "")
     out.append(f"</{outer.split()[0]}>" if outer else "")
     for _ in range(rng.randint(0, 4)):
         rest(rng.random() < 0.3)
@@ -276,23 +307,24 @@ def made_page(texts: list[str], others: list[str], rng: random.Random) -> tuple[
 
 def labelled_pages(sampled: list[str], made: int = MADE) -> list[tuple[list[list[str]], list[int]]]:
     """Features and labels of sampled pages and of pages made from their blocks."""
-    out, pool = [], []
-    read = [blocks(h) for h in sampled]
-    for page in read:
-        pool += [b.text for b in page[:40]]
-    for page in read:
-        labels = labelled_by_structure(page)
-        if not labels:
-            continue
-        out.append((features(page), labels))
-        rng = random.Random(zlib.crc32(page[0].text.encode()))
-        texts = [entities.escape(b.text) for b, y in zip(page, labels, strict=True) if y]
-        short = [entities.escape(b.text[:60]) for b in page]
+    read = [(p, labels) for p in map(blocks, sampled) if (labels := labelled_by_structure(p))]
+    pool = [b.text for page, _ in read for b in page]
+    out = [(features(page), labels) for page, labels in read]
+
+    def remade(texts: list[str], short: list[str], rng: random.Random) -> None:
         for _ in range(made):
-            others = [entities.escape(t) for t in rng.sample(pool, min(len(pool), 6))] + rng.sample(short, min(len(short), 8))
-            new, marks = made_page(texts[: rng.randint(1, 12)], others, rng)
+            others = [entities.escape(t) for t in rng.sample(pool, min(len(pool), 6)) + rng.sample(short, min(len(short), 8))]
+            new, marks = made_page([entities.escape(t) for t in texts[: rng.randint(1, 12)]], others, rng)
             if len(new) == len(marks):
                 out.append((features(new), marks))
+
+    for page, labels in read:
+        remade([b.text for b, y in zip(page, labels, strict=True) if y], [b.text for b in page if len(b.text) <= SHORT], random.Random(zlib.crc32(page[0].text.encode())))
+    pool += SENTENCES
+    for nth in range(OWN):
+        rng = random.Random(nth)
+        texts = [" ".join(rng.choices(SENTENCES, k=rng.randint(1, 4))) for _ in range(rng.randint(2, 12))]
+        remade([rng.choice(SENTENCES).partition(",")[0].partition(".")[0], *texts], ODDMENTS, rng)
     return out
 
 
@@ -384,8 +416,9 @@ def extract(html: str | None, model: Crf, cache: dict | None = None) -> str:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Crf:
-    """Train on at most ``sample`` pages, those of least hash, and on pages made from them."""
-    hashed = pages.where("html is not null").select("html", F.xxhash64("html").alias("h"))
+    """Train on at most ``sample`` pages with ``article`` or ``main``, those of least hash, and on pages made."""
+    told = pages.where(F.lower("html").rlike("<(article|main)[\\s>]"))
+    hashed = told.select("html", F.xxhash64("html").alias("h"))
     # Hashes alone are ranked; the bound is the sample-th of them. Copies of one page are one.
     least = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     drawn = hashed.where(F.col("h") <= least).groupBy("h").agg(F.first("html").alias("html")).orderBy("h") if least is not None else hashed.limit(0)
