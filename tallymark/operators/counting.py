@@ -19,15 +19,30 @@ def max_per_id(df: DataFrame, ident: str, counters: list[str]) -> DataFrame:
     return known.unionByName(alone)
 
 
+def _credit(ident: str, order: list[str], counter: str) -> Column:
+    """By how much a row raises its identity's maximum so far; rows without identity count whole."""
+    before = F.max(counter).over(Window.partitionBy(ident).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    own = F.coalesce(F.col(counter), F.lit(0))
+    return F.when(F.col(ident).isNull(), F.greatest(own, F.lit(0))).otherwise(F.greatest(own - F.greatest(F.coalesce(before, F.lit(0)), F.lit(0)), F.lit(0)))
+
+
+def running_credits(df: DataFrame, ident: str, order: list[str], counters: list[str]) -> DataFrame:
+    """Rows with each counter replaced by its credit: all counters in one window.
+
+    Rows without identity need no window and do not meet in one task.
+    """
+    known = df.where(F.col(ident).isNotNull()).withColumns({c: _credit(ident, order, c) for c in counters})
+    alone = df.where(F.col(ident).isNull()).withColumns({c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)) for c in counters})
+    return known.unionByName(alone)
+
+
 def running_credit(df: DataFrame, ident: str, order: list[str], counter: str) -> DataFrame:
     """Rows with ``credit``: by how much each raises its identity's maximum so far.
 
     The credits of an identity sum to its maximum, and each goes to the row
     (hence the session) that raised it.
     """
-    before = F.max(counter).over(Window.partitionBy(ident).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    credit = F.greatest(F.coalesce(F.col(counter), F.lit(0)) - F.greatest(F.coalesce(before, F.lit(0)), F.lit(0)), F.lit(0))
-    return df.withColumn("credit", F.when(F.col(ident).isNull(), F.greatest(F.coalesce(F.col(counter), F.lit(0)), F.lit(0))).otherwise(credit))
+    return running_credits(df.withColumn("credit", F.col(counter)), ident, order, ["credit"])
 
 
 def last_wins(df: DataFrame, keys: list[str], order: Column, values: list[str]) -> DataFrame:

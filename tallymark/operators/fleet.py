@@ -52,10 +52,36 @@ def prefix_relabel(short: DataFrame, registry: DataFrame, prefix: str, full: str
     return short.join(found, prefix, "left").select(*short.columns, label)
 
 
-def not_contained(needles: DataFrame, needle: str, haystack: DataFrame, text: str, words: Column) -> DataFrame:
-    """Needles that are in no text, where a text holds a needle as one of its ``words``."""
-    there = haystack.select(F.explode(words).alias(needle)).distinct()
-    return needles.join(there, needle, "left_anti").select(*needles.columns)
+def not_contained(needles: DataFrame, needle: str, haystack: DataFrame, text: str) -> DataFrame:
+    """Needles that stand in no text as a part of it, without regard to case.
+
+    A needle is looked up among the texts' parts of its own length: lengths of
+    needles are few, so the join is hashed instead of comparing every pair.
+    """
+    lengths = [r["size"] for r in needles.select(F.length(needle).alias("size")).where("size > 0").distinct().collect()]
+    low = haystack.where(F.col(text).isNotNull()).select(F.lower(text).alias("low")).distinct()
+
+    def parts_of(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("low") - size + 1)
+        return F.when(F.length("low") >= size, F.transform(starts, lambda at: F.substring(F.col("low"), at, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+    parts = F.flatten(F.array(*map(parts_of, sorted(lengths)))) if lengths else F.array().cast("array<string>")
+    there = low.select(F.explode(F.array_distinct(parts)).alias("part")).distinct()
+    kept = needles.where(F.length(needle) > 0)
+    return kept.join(there, F.lower(needle) == F.col("part"), "left_anti").select(*needles.columns)
+
+
+def longest_prefix(paths: DataFrame, path: str, known: DataFrame, folder: str) -> DataFrame:
+    """``paths`` with the longest known folder that is the path or contains it.
+
+    A path is looked up by each of its own folders, so the join is an equi-join.
+    """
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    folders = known.select(F.col(folder)).distinct()
+    met = paths.select(path).distinct().select(path, F.explode(above).alias(folder)).join(folders, folder)
+    best = met.groupBy(path).agg(F.max_by(folder, F.length(folder)).alias(folder))
+    return paths.join(best, path, "left")
 
 
 def distinct_over(usage: DataFrame, dimensions: list[str], sums: list[str]) -> DataFrame:

@@ -27,7 +27,7 @@ def prompt_metrics(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def prompt_style(mean_chars: Column) -> Column:
     """A name for the mean length of prompts; null without prompts."""
-    return F.when(mean_chars < 80, "terse").when(mean_chars < 240, "directive").when(mean_chars < 600, "detailed").when(mean_chars.isNotNull(), "essayist")
+    return F.when(mean_chars < 80, "terse").when(mean_chars <= 300, "directive").when(mean_chars.isNotNull(), "spec-writer")
 
 
 def top_k(df: DataFrame, value: str, k: int) -> DataFrame:

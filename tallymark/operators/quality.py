@@ -8,20 +8,52 @@ from pyspark.sql import functions as F
 from tallymark.functions import text as T
 
 
-def scrub_findings(files: DataFrame, path: str, text: str) -> DataFrame:
-    """A row per line and rule that it breaks: secret, email; and per file of prose.
+#: Larger files and files with a zero byte this near their beginning are not inspected.
+MOST_BYTES, SNIFFED = 4 * 1024 * 1024, 8192
+#: Fixed value: shorter names of users are not looked for.
+LEAST_USER = 4
+
+
+def skip_reason(text: str, size: Column | None = None) -> Column:
+    """Why a file is not inspected: too large or binary; null if it is."""
+    return F.when((size if size is not None else F.octet_length(text)) > MOST_BYTES, "too large").when(F.instr(F.substring(text, 1, SNIFFED), "\x00") > 0, "binary")
 
-    Lines are numbered from 1. The text of a finding is not given out.
-    """
-    lines = files.select(path, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    marked = lines.select(path, (F.col("pos") + 1).cast("long").alias("line_no"), F.explode(F.array_compact(F.array(F.when(T.redact(F.col("line")) != F.col("line"), F.lit("secret")), F.when(F.col("line").rlike(T.EMAIL), F.lit("email"))))).alias("rule"))
-    whole = files.where(T.prose(F.col(text))).select(path, F.lit(0).cast("long").alias("line_no"), F.lit("prose").alias("rule"))
-    return marked.unionByName(whole)
 
+def skipped(files: DataFrame, text: str) -> DataFrame:
+    """How many files are inspected, and how many not for what reason: an unread file is not a clean one."""
+    return files.groupBy(F.coalesce(skip_reason(text), F.lit("inspected")).alias("reason")).agg(F.count(F.lit(1)).alias("files"))
 
-def skip_reason(size: Column, head: Column, most: int = 4_000_000) -> Column:
-    """Why a file is not inspected: too large or binary; null if it is inspected."""
-    return F.when(size > most, "too large").when(head.contains("\x00"), "binary")
+
+def scrub_findings(files: DataFrame, path: str, text: str, home: str | None = None, user: str | None = None) -> DataFrame:
+    """A row per line and rule that it breaks: secret, email, and the first line with the home folder or the user's name.
+
+    Rules of a whole file have line 0: prose, and a secret that goes over several
+    lines, told where no single line holds one. Lines are numbered from 1. The
+    text of a finding is not given out. Files that are too large or binary are
+    not read, see :func:`skipped`. Only files that hold part of a secret's shape
+    or an @ are split into lines.
+    """
+    body = F.col(text)
+    read = files.where(skip_reason(text).isNull()).select(path, text)
+    suspect = read.where(T.may_hold_secret(body) | body.contains("@"))
+    lines = suspect.select(path, F.posexplode(F.split(text, "\n")).alias("pos", "line")).select(path, (F.col("pos") + 1).cast("long").alias("line_no"), "line")
+    line = F.col("line")
+    rules = F.array(F.when(T.redact(line) != line, F.lit("secret")), F.when(line.contains("@") & line.rlike(T.EMAIL), F.lit("email")))
+    marked = lines.select(path, "line_no", F.explode(F.array_compact(rules)).alias("rule"))
+    one_line = F.exists(F.split(text, "\n"), lambda x: T.redact(x) != x)
+    over_lines = body.contains("\n") & T.may_hold_secret(body) & (T.redact(body) != body) & ~one_line
+    whole = read.select(path, F.lit(0).cast("long").alias("line_no"), F.explode(F.array_compact(F.array(F.when(T.prose(F.trim(F.regexp_replace(text, r"\s+", " "))), F.lit("prose")), F.when(over_lines, F.lit("secret over lines"))))).alias("rule"))
+    out = marked.unionByName(whole)
+    at = lambda where: (F.length(F.substring(body, F.lit(1), where)) - F.length(F.replace(F.substring(body, F.lit(1), where), F.lit("\n"), F.lit("")))).cast("long") + 1
+    if home:
+        where = F.instr(body, home)
+        out = out.unionByName(read.where(where > 0).select(path, at(where).alias("line_no"), F.lit("home").alias("rule")))
+    if user and len(user) >= LEAST_USER:
+        named = rf"(?<![A-Za-z0-9])\Q{user}\E(?![A-Za-z0-9])"
+        clear = ~body.contains(home) if home else F.lit(True)
+        where = F.regexp_instr(text, F.lit(named))
+        out = out.unionByName(read.where(clear & (where > 0)).select(path, at(where).alias("line_no"), F.lit("user").alias("rule")))
+    return out
 
 
 def rule_matrix(lines: DataFrame, rules: dict[str, tuple[str, str]], kind: str, line: str) -> DataFrame:

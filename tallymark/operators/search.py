@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,15 +19,39 @@ def norm(a: Column) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(n)
 
 
+#: Query vectors go to every task together up to so many; more go in blocks of vectors, one block a task at a time.
+TOGETHER = 4096
+
+
+def unit(a: Column) -> Column:
+    """The vector in double precision at length 1; the zero vector as it is."""
+    size = norm(a)
+    return F.transform(a, lambda x: x.cast("double") / size)
+
+
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k vectors most like each query vector: (query_id, rank, id, score); ties by id.
 
-    ``queries`` has query_id and query; they are few and go to the vectors, which
-    are read once and not shuffled: each partition keeps the k best of each query
-    before they meet.
+    ``queries`` has query_id and query. They are counted first: a stated set of
+    up to ``TOGETHER`` goes to the vectors, which are read once and not shuffled,
+    and each partition keeps the k best of each query before they meet. A larger
+    set is dealt into blocks of that size, and each block meets all vectors in
+    the same way. Lengths are taken once a vector, not once a pair.
     """
-    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", F.col(ident).alias("id"), F.round(dot(F.col(vector), F.col("query")) / (norm(F.col(vector)) * norm(F.col("query"))), 6).alias("score"))
-    return best_k(scored, k)
+    blocks = 1 + queries.count() // TOGETHER
+    mine = queries.select("query_id", unit(F.col("query")).alias("query"))
+    rows = vectors.select(F.col(ident).alias("id"), unit(F.col(vector)).alias("v"))
+    parts = []
+    for block in range(blocks):
+        sent = mine.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else mine
+        scored = rows.crossJoin(F.broadcast(sent)).select("query_id", "id", F.round(product(F.col("v"), F.col("query")), 6).alias("score"))
+        parts.append(best_k(scored, k))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def product(a: Column, b: Column) -> Column:
+    """Inner product of vectors in double precision."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def best_k(scored: DataFrame, k: int) -> DataFrame:

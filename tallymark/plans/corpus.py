@@ -20,7 +20,7 @@ def prompt_metrics_documents(spark, sf_dir):
 
 def prompt_bucket(spark, sf_dir):
     found = prompt_metrics(spark, sf_dir)
-    return found.groupBy(profile.prompt_style(F.col("mean_chars")).alias("style")).agg(F.count(F.lit(1)).alias("conversations"), F.sum("prompts").cast("long").alias("prompts"))
+    return found.groupBy(profile.prompt_style(F.col("chars") / F.when(F.col("prompts") > 0, F.col("prompts"))).alias("style")).agg(F.count(F.lit(1)).alias("conversations"), F.sum("prompts").cast("long").alias("prompts"))
 
 
 def vendor_split(spark, sf_dir):
@@ -53,8 +53,12 @@ def prose_findings(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(T.prose(F.col("text"))).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
+# A home folder and a user's name that are looked for in the documents.
+HOME, NAME = "://user:", "than"
+
+
 def _scrub(spark, sf_dir):
-    return quality.scrub_findings(table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "doc_id")), "path", "text")
+    return quality.scrub_findings(table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "doc_id")), "path", "text", HOME, NAME)
 
 
 def scrub_findings(spark, sf_dir):
@@ -181,18 +185,21 @@ met2 AS (SELECT *, CASE WHEN prompts > 0 THEN questions * 10000 // prompts END A
 
 _VENDOR = "CASE " + " ".join(f"WHEN starts_with(w, '{p}') THEN '{v}'" for p, v in T.VENDORS) + " WHEN w IN ('<synthetic>', 'unknown', '') THEN 'synthetic' ELSE 'other' END"
 _PATHS = """pt AS (SELECT p_partkey, '/home/someone/' || replace(p_name, ' ', '/') || '/' || (['src', 'node_modules', 'lib', 'dist', 'docs'])[CAST(p_size % 5 + 1 AS INT)] || '/' || p_brand || '.' || (['py', 'ts', 'md', 'lock', 'rs', 'H', 'txt', 'yml'])[CAST(p_partkey % 8 + 1 AS INT)] AS path FROM part)"""
-_LANGS = ", ".join(f"('{e}', '{lang}')" for lang, names in T.EXTENSIONS.items() for e in names.split())
+_LANGS = ", ".join(f"('{e}', '{lang}')" for e, lang in T.EXTENSIONS.items())
 _COS = "round(list_inner_product(v.embedding::DOUBLE[], qv.embedding::DOUBLE[]) / (sqrt(list_inner_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_inner_product(qv.embedding::DOUBLE[], qv.embedding::DOUBLE[]))), 6)"
 _SCRUB = f"""ln AS (SELECT source || '/' || doc_id AS path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
 rd AS (SELECT *, {_redacted('line')} AS red FROM ln),
 fd AS (SELECT path, line_no, 'secret' AS rule FROM rd WHERE red <> line UNION ALL SELECT path, line_no, 'email' FROM rd WHERE regexp_matches(line, {q(T.EMAIL)})
-  UNION ALL SELECT source || '/' || doc_id, 0, 'prose' FROM documents WHERE length(text) > 400 AND length(text) - length(replace(text, ' ', '')) > 40)"""
+  UNION ALL SELECT source || '/' || doc_id, 0, 'prose' FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM documents) WHERE length(flat) > 400 AND length(flat) - length(replace(flat, ' ', '')) > 40
+  UNION ALL SELECT source || '/' || doc_id, 0, 'secret over lines' FROM (SELECT *, {_redacted('text')} AS red FROM documents) WHERE red <> text AND source || '/' || doc_id NOT IN (SELECT path FROM rd WHERE red <> line)
+  UNION ALL SELECT path, min(line_no), 'home' FROM ln WHERE contains(line, {q(HOME)}) GROUP BY path
+  UNION ALL SELECT path, min(line_no), 'user' FROM ln WHERE regexp_matches(line, '(^|[^A-Za-z0-9]){NAME}($|[^A-Za-z0-9])') AND path NOT IN (SELECT path FROM ln WHERE contains(line, {q(HOME)})) GROUP BY path)"""
 _VISIBLE = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script.*?</script>', ' ', 'gis'), '<style.*?</style>', ' ', 'gis'), '<[^>]*>', ' ', 'g'), '&[a-z#0-9]+;', ' ', 'gi'), '\s+', ' ', 'g'))"
 
 ORACLES = {
     "prompt_metrics": f"WITH c AS (SELECT * FROM conversations WHERE role = 'user'), {_metrics('c', 'conv_id')} SELECT * FROM met2",
     "prompt_metrics_documents": f"WITH {_metrics('documents', 'source')} SELECT * FROM met2",
-    "prompt_bucket": f"WITH c AS (SELECT * FROM conversations WHERE role = 'user'), {_metrics('c', 'conv_id')} SELECT CASE WHEN mean_chars < 80 THEN 'terse' WHEN mean_chars < 240 THEN 'directive' WHEN mean_chars < 600 THEN 'detailed' WHEN mean_chars IS NOT NULL THEN 'essayist' END AS style, count(*) AS conversations, CAST(sum(prompts) AS BIGINT) AS prompts FROM met2 GROUP BY 1",
+    "prompt_bucket": f"WITH c AS (SELECT * FROM conversations WHERE role = 'user'), {_metrics('c', 'conv_id')} SELECT CASE WHEN prompts > 0 THEN CASE WHEN chars / prompts < 80 THEN 'terse' WHEN chars / prompts <= 300 THEN 'directive' ELSE 'spec-writer' END END AS style, count(*) AS conversations, CAST(sum(prompts) AS BIGINT) AS prompts FROM met2 GROUP BY 1",
     "vendor_split": f"WITH x AS (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM documents) SELECT {_VENDOR} AS vendor, CASE WHEN starts_with(w, 'claude') OR contains(w, 'anthropic') THEN 'anthropic' WHEN starts_with(w, 'gpt') OR contains(w, 'openai') OR starts_with(w, 'o1') OR starts_with(w, 'o3') THEN 'openai' ELSE 'other' END AS class, count(*) AS n FROM x WHERE w <> '' GROUP BY ALL",
     "redact_documents": f"WITH r AS (SELECT doc_id, text, {_redacted('text')} AS red FROM documents) SELECT doc_id, sha256(red) AS sha256, length(red) AS n_chars FROM r WHERE red <> text",
     "email_findings": f"WITH e AS (SELECT doc_id, regexp_extract_all(text, {q(T.EMAIL)}) AS e FROM documents) SELECT doc_id, len(e) AS n, array_to_string(list_sort(list_distinct(e)), ',') AS emails FROM e WHERE len(e) > 0",

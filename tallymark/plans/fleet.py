@@ -97,8 +97,15 @@ def _counters(spark, sf_dir):
     return c.select(F.col("c_custkey").alias("account"), (cents("c_acctbal") * 1000).alias("counter"), F.date_add(F.lit("1996-01-01").cast("date"), (F.col("c_custkey") % 1500).cast("int")).alias("last_computed"))
 
 
+def _order_days(spark, sf_dir):
+    """Cents of each order and day, summed before they meet their order's customer."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", cents("l_extendedprice").alias("cents"), F.to_date("l_shipdate").alias("day"))
+    sums = items.groupBy("l_orderkey", "day").agg(F.sum("cents").alias("value"))
+    return sums.join(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("account")), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("account", "day").agg(F.sum("value").alias("value"))
+
+
 def _days(spark, sf_dir):
-    return _usage(spark, sf_dir).groupBy(F.col("o_custkey").alias("account"), "day").agg(F.sum("cents").alias("value"))
+    return _order_days(spark, sf_dir)
 
 
 def account_floor(spark, sf_dir):
@@ -117,9 +124,8 @@ def counter_claimed_once(spark, sf_dir):
 
 
 def machine_floor(spark, sf_dir):
-    u = _usage(spark, sf_dir)
-    days = u.groupBy(F.col("n_name").alias("machine"), F.col("o_custkey").alias("account"), "day").agg(F.sum("cents").alias("value"))
     where = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("account"), F.col("n_name").alias("machine"))
+    days = _order_days(spark, sf_dir).join(where, "account")
     other = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("machine"), cents("s_acctbal").alias("value"))
     return fleet.machine_floor(days, _counters(spark, sf_dir).join(where, "account"), other)
 
@@ -133,8 +139,8 @@ def fleet_hierarchy(spark, sf_dir):
 
 
 def roster_never_scanned(spark, sf_dir):
-    """Customers who are in no order seen and in no nation of a supplier with a balance above 7000."""
-    orders = table(spark, sf_dir, "orders").where("o_custkey % 10 < 7").select("o_custkey", F.lit(None).cast("int").alias("s_nationkey"))
+    """Customers who are in no order of 1997 and in no nation of a supplier with a balance above 7000."""
+    orders = table(spark, sf_dir, "orders").where("year(o_orderdate) = 1997").select("o_custkey", F.lit(None).cast("int").alias("s_nationkey"))
     suppliers = table(spark, sf_dir, "supplier").where("s_acctbal > 7000").select(F.lit(None).cast("long").alias("o_custkey"), "s_nationkey")
     roster = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     return fleet.never_scanned(roster, orders.unionByName(suppliers), {"c_custkey": "o_custkey", "c_nationkey": "s_nationkey"})
@@ -148,10 +154,9 @@ def prefix_relabel(spark, sf_dir):
 
 
 def missing_accounts(spark, sf_dir):
-    """Part types that are no word of any part's name, beside words that are."""
-    words = F.split("p_name", " ")
-    needles = table(spark, sf_dir, "part").select(F.explode(F.array(F.lower("p_type"), F.element_at(words, 1), F.lower("p_brand"))).alias("needle")).distinct()
-    return fleet.not_contained(needles, "needle", table(spark, sf_dir, "part"), "p_name", words)
+    """Part types, first words and brands that stand in no supplier's or customer's segment or part's name."""
+    needles = table(spark, sf_dir, "part").select(F.explode(F.array(F.lower("p_type"), F.element_at(F.split("p_name", " "), 1), F.lower("p_brand"))).alias("needle")).distinct()
+    return fleet.not_contained(needles, "needle", table(spark, sf_dir, "part"), "p_name")
 
 
 def fleet_distinct(spark, sf_dir):
@@ -206,9 +211,9 @@ x AS (SELECT n_name AS machine, CAST(sum(CAST(round(s_acctbal * 100) AS BIGINT))
 SELECT machine, coalesce(measured, 0) AS measured, coalesce(other, 0) AS other, coalesce(floored, 0) + coalesce(other, 0) AS floor FROM m FULL JOIN x USING (machine)""",
     "machine_provider_matrix": f"WITH {_U} SELECT n_name, l_returnflag, CAST(sum(cents) AS BIGINT) AS cents FROM u GROUP BY ALL",
     "fleet_hierarchy": f"WITH {_U} SELECT r_name, n_name, l_returnflag, count(*) AS n_rows, CAST(sum(cents) AS BIGINT) AS cents, 3 - grouping(r_name) - grouping(n_name) - grouping(l_returnflag) AS level FROM u GROUP BY ROLLUP (r_name, n_name, l_returnflag)",
-    "roster_never_scanned": "SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_custkey % 10 < 7) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal > 7000)",
+    "roster_never_scanned": "SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND year(o_orderdate) = 1997) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal > 7000)",
     "prefix_relabel": "WITH r AS (SELECT replace(s_name, 'Supplier', 'Customer') AS f, s_name, s_suppkey FROM supplier), s AS (SELECT c_custkey, substr(c_name, 1, CASE WHEN c_custkey % 2 = 0 THEN 16 ELSE 17 END) AS prefix FROM customer), b AS (SELECT prefix, min_by(s_name, s_suppkey) AS label FROM (SELECT DISTINCT prefix FROM s) JOIN r ON starts_with(f, prefix) GROUP BY prefix) SELECT c_custkey, s.prefix, label FROM s LEFT JOIN b ON s.prefix = b.prefix",
-    "missing_accounts": "WITH n AS (SELECT DISTINCT unnest([lower(p_type), string_split(p_name, ' ')[1], lower(p_brand)]) AS needle FROM part), w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) SELECT needle FROM n WHERE needle NOT IN (SELECT w FROM w)",
+    "missing_accounts": "WITH n AS (SELECT DISTINCT unnest([lower(p_type), string_split(p_name, ' ')[1], lower(p_brand)]) AS needle FROM part), w AS (SELECT DISTINCT lower(p_name) AS w FROM part) SELECT needle FROM n WHERE NOT EXISTS (SELECT 1 FROM w WHERE contains(w, needle))",
     "fleet_distinct": f"WITH {_U} SELECT count(DISTINCT o_custkey) AS n_o_custkey, count(DISTINCT l_returnflag) AS n_l_returnflag, count(DISTINCT day) AS n_day, CAST(sum(cents) AS BIGINT) AS cents FROM u",
     "fleet_gate": "WITH p AS (SELECT l_orderkey AS k, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS added FROM lineitem GROUP BY 1), w AS (SELECT o_orderkey AS k, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS stated FROM orders GROUP BY 1) SELECT count(*) AS orders, count(*) FILTER (WHERE added IS NULL) AS no_parts, CAST(sum(added) AS BIGINT) AS added, CAST(sum(stated) AS BIGINT) AS stated FROM p FULL JOIN w USING (k) WHERE added IS DISTINCT FROM stated",
 }

@@ -6,18 +6,19 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import text as T
 from tallymark.operators import activity as A
-from tallymark.operators import scoring
+from tallymark.operators import fleet, scoring
 from tallymark.plans.corpus import _PATHS, _paths
-from tallymark.plans.events import _E, USER, _streak_sql, events
+from tallymark.plans.events import _E, USER, _streak_sql, events, today
 from tallymark.session import table
 
 
 def _gauge_inputs(spark, sf_dir):
     e = events(spark, sf_dir)
     base = e.groupBy("user_id").agg((F.sum("v") / 1e6).alias("total_m"), F.count_distinct(F.to_date("ts")).alias("active_days"), (F.datediff(F.max(F.to_date("ts")), F.min(F.to_date("ts"))) + 1).alias("elapsed_days"), F.count_distinct("event_type").alias("langs"), F.floor(F.count_if(F.col("event_type") == "purchase") * 100 / F.count(F.lit(1))).alias("hands_on_pct"), F.try_divide(F.count_if(F.col("event_type") == "click"), F.count_if(F.col("event_type") == "view")).alias("delegation"))
-    active = A.capped_minutes(e, USER, "ts").select("user_id", (F.col("active_minutes") / 60).alias("hours_30d"))
+    hours = lambda rows, name: A.capped_minutes(rows, USER, "ts").select("user_id", (F.col("active_minutes") / 60).alias(name))
+    last = today(e).where(F.to_date("ts") > F.date_sub("today", 30))
     runs = A.islands(e, USER, F.to_date("ts")).groupBy("user_id").agg(F.max("days").alias("streak"))
-    return base.join(active, "user_id").join(runs, "user_id")
+    return base.join(hours(e, "hours"), "user_id").join(hours(last, "hours_30d"), "user_id", "left").join(runs, "user_id")
 
 
 def proficiency_gauges(spark, sf_dir):
@@ -27,7 +28,7 @@ def proficiency_gauges(spark, sf_dir):
 def signature_line(spark, sf_dir):
     """Which fact stands first: the thresholds meet a tenth of the streak and a multiple of the hours."""
     g = _gauge_inputs(spark, sf_dir)
-    return g.select("user_id", scoring.signature(F.col("streak") * 5, F.floor(F.col("hours_30d")), F.col("active_days") * 2, F.floor(F.col("hours_30d")) * 4).alias("signature"))
+    return g.select("user_id", scoring.signature(F.col("streak") * 5, F.floor(F.col("hours")), F.col("active_days") * 2, F.floor(F.col("hours")) * 4).alias("signature"))
 
 
 def share_url(spark, sf_dir):
@@ -51,8 +52,11 @@ def flag_suggestion(spark, sf_dir):
 
 
 def allowlist_findings(spark, sf_dir):
-    """Suppliers as pinned files: whether each customer's segment digest is known, pinned otherwise, or new."""
-    pins = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").groupBy("c_nationkey").agg(F.min_by(F.sha2(F.col("c_mktsegment").cast("binary"), 256), "c_custkey").alias("pin"))
+    """Customers as files: whether each one's segment digest is its nation's pin, differs from it, or has none.
+
+    A nation's pin is that of its first customer with a balance above 9000.
+    """
+    pins = table(spark, sf_dir, "customer").where("c_acctbal > 9000").groupBy("c_nationkey").agg(F.min_by(F.sha2(F.col("c_mktsegment").cast("binary"), 256), "c_custkey").alias("pin"))
     seen = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.sha2(F.col("c_mktsegment").cast("binary"), 256).alias("digest"))
     met = seen.join(pins, "c_nationkey", "left")
     state = F.when(F.col("pin").isNull(), "new").when(F.col("pin") == F.col("digest"), "pinned").otherwise("changed")
@@ -60,13 +64,12 @@ def allowlist_findings(spark, sf_dir):
 
 
 def known_path_prefix(spark, sf_dir):
-    """Paths by the known folder that contains them, the longest one; folders are few and fixed."""
-    path = F.col("path")
-    known = ["/home/someone/red", "/home/someone/red/widget", "/home/someone/small"]
-    out = F.lit(None).cast("string")
-    for k in sorted(known, key=len):
-        out = F.when((path == k) | path.startswith(k + "/"), F.lit(k)).otherwise(out)
-    return _paths(spark, sf_dir).groupBy(out.alias("known")).agg(F.count(F.lit(1)).alias("n"))
+    """Paths by the longest known folder that contains them; the first word of every part's name is a known folder, and so are the first two of parts of size 1."""
+    words = F.split("p_name", " ")
+    part = table(spark, sf_dir, "part")
+    folder = lambda n: F.concat(F.lit("/home/someone/"), F.array_join(F.slice(words, 1, n), "/"))
+    known = part.select(folder(1).alias("known")).union(part.where("p_size = 1").select(folder(2).alias("known")))
+    return fleet.longest_prefix(_paths(spark, sf_dir), "path", known, "known").groupBy("known").agg(F.count(F.lit(1)).alias("n"))
 
 
 def receipt(spark, sf_dir):
@@ -89,7 +92,9 @@ m AS (SELECT DISTINCT user_id, us // 60000000 AS mi FROM e), g AS (SELECT user_i
 a AS (SELECT user_id, CASE WHEN count(*) = 1 THEN 1 ELSE coalesce(sum(least(gap, 15)) FILTER (WHERE gap IS NOT NULL), 0) END / 60.0::DOUBLE AS hours FROM g GROUP BY user_id),
 b AS (SELECT user_id, sum(v) / 1e6 AS total_m, count(DISTINCT d) AS active_days, max(d) - min(d) + 1 AS elapsed, count(DISTINCT event_type) AS langs, count(*) FILTER (WHERE event_type = 'purchase') * 100 // count(*) AS pct,
   count(*) FILTER (WHERE event_type = 'click') / nullif(count(*) FILTER (WHERE event_type = 'view'), 0)::DOUBLE AS deleg FROM e GROUP BY user_id),
-gi AS (SELECT * FROM b JOIN a USING (user_id) JOIN s USING (user_id))"""
+m3 AS (SELECT DISTINCT user_id, us // 60000000 AS mi FROM e WHERE d > (SELECT max(d) FROM e) - 30), g3 AS (SELECT user_id, mi - lag(mi) OVER (PARTITION BY user_id ORDER BY mi) AS gap FROM m3),
+a3 AS (SELECT user_id, CASE WHEN count(*) = 1 THEN 1 ELSE coalesce(sum(least(gap, 15)) FILTER (WHERE gap IS NOT NULL), 0) END / 60.0::DOUBLE AS hours_30d FROM g3 GROUP BY user_id),
+gi AS (SELECT * FROM b JOIN a USING (user_id) LEFT JOIN a3 USING (user_id) JOIN s USING (user_id))"""
 
 
 def _lg(x: str, mid: float) -> str:
@@ -101,12 +106,12 @@ def _clamp(x: str) -> str:
 
 
 ORACLES = {
-    "proficiency_gauges": f"{_G} SELECT user_id, {_clamp(_lg('hours', 8) + ' * 0.5 + ' + _lg('total_m', 5) + ' * 0.5')} AS intensity, {_clamp('active_days / elapsed::DOUBLE * 5 * 0.5 + ' + _lg('longest', 3) + ' * 0.5')} AS consistency, {_clamp(_lg('langs', 2) + ' * 0.4 + pct / 100.0::DOUBLE * 5 * 0.3 + ' + _lg('deleg', 3) + ' * 0.3')} AS craft FROM gi",
+    "proficiency_gauges": f"{_G} SELECT user_id, {_clamp(_lg('hours_30d', 8) + ' * 0.5 + ' + _lg('total_m', 5) + ' * 0.5')} AS intensity, {_clamp('active_days / elapsed::DOUBLE * 5 * 0.5 + ' + _lg('longest', 3) + ' * 0.5')} AS consistency, {_clamp(_lg('langs', 2) + ' * 0.4 + pct / 100.0::DOUBLE * 5 * 0.3 + ' + _lg('deleg', 3) + ' * 0.3')} AS craft FROM gi",
     "signature_line": f"{_G} SELECT user_id, CASE WHEN longest * 5 >= 30 THEN 'streak' WHEN floor(hours) >= 100 THEN 'nights' WHEN active_days * 2 >= 60 THEN 'days' WHEN floor(hours) * 4 >= 200 THEN 'hours' WHEN active_days > 0 THEN 'some_days' ELSE 'none' END AS signature FROM gi",
     "share_url": "SELECT c_custkey, 'https://example.com/s?n=' || replace(c_name, '#', '%23') || '&v=' || CAST(floor(c_acctbal) AS BIGINT) AS url, c_name AS name, CAST(floor(c_acctbal) AS BIGINT) AS v FROM customer",
     "flag_suggestion": f"WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS g FROM part UNION SELECT DISTINCT lower(c_mktsegment) FROM customer), o AS (SELECT unnest({OPTIONS}) AS o), p AS (SELECT g, o, levenshtein(g, o) AS d FROM w, o) SELECT w.g AS given, min_by(o, (d, o)) AS suggestion, min(d) AS edits FROM w LEFT JOIN p ON p.g = w.g AND d <= 3 GROUP BY w.g",
-    "allowlist_findings": "WITH p AS (SELECT c_nationkey, min_by(sha256(c_mktsegment), c_custkey) AS pin FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1) SELECT CASE WHEN pin IS NULL THEN 'new' WHEN pin = sha256(c_mktsegment) THEN 'pinned' ELSE 'changed' END AS state, count(*) AS n FROM customer LEFT JOIN p USING (c_nationkey) GROUP BY 1",
-    "known_path_prefix": f"WITH {_PATHS} SELECT CASE WHEN starts_with(path, '/home/someone/red/widget/') THEN '/home/someone/red/widget' WHEN starts_with(path, '/home/someone/red/') THEN '/home/someone/red' WHEN starts_with(path, '/home/someone/small/') THEN '/home/someone/small' END AS known, count(*) AS n FROM pt GROUP BY 1",
+    "allowlist_findings": "WITH p AS (SELECT c_nationkey, min_by(sha256(c_mktsegment), c_custkey) AS pin FROM customer WHERE c_acctbal > 9000 GROUP BY 1) SELECT CASE WHEN pin IS NULL THEN 'new' WHEN pin = sha256(c_mktsegment) THEN 'pinned' ELSE 'changed' END AS state, count(*) AS n FROM customer LEFT JOIN p USING (c_nationkey) GROUP BY 1",
+    "known_path_prefix": f"WITH {_PATHS}, k AS (SELECT DISTINCT '/home/someone/' || string_split(p_name, ' ')[1] AS known FROM part UNION SELECT '/home/someone/' || array_to_string(string_split(p_name, ' ')[1:2], '/') FROM part WHERE p_size = 1), m AS (SELECT path, max_by(known, length(known)) AS known FROM (SELECT DISTINCT path FROM pt) JOIN k ON path = known OR starts_with(path, known || '/') GROUP BY path) SELECT known, count(*) AS n FROM pt LEFT JOIN m USING (path) GROUP BY 1",
     "receipt": "WITH p AS (SELECT octet_length(encode(html)) AS size FROM pages) SELECT CASE WHEN size > 20000 THEN 'too large' WHEN size < 1000 THEN 'too small' ELSE 'read' END AS reason, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, max(size) AS largest FROM p GROUP BY 1",
     "human_counts": "WITH n AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * CAST(pow(10, o_orderkey % 9) AS BIGINT) AS n FROM orders) SELECT o_orderkey, CASE WHEN n >= 1e12 THEN printf('%.1fT', floor(n / 1e12 * 10 + 0.5) / 10) WHEN n >= 1e9 THEN printf('%.1fB', floor(n / 1e9 * 10 + 0.5) / 10) WHEN n >= 1e6 THEN printf('%.1fM', floor(n / 1e6 * 10 + 0.5) / 10) WHEN n >= 1e3 THEN printf('%.1fK', floor(n / 1e3 * 10 + 0.5) / 10) ELSE CAST(CAST(n AS BIGINT) AS VARCHAR) END AS shown FROM n",
 }

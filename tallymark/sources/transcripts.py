@@ -71,11 +71,8 @@ def message_events(spark: SparkSession, roots: list[str], exclude: list[str] | N
 
 def usage_by_session(events: DataFrame) -> DataFrame:
     """Tokens of each session: a message counts its maximum, each raise to the session that brought it."""
-    out = None
-    for c in TOKENS:
-        one = counting.running_credit(events.where(F.col(c).isNotNull()).select("session_id", "msg_id", "path", "line_no", c), "msg_id", ["path", "line_no"], c).groupBy("session_id").agg(F.sum("credit").alias(c))
-        out = one if out is None else out.join(one, "session_id", "full")
-    return out
+    used = events.where(" or ".join(f"{c} is not null" for c in TOKENS))
+    return counting.running_credits(used, "msg_id", ["path", "line_no"], TOKENS).groupBy("session_id").agg(*(F.sum(c).cast("long").alias(c) for c in TOKENS))
 
 
 def sessions(events: DataFrame) -> DataFrame:
