@@ -56,6 +56,125 @@ def scrub_findings(files: DataFrame, path: str, text: str, home: str | None = No
     return out
 
 
+_NETWORK = "net|https?|dns|tls|dgram|child_process|worker_threads"
+# What a shipped file must not hold, as (rule, kind of file, pattern).
+STATIC_RULES = [
+    ("network builtin", "js", rf"""["'`]node:(?:{_NETWORK})["'`]"""),
+    ("bare network module", "js", rf"""(?:\bfrom\s*|\brequire\s*\(\s*|\bimport\s*\(\s*)["'`](?:{_NETWORK})["'`]"""),
+    ("fetch", "js", r"\bfetch\s*\("),
+    ("WebSocket", "js", r"\bWebSocket\b"),
+    ("XMLHttpRequest", "js", r"\bXMLHttpRequest\b"),
+    ("eval", "js", r"\beval\s*\("),
+    ("new Function", "js", r"\bnew\s+Function\b"),
+    ("process binding", "js", r"\bprocess\s*\.\s*binding\b"),
+    ("createRequire of a network module", "js", rf"""\bcreateRequire\s*\([^)]*\)\s*\(\s*["'`](?:node:)?(?:{_NETWORK})["'`]"""),
+    ("import of no literal", "js", r"""\bimport\s*\(\s*[^"'`)\s]"""),
+    ("import of a template", "js", r"""\bimport\s*\(\s*`[^`]*\$\{"""),
+    ("require of no literal", "js", r"""\brequire\s*\(\s*[^"'`)\s]"""),
+    ("require of a template", "js", r"""\brequire\s*\(\s*`[^`]*\$\{"""),
+    ("specifier put together", "js", r"""\b(?:import|require)\s*\(\s*["'`][^)]*\+"""),
+    ("escaped ASCII", "js", r"\\(?:x[2-7][0-9a-fA-F]|u00[2-7][0-9a-fA-F]|u\{[2-7][0-9a-fA-F]\})"),
+    ("computed member of a global", "js", r"\b(?:process|globalThis|global|Reflect)\s*\["),
+    ("createRequire not invoked", "js", r"""\bcreateRequire\s*\(\s*[^)\s][^)]*\)(?!\s*\(\s*["'`])"""),
+    ("curl", "shell", r"\bcurl\b"),
+    ("wget", "shell", r"\bwget\b"),
+    ("raw socket", "shell", r"\b(?:nc|netcat|ncat)\b"),
+    ("remote copy", "shell", r"\b(?:ssh|scp|sftp|rsync)\b"),
+    ("telnet or ftp", "shell", r"\b(?:telnet|ftp)\b"),
+    ("socket device", "shell", r"/dev/(?:tcp|udp)\b"),
+    ("TLS client", "shell", r"\bopenssl\s+s_client\b"),
+    ("pipe to an interpreter", "shell", r"\|\s*(?:sudo\s+)?(?:sh|bash|zsh|node|python[0-9.]*|perl|ruby)\b"),
+    ("base64 decode", "shell", r"\bbase64\s+(?:-d|-D|--decode)\b"),
+    ("inline interpreter code", "shell", r"\b(?:python[0-9.]*|perl|ruby)\s+-[ce]\b"),
+    ("inline node code", "shell", r"\bnode\b[^\n]*\s(?:-e|--eval)\b"),
+    ("download and run", "shell", r"\b(?:npx|npm\s+(?:i|install|exec|publish)\b)"),
+]
+#: Rules from which no list exempts a file.
+HARD = [name for name, kind, _ in STATIC_RULES if kind == "js"][9:]
+
+
+def file_kind(path: Column, first_line: Column) -> Column:
+    """package-json, test, js, shell or other, by name, top folder and first line; a test is told by its folder, never by its name."""
+    name = F.element_at(F.split(path, "/"), -1)
+    js = name.rlike(r"\.(mjs|js|cjs)$")
+    hashbang = F.coalesce(first_line.startswith("#!"), F.lit(False))
+    return (
+        F.when(name == "package.json", "package-json")
+        .when(js & F.element_at(F.split(path, "/"), 1).isin("tests", "test", "__tests__"), "test")
+        .when(js, "js")
+        .when(name.rlike(r"\.(sh|bash|zsh|command|ksh)$"), "shell")
+        .when(hashbang, F.when(first_line.rlike(r"\bnode\b"), "js").otherwise("shell"))
+        .otherwise("other")
+    )
+
+
+def static_scan(files: DataFrame, path: str, text: str, allowed: dict[str, list[str]] | None = None) -> DataFrame:
+    """Rule hits by file and line: path, kind, line_no, rule, verdict.
+
+    Hits in tests are ``listed``, hits of a rule that a file is allowed (by its
+    name) are ``allowed``, all others ``FAIL``; no list allows a hard rule. A line
+    is read once, for all rules of its file's kind. Script bodies of a
+    package.json are shell.
+    """
+    lines = F.split(text, "\n")
+    rows = files.select(F.col(path).alias("path"), file_kind(F.col(path), F.element_at(lines, 1)).alias("kind"), lines.alias("lines"), F.col(text).alias("body"))
+    code = rows.where("kind in ('js', 'shell', 'test')").select("path", "kind", F.posexplode("lines").alias("pos", "line"))
+    scripts = F.map_entries(F.from_json(F.get_json_object("body", "$.scripts"), "map<string,string>"))
+    package = rows.where("kind = 'package-json'").select("path", "kind", F.posexplode(F.transform(scripts, lambda e: e["value"])).alias("pos", "line"))
+    of = {"js": F.col("kind").isin("js", "test"), "shell": F.col("kind").isin("shell", "package-json")}
+    hits = F.array_compact(F.array(*(F.when(of[kind] & F.col("line").rlike(pattern), F.lit(name)) for name, kind, pattern in STATIC_RULES)))
+    found = code.unionByName(package).select("path", "kind", (F.col("pos") + 1).cast("long").alias("line_no"), F.explode(hits).alias("rule"))
+    name = F.element_at(F.split("path", "/"), -1)
+    exempt = F.lit(False)
+    for file, rules in (allowed or {}).items():
+        exempt = exempt | ((name == file) & F.col("rule").isin(rules))
+    verdict = F.when(F.col("kind") == "test", "listed").when(exempt & ~F.col("rule").isin(HARD), "allowed").otherwise("FAIL")
+    return found.withColumn("verdict", verdict)
+
+
+#: How deep JSON is walked, and the longest key that is no text.
+DEEPEST, LONGEST_KEY = 12, 64
+
+
+def json_paths(documents: DataFrame, ident: str, text: str) -> DataFrame:
+    """Paths and strings of JSON documents: ident, path, string (null for a path to no string).
+
+    Arrays are one step, ``[]``; a string that is JSON itself is walked on below
+    ``(nested)``. Every level is one pass over the rows of the level before, so
+    no document is walked by one call.
+    """
+    level = documents.select(F.col(ident).alias("ident"), F.lit("").alias("path"), F.try_parse_json(text).alias("v")).where("v is not null")
+    out = None
+    for _ in range(DEEPEST + 1):
+        kind = F.schema_of_variant("v")
+        is_text = kind == "STRING"
+        said = F.when(is_text, F.try_variant_get("v", "$", "string"))
+        here = level.select("ident", "path", said.alias("string")).where("path <> ''")
+        out = here if out is None else out.unionByName(here)
+        nested = F.when(is_text & F.trim(said).rlike(r"^[{\[]"), F.try_parse_json(said))
+        v = F.coalesce(nested, F.when(~is_text, F.col("v")))
+        base = F.when(nested.isNotNull(), F.concat("path", F.lit("(nested)"))).otherwise(F.col("path"))
+        entries = F.transform(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>")), lambda e: F.struct(F.concat(F.when(F.col("base") == "", "").otherwise(F.concat("base", F.lit("."))), e["key"]).alias("path"), e["value"].alias("v")))
+        items = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda x: F.struct(F.concat("base", F.lit("[]")).alias("path"), x.alias("v")))
+        stepped = level.select("ident", base.alias("base"), v.alias("v")).where("v is not null")
+        level = stepped.select("ident", F.explode(F.when(F.schema_of_variant("v").startswith("OBJECT"), entries).when(F.schema_of_variant("v").startswith("ARRAY"), items)).alias("e")).select("ident", "e.path", "e.v").where("v is not null")
+    return out
+
+
+def map_labels(documents: DataFrame, text: str, salt: str = "") -> DataFrame:
+    """JSON documents with every project label replaced by its pseudonym, wherever it stands as a whole string.
+
+    Labels are strings below a key ``project`` and names in a list ``projects``
+    of the same document; a label in brackets is a sentinel and stays. A new
+    column ``masked`` takes the result. Labels of one document are few.
+    """
+    found = F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(r'"project"\s*:\s*"((?:[^"\\]|\\.)+)"'), F.lit(1)), F.coalesce(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r'"projects"\s*:\s*(\[[^\]]*\])'), F.lit(1)), lambda x: F.regexp_extract_all(x, F.lit(r'"name"\s*:\s*"((?:[^"\\]|\\.)+)"'), F.lit(1)))), F.array().cast("array<string>"))))
+    labels = F.filter(found, lambda x: ~x.rlike(r"^\[.*\]$"))
+    # As a value: after a colon, a comma or a bracket, and not before a colon, where it would be a key.
+    masked = F.aggregate(labels, F.col(text), lambda out, label: F.regexp_replace(out, F.concat(F.lit(r'(?<=[:,\[]\s{0,8})"\Q'), label, F.lit(r'\E"(?!\s*:)')), F.concat(F.lit('"'), T.pseudonym("proj", label, salt), F.lit('"'))))
+    return documents.withColumn("masked", masked)
+
+
 def rule_matrix(lines: DataFrame, rules: dict[str, tuple[str, str]], kind: str, line: str) -> DataFrame:
     """Rows of ``lines`` with each rule that matches: rule name -> (file kind or ``*``, pattern).
 

@@ -125,3 +125,47 @@ def gauges(df: DataFrame, keys: list[str]) -> DataFrame:
         "craft": lg("langs", 2) * 0.4 + c("hands_on_pct") / 100 * 5 * 0.3 + lg("delegation", 3) * 0.3,
     }
     return df.select(*keys, *(F.floor(F.least(F.lit(5.0), F.greatest(F.lit(0.0), v)) * 1000 + 0.5).cast("long").alias(n) for n, v in out.items()))
+
+
+#: An axis and the input by which it counts as measured.
+PRIMARY = {0: "tokens_m", 1: "projects", 2: "tool_calls", 3: "models", 4: "streak"}
+
+
+def sources(parts: dict[tuple[str, str], DataFrame], keys: list[str], floors: frozenset[str] = frozenset({"fleet"})) -> DataFrame:
+    """Levels of each (source, span), such as corpus and fleet by month and lifetime, never averaged.
+
+    ``parts`` maps (source, span) to inputs, a row per key. A source in
+    ``floors`` is a lower bound: an axis whose primary input it does not have, or
+    that is null, is 0 and marked as not measured.
+    """
+    out = None
+    for (source, span), inputs in parts.items():
+        floor = source in floors
+        primary = F.array(*(F.col(PRIMARY[a]).isNotNull() if PRIMARY[a] in inputs.columns else F.lit(False) for a in range(ARMS)))
+        there = inputs.select(*keys, primary.alias("primary"))
+        lv = levels(long_form(inputs, keys), keys).join(there, keys)
+        measured = F.element_at("primary", F.col("axis") + 1) if floor else F.lit(True)
+        one = lv.select(*keys, F.lit(source).alias("source"), F.lit(span).alias("span"), F.lit(floor).alias("floor"), "axis", measured.alias("measured"), F.when(measured, F.col("level")).otherwise(F.lit(0)).cast("long").alias("level"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def hours_verdict(hours: Column, days: Column) -> Column:
+    """What active hours by active day say."""
+    per_day = F.when(days > 0, hours / days).otherwise(F.lit(0.0))
+    return F.when(per_day >= 8, "full days").when(per_day >= 4, "half days").when(per_day >= 1.5, "a habit").otherwise("short bursts")
+
+
+def peak_verdict(peak_hour: Column, night_owl: Column) -> Column:
+    """What the hour of most events says."""
+    return F.when(night_owl, "night owl").when(peak_hour >= 18, "after work").when(peak_hour < 9, "early").otherwise("own hours")
+
+
+def fan_verdict(peak: Column) -> Column:
+    """What the most sessions at once say."""
+    return F.when(peak >= 10, "wide").otherwise("deep")
+
+
+def streak_verdict(current: Column, longest: Column) -> Column:
+    """What the current streak says beside the longest."""
+    return F.when(current >= longest, "record").when(current >= longest * 0.8, "near").when(current == 0, "broken").when(longest >= 30, "stands").otherwise("steady")

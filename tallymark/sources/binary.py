@@ -18,6 +18,13 @@ from pyspark.sql import functions as F
 #: Deepest nesting followed, the most tokens a record can have, and the record's field numbers.
 DEPTH, MOST_TOKENS = 14, 50_000_000
 UNCACHED, OUTPUT, CACHED, SEEN, THOUGHT, REQUEST = 2, 3, 5, 9, 10, 11
+#: Deepest nesting followed for times, their plausible seconds, and their longest message.
+TIME_DEPTH, EARLIEST, LATEST, TIME_BYTES = 12, 1_500_000_000, 2_500_000_000, 12
+# What a model's name in a blob looks like, and what only looks like one.
+MODEL_NAME = r"gemini[-_][0-9A-Za-z][0-9A-Za-z._\-]{0,26}"
+NO_MODEL = r"\.(json|md|zip|txt|py|js)$|^gemini-cli"
+#: Votes of a name that the store itself gives as its model.
+NAMED = 1000
 USAGE = "path string, request string, input long, output long, cache_read long"
 
 
@@ -130,3 +137,69 @@ def blob_usage(blobs: DataFrame, path: str, blob: str) -> DataFrame:
     found = blobs.select(F.col(path).alias("path"), F.col(blob).alias("blob")).where("blob is not null").mapInArrow(run, USAGE)
     ident = F.coalesce("request", F.concat_ws("-", "input", "output", "cache_read"))
     return found.groupBy("path", ident.alias("request")).agg(*(F.max(c).alias(c) for c in ("input", "output", "cache_read")))
+
+
+def times(data: bytes | None, depth: int = 0) -> Iterator[int]:
+    """Epoch seconds of all messages that have a time stamp's structure: fields 1 and 2 only, short, plausible."""
+    found = fields(data) if data else None
+    if not found or depth > TIME_DEPTH:
+        return
+    for _, wire, value in found:
+        if wire != 2 or len(value) < 2 or (inner := fields(value)) is None:
+            continue
+        seconds = next((v for n, w, v in inner if n == 1 and w == 0), 0)
+        if EARLIEST < seconds < LATEST and len(value) <= TIME_BYTES and {n for n, _, _ in inner} <= {1, 2}:
+            yield seconds
+        else:
+            yield from times(value, depth + 1)
+
+
+def blob_times(blobs: DataFrame, path: str, blob: str) -> DataFrame:
+    """First and last time stamp of each path's blobs: path, start, end."""
+    schema = pa.schema([("path", pa.string()), ("seconds", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(p, s) for p, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for s in set(times(b))]
+            yield pa.RecordBatch.from_pydict({"path": [p for p, _ in rows], "seconds": [s for _, s in rows]}, schema=schema)
+
+    found = blobs.select(F.col(path).alias("path"), F.col(blob).alias("blob")).where("blob is not null").mapInArrow(run, "path string, seconds long")
+    return found.groupBy("path").agg(F.timestamp_seconds(F.min("seconds")).alias("start"), F.timestamp_seconds(F.max("seconds")).alias("end"))
+
+
+def model_votes(blobs: DataFrame, path: str, blob: str) -> DataFrame:
+    """How often each model's name stands in a path's blobs: path, name, votes."""
+    names = F.explode(F.regexp_extract_all(F.decode(F.col(blob), "ISO-8859-1"), F.lit(MODEL_NAME), F.lit(0)))
+    found = blobs.where(F.col(blob).isNotNull()).select(F.col(path).alias("path"), names.alias("raw")).where(~F.col("raw").rlike(NO_MODEL))
+    return found.select("path", F.regexp_replace("raw", "[-._]+$", "").alias("name")).where("name <> ''").groupBy("path", "name").agg(F.count(F.lit(1)).alias("votes"))
+
+
+def blob_sessions(blobs: DataFrame, files: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """A provider session per file with usage: session_id, start, end, turns, counters, model.
+
+    ``blobs`` has path and blob, ``files`` path and modified, ``named`` path and
+    blob of what names the model: of it the longest name, of equals that of most
+    votes, outweighs names that only stand in blobs. A file without times begins
+    and ends when it was modified: no span is invented.
+    """
+    usage = blob_usage(blobs, "path", "blob").groupBy("path").agg(F.count(F.lit(1)).alias("turns"), *(F.sum(c).cast("long").alias(c) for c in ("input", "output", "cache_read")))
+    votes = model_votes(blobs, "path", "blob")
+    if named is not None:
+        told = model_votes(named, "path", "blob").groupBy("path").agg(F.max_by("name", F.struct(F.length("name"), "votes", "name")).alias("name"))
+        votes = votes.unionByName(told.withColumn("votes", F.lit(NAMED).cast("long"))).groupBy("path", "name").agg(F.sum("votes").alias("votes"))
+    model = votes.groupBy("path").agg(F.min_by("name", F.struct(-F.col("votes"), F.col("name"))).alias("model"))
+    met = usage.join(files.select("path", "modified"), "path").join(blob_times(blobs, "path", "blob"), "path", "left").join(model, "path", "left")
+    ident = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    return met.select(F.lit(0).alias("root_seq"), ident.alias("session_id"), F.coalesce("start", "modified").alias("start"), F.coalesce("end", "modified").alias("end"), "turns", "input", "output", "cache_read", F.lit(0).cast("long").alias("cache_write"), F.coalesce("model", F.lit("antigravity")).alias("model"))
+
+
+def antigravity(spark: SparkSession, roots: list[str], key: bytes) -> tuple[DataFrame, DataFrame]:
+    """Sessions of databases and encrypted files below the roots, and how many files could not be read: never zero usage."""
+    read = lambda glob: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(roots)
+    opened = read("*.pb").select("path", F.col("modificationTime").alias("modified"), decrypted(F.col("content"), F.lit(key)).alias("blob"))
+    stored = sqlite_column(spark, roots, "steps", "metadata")
+    names = sqlite_column(spark, roots, "gen_metadata", "data").where("readable").select("path", F.col("value").alias("blob"))
+    blobs = opened.where("blob is not null").select("path", "blob").unionByName(stored.where("readable").select("path", F.col("value").alias("blob")))
+    files = read("*.{db,pb}").select("path", F.col("modificationTime").alias("modified"))
+    unread = opened.where("blob is null").select("path").unionByName(stored.where("not readable").select("path")).distinct()
+    return blob_sessions(blobs, files, names), unread.agg(F.count(F.lit(1)).alias("unreadable"))

@@ -1,28 +1,87 @@
-"""Reading line-oriented logs as ordered rows of JSON values."""
+"""Reading line-oriented logs as ordered rows of JSON values.
+
+Logs are read line by line, so a file of any size splits into tasks. Only
+stores that are one JSON document a file are read whole.
+"""
 
 from __future__ import annotations
 
+import os
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Places of rows in a partition, the low bits of Spark's row ids.
+PLACE = (1 << 33) - 1
+
+
+def plain(path: Column) -> Column:
+    """A path or URI without scheme and doubled slashes at its beginning."""
+    return F.regexp_replace(path, "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?/+", "/")
+
+
+def _plain(root: str) -> str:
+    head, mark, tail = root.partition(":/")
+    return "/" + (tail if mark else head).strip("/")
+
+
+def resolved(roots: list[str]) -> list[str]:
+    """The roots without repeats; links of a local file system are followed, so a linked profile counts once."""
+    out: dict[str, str] = {}
+    for root in roots:
+        real = os.path.realpath(root) if root.startswith("/") else root
+        out.setdefault(_plain(real), real)
+    return list(out.values())
+
+
+def _below(df: DataFrame, root: str, before: list[str], depth: int | None) -> DataFrame:
+    """Files that no earlier root holds, at most ``depth`` folders below their own."""
+    path = plain(F.col("path"))
+    seen = reduce(lambda c, b: c | path.startswith(_plain(b).rstrip("/") + "/"), before, F.lit(False))
+    out = df.where(~seen)
+    if depth is not None:
+        out = out.where(F.size(F.split(F.substring(path, F.lit(len(_plain(root).rstrip("/")) + 2), F.length(path)), "/")) <= depth)
+    return out
 
-def files(spark: SparkSession, roots: list[str], glob: str) -> DataFrame:
-    """Whole files below the roots: root_seq, path, content (text).
+
+def _each(spark: SparkSession, roots: list[str], schema: str, read, depth: int | None) -> DataFrame:
+    roots = resolved(roots)
+    parts = [_below(read(root).withColumn("root_seq", F.lit(i)), root, roots[:i], depth) for i, root in enumerate(roots)]
+    names = [c.split()[0] for c in schema.split(", ")]
+    return reduce(DataFrame.unionByName, (p.select(*names) for p in parts)) if parts else spark.createDataFrame([], schema)
+
+
+def files(spark: SparkSession, roots: list[str], glob: str, depth: int | None = None) -> DataFrame:
+    """Whole files below the roots: root_seq, path, content (text), for stores of one document a file.
 
     A file reached from several roots counts for the first.
     """
-    parts = [spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True).select(F.lit(i).alias("root_seq"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")) for i, root in enumerate(roots)]
-    if not parts:
-        return spark.createDataFrame([], "root_seq int, path string, content string")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.groupBy("path").agg(F.min_by(F.struct("root_seq", "content"), "root_seq").alias("f")).select("f.root_seq", "path", "f.content") if len(parts) > 1 else out
+    read = lambda root: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return _each(spark, roots, "root_seq int, path string, content string", read, depth)
+
+
+def listed(spark: SparkSession, roots: list[str], glob: str, depth: int | None = None) -> DataFrame:
+    """Files below the roots without their contents: root_seq, path, size, modified."""
+    read = lambda root: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    return _each(spark, roots, "root_seq int, path string, size bigint, modified timestamp", read, depth)
+
+
+def log_lines(spark: SparkSession, roots: list[str], glob: str = "*.jsonl", depth: int | None = None) -> DataFrame:
+    """Non-empty lines of logs: root_seq, path, line_no, line.
+
+    ``line_no`` rises through a file: the offset of the line's split plus its
+    place among the task's rows. A split's rows are fewer than its bytes, so it
+    never meets the next split's numbers.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(PLACE))
+    read = lambda root: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root).select(F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") + place + 1).alias("line_no"), F.col("value").alias("line")).where(F.trim("line") != "")
+    return _each(spark, roots, "root_seq int, path string, line_no bigint, line string", read, depth)
 
 
 def lines(read: DataFrame) -> DataFrame:
-    """A row per non-empty line with its number, from 1."""
-    return read.select("root_seq", "path", F.posexplode(F.split("content", "\r?\n")).alias("pos", "line")).where(F.trim("line") != "").select("root_seq", "path", (F.col("pos") + 1).alias("line_no"), "line")
+    """A row per non-empty line of whole files with its number, from 1."""
+    return read.select("root_seq", "path", F.posexplode(F.split("content", "\r?\n")).alias("pos", "line")).where(F.trim("line") != "").select("root_seq", "path", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
 def objects(rows: DataFrame) -> DataFrame:

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymark.functions import text as T
 from tallymark.operators.counting import finite, strict_int
-from tallymark.sources.lines import epoch, files, get, instant, lines, objects, string
+from tallymark.sources.lines import epoch, files, get, instant, lines, log_lines, objects, string
 
 COLUMNS = ["root_seq", "session_id", "start", "end", "turns", "input", "output", "cache_read", "cache_write", "model"]
 
@@ -36,16 +37,16 @@ def _sessions(rows: DataFrame, turns: Column | None = None) -> DataFrame:
     return sums.join(model, keys, "left").select(*COLUMNS)
 
 
-def gemini(spark: SparkSession, roots: list[str]) -> DataFrame:
+def gemini(spark: SparkSession, roots: list[str], glob: str = "*.jsonl", documents: str = "*.json") -> DataFrame:
     """One document a file, or lines of documents, or lines of messages; sessions go over files.
 
     ``cached`` is part of ``input``; thoughts are output, tool tokens input; only
     messages with tokens are turns.
     """
-    read = files(spark, roots, "*.json*")
+    read = files(spark, roots, documents)
     doc = F.try_parse_json("content")
     single = read.withColumn("j", doc).where("j is not null").select("root_seq", "path", "j")
-    many = objects(lines(read.where(doc.isNull()))).select("root_seq", "path", "j")
+    many = objects(lines(read.where(doc.isNull())).unionByName(log_lines(spark, roots, glob))).select("root_seq", "path", "j")
     docs = single.unionByName(many)
     sid = F.coalesce(string("j", "$.sessionId"), _base())
     listed = docs.select("root_seq", sid.alias("session_id"), F.explode(get("j", "$.messages", "array<variant>")).alias("m"))
@@ -56,12 +57,12 @@ def gemini(spark: SparkSession, roots: list[str]) -> DataFrame:
     return _sessions(rows)
 
 
-def copilot(spark: SparkSession, roots: list[str]) -> DataFrame:
+def copilot(spark: SparkSession, roots: list[str], glob: str = "*.jsonl") -> DataFrame:
     """Usage stands in ``session.shutdown`` by model and in compactions; sessions without either are absent.
 
     A log is a file, or a folder with ``events.jsonl``.
     """
-    j = objects(lines(files(spark, roots, "*.jsonl")))
+    j = objects(log_lines(spark, roots, glob))
     parts = F.split("path", "/")
     sid = F.when(F.element_at(parts, -1) == "events.jsonl", F.element_at(parts, -2)).otherwise(_base())
     rows = j.select("root_seq", sid.alias("session_id"), instant(string("j", "$.timestamp")).alias("ts"), string("j", "$.type").alias("type"), "j")
@@ -80,9 +81,9 @@ def copilot(spark: SparkSession, roots: list[str]) -> DataFrame:
     return sums.join(span, keys).join(model, keys, "left").select(*COLUMNS)
 
 
-def grok(spark: SparkSession, roots: list[str]) -> DataFrame:
+def grok(spark: SparkSession, roots: list[str], glob: str = "*.jsonl") -> DataFrame:
     """Only completed turns count; the breakdown by model wins over the top-level usage."""
-    j = objects(lines(files(spark, roots, "*.jsonl"))).where(get("j", "$.params.update.sessionUpdate", "string") == "turn_completed")
+    j = objects(log_lines(spark, roots, glob)).where(get("j", "$.params.update.sessionUpdate", "string") == "turn_completed")
     stamp = get("j", "$.timestamp", "string")
     ts = F.coalesce(F.when(stamp.rlike(r"^[0-9.]+$"), epoch(stamp)), instant(stamp))
     usage = get("j", "$.params.update.usage", "variant")
@@ -119,11 +120,18 @@ def stats_counter(spark: SparkSession, roots: list[str]) -> DataFrame:
 
 
 def union(readers: dict[str, DataFrame]) -> DataFrame:
-    """All tools' sessions; a session in several roots (a copied profile) counts for the first."""
+    """All tools' sessions; a session in several roots (a copied profile) counts for the first.
+
+    With what follows from them: tokens sent, received and in total, the model's
+    vendor, whether it is billed, and the minutes from start to end (one decimal).
+    """
     every = reduce(DataFrame.unionByName, (df.withColumn("cli", F.lit(cli)) for cli, df in readers.items()))
-    nth = F.row_number().over(Window.partitionBy("cli", "session_id").orderBy("root_seq"))
-    total = F.col("input") + F.col("output") + F.col("cache_read") + F.col("cache_write")
-    return every.withColumn("nth", nth).where("nth = 1").drop("nth").withColumn("total", total)
+    first = every.groupBy("cli", "session_id").agg(F.min_by(F.struct(*(c for c in every.columns if c not in ("cli", "session_id"))), "root_seq").alias("s")).select("cli", "session_id", "s.*").select(*every.columns)
+    sent = F.col("input") + F.col("cache_read") + F.col("cache_write")
+    model = F.coalesce("model", F.lit("unknown"))
+    vendor = T.vendor(model, T.SCANNED_VENDORS)
+    minutes = (F.unix_micros("end") - F.unix_micros("start")) / 60e6
+    return first.withColumns({"sent": sent, "received": F.col("output"), "total": sent + F.col("output"), "provider": vendor, "billed": T.billed(F.col("cli"), vendor), "elapsed_min": F.when(minutes >= 0, F.floor(minutes * 10 + 0.5) / 10)})
 
 
 def rollup(sessions: DataFrame, installed: DataFrame) -> DataFrame:

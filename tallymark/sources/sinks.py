@@ -6,11 +6,14 @@ row once, and a machine folder is checked before it is written.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tallymark.operators import fleet, ledger, months
+from tallymark.operators import fleet, ledger, months, quality
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
@@ -32,10 +35,8 @@ def write_snapshots(scanned: DataFrame, path: str, measures: list[str]) -> None:
     spark = scanned.sparkSession
     stored = read_or_none(spark, path)
     keys = ["month", "host"]
-    merged = scanned.select(*keys, *measures)
-    if stored is not None:
-        touched = stored.join(F.broadcast(merged.select("month").distinct()), "month", "left_semi")
-        merged = months.merge_rescans(touched, merged, keys, measures)
+    touched = stored.join(scanned.select("month").distinct(), "month", "left_semi") if stored is not None else scanned.limit(0)
+    merged = months.merge_rescans(touched, scanned, keys, measures)
     staged = f"{path}.staged"
     merged.write.mode("overwrite").parquet(staged)
     out = spark.read.parquet(staged).repartition("month")
@@ -85,3 +86,49 @@ def archive(df: DataFrame, path: str, stamp: str, keys: list[str]) -> bool:
 def report(df: DataFrame) -> DataFrame:
     """Rows as JSON text, one a row, with keys in the columns' order."""
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def write_documents(documents: DataFrame, root: str) -> int:
+    """Write each row (path below ``root``, content as text or binary) as a file of its own; how many that were.
+
+    ``root`` is a folder that all executors see. A task that is tried again
+    writes the same files anew.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        local = "://" not in root
+        files, base = (fs.LocalFileSystem(), root.removeprefix("file:")) if local or root.startswith("file:") else fs.FileSystem.from_uri(root)
+        base = "/" + base.removeprefix("file:").lstrip("/") if local or root.startswith("file:") else base
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                files.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                with files.open_output_stream(f"{base}/{path}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]}, schema=pa.schema([("n", pa.int64())]))
+
+    rows = documents.select("path", F.col("content").cast("binary").alias("content"))
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def append_run(run: DataFrame, path: str, stamp: str) -> int:
+    """Append a run's log (one row, columns as its fields) to the chained log at ``path``; its index, from 0.
+
+    A run states the digest of the run before, so that a run taken out or
+    altered shows: :func:`tallymark.operators.quality.chain_breaks` finds it.
+    Runs are few; a stamp orders them.
+    """
+    spark = run.sparkSession
+    had = read_or_none(spark, path)
+    last = had.agg(F.max_by(F.struct("raw", "run_index"), "stamp").alias("r")).first()["r"] if had is not None else None
+    index = last["run_index"] + 1 if last else 0
+    before = F.sha2(F.lit(last["raw"]).cast("binary"), 256) if last else F.lit(None).cast("string")
+    row = run.select(F.lit("runs").alias("log"), F.lit(stamp).alias("stamp"), F.lit(index).cast("long").alias("run_index"), before.alias("stated"), F.to_json(F.struct(F.lit(index).alias("run_index"), before.alias("prev_log_sha256"), *run.columns), {"ignoreNullFields": "false"}).alias("raw"))
+    row.write.mode("append").parquet(path)
+    return index
+
+
+def run_breaks(spark: SparkSession, path: str) -> DataFrame:
+    """Runs of the log whose stated digest or index does not follow from the run before."""
+    return quality.chain_breaks(spark.read.parquet(path), ["log"], "stamp", F.col("raw"), "stated", "run_index")

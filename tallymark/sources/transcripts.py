@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import text as T
 from tallymark.operators import activity, counting
-from tallymark.sources.lines import files, get, instant, lines, objects, string
+from tallymark.sources.lines import get, instant, log_lines, objects, string
 
 #: Usage fields of a message, by the name of the counter.
 USAGE = {"input": "input_tokens", "output": "output_tokens", "cache_read": "cache_read_input_tokens", "cache_write": "cache_creation_input_tokens"}
@@ -15,19 +15,19 @@ TOKENS = list(USAGE)
 SENTINEL = "[excluded]"
 
 
-def _timed(spark: SparkSession, roots: list[str]) -> DataFrame:
-    rows = objects(lines(files(spark, roots, "*.jsonl")))
+def _timed(spark: SparkSession, roots: list[str], glob: str) -> DataFrame:
+    rows = objects(log_lines(spark, roots, glob))
     return rows.withColumn("ts", instant(string("j", "$.timestamp"))).where("ts is not null")
 
 
-def message_events(spark: SparkSession, roots: list[str], exclude: list[str] | None = None, home: str | None = None, user: str | None = None) -> DataFrame:
+def message_events(spark: SparkSession, roots: list[str], exclude: list[str] | None = None, home: str | None = None, user: str | None = None, glob: str = "*.jsonl") -> DataFrame:
     """Rows of message logs, typed: a row is kept if it is an object with a parsable timestamp string.
 
     A row without session id inherits the last one seen in its file, else the
     file's last two path segments. A folder that names nothing (one segment at
     most) leaves the label to the encoded project folder.
     """
-    j = _timed(spark, roots)
+    j = _timed(spark, roots, glob)
     rows = j.select(
         "path",
         "line_no",
@@ -107,9 +107,9 @@ def first_sights(events: DataFrame) -> DataFrame:
     return counting.first_wins(events.where(F.col("input").isNotNull()), "uuid", F.struct("path", "line_no"))
 
 
-def rollout_events(spark: SparkSession, roots: list[str]) -> DataFrame:
+def rollout_events(spark: SparkSession, roots: list[str], glob: str = "*.jsonl") -> DataFrame:
     """Rows of rollouts: id and model stay as the last session_meta said; counters are cumulative."""
-    j = _timed(spark, roots)
+    j = _timed(spark, roots, glob)
     meta = string("j", "$.type") == "session_meta"
     rows = j.select(
         "path",

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tallymark.operators.activity import micros
-from tallymark.sources.sinks import append_ledger
+from tallymark.sources.sinks import append_ledger, write_snapshots
 
 
 def running_totals(stream: DataFrame, ident: str, counter: str, watermark: tuple[str, str] | None = None) -> DataFrame:
@@ -46,7 +46,7 @@ class Credits(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.best = handle.getValueState("best", "v long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         best = self.best.get()[0] if self.best.exists() else 0
         for frame in rows:
             frame = frame.sort_values("seq")
@@ -74,18 +74,18 @@ class Members(StatefulProcessor):
         self.handle = handle
         self.seen = handle.getValueState("seen", "n long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n = sum(len(frame) for frame in rows)
         joined = not self.seen.exists()
         before = 0 if joined else self.seen.get()[0]
         self.seen.update((before + n,))
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.quiet_ms)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
         if joined:
             yield pd.DataFrame({"machine": [key[0]], "event": ["join"], "packets": [n]})
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         n = self.seen.get()[0] if self.seen.exists() else 0
         self.seen.clear()
         yield pd.DataFrame({"machine": [key[0]], "event": ["leave"], "packets": [n]})
@@ -109,3 +109,40 @@ def membership(packets: DataFrame) -> DataFrame:
 def ledger_sink(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append what exceeds the ledger, batch by batch; a batch that comes again appends nothing."""
     return stream.writeStream.foreachBatch(lambda batch, _: append_ledger(batch, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def announced(packets: DataFrame, ts: str, listen: str = "8 seconds") -> DataFrame:
+    """Machines heard in each window of listening, a repeated announcement once: window start, machine, packets (append mode)."""
+    once = packets.where("kind = 'announce'").withWatermark(ts, listen).dropDuplicates(["machine", "sentAt", ts])
+    return once.groupBy(F.window(ts, listen).alias("w"), "machine").agg(F.count(F.lit(1)).alias("packets")).select(F.unix_micros("w.start").alias("start_micros"), "machine", "packets")
+
+
+def snapshot_sink(stream: DataFrame, path: str, measures: list[str], checkpoint: str) -> StreamingQuery:
+    """Keep monthly snapshots up to date with scans that come in: a month never shrinks, a batch that comes again changes nothing."""
+    return stream.writeStream.foreachBatch(lambda batch, _: write_snapshots(batch, path, measures)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def pushed_folders(spark, folder: str, schema: str) -> DataFrame:
+    """Machine documents as they are put into a folder, a JSON document a line or file; those without a usable name are left out.
+
+    The name is the first of folderName, machine and label, made a folder's name.
+    """
+    from tallymark.functions import text as T
+
+    rows = spark.readStream.schema(f"folderName string, machine string, label string, {schema}").option("recursiveFileLookup", True).json(folder)
+    return rows.withColumn("folder", T.slug(F.coalesce("folderName", "machine", "label"))).where("folder is not null")
+
+
+def rescored(stream: DataFrame, finalise, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """An incremental scan: each batch is kept, and ``finalise`` of all kept so far is written to ``path``.
+
+    ``every`` is the least time between two results, such as ``80 milliseconds``;
+    without it all there is is read once.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/kept/batch={batch_id}")
+        finalise(batch.sparkSession.read.parquet(f"{path}/kept").drop("batch")).write.mode("overwrite").parquet(f"{path}/result")
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
