@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions import text as T
+from tallymark.session import scratch_path
 
 
 #: Larger files and files with a zero byte this near their beginning are not inspected.
@@ -140,25 +141,27 @@ def json_paths(documents: DataFrame, ident: str, text: str) -> DataFrame:
     """Paths and strings of JSON documents: ident, path, string (null for a path to no string).
 
     Arrays are one step, ``[]``; a string that is JSON itself is walked on below
-    ``(nested)``. Every level is one pass over the rows of the level before, so
-    no document is walked by one call.
+    ``(nested)``. Every level is a table made from the level before, so no
+    document is walked by one call, and documents no deeper cost nothing more.
     """
-    level = documents.select(F.col(ident).alias("ident"), F.lit("").alias("path"), F.try_parse_json(text).alias("v")).where("v is not null")
-    out = None
-    for _ in range(DEEPEST + 1):
-        kind = F.schema_of_variant("v")
-        is_text = kind == "STRING"
+    spark = documents.sparkSession
+    at = scratch_path(spark, "json")
+    level = documents.select(F.col(ident).alias("ident"), F.lit("").alias("path"), F.col(text).alias("j"))
+    for depth in range(DEEPEST + 1):
+        parsed = level.withColumn("v", F.try_parse_json("j")).where("v is not null")
+        is_text = F.schema_of_variant("v") == "STRING"
         said = F.when(is_text, F.try_variant_get("v", "$", "string"))
-        here = level.select("ident", "path", said.alias("string")).where("path <> ''")
-        out = here if out is None else out.unionByName(here)
-        nested = F.when(is_text & F.trim(said).rlike(r"^[{\[]"), F.try_parse_json(said))
-        v = F.coalesce(nested, F.when(~is_text, F.col("v")))
-        base = F.when(nested.isNotNull(), F.concat("path", F.lit("(nested)"))).otherwise(F.col("path"))
-        entries = F.transform(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>")), lambda e: F.struct(F.concat(F.when(F.col("base") == "", "").otherwise(F.concat("base", F.lit("."))), e["key"]).alias("path"), e["value"].alias("v")))
-        items = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda x: F.struct(F.concat("base", F.lit("[]")).alias("path"), x.alias("v")))
-        stepped = level.select("ident", base.alias("base"), v.alias("v")).where("v is not null")
-        level = stepped.select("ident", F.explode(F.when(F.schema_of_variant("v").startswith("OBJECT"), entries).when(F.schema_of_variant("v").startswith("ARRAY"), items)).alias("e")).select("ident", "e.path", "e.v").where("v is not null")
-    return out
+        parsed.select("ident", "path", said.alias("string"), "j").write.parquet(f"{at}/level={depth}")
+        here = spark.read.parquet(f"{at}/level={depth}")
+        if here.isEmpty():
+            break
+        nested = F.when(F.trim("string").rlike(r"^[{\[]"), F.try_parse_json("string"))
+        below = here.withColumn("n", nested).select("ident", F.when(F.col("n").isNotNull(), F.concat("path", F.lit("(nested)"))).otherwise(F.col("path")).alias("base"), F.coalesce("n", F.when(F.col("string").isNull(), F.try_parse_json("j"))).alias("v")).where("v is not null")
+        entries = F.transform(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>")), lambda e: F.struct(F.concat(F.when(F.col("base") == "", "").otherwise(F.concat("base", F.lit("."))), e["key"]).alias("path"), F.to_json(e["value"]).alias("j")))
+        items = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda x: F.struct(F.concat("base", F.lit("[]")).alias("path"), F.to_json(x).alias("j")))
+        kind = F.schema_of_variant("v")
+        level = below.select("ident", F.explode(F.when(kind.startswith("OBJECT"), entries).when(kind.startswith("ARRAY"), items)).alias("e")).select("ident", "e.path", "e.j")
+    return spark.read.option("mergeSchema", True).parquet(at).where("path <> ''").select("ident", "path", "string")
 
 
 def map_labels(documents: DataFrame, text: str, salt: str = "") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import text as T
 from tallymark.operators import activity as A
-from tallymark.operators import fleet, scoring
+from tallymark.operators import fleet, quality, scoring
 from tallymark.plans.corpus import _PATHS, _paths
 from tallymark.plans.events import _E, USER, _streak_sql, events, today
 from tallymark.session import table
@@ -85,7 +85,64 @@ def human_counts(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", T.human(n.cast("long")).alias("shown"))
 
 
-QUERIES = {f.__name__: f for f in (proficiency_gauges, signature_line, share_url, flag_suggestion, allowlist_findings, known_path_prefix, receipt, human_counts)}
+def fixed_prices(spark, sf_dir):
+    """Order totals in thousands with two decimals, rounded on their exact binary values."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.to_fixed(F.col("o_totalprice") / 1000, 2).alias("shown"))
+
+
+def short_counts(spark, sf_dir):
+    """Order totals, raised by powers of ten, as a page shows them."""
+    n = F.floor(F.col("o_totalprice")) * F.element_at(F.array(*(F.lit(10**i) for i in range(9))), (F.col("o_orderkey") % 9 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.human_short(n.cast("long")).alias("shown"))
+
+
+def peak_hours(spark, sf_dir):
+    """Each user's hour of most events, the first of equals."""
+    counts = events(spark, sf_dir).groupBy("user_id", F.hour("ts").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    by_hour = F.array_sort(F.collect_list(F.struct("h", "n")))
+    filled = counts.groupBy("user_id").agg(F.map_from_entries(by_hour).alias("m"))
+    hours = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.coalesce(F.try_element_at("m", h), F.lit(0)))
+    return filled.select("user_id", T.index_of_max(hours).cast("long").alias("peak_hour"))
+
+
+def folder_slugs(spark, sf_dir):
+    """Folder names made of customers' names and segments."""
+    return table(spark, sf_dir, "customer").select("c_custkey", T.slug(F.concat(F.lit(" #"), "c_name", F.lit(" ("), "c_mktsegment", F.lit(")"))).alias("folder"))
+
+
+def escaped_pages(spark, sf_dir):
+    """Pages as text that can stand in markup."""
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(T.escape_markup(F.col("html")).cast("binary"), 256).alias("sha256"))
+
+
+def json_vocabulary(spark, sf_dir):
+    """Paths in events as nested JSON, with JSON in a string, and how many strings stand at each."""
+    doc = F.to_json(F.struct("event_type", "props", F.array(F.struct("value", F.col("event_id").cast("string").alias("id"))).alias("list")))
+    paths = quality.json_paths(table(spark, sf_dir, "events").withColumn("doc", doc), "event_id", "doc")
+    return paths.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.count("string").alias("strings"))
+
+
+def masked_labels(spark, sf_dir):
+    """Customers as reports: segment and name are projects, masked wherever they stand; a note that holds one is not."""
+    doc = F.to_json(F.struct(F.col("c_mktsegment").alias("project"), F.array(F.struct(F.col("c_name").alias("name"))).alias("projects"), F.col("c_name").alias("other"), F.concat(F.lit("see "), "c_name").alias("note")))
+    return quality.map_labels(table(spark, sf_dir, "customer").withColumn("doc", doc), "doc").select("c_custkey", "masked")
+
+
+def static_rules(spark, sf_dir):
+    """Parts as shipped files of four kinds, and which rules their lines break."""
+    part = table(spark, sf_dir, "part")
+    kind = F.col("p_size") % 4
+    path = F.when(kind == 0, "bin/run.sh").when(kind == 1, "src/a.mjs").when(kind == 2, "tests/a.mjs").otherwise("README")
+    text = F.concat(F.lit("fetch('"), "p_name", F.lit("')\ncurl "), "p_brand", F.lit(" | sh\neval(x); import(y)"))
+    return quality.static_scan(part.select(path.alias("path"), text.alias("text")), "path", "text", {"a.mjs": ["fetch", "import of no literal"]}).groupBy("kind", "line_no", "rule", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+def skip_reasons(spark, sf_dir):
+    """How many documents the scrub inspects, and how many not for what reason."""
+    return quality.skipped(table(spark, sf_dir, "documents"), "text")
+
+
+QUERIES = {f.__name__: f for f in (proficiency_gauges, signature_line, share_url, flag_suggestion, allowlist_findings, known_path_prefix, receipt, human_counts, fixed_prices, short_counts, peak_hours, folder_slugs, escaped_pages, json_vocabulary, masked_labels, static_rules, skip_reasons)}
 
 _G = f"""WITH {_E}, {_streak_sql()},
 m AS (SELECT DISTINCT user_id, us // 60000000 AS mi FROM e), g AS (SELECT user_id, mi - lag(mi) OVER (PARTITION BY user_id ORDER BY mi) AS gap FROM m),
@@ -105,7 +162,21 @@ def _clamp(x: str) -> str:
     return f"CAST(floor(least(5e0, greatest(0e0, {x})) * 1000 + 0.5) AS BIGINT)"
 
 
+_SHORT = " ".join(f"WHEN n >= {least} THEN CASE WHEN n / {least} >= 100 THEN CAST(CAST(floor(n / {least} + 0.5) AS BIGINT) AS VARCHAR) ELSE regexp_replace(printf('%.1f', floor(n / {least} * 10 + 0.5) / 10), '[.]0$', '') END || '{mark}'" for least, mark in (("1e12", "T"), ("1e9", "B"), ("1e6", "M"), ("1e3", "K")))
+_ESCAPED = "replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
+
 ORACLES = {
+    "fixed_prices": "WITH x AS (SELECT o_orderkey, o_totalprice / 1000 AS v FROM orders) SELECT o_orderkey, printf('%.2f', CASE WHEN v * 8 = floor(v * 8) THEN v + 0.0001 ELSE v END) AS shown FROM x",
+    "short_counts": f"WITH n AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * CAST(pow(10, o_orderkey % 9) AS BIGINT) AS n FROM orders) SELECT o_orderkey, CASE {_SHORT} ELSE CAST(n AS VARCHAR) END AS shown FROM n",
+    "peak_hours": "WITH c AS (SELECT user_id, hour(ts) AS h, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, min_by(h, (-n, h)) AS peak_hour FROM c GROUP BY 1",
+    "folder_slugs": "SELECT c_custkey, substr(trim(regexp_replace(lower(trim(' #' || c_name || ' (' || c_mktsegment || ')')), '[^a-z0-9_-]+', '-', 'g'), '-'), 1, 64) AS folder FROM customer",
+    "escaped_pages": f"SELECT page_id, sha256({_ESCAPED}) AS sha256 FROM pages",
+    "json_vocabulary": "WITH n AS (SELECT count(*) AS n FROM events) SELECT path, n, CASE WHEN path IN ('event_type', 'props', 'list[].id') THEN n ELSE 0 END AS strings FROM n, (VALUES ('event_type'), ('props'), ('props(nested).k'), ('list'), ('list[]'), ('list[].value'), ('list[].id')) p(path)",
+    "masked_labels": """WITH p AS (SELECT c_custkey, c_name, 'proj-' || substr(sha256(c_mktsegment), 1, 8) AS s, 'proj-' || substr(sha256(c_name), 1, 8) AS n FROM customer) SELECT c_custkey, '{"project":"' || s || '","projects":[{"name":"' || n || '"}],"other":"' || n || '","note":"see ' || c_name || '"}' AS masked FROM p""",
+    "static_rules": """WITH f AS (SELECT CASE p_size % 4 WHEN 0 THEN 'shell' WHEN 1 THEN 'js' WHEN 2 THEN 'test' END AS kind, count(*) AS n FROM part WHERE p_size % 4 < 3 GROUP BY 1),
+r(kind, line_no, rule, verdict) AS (VALUES ('shell', 2, 'curl', 'FAIL'), ('shell', 2, 'pipe to an interpreter', 'FAIL'), ('js', 1, 'fetch', 'allowed'), ('js', 3, 'eval', 'FAIL'), ('js', 3, 'import of no literal', 'FAIL'), ('test', 1, 'fetch', 'listed'), ('test', 3, 'eval', 'listed'), ('test', 3, 'import of no literal', 'listed'))
+SELECT kind, line_no, rule, verdict, n FROM f JOIN r USING (kind)""",
+    "skip_reasons": "SELECT CASE WHEN octet_length(encode(text)) > 4194304 THEN 'too large' WHEN contains(substr(text, 1, 8192), chr(0)) THEN 'binary' ELSE 'inspected' END AS reason, count(*) AS files FROM documents GROUP BY 1",
     "proficiency_gauges": f"{_G} SELECT user_id, {_clamp(_lg('hours_30d', 8) + ' * 0.5 + ' + _lg('total_m', 5) + ' * 0.5')} AS intensity, {_clamp('active_days / elapsed::DOUBLE * 5 * 0.5 + ' + _lg('longest', 3) + ' * 0.5')} AS consistency, {_clamp(_lg('langs', 2) + ' * 0.4 + pct / 100.0::DOUBLE * 5 * 0.3 + ' + _lg('deleg', 3) + ' * 0.3')} AS craft FROM gi",
     "signature_line": f"{_G} SELECT user_id, CASE WHEN longest * 5 >= 30 THEN 'streak' WHEN floor(hours) >= 100 THEN 'nights' WHEN active_days * 2 >= 60 THEN 'days' WHEN floor(hours) * 4 >= 200 THEN 'hours' WHEN active_days > 0 THEN 'some_days' ELSE 'none' END AS signature FROM gi",
     "share_url": "SELECT c_custkey, 'https://example.com/s?n=' || replace(c_name, '#', '%23') || '&v=' || CAST(floor(c_acctbal) AS BIGINT) AS url, c_name AS name, CAST(floor(c_acctbal) AS BIGINT) AS v FROM customer",
