@@ -221,3 +221,24 @@ def test_membership(spark, tmp_path):
     stream = spark.readStream.schema("machine string").parquet(str(tmp_path / "in"))
     got = run(incremental.membership(stream), "update", "members", spark, tmp_path).where("event = 'join'").collect()
     assert {(r.machine, r.packets) for r in got} == {("m", 2), ("n", 1)}
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    import pytest
+
+    from tallymark import session
+
+    class Conf:
+        def __init__(self, **values):
+            self.values = values
+
+        def get(self, name, default=None):
+            return self.values.get(name, default)
+
+    class Session:
+        def __init__(self, **values):
+            self.conf = Conf(**values)
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Session(**{"spark.master": "spark://host:7077"}))
+    assert session.shared_dir(Session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:///x/"})) == "hdfs:///x"
