@@ -72,8 +72,16 @@ def transcript_projects(spark, sf_dir):
 def _logs(spark, sf_dir):
     e = events(spark, sf_dir)
     root = _write(spark, e, _messages(e), "messages")
-    read = transcripts.message_events(spark, [root], glob=TEXT)
-    return read, transcripts.sessions(read)
+    # Read and parsed once: the parts of a roll-up are many.
+    read = _kept(transcripts.message_events(spark, [root], glob=TEXT), "parsed")
+    return read, _kept(transcripts.sessions(read), "sessions")
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _listed(column: str) -> Column:
