@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import chat, decontam, digest, html, langid, linededup, mixing, neardup, passages, tokens, warc
+from tallymark.llm import audit, chat, decontam, digest, html, langid, linebits, linededup, mixing, neardup, negatives, passages, tokens, warc
 from tallymark.llm.store import materialise, scratch_path, table
 
 #: Conversation -1 holds control strings in its texts.
@@ -99,6 +99,23 @@ def op10_exact_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.deal(table(spark, sf_dir, "documents"))
 
 
+def op11_kronecker_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive; every seventh row has the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+def op12_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that ten documents have: numbers of lines and digest of what is kept."""
+    out = linebits.without_common_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of each language in every order."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over all documents."""
     import corpus_pipeline
@@ -106,7 +123,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_order_minhash, op4_warc_bundles, op5_token_rollup, op6_quartile_digest, op7_passage_dedup, op7_line_dedup, op8_main_text, op9_decontaminate, op10_pfair_mix, op10_exact_mix, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_order_minhash, op4_warc_bundles, op5_token_rollup, op6_quartile_digest, op7_passage_dedup, op7_line_dedup, op8_main_text, op9_decontaminate, op10_pfair_mix, op10_exact_mix, op11_kronecker_negatives, op12_line_bitmaps, op13_filter_audit, pipeline)}
 
 ORACLES = {
     "op1_chat_format": r"""
@@ -202,4 +219,51 @@ r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5
 shown AS (SELECT doc_id, r.source, n, idx, share, unnest(range(rank, CAST(blocks * 8 AS BIGINT), n)) AS i FROM r JOIN runs ON r.source IS NOT DISTINCT FROM runs.source)
 SELECT CAST(i // 8 // share * 1000 + b.at AS BIGINT) AS slot, i % 8 AS place, doc_id, source, i // 8 AS block, i // n AS epoch
 FROM shown JOIN b ON b.idx = shown.idx AND b.k = (i // 8) % share""",
+    "op11_kronecker_negatives": r"""
+WITH t AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, c.vec_id, c.label, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+  FROM t a JOIN t c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.anchor_label AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3""",
+    "op12_line_bitmaps": r"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM t),
+m AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key FROM m WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+j AS (SELECT m.doc_id, line, k, c.key IS NOT NULL AS gone FROM m LEFT JOIN c ON c.key = m.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id""",
+    "op13_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda w: w <> '') AS words FROM documents),
+m AS (SELECT body, min(doc_id) AS least FROM d GROUP BY body),
+q AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+x AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    concat(CASE WHEN len(words) < 200 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END,
+      CASE WHEN 100 * length(regexp_replace(d.body, '[^A-Z]+', '', 'g')) > 3 * length(d.body) THEN 'C' ELSE '' END,
+      CASE WHEN regexp_matches(d.body, '[#$%&*|]') THEN 'D' ELSE '' END, CASE WHEN coalesce(d.doc_id > least, false) THEN 'E' ELSE '' END) AS fails
+  FROM d JOIN m ON m.body = d.body LEFT JOIN q ON q.doc_id = d.doc_id),
+n AS (SELECT part, fails, count(*) AS docs, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM x GROUP BY part, fails),
+f(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.c || b.c || e.c || g.c || h.c AS filter_order FROM f a, f b, f e, f g, f h WHERE a.c <> b.c AND e.c NOT IN (a.c, b.c) AND g.c NOT IN (a.c, b.c, e.c) AND h.c NOT IN (a.c, b.c, e.c, g.c)),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS c, substr(filter_order, 1, step - 1) AS before, substr(filter_order, 1, step) AS after FROM o, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)),
+y AS (
+  SELECT part, filter_order, step, c,
+    sum(CASE WHEN fails = '' OR translate(fails, after, '') = fails THEN docs ELSE 0 END) AS kept,
+    sum(CASE WHEN contains(fails, c) AND translate(fails, before, '') = fails THEN docs ELSE 0 END) AS removed,
+    sum(CASE WHEN contains(fails, c) AND translate(fails, before, '') <> fails THEN docs ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = c THEN docs ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN contains(fails, c) AND translate(fails, before, '') = fails THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN contains(fails, c) AND translate(fails, before, '') = fails THEN toxic ELSE 0 END) AS toxic_lost
+  FROM s, n GROUP BY part, filter_order, step, c)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley
+FROM y""",
 }
