@@ -78,8 +78,10 @@ def products(anchors: np.ndarray, rows: np.ndarray) -> np.ndarray:
         out[:, large] = products(anchors, rows[large])
         return out
     least_a, least_c = int(anchors.min()), int(rows.min())
-    field = (anchors.shape[1] * (int(anchors.max()) - least_a) * (int(rows.max()) - least_c)).bit_length() or 1
-    if field > WIDE:
+    most_a, most_c = int(anchors.max()), int(rows.max())
+    field = (anchors.shape[1] * max(most_a - least_a, 1) * (most_c - least_c)).bit_length() or 1
+    plain = (anchors.shape[1] * max(most_a, -least_a) * max(most_c, -least_c)).bit_length()
+    if max(field, plain + 1) > WIDE:
         return wide_products(anchors, rows, least_a, least_c, field)
     anchors, rows = anchors.astype(np.float64), rows.astype(np.float64)
     fields = min(WIDE // field, len(rows))
