@@ -11,38 +11,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.operators import scans
+
+
+def _lone(ident: str) -> Column:
+    """A key of its own for each row without identity, so that such rows neither meet nor need a second scan."""
+    return F.when(F.col(ident).isNull(), F.monotonically_increasing_id())
+
 
 def max_per_id(df: DataFrame, ident: str, counters: list[str]) -> DataFrame:
     """Each identity's counters at their maximum; rows without identity stand for themselves."""
-    known = df.where(F.col(ident).isNotNull()).groupBy(ident).agg(*(F.max(F.greatest(F.lit(0), c)).alias(c) for c in counters))
-    alone = df.where(F.col(ident).isNull()).select(ident, *(F.greatest(F.lit(0), F.coalesce(c, F.lit(0))).alias(c) for c in counters))
-    return known.unionByName(alone)
+    best = df.groupBy(ident, _lone(ident).alias("__lone")).agg(*(F.max(F.greatest(F.lit(0), c)).alias(c) for c in counters))
+    return best.drop("__lone")
 
 
-def _credit(ident: str, order: list[str], counter: str) -> Column:
+def _credit(ident: str, own: Column, before: Column) -> Column:
     """By how much a row raises its identity's maximum so far; rows without identity count whole."""
-    before = F.max(counter).over(Window.partitionBy(ident).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    own = F.coalesce(F.col(counter), F.lit(0))
-    return F.when(F.col(ident).isNull(), F.greatest(own, F.lit(0))).otherwise(F.greatest(own - F.greatest(F.coalesce(before, F.lit(0)), F.lit(0)), F.lit(0)))
+    own, zero = F.coalesce(own, F.lit(0)), F.lit(0)
+    return F.when(F.col(ident).isNull(), F.greatest(own, zero)).otherwise(F.greatest(own - F.greatest(F.coalesce(before, zero), zero), zero))
 
 
-def running_credits(df: DataFrame, ident: str, order: list[str], counters: list[str]) -> DataFrame:
+def running_credits(df: DataFrame, ident: str, order: list[str], counters: list[str], segment: list[str] | None = None) -> DataFrame:
     """Rows with each counter replaced by its credit: all counters in one window.
 
-    Rows without identity need no window and do not meet in one task.
+    With ``segment``, columns that cut ``order`` into stretches, the rows of one
+    identity do not meet in one task, however many they are.
     """
-    known = df.where(F.col(ident).isNotNull()).withColumns({c: _credit(ident, order, c) for c in counters})
-    alone = df.where(F.col(ident).isNull()).withColumns({c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)) for c in counters})
-    return known.unionByName(alone)
+    if segment:
+        before = {f"__before_{c}": ("max", F.col(c)) for c in counters}
+        rows = scans.prefix_scan(df, [ident], segment, order, before, inclusive=False)
+        return rows.withColumns({c: _credit(ident, F.col(c), F.col(f"__before_{c}")) for c in counters}).drop(*before)
+    keyed = df.withColumn("__lone", _lone(ident))
+    so_far = Window.partitionBy(ident, "__lone").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return keyed.withColumns({c: _credit(ident, F.col(c), F.max(c).over(so_far)) for c in counters}).drop("__lone")
 
 
-def running_credit(df: DataFrame, ident: str, order: list[str], counter: str) -> DataFrame:
+def running_credit(df: DataFrame, ident: str, order: list[str], counter: str, segment: list[str] | None = None) -> DataFrame:
     """Rows with ``credit``: by how much each raises its identity's maximum so far.
 
     The credits of an identity sum to its maximum, and each goes to the row
     (hence the session) that raised it.
     """
-    return running_credits(df.withColumn("credit", F.col(counter)), ident, order, ["credit"])
+    return running_credits(df.withColumn("credit", F.col(counter)), ident, order, ["credit"], segment)
 
 
 def last_wins(df: DataFrame, keys: list[str], order: Column, values: list[str]) -> DataFrame:
@@ -55,12 +65,20 @@ def first_wins(df: DataFrame, ident: str, order: Column) -> DataFrame:
 
     An aggregation rather than a window: copies are dropped before the shuffle.
     """
-    first = df.where(F.col(ident).isNotNull()).groupBy(ident).agg(F.min_by(F.struct(*df.columns), order).alias("r")).select("r.*")
-    return first.unionByName(df.where(F.col(ident).isNull()))
+    columns = df.columns
+    keyed = df.withColumn("__lone", _lone(ident))
+    return keyed.groupBy(ident, "__lone").agg(F.min_by(F.struct(*columns), order).alias("__r")).select("__r.*")
 
 
-def forward_fill(df: DataFrame, part: list[str], order: list[str], value: str, fallback: Column) -> DataFrame:
-    """``value`` where it is missing becomes the last one seen in the part, else ``fallback``."""
+def forward_fill(df: DataFrame, part: list[str], order: list[str], value: str, fallback: Column, segment: list[str] | None = None) -> DataFrame:
+    """``value`` where it is missing becomes the last one seen in the part, else ``fallback``.
+
+    With ``segment``, columns that cut a part's order into stretches, a part is
+    no one task: see :func:`tallymark.operators.scans.prefix_scan`.
+    """
+    if segment:
+        rows = scans.prefix_scan(df, part, segment, order, {"__seen": ("last", F.col(value))})
+        return rows.withColumn(value, F.coalesce("__seen", fallback)).drop("__seen")
     seen = F.last(value, ignorenulls=True).over(Window.partitionBy(*part).orderBy(*order))
     return df.withColumn(value, F.coalesce(seen, fallback))
 

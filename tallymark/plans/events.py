@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.operators import activity as A
-from tallymark.operators import concurrency, counting, ledger, profile, scoring
+from tallymark.operators import concurrency, counting, ledger, profile, scans, scoring
 from tallymark.session import table
 
 USER = ["user_id"]
@@ -101,7 +101,8 @@ def usage_max_dedup_total(spark, sf_dir):
 
 
 def usage_running_credit(spark, sf_dir):
-    e = counting.running_credit(events(spark, sf_dir), "k", ["event_id"], "v")
+    e = scans.even_segments(events(spark, sf_dir), "event_id")
+    e = counting.running_credit(e, "k", ["event_id"], "v", ["segment"])
     return e.groupBy("user_id").agg(F.sum("credit").cast("long").alias("credit"), F.count_if(F.col("credit") > 0).alias("raises"))
 
 
@@ -120,6 +121,13 @@ def session_id_ffill(spark, sf_dir):
     return filled.groupBy("user_id", "sid").agg(F.count(F.lit(1)).alias("events"), F.sum("v").cast("long").alias("v"))
 
 
+def whole_log_scan(spark, sf_dir):
+    """All events as one log: the last purchase before each signup, and the log's running total and maximum there."""
+    e = scans.even_segments(events(spark, sf_dir).select("event_id", "event_type", "v").withColumn("log", F.lit("log")), "event_id")
+    taken = {"bought": ("last", F.when(F.col("event_type") == "purchase", F.col("event_id"))), "total": ("sum", F.col("v")), "most": ("max", F.col("v"))}
+    return scans.prefix_scan(e, ["log"], ["segment"], ["event_id"], taken).where("event_type = 'signup'").select("event_id", "bought", "total", "most")
+
+
 def subset_split(spark, sf_dir):
     fresh, cached = counting.subset_split(F.col("v"), F.col("k") * 100)
     return events(spark, sf_dir).groupBy("event_type").agg(F.sum(fresh).cast("long").alias("fresh"), F.sum(cached).cast("long").alias("cached"))
@@ -228,7 +236,7 @@ def month_vs_lifetime(spark, sf_dir):
     return scoring.against(of(e.where(F.datediff("today", F.to_date("ts")) < 10)), of(e), USER)
 
 
-QUERIES = {f.__name__: f for f in (user_profile, active_time_by_user, active_minutes_thr15, active_minutes_tight, streak_longest, streak_current_grace, streak_current_strict, hour_histogram, weekend_ratio_bp, night_minutes_by_month, active_days_by_user, calendar_strip, gap_sessions, concurrency_peak, concurrency_weighted, usage_max_dedup_total, usage_running_credit, last_wins_counter, first_wins_uuid, session_id_ffill, subset_split, ledger_lifetime, ledger_by_cli, ledger_compare, ledger_append_plan, tool_mix_top8, dominant_tool_by_user, busiest_day, session_records, median_session, first_last_seen, tool_relationship, levels_by_user, levels_explain, rating_tier, archetype_pair, month_vs_lifetime)}
+QUERIES = {f.__name__: f for f in (user_profile, active_time_by_user, active_minutes_thr15, active_minutes_tight, streak_longest, streak_current_grace, streak_current_strict, hour_histogram, weekend_ratio_bp, night_minutes_by_month, active_days_by_user, calendar_strip, gap_sessions, concurrency_peak, concurrency_weighted, usage_max_dedup_total, usage_running_credit, last_wins_counter, first_wins_uuid, session_id_ffill, whole_log_scan, subset_split, ledger_lifetime, ledger_by_cli, ledger_compare, ledger_append_plan, tool_mix_top8, dominant_tool_by_user, busiest_day, session_records, median_session, first_last_seen, tool_relationship, levels_by_user, levels_explain, rating_tier, archetype_pair, month_vs_lifetime)}
 
 _E = "e AS (SELECT *, CAST(floor(value * 100) AS BIGINT) AS v, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, epoch_us(ts) AS us, CAST(ts AS DATE) AS d FROM events)"
 _MIN = """m AS (SELECT DISTINCT user_id, us // 60000000 AS mi FROM e),
@@ -315,6 +323,7 @@ ORACLES = {
     "usage_max_dedup_total": f"WITH {_E}, m AS (SELECT user_id, k, greatest(0, max(v)) AS v FROM e GROUP BY user_id, k) SELECT count(*) AS ids, CAST(sum(v) AS BIGINT) AS total FROM m",
     "usage_running_credit": f"WITH {_E}, c AS (SELECT user_id, greatest(v - coalesce(max(v) OVER (PARTITION BY k ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS credit FROM e) SELECT user_id, CAST(sum(credit) AS BIGINT) AS credit, count(*) FILTER (WHERE credit > 0) AS raises FROM c GROUP BY user_id",
     "last_wins_counter": f"WITH {_E} SELECT user_id, max_by(v, event_id) AS v, max_by(k, event_id) AS k, max_by(event_type, event_id) AS event_type FROM e GROUP BY user_id",
+    "whole_log_scan": f"WITH {_E}, w AS (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (ORDER BY event_id) AS bought, CAST(sum(v) OVER (ORDER BY event_id) AS BIGINT) AS total, max(v) OVER (ORDER BY event_id) AS most FROM e) SELECT event_id, bought, total, most FROM w WHERE event_type = 'signup'",
     "first_wins_uuid": f"WITH {_E} SELECT user_id || '-' || k AS uuid, event_id, v FROM e QUALIFY row_number() OVER (PARTITION BY user_id, k ORDER BY event_id) = 1",
     "session_id_ffill": f"WITH {_E}, f AS (SELECT *, coalesce(last_value(CASE WHEN event_type = 'signup' THEN CAST(event_id AS VARCHAR) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id), 'file-' || user_id) AS sid FROM e) SELECT user_id, sid, count(*) AS events, CAST(sum(v) AS BIGINT) AS v FROM f GROUP BY ALL",
     "subset_split": f"WITH {_E} SELECT event_type, CAST(sum(greatest(0, v - k * 100)) AS BIGINT) AS fresh, CAST(sum(least(k * 100, v)) AS BIGINT) AS cached FROM e GROUP BY event_type",

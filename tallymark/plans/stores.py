@@ -17,7 +17,7 @@ from tallymark.plans.corpus import _metrics
 from tallymark.plans.events import _E, _MIN, events
 from tallymark.plans.reports import _clamp, _lg
 from tallymark.plans.fleet import cents
-from tallymark.session import scratch_path, table
+from tallymark.session import kept, scratch_path, table
 from tallymark.sources import fleet, providers, sinks, transcripts
 from tallymark.streaming import incremental
 
@@ -73,15 +73,8 @@ def _logs(spark, sf_dir):
     e = events(spark, sf_dir)
     root = _write(spark, e, _messages(e), "messages")
     # Read and parsed once: the parts of a roll-up are many.
-    read = _kept(transcripts.message_events(spark, [root], glob=TEXT), "parsed")
-    return read, _kept(transcripts.sessions(read), "sessions")
-
-
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read back."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    read = kept(transcripts.message_events(spark, [root], glob=TEXT), "parsed")
+    return read, kept(transcripts.sessions(read), "sessions")
 
 
 def _listed(column: str) -> Column:

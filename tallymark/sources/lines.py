@@ -68,20 +68,21 @@ def listed(spark: SparkSession, roots: list[str], glob: str, depth: int | None =
 
 
 def log_lines(spark: SparkSession, roots: list[str], glob: str = "*.jsonl", depth: int | None = None) -> DataFrame:
-    """Non-empty lines of logs: root_seq, path, line_no, line.
+    """Non-empty lines of logs: root_seq, path, split, line_no, line.
 
-    ``line_no`` rises through a file: the offset of the line's split plus its
+    ``split`` is where the stretch of the file begins that one task reads, so a
+    file's splits are the segments of a prefix scan. ``line_no`` rises through a file: the offset of the line's split plus its
     place among the task's rows. A split's rows are fewer than its bytes, so it
     never meets the next split's numbers.
     """
     place = F.monotonically_increasing_id().bitwiseAND(F.lit(PLACE))
-    read = lambda root: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root).select(F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") + place + 1).alias("line_no"), F.col("value").alias("line")).where(F.trim("line") != "")
-    return _each(spark, roots, "root_seq int, path string, line_no bigint, line string", read, depth)
+    read = lambda root: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), (F.col("_metadata.file_block_start") + place + 1).alias("line_no"), F.col("value").alias("line")).where(F.trim("line") != "")
+    return _each(spark, roots, "root_seq int, path string, split bigint, line_no bigint, line string", read, depth)
 
 
 def lines(read: DataFrame) -> DataFrame:
     """A row per non-empty line of whole files with its number, from 1."""
-    return read.select("root_seq", "path", F.posexplode(F.split("content", "\r?\n")).alias("pos", "line")).where(F.trim("line") != "").select("root_seq", "path", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
+    return read.select("root_seq", "path", F.posexplode(F.split("content", "\r?\n")).alias("pos", "line")).where(F.trim("line") != "").select("root_seq", "path", F.lit(0).cast("long").alias("split"), (F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
 def objects(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions import text as T
-from tallymark.operators import activity, counting
+from tallymark.operators import activity, counting, scans
+from tallymark.session import kept
 from tallymark.sources.lines import get, instant, log_lines, objects, string
 
 #: Usage fields of a message, by the name of the counter.
@@ -26,10 +27,14 @@ def message_events(spark: SparkSession, roots: list[str], exclude: list[str] | N
     A row without session id inherits the last one seen in its file, else the
     file's last two path segments. A folder that names nothing (one segment at
     most) leaves the label to the encoded project folder.
+
+    Rows are parsed once and kept, so that ids are filled in by splits of files
+    and a file of any size stays many tasks.
     """
     j = _timed(spark, roots, glob)
     rows = j.select(
         "path",
+        "split",
         "line_no",
         "ts",
         string("j", "$.sessionId").alias("session_id"),
@@ -45,15 +50,15 @@ def message_events(spark: SparkSession, roots: list[str], exclude: list[str] | N
     )
     parts = F.split("path", "/")
     fallback = F.regexp_replace(F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1)), r"\.jsonl$", "")
-    rows = counting.forward_fill(rows, ["path"], ["line_no"], "session_id", fallback)
     dir_key = T.project_dir(F.col("path"))
     dir_label = T.decoded_dir(dir_key)
     excluded = exclude or []
     label = F.when(T.excluded(F.col("cwd"), excluded) | T.excluded(dir_key, excluded), SENTINEL).otherwise(F.coalesce(F.when(~T.uninformative(F.col("cwd")), T.project_label(F.col("cwd"), home, user)), dir_label))
     tool = lambda c: F.transform(F.filter(c, lambda x: get(x, "$.type", "string") == "tool_use"), lambda x: F.struct(get(x, "$.name", "string").alias("name"), F.array_compact(F.array(*(get(x, f"$.input.{p}", "string") for p in ("file_path", "path", "notebook_path")))).alias("paths")))
     assistant = F.col("type") == "assistant"
-    return rows.select(
+    typed = rows.select(
         "path",
+        "split",
         "line_no",
         "ts",
         "session_id",
@@ -67,12 +72,14 @@ def message_events(spark: SparkSession, roots: list[str], exclude: list[str] | N
         *(F.when(assistant & F.col("has_usage"), F.col(c)).alias(c) for c in TOKENS),
         F.coalesce(F.when(assistant, tool(F.col("content"))), F.array().cast("array<struct<name:string,paths:array<string>>>")).alias("tools"),
     )
+    columns = typed.columns
+    return counting.forward_fill(kept(typed, "events"), ["path"], ["line_no"], "session_id", fallback, ["split"]).select(*columns)
 
 
 def usage_by_session(events: DataFrame) -> DataFrame:
     """Tokens of each session: a message counts its maximum, each raise to the session that brought it."""
     used = events.where(" or ".join(f"{c} is not null" for c in TOKENS))
-    return counting.running_credits(used, "msg_id", ["path", "line_no"], TOKENS).groupBy("session_id").agg(*(F.sum(c).cast("long").alias(c) for c in TOKENS))
+    return counting.running_credits(used, "msg_id", ["path", "line_no"], TOKENS, ["path", "split"]).groupBy("session_id").agg(*(F.sum(c).cast("long").alias(c) for c in TOKENS))
 
 
 def sessions(events: DataFrame) -> DataFrame:
@@ -113,6 +120,7 @@ def rollout_events(spark: SparkSession, roots: list[str], glob: str = "*.jsonl")
     meta = string("j", "$.type") == "session_meta"
     rows = j.select(
         "path",
+        "split",
         "line_no",
         "ts",
         F.when(meta, string("j", "$.payload.id")).alias("session_id"),
@@ -127,12 +135,13 @@ def rollout_events(spark: SparkSession, roots: list[str], glob: str = "*.jsonl")
         get("j", "$.payload.info.total_token_usage.output_tokens", "variant").isNotNull().alias("has_out"),
         get("j", "$.payload.info.total_token_usage", "variant").isNotNull().alias("has_usage"),
     )
-    rows = counting.forward_fill(rows, ["path"], ["line_no"], "session_id", F.element_at(F.split("path", "/"), -1))
     # A session_meta without a usable model puts it back to none: the struct is there, the name is null.
-    model = F.last("model", ignorenulls=True).over(Window.partitionBy("path").orderBy("line_no"))["m"]
+    seen = {"seen_id": ("last", F.col("session_id")), "seen_model": ("last", F.col("model"))}
+    rows = scans.prefix_scan(kept(rows, "rollouts"), ["path"], ["split"], ["line_no"], seen)
+    rows = rows.withColumns({"session_id": F.coalesce("seen_id", F.element_at(F.split("path", "/"), -1)), "model": F.col("seen_model.m")})
     item = F.col("type") == "response_item"
     call = item & F.col("kind").isin("function_call", "local_shell_call")
-    return rows.withColumn("model", model).select("path", "line_no", "ts", "session_id", "model", "cwd", F.when(F.col("type") == "event_msg", F.col("has_usage")).otherwise(F.lit(False)).alias("has_usage"), "total_in", "cached", F.when(F.col("has_out"), F.col("total_out")).alias("total_out"), F.when(call, F.coalesce("name", F.lit("shell"))).alias("tool"), (item & ~call & (F.col("role") == "user")).alias("user_turn"))
+    return rows.select("path", "line_no", "ts", "session_id", "model", "cwd", F.when(F.col("type") == "event_msg", F.col("has_usage")).otherwise(F.lit(False)).alias("has_usage"), "total_in", "cached", F.when(F.col("has_out"), F.col("total_out")).alias("total_out"), F.when(call, F.coalesce("name", F.lit("shell"))).alias("tool"), (item & ~call & (F.col("role") == "user")).alias("user_turn"))
 
 
 def rollout_sessions(events: DataFrame) -> DataFrame:
