@@ -35,6 +35,18 @@ def append_plan(ledger: DataFrame, scan: DataFrame) -> DataFrame:
     return fresh.where("total > 0 and total > coalesce(before, 0) and total > coalesce(had, 0)").drop("before", "had")
 
 
+def compacted(rows: DataFrame) -> DataFrame:
+    """One row for each session and version: its last place, everything else at its maximum.
+
+    It says what all the rows say: a version is as new as its last row, a
+    session's counters are maxima over its newest version, and an observation is
+    appended if it exceeds the total of its version.
+    """
+    keys = [*KEY, "version"]
+    others = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(*(F.max(c).alias(c) for c in others)).select(*rows.columns)
+
+
 def compare(ledger: DataFrame, disk: DataFrame) -> DataFrame:
     """Sessions of the ledger by where they are: ``ledger_only`` or ``both``."""
     known = ledger.select(*KEY).distinct()

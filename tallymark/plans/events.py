@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.operators import activity as A
-from tallymark.operators import concurrency, counting, ledger, profile, scans, scoring
+from tallymark.operators import concurrency, counting, joins, ledger, profile, scans, scoring
 from tallymark.session import table
 
 USER = ["user_id"]
@@ -128,6 +128,25 @@ def whole_log_scan(spark, sf_dir):
     return scans.prefix_scan(e, ["log"], ["segment"], ["event_id"], taken).where("event_type = 'signup'").select("event_id", "bought", "total", "most")
 
 
+def as_of_click(spark, sf_dir):
+    """Each purchase with the user's last click at or before it, and the last one of all users in the half hour before it."""
+    e = events(spark, sf_dir).withColumn("us", A.micros("ts")).select("event_id", "user_id", "event_type", "us", "v")
+    clicks = e.where("event_type = 'click'").select("user_id", F.col("us").alias("clicked"), F.col("event_id").alias("click_id"))
+    own = joins.as_of(e.where("event_type = 'purchase'"), clicks, ["user_id"], "us", "clicked", ["click_id"], tie="click_id")
+    any_ = clicks.select(F.col("clicked").alias("any_clicked"), F.col("click_id").alias("any_id"))
+    both = joins.as_of(own, any_, [], "us", "any_clicked", ["any_id"], tie="any_id", strictly=True, within=30 * 60_000_000)
+    return both.select("event_id", "user_id", "v", "clicked", "click_id", "any_clicked", "any_id")
+
+
+def overlapping_sessions(spark, sf_dir):
+    """With how many other users' sessions of the same k each session overlaps; a session ends an hour after its last event."""
+    s = A.gap_sessions(events(spark, sf_dir).withColumn("kind", F.col("user_id") % 5), ["kind", "user_id"], "ts", 60)
+    s = s.select("kind", "user_id", "start_micros", (F.col("end_micros") + 3_600_000_000).alias("end_micros"))
+    pairs = joins.overlaps(s, s, ["kind"], ("start_micros", "end_micros"), ("start_micros", "end_micros"), ["user_id", "start_micros"], ["user_id", "start_micros"], 600_000_000)
+    other = pairs.where("left_user_id <> right_user_id")
+    return other.groupBy(F.col("left_user_id").alias("user_id"), F.col("left_start_micros").alias("start_micros")).agg(F.count(F.lit(1)).alias("others"), F.max("right_start_micros").alias("last_start"))
+
+
 def subset_split(spark, sf_dir):
     fresh, cached = counting.subset_split(F.col("v"), F.col("k") * 100)
     return events(spark, sf_dir).groupBy("event_type").agg(F.sum(fresh).cast("long").alias("fresh"), F.sum(cached).cast("long").alias("cached"))
@@ -236,7 +255,7 @@ def month_vs_lifetime(spark, sf_dir):
     return scoring.against(of(e.where(F.datediff("today", F.to_date("ts")) < 10)), of(e), USER)
 
 
-QUERIES = {f.__name__: f for f in (user_profile, active_time_by_user, active_minutes_thr15, active_minutes_tight, streak_longest, streak_current_grace, streak_current_strict, hour_histogram, weekend_ratio_bp, night_minutes_by_month, active_days_by_user, calendar_strip, gap_sessions, concurrency_peak, concurrency_weighted, usage_max_dedup_total, usage_running_credit, last_wins_counter, first_wins_uuid, session_id_ffill, whole_log_scan, subset_split, ledger_lifetime, ledger_by_cli, ledger_compare, ledger_append_plan, tool_mix_top8, dominant_tool_by_user, busiest_day, session_records, median_session, first_last_seen, tool_relationship, levels_by_user, levels_explain, rating_tier, archetype_pair, month_vs_lifetime)}
+QUERIES = {f.__name__: f for f in (user_profile, active_time_by_user, active_minutes_thr15, active_minutes_tight, streak_longest, streak_current_grace, streak_current_strict, hour_histogram, weekend_ratio_bp, night_minutes_by_month, active_days_by_user, calendar_strip, gap_sessions, concurrency_peak, concurrency_weighted, usage_max_dedup_total, usage_running_credit, last_wins_counter, first_wins_uuid, session_id_ffill, whole_log_scan, as_of_click, overlapping_sessions, subset_split, ledger_lifetime, ledger_by_cli, ledger_compare, ledger_append_plan, tool_mix_top8, dominant_tool_by_user, busiest_day, session_records, median_session, first_last_seen, tool_relationship, levels_by_user, levels_explain, rating_tier, archetype_pair, month_vs_lifetime)}
 
 _E = "e AS (SELECT *, CAST(floor(value * 100) AS BIGINT) AS v, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, epoch_us(ts) AS us, CAST(ts AS DATE) AS d FROM events)"
 _MIN = """m AS (SELECT DISTINCT user_id, us // 60000000 AS mi FROM e),
@@ -324,6 +343,14 @@ ORACLES = {
     "usage_running_credit": f"WITH {_E}, c AS (SELECT user_id, greatest(v - coalesce(max(v) OVER (PARTITION BY k ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS credit FROM e) SELECT user_id, CAST(sum(credit) AS BIGINT) AS credit, count(*) FILTER (WHERE credit > 0) AS raises FROM c GROUP BY user_id",
     "last_wins_counter": f"WITH {_E} SELECT user_id, max_by(v, event_id) AS v, max_by(k, event_id) AS k, max_by(event_type, event_id) AS event_type FROM e GROUP BY user_id",
     "whole_log_scan": f"WITH {_E}, w AS (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (ORDER BY event_id) AS bought, CAST(sum(v) OVER (ORDER BY event_id) AS BIGINT) AS total, max(v) OVER (ORDER BY event_id) AS most FROM e) SELECT event_id, bought, total, most FROM w WHERE event_type = 'signup'",
+    "as_of_click": f"""WITH {_E}, p AS (SELECT event_id, user_id, v, us FROM e WHERE event_type = 'purchase'), c AS (SELECT user_id, us AS clicked, max(event_id) AS click_id FROM e WHERE event_type = 'click' GROUP BY ALL),
+g AS (SELECT clicked AS any_clicked, max(click_id) AS any_id FROM c GROUP BY 1),
+o AS (SELECT p.*, clicked, click_id FROM p ASOF LEFT JOIN c ON p.user_id = c.user_id AND p.us >= c.clicked),
+b AS (SELECT o.*, any_clicked, any_id, any_clicked IS NOT NULL AND us - any_clicked <= 1800000000 AS near FROM o ASOF LEFT JOIN g ON o.us > g.any_clicked)
+SELECT event_id, user_id, v, clicked, click_id, CASE WHEN near THEN any_clicked END AS any_clicked, CASE WHEN near THEN any_id END AS any_id FROM b""",
+    "overlapping_sessions": f"""WITH {_E}, g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) <= 3600000000 THEN 0 ELSE 1 END AS new FROM e), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS nth FROM g),
+s AS (SELECT user_id, user_id % 5 AS kind, min(us) AS a, max(us) + 3600000000 AS z FROM n GROUP BY user_id, nth)
+SELECT x.user_id, x.a AS start_micros, count(*) AS others, max(y.a) AS last_start FROM s x JOIN s y ON x.kind = y.kind AND x.user_id <> y.user_id AND x.a <= y.z AND y.a <= x.z GROUP BY 1, 2""",
     "first_wins_uuid": f"WITH {_E} SELECT user_id || '-' || k AS uuid, event_id, v FROM e QUALIFY row_number() OVER (PARTITION BY user_id, k ORDER BY event_id) = 1",
     "session_id_ffill": f"WITH {_E}, f AS (SELECT *, coalesce(last_value(CASE WHEN event_type = 'signup' THEN CAST(event_id AS VARCHAR) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id), 'file-' || user_id) AS sid FROM e) SELECT user_id, sid, count(*) AS events, CAST(sum(v) AS BIGINT) AS v FROM f GROUP BY ALL",
     "subset_split": f"WITH {_E} SELECT event_type, CAST(sum(greatest(0, v - k * 100)) AS BIGINT) AS fresh, CAST(sum(least(k * 100, v)) AS BIGINT) AS cached FROM e GROUP BY event_type",

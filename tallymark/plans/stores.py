@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from tallymark.operators import fleet as fleets
 from tallymark.operators import ledger as ledgers
-from tallymark.operators import quality, rollup, scoring
+from tallymark.operators import partials, quality, rollup, scoring
+from tallymark.operators.activity import micros
+from tallymark.operators.partials import Kept, Measure
 from tallymark.plans.corpus import _metrics
 from tallymark.plans.events import _E, _MIN, events
 from tallymark.plans.reports import _clamp, _lg
@@ -228,7 +230,7 @@ def run_log(spark, sf_dir):
     for nth, name in enumerate(("nation", "supplier", "customer")):
         counted = table(spark, sf_dir, name).agg(F.lit(name).alias("argv"), F.count(F.lit(1)).alias("reads"))
         sinks.append_run(counted, path, f"2026-01-0{nth + 1}")
-    log = spark.read.parquet(path)
+    log = sinks.read_runs(spark, path)
     breaks = quality.chain_breaks(log.where("run_index <> 1"), ["log"], "stamp", F.col("raw"), "stated", "run_index")
     return log.agg(F.count(F.lit(1)).alias("runs"), F.sum(F.get_json_object("raw", "$.reads").cast("long")).alias("reads")).crossJoin(sinks.run_breaks(spark, path).agg(F.count(F.lit(1)).alias("breaks"))).crossJoin(breaks.agg(F.count(F.lit(1)).alias("after")))
 
@@ -256,12 +258,17 @@ def stream_sessions(spark, sf_dir):
     return _appended(spark, incremental.sessions(_stream(spark, sf_dir), "user_id", "ts"), "sessions")
 
 
+def _observed(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("event_type").alias("cli"), F.col("user_id").cast("string").alias("session_id"), F.concat(F.lit("v"), (F.col("user_id") % 3).cast("string")).alias("version"), F.col("event_id").alias("pos"), F.col("v").alias("total"))
+
+
 def stream_ledger(spark, sf_dir):
-    """Rows that a stream of scans appended to the ledger, read from it: the greatest total of each session."""
+    """A ledger that has the purchases, then takes a stream of all scans, compacted in the end: the lifetime of each session."""
     path = scratch_path(spark, "ledger")
-    rows = _stream(spark, sf_dir).select(F.col("event_type").alias("cli"), F.col("user_id").cast("string").alias("session_id"), F.lit("1").alias("version"), F.col("event_id").alias("pos"), F.col("v").alias("total"))
-    incremental.ledger_sink(rows, f"{path}/ledger", f"{path}/at").awaitTermination()
-    return spark.read.parquet(f"{path}/ledger").groupBy("cli", "session_id").agg(F.max("total").alias("total"))
+    sinks.append_ledger(_observed(events(spark, sf_dir).where("event_type = 'purchase'")), f"{path}/ledger")
+    incremental.ledger_sink(_observed(_stream(spark, sf_dir)), f"{path}/ledger", f"{path}/at").awaitTermination()
+    sinks.compact_ledger(spark, f"{path}/ledger")
+    return ledgers.lifetime(sinks.read_ledger(spark, f"{path}/ledger"), ["total"])
 
 
 def stream_snapshots(spark, sf_dir):
@@ -270,10 +277,33 @@ def stream_snapshots(spark, sf_dir):
     rows = _stream(spark, sf_dir)
     scans = rows.select(F.date_format("ts", "yyyy-MM").alias("month"), F.col("event_type").alias("host"), F.col("v").alias("volume"))
     incremental.snapshot_sink(scans, f"{path}/months", ["volume"], f"{path}/at").awaitTermination()
-    return spark.read.schema("host string, volume long, month string").parquet(f"{path}/months").select("month", "host", "volume")
+    return sinks.read_snapshots(spark, f"{path}/months").select("month", "host", "volume")
+
+
+def kept_days(spark, sf_dir):
+    """Activity by day, kept as partials by day and kind, laid out by week, while the kinds come in one after another, one of them twice."""
+    e = events(spark, sf_dir).withColumns({"day": F.date_format("ts", "yyyy-MM-dd"), "week": F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd"), "us": micros("ts")})
+    measures = {"volume": Measure("sum", F.col("v")), "most": Measure("max", F.col("v")), "first_micros": Measure("min", F.col("us")), "users": Measure("set", F.col("user_id")), "messages": Measure("set", F.col("k"))}
+    days = Kept(spark, scratch_path(spark, "kept"), ["week", "day", "event_type"], "week", measures)
+    for kind in ("view", "click", "purchase", "signup", "error", "purchase"):
+        days.add(e.where(F.col("event_type") == kind), (kind, 0))
+    return days.result(["day"]).withColumnRenamed("n_rows", "events")
+
+
+def fleet_sketches(spark, sf_dir):
+    """Parts and customers of each region from sketches kept by month and nation, against exact counts."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "n_regionkey")
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    measures = {"parts": Measure("sketch", F.col("l_partkey"), 14), "customers": Measure("sketch", F.col("o_custkey"), 14)}
+    by_machine = kept(partials.numbers(rows, ["month", "n_name", "n_regionkey"], measures), "sketches")
+    about = partials.finished(by_machine, None, ["n_regionkey"], measures)
+    exact = rows.groupBy("n_regionkey").agg(F.count_distinct("l_partkey").alias("n_parts"), F.count_distinct("o_custkey").alias("n_customers"))
+    near = lambda guess, n: F.abs(F.col(guess) - F.col(n)) <= F.col(n) * 4 * partials.standard_error(14) + 1
+    return exact.join(about, "n_regionkey").select("n_regionkey", "n_rows", "n_parts", "n_customers", near("parts", "n_parts").alias("parts_near"), near("customers", "n_customers").alias("customers_near"))
 
 
-QUERIES = {f.__name__: f for f in (transcript_sessions, transcript_projects, profile_usage_by_day, rollout_sessions, grok_sessions, gemini_sessions, provider_states, ledger_from_log, fleet_read, fleet_warnings, run_log, corpus_rollup, corpus_months, person_profile, four_stars, stream_hourly, stream_sessions, stream_ledger, stream_snapshots)}
+QUERIES = {f.__name__: f for f in (transcript_sessions, transcript_projects, profile_usage_by_day, rollout_sessions, grok_sessions, gemini_sessions, provider_states, ledger_from_log, fleet_read, fleet_warnings, run_log, corpus_rollup, corpus_months, person_profile, four_stars, stream_hourly, stream_sessions, stream_ledger, stream_snapshots, kept_days, fleet_sketches)}
 
 _GROK = "gk AS (SELECT user_id, min(us) AS first_micros, max(us) AS last_micros, count(*) AS turns, CAST(sum(v - v // 4) AS BIGINT) AS input, CAST(sum(v * 3) AS BIGINT) AS output, CAST(sum(v // 4) AS BIGINT) AS cache_read FROM e WHERE event_type <> 'error' GROUP BY user_id)"
 _GEMINI = "gm AS (SELECT user_id, min(us) AS first_micros, max(us) AS last_micros, count(*) AS turns, CAST(sum(v - v // 2 + 2) AS BIGINT) AS input, CAST(sum(k + 1) AS BIGINT) AS output, CAST(sum(v // 2) AS BIGINT) AS cache_read FROM e WHERE event_type <> 'view' GROUP BY user_id)"
@@ -332,6 +362,8 @@ FROM (VALUES ('grok', true), ('gemini', true), ('copilot', true), ('kilo', false
     "stream_sessions": f"""WITH {_E}, g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) < 900000000 THEN 0 ELSE 1 END AS new FROM e), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS nth FROM g)
 SELECT user_id, min(us) AS start_micros, max(us) AS end_micros, count(*) AS events FROM n GROUP BY user_id, nth HAVING max(us) + 900000000 <= (SELECT max(us) // 1000 * 1000 FROM e) - 3600000000""",
     "stream_ledger": f"WITH {_E} SELECT event_type AS cli, CAST(user_id AS VARCHAR) AS session_id, max(v) AS total FROM e GROUP BY ALL HAVING max(v) > 0",
+    "kept_days": f"WITH {_E} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS events, CAST(sum(v) AS BIGINT) AS volume, max(v) AS most, min(us) AS first_micros, count(DISTINCT user_id) AS users, count(DISTINCT k) AS messages FROM e GROUP BY 1",
+    "fleet_sketches": "SELECT n_regionkey, count(*) AS n_rows, count(DISTINCT l_partkey) AS n_parts, count(DISTINCT o_custkey) AS n_customers, true AS parts_near, true AS customers_near FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
     "stream_snapshots": f"WITH {_E} SELECT strftime(ts, '%Y-%m') AS month, event_type AS host, max(v) AS volume FROM e GROUP BY ALL",
 }
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tallymark.operators import fleet, ledger, months, quality
+from tallymark.sources.commits import Committed, Version
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
@@ -26,34 +27,79 @@ def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def write_snapshots(scanned: DataFrame, path: str, measures: list[str]) -> None:
-    """Upsert by (month, host), each measure at its maximum; only the months scanned are rewritten.
+def write_snapshots(scanned: DataFrame, path: str, measures: list[str], tag: tuple[str, int] | None = None) -> None:
+    """Upsert by (month, host), each measure at its maximum; only the months scanned are read and written anew.
 
-    The merged rows are written beside the table first, so that a lost task
-    never reads what it is overwriting.
+    Several writers may do so at once: one that another has overtaken merges
+    with what that one left.
     """
-    spark = scanned.sparkSession
-    stored = read_or_none(spark, path)
-    keys = ["month", "host"]
-    touched = stored.join(scanned.select("month").distinct(), "month", "left_semi") if stored is not None else scanned.limit(0)
-    merged = months.merge_rescans(touched, scanned, keys, measures)
-    staged = f"{path}.staged"
-    merged.write.mode("overwrite").parquet(staged)
-    out = spark.read.parquet(staged).repartition("month")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
-
-
-def append_ledger(scan: DataFrame, path: str) -> int:
+    table = Committed(scanned.sparkSession, path)
+    months_seen = [r["month"] for r in scanned.select("month").distinct().collect()]
+
+    def step(base: Version) -> list[dict] | None:
+        stored = table.read(version=base, parts=months_seen)
+        merged = months.merge_rescans(stored if stored is not None else scanned.limit(0), scanned, ["month", "host"], measures)
+        return base.without("rows", months_seen) + table.stage(merged, by="month")
+
+    table.change(step, tag)
+
+
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame | None:
+    """The months kept by :func:`write_snapshots`; None if there are none yet."""
+    return Committed(spark, path).read()
+
+
+def _appended(table: Committed, fresh: DataFrame, base: Version) -> list[dict] | None:
+    staged = table.stage(fresh)
+    if table.read(version=Version(0, staged)).isEmpty():
+        table._delete(f["folder"] for f in staged)
+        return None
+    return base.folders + staged
+
+
+def append_ledger(scan: DataFrame, path: str, tag: tuple[str, int] | None = None) -> int:
     """Append the rows of a scan that exceed what the ledger has; how many that were."""
     spark = scan.sparkSession
-    had = read_or_none(spark, path)
-    fresh = ledger.append_plan(had if had is not None else scan.limit(0), scan)
-    fresh = fresh.select(*scan.columns).persist()
-    n = fresh.count()
-    if n:
-        fresh.write.mode("append").parquet(path)
-    fresh.unpersist()
-    return n
+    table = Committed(spark, path)
+    added: list[dict] = []
+
+    def step(base: Version) -> list[dict] | None:
+        had = table.read(version=base)
+        fresh = ledger.append_plan(had if had is not None else scan.limit(0), scan).select(*scan.columns)
+        folders = _appended(table, fresh, base)
+        added[:] = [f for f in folders or [] if f not in base.folders]
+        return folders
+
+    return table.read(version=Version(0, added)).count() if table.change(step, tag) else 0
+
+
+def add_to_ledger(rows: DataFrame, path: str, tag: tuple[str, int] | None = None) -> bool:
+    """Append rows that are known to exceed the ledger, without a look at it.
+
+    They are computed once in any case, for a stream's state moves on with its rows.
+    """
+    table = Committed(rows.sparkSession, path)
+    staged = table.stage(rows)
+    if table.read(version=Version(0, staged)).isEmpty():
+        table._delete(f["folder"] for f in staged)
+        return False
+    return table.add(staged, tag)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger's rows; None if there are none yet."""
+    return Committed(spark, path).read()
+
+
+def compact_ledger(spark: SparkSession, path: str) -> bool:
+    """Replace the ledger's rows by one for each session and version that says the same, see :func:`ledger.compacted`."""
+    table = Committed(spark, path)
+
+    def step(base: Version) -> list[dict] | None:
+        rows = table.read(version=base)
+        return None if rows is None else base.without("rows") + table.stage(ledger.compacted(rows))
+
+    return table.change(step)
 
 
 def write_machine_folder(sessions: DataFrame, accounts: DataFrame, by_model: DataFrame, path: str) -> None:
@@ -117,18 +163,30 @@ def append_run(run: DataFrame, path: str, stamp: str) -> int:
 
     A run states the digest of the run before, so that a run taken out or
     altered shows: :func:`tallymark.operators.quality.chain_breaks` finds it.
-    Runs are few; a stamp orders them.
+    Of two writers at once one comes second and states the other's digest, so
+    the chain does not fork.
     """
-    spark = run.sparkSession
-    had = read_or_none(spark, path)
-    last = had.agg(F.max_by(F.struct("raw", "run_index"), "stamp").alias("r")).first()["r"] if had is not None else None
-    index = last["run_index"] + 1 if last else 0
-    before = F.sha2(F.lit(last["raw"]).cast("binary"), 256) if last else F.lit(None).cast("string")
-    row = run.select(F.lit("runs").alias("log"), F.lit(stamp).alias("stamp"), F.lit(index).cast("long").alias("run_index"), before.alias("stated"), F.to_json(F.struct(F.lit(index).alias("run_index"), before.alias("prev_log_sha256"), *run.columns), {"ignoreNullFields": "false"}).alias("raw"))
-    row.write.mode("append").parquet(path)
-    return index
+    table = Committed(run.sparkSession, path)
+    indexes: list[int] = []
+
+    def step(base: Version) -> list[dict]:
+        had = table.read(version=base)
+        last = had.agg(F.max_by(F.struct("raw", "run_index"), "run_index").alias("r")).first()["r"] if had is not None else None
+        index = last["run_index"] + 1 if last else 0
+        before = F.sha2(F.lit(last["raw"]).cast("binary"), 256) if last else F.lit(None).cast("string")
+        row = run.select(F.lit("runs").alias("log"), F.lit(stamp).alias("stamp"), F.lit(index).cast("long").alias("run_index"), before.alias("stated"), F.to_json(F.struct(F.lit(index).alias("run_index"), before.alias("prev_log_sha256"), *run.columns), {"ignoreNullFields": "false"}).alias("raw"))
+        indexes.append(index)
+        return base.folders + table.stage(row)
+
+    table.change(step)
+    return indexes[-1]
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the chained log."""
+    return Committed(spark, path).read()
 
 
 def run_breaks(spark: SparkSession, path: str) -> DataFrame:
     """Runs of the log whose stated digest or index does not follow from the run before."""
-    return quality.chain_breaks(spark.read.parquet(path), ["log"], "stamp", F.col("raw"), "stated", "run_index")
+    return quality.chain_breaks(read_runs(spark, path), ["log"], "run_index", F.col("raw"), "stated", "run_index")

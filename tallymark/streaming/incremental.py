@@ -9,13 +9,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tallymark.operators.activity import micros
-from tallymark.sources.sinks import append_ledger, write_snapshots
+from tallymark.operators.ledger import KEY
+from tallymark.operators.partials import Kept
+from tallymark.sources.sinks import add_to_ledger, read_ledger, write_snapshots
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def running_totals(stream: DataFrame, ident: str, counter: str, watermark: tuple[str, str] | None = None) -> DataFrame:
@@ -106,9 +110,73 @@ def membership(packets: DataFrame) -> DataFrame:
     return packets.groupBy("machine").transformWithStateInPandas(Members(), "machine string, event string, packets long", "update", "processingTime")
 
 
-def ledger_sink(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append what exceeds the ledger, batch by batch; a batch that comes again appends nothing."""
-    return stream.writeStream.foreachBatch(lambda batch, _: append_ledger(batch, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+class Raises(StatefulProcessor):
+    """State by session and version: the greatest total so far. Gives the rows that exceed it.
+
+    ``ttl_ms`` bounds the state: a key not seen for so long is forgotten, and a
+    row of it may be given once more, which changes no maximum.
+    """
+
+    def __init__(self, total: int, ttl_ms: int | None = None):
+        self.total, self.ttl_ms = total, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.best = handle.getValueState("best", "total long", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = best = self.best.get()[0] if self.best.exists() else 0
+        for row in rows:
+            if row[self.total] is not None and row[self.total] > best:
+                best = row[self.total]
+                yield row
+        if best > before or self.ttl_ms:
+            self.best.update((best,))
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        if initialState["total"] is not None and initialState["total"] > 0:
+            self.best.update((initialState["total"],))
+
+    def close(self) -> None:
+        pass
+
+
+def exceeding(stream: DataFrame, ledger: DataFrame | None, ttl_ms: int | None = None) -> DataFrame:
+    """Rows of a stream of scans whose total exceeds all before them of the same session and version.
+
+    What the ledger has is loaded as state when the stream begins, and not read
+    again, so that a batch costs what its own rows cost. Needs the RocksDB state
+    store.
+    """
+    keys = [*KEY, "version"]
+    initial = ledger.groupBy(*keys).agg(F.max("total").cast("long").alias("total")).groupBy(*keys) if ledger is not None else None
+    raises = Raises(stream.columns.index("total"), ttl_ms)
+    return stream.groupBy(*keys).transformWithState(raises, stream.schema, "append", "processingTime" if ttl_ms else "none", initial)
+
+
+def ledger_sink(stream: DataFrame, path: str, checkpoint: str, ttl_ms: int | None = None, every: str = "10 seconds") -> StreamingQuery:
+    """Append what exceeds the ledger, batch by batch; a batch that comes again appends nothing.
+
+    It ends when all there is has been read. With ``ttl_ms`` it goes on, a batch
+    ``every`` so long, for state can only run out while a query runs.
+    """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    fresh = exceeding(stream, read_ledger(spark, path), ttl_ms)
+    trigger = {"processingTime": every} if ttl_ms else {"availableNow": True}
+    step = lambda batch, number: add_to_ledger(batch, path, (checkpoint, number)) and None
+    return fresh.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def partials_sink(stream: DataFrame, kept: Kept, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Keep a roll-up up to date: each batch is merged into the parts it touches, and counts once."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        kept.add(batch, (checkpoint, number))
+        batch.unpersist()
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def announced(packets: DataFrame, ts: str, listen: str = "8 seconds") -> DataFrame:
@@ -119,7 +187,7 @@ def announced(packets: DataFrame, ts: str, listen: str = "8 seconds") -> DataFra
 
 def snapshot_sink(stream: DataFrame, path: str, measures: list[str], checkpoint: str) -> StreamingQuery:
     """Keep monthly snapshots up to date with scans that come in: a month never shrinks, a batch that comes again changes nothing."""
-    return stream.writeStream.foreachBatch(lambda batch, _: write_snapshots(batch, path, measures)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda batch, number: write_snapshots(batch, path, measures, (checkpoint, number))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def pushed_folders(spark, folder: str, schema: str) -> DataFrame:
