@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions import text as T
-from tallymark.session import scratch_path
+from tallymark.functions import trees
 
 
 #: Larger files and files with a zero byte this near their beginning are not inspected.
@@ -133,49 +133,25 @@ def static_scan(files: DataFrame, path: str, text: str, allowed: dict[str, list[
     return found.withColumn("verdict", verdict)
 
 
-#: How deep JSON is walked, and the longest key that is no text.
-DEEPEST, LONGEST_KEY = 12, 64
-
-
 def json_paths(documents: DataFrame, ident: str, text: str) -> DataFrame:
-    """Paths and strings of JSON documents: ident, path, string (null for a path to no string).
+    """Paths and strings of JSON documents: ident, path, string (null for a path to no string); see :func:`trees.nodes`.
 
-    Arrays are one step, ``[]``; a string that is JSON itself is walked on below
-    ``(nested)``. Every level is a table made from the level before, so no
-    document is walked by one call, and documents no deeper cost nothing more.
+    Texts that are no JSON have no paths.
     """
-    spark = documents.sparkSession
-    at = scratch_path(spark, "json")
-    level = documents.select(F.col(ident).alias("ident"), F.lit("").alias("path"), F.col(text).alias("j"))
-    for depth in range(DEEPEST + 1):
-        parsed = level.withColumn("v", F.try_parse_json("j")).where("v is not null")
-        is_text = F.schema_of_variant("v") == "STRING"
-        said = F.when(is_text, F.try_variant_get("v", "$", "string"))
-        parsed.select("ident", "path", said.alias("string"), "j").write.parquet(f"{at}/level={depth}")
-        here = spark.read.parquet(f"{at}/level={depth}")
-        if here.isEmpty():
-            break
-        nested = F.when(F.trim("string").rlike(r"^[{\[]"), F.try_parse_json("string"))
-        below = here.withColumn("n", nested).select("ident", F.when(F.col("n").isNotNull(), F.concat("path", F.lit("(nested)"))).otherwise(F.col("path")).alias("base"), F.coalesce("n", F.when(F.col("string").isNull(), F.try_parse_json("j"))).alias("v")).where("v is not null")
-        entries = F.transform(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>")), lambda e: F.struct(F.concat(F.when(F.col("base") == "", "").otherwise(F.concat("base", F.lit("."))), e["key"]).alias("path"), F.to_json(e["value"]).alias("j")))
-        items = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda x: F.struct(F.concat("base", F.lit("[]")).alias("path"), F.to_json(x).alias("j")))
-        kind = F.schema_of_variant("v")
-        level = below.select("ident", F.explode(F.when(kind.startswith("OBJECT"), entries).when(kind.startswith("ARRAY"), items)).alias("e")).select("ident", "e.path", "e.j")
-    return spark.read.option("mergeSchema", True).parquet(at).where("path <> ''").select("ident", "path", "string")
+    rows = documents.where(F.col(text).isNotNull()).select(F.col(ident).alias("ident"), F.col(text).alias("document"))
+    return trees.walked(rows, "document").select("ident", "path", "string")
 
 
 def map_labels(documents: DataFrame, text: str, salt: str = "") -> DataFrame:
     """JSON documents with every project label replaced by its pseudonym, wherever it stands as a whole string.
 
-    Labels are strings below a key ``project`` and names in a list ``projects``
-    of the same document; a label in brackets is a sentinel and stays. A new
-    column ``masked`` takes the result. Labels of one document are few.
+    Labels are strings at a key ``project`` and names in a list ``projects``, at
+    any depth and in JSON within strings; a label in brackets is a sentinel and
+    stays. Documents are parsed, walked and written anew, so labels are data,
+    whatever characters they hold. A new column ``masked`` takes the result; it
+    is null for a text that cannot be read.
     """
-    found = F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(r'"project"\s*:\s*"((?:[^"\\]|\\.)+)"'), F.lit(1)), F.coalesce(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r'"projects"\s*:\s*(\[[^\]]*\])'), F.lit(1)), lambda x: F.regexp_extract_all(x, F.lit(r'"name"\s*:\s*"((?:[^"\\]|\\.)+)"'), F.lit(1)))), F.array().cast("array<string>"))))
-    labels = F.filter(found, lambda x: ~x.rlike(r"^\[.*\]$"))
-    # As a value: after a colon, a comma or a bracket, and not before a colon, where it would be a key.
-    masked = F.aggregate(labels, F.col(text), lambda out, label: F.regexp_replace(out, F.concat(F.lit(r'(?<=[:,\[]\s{0,8})"\Q'), label, F.lit(r'\E"(?!\s*:)')), F.concat(F.lit('"'), T.pseudonym("proj", label, salt), F.lit('"'))))
-    return documents.withColumn("masked", masked)
+    return documents.withColumn("masked", trees.mask_labels(salt)(F.col(text)))
 
 
 def rule_matrix(lines: DataFrame, rules: dict[str, tuple[str, str]], kind: str, line: str) -> DataFrame:

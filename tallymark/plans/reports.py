@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallymark.functions import text as T
+from tallymark.functions import trees
 from tallymark.operators import activity as A
 from tallymark.operators import fleet, quality, scoring
 from tallymark.plans.corpus import _PATHS, _paths
@@ -123,11 +124,24 @@ def json_vocabulary(spark, sf_dir):
 
 
 def masked_labels(spark, sf_dir):
-    """Customers as reports: segment and name are projects, masked wherever they stand; a note that holds one is not."""
-    doc = F.to_json(F.struct(F.col("c_mktsegment").alias("project"), F.array(F.struct(F.col("c_name").alias("name"))).alias("projects"), F.col("c_name").alias("other"), F.concat(F.lit("see "), "c_name").alias("note")))
+    """Customers as reports with labels of every kind, masked wherever they stand, also in JSON within a string; a note that holds one is not."""
+    odd = F.concat(F.lit('D:\\Elm "'), "c_mktsegment", F.lit('"'))
+    hidden = F.concat(F.lit("in/"), "c_custkey")
+    first = F.to_json(F.struct(F.array(F.lit("py")).alias("langs"), F.col("c_name").alias("name")))
+    inside = F.to_json(F.struct(hidden.alias("project"), F.array("c_name", hidden).alias("seen")))
+    # Lists come before names, and labels hold backslashes and quotes.
+    doc = F.concat(F.lit('{"deep":{"project":'), F.to_json(F.array(odd)).substr(F.lit(2), F.length(F.to_json(F.array(odd))) - 2), F.lit('},"projects":['), first, F.lit(',{"name":"[excluded]"}],"rest":'), F.to_json(F.array("c_name", odd, F.lit("[excluded]"), F.concat(F.lit("see "), "c_name"), inside)), F.lit(',"n":1.50}'))
     return quality.map_labels(table(spark, sf_dir, "customer").withColumn("doc", doc), "doc").select("c_custkey", "masked")
 
 
+def walked_in_sql(spark, sf_dir):
+    """Strings by path in orders as JSON documents, by a table function in SQL."""
+    trees.register(spark)
+    doc = F.to_json(F.struct("o_orderstatus", F.array(F.struct("o_orderpriority", F.to_json(F.struct("o_orderstatus")).alias("nested"))).alias("list")))
+    docs = table(spark, sf_dir, "orders").select("o_orderkey", doc.alias("doc"))
+    return spark.sql("SELECT w.path, w.string, count(*) AS n, count(DISTINCT d.o_orderkey) AS docs FROM {docs} d, LATERAL json_walk(d.doc) w WHERE w.string IS NOT NULL GROUP BY ALL", docs=docs)
+
+
 def static_rules(spark, sf_dir):
     """Parts as shipped files of four kinds, and which rules their lines break."""
     part = table(spark, sf_dir, "part")
@@ -142,7 +156,7 @@ def skip_reasons(spark, sf_dir):
     return quality.skipped(table(spark, sf_dir, "documents"), "text")
 
 
-QUERIES = {f.__name__: f for f in (proficiency_gauges, signature_line, share_url, flag_suggestion, allowlist_findings, known_path_prefix, receipt, human_counts, fixed_prices, short_counts, peak_hours, folder_slugs, escaped_pages, json_vocabulary, masked_labels, static_rules, skip_reasons)}
+QUERIES = {f.__name__: f for f in (proficiency_gauges, signature_line, share_url, flag_suggestion, allowlist_findings, known_path_prefix, receipt, human_counts, fixed_prices, short_counts, peak_hours, folder_slugs, escaped_pages, json_vocabulary, masked_labels, walked_in_sql, static_rules, skip_reasons)}
 
 _G = f"""WITH {_E}, {_streak_sql()},
 m AS (SELECT DISTINCT user_id, us // 60000000 AS mi FROM e), g AS (SELECT user_id, mi - lag(mi) OVER (PARTITION BY user_id ORDER BY mi) AS gap FROM m),
@@ -172,7 +186,10 @@ ORACLES = {
     "folder_slugs": "SELECT c_custkey, substr(trim(regexp_replace(lower(trim(' #' || c_name || ' (' || c_mktsegment || ')')), '[^a-z0-9_-]+', '-', 'g'), '-'), 1, 64) AS folder FROM customer",
     "escaped_pages": f"SELECT page_id, sha256({_ESCAPED}) AS sha256 FROM pages",
     "json_vocabulary": "WITH n AS (SELECT count(*) AS n FROM events) SELECT path, n, CASE WHEN path IN ('event_type', 'props', 'list[].id') THEN n ELSE 0 END AS strings FROM n, (VALUES ('event_type'), ('props'), ('props(nested).k'), ('list'), ('list[]'), ('list[].value'), ('list[].id')) p(path)",
-    "masked_labels": """WITH p AS (SELECT c_custkey, c_name, 'proj-' || substr(sha256(c_mktsegment), 1, 8) AS s, 'proj-' || substr(sha256(c_name), 1, 8) AS n FROM customer) SELECT c_custkey, '{"project":"' || s || '","projects":[{"name":"' || n || '"}],"other":"' || n || '","note":"see ' || c_name || '"}' AS masked FROM p""",
+    "masked_labels": r"""WITH p AS (SELECT c_custkey, c_name, 'proj-' || substr(sha256('D:\Elm "' || c_mktsegment || '"'), 1, 8) AS o, 'proj-' || substr(sha256(c_name), 1, 8) AS n, 'proj-' || substr(sha256('in/' || c_custkey), 1, 8) AS f FROM customer)
+SELECT c_custkey, '{"deep":{"project":"' || o || '"},"projects":[{"langs":["py"],"name":"' || n || '"},{"name":"[excluded]"}],"rest":["' || n || '","' || o || '","[excluded]","see ' || c_name || '","{\"project\":\"' || f || '\",\"seen\":[\"' || n || '\",\"' || f || '\"]}"],"n":1.50}' AS masked FROM p""",
+    "walked_in_sql": """WITH s AS (SELECT 'o_orderstatus' AS path, o_orderstatus AS string FROM orders UNION ALL SELECT 'list[].o_orderpriority', o_orderpriority FROM orders UNION ALL SELECT 'list[].nested', '{"o_orderstatus":"' || o_orderstatus || '"}' FROM orders UNION ALL SELECT 'list[].nested(nested).o_orderstatus', o_orderstatus FROM orders)
+SELECT path, string, count(*) AS n, count(*) AS docs FROM s GROUP BY ALL""",
     "static_rules": """WITH f AS (SELECT CASE p_size % 4 WHEN 0 THEN 'shell' WHEN 1 THEN 'js' WHEN 2 THEN 'test' END AS kind, count(*) AS n FROM part WHERE p_size % 4 < 3 GROUP BY 1),
 r(kind, line_no, rule, verdict) AS (VALUES ('shell', 2, 'curl', 'FAIL'), ('shell', 2, 'pipe to an interpreter', 'FAIL'), ('js', 1, 'fetch', 'allowed'), ('js', 3, 'eval', 'FAIL'), ('js', 3, 'import of no literal', 'FAIL'), ('test', 1, 'fetch', 'listed'), ('test', 3, 'eval', 'listed'), ('test', 3, 'import of no literal', 'listed'))
 SELECT kind, line_no, rule, verdict, n FROM f JOIN r USING (kind)""",
