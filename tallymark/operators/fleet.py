@@ -52,23 +52,48 @@ def prefix_relabel(short: DataFrame, registry: DataFrame, prefix: str, full: str
     return short.join(found, prefix, "left").select(*short.columns, label)
 
 
-def not_contained(needles: DataFrame, needle: str, haystack: DataFrame, text: str) -> DataFrame:
-    """Needles that stand in no text as a part of it, without regard to case.
+#: Parts of so many characters find the texts that a needle may stand in.
+GRAM = 4
+
+
+def grams(text: Column, size: int) -> Column:
+    """The distinct parts of ``size`` characters of a text."""
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    parts = F.transform(starts, lambda at: F.substring(text, at, F.lit(size)))
+    return F.when(F.length(text) >= size, F.array_distinct(parts)).otherwise(F.array().cast("array<string>"))
 
-    A needle is looked up among the texts' parts of its own length: lengths of
-    needles are few, so the join is hashed instead of comparing every pair.
+
+def contained(needles: DataFrame, needle: str, haystack: DataFrame, text: str) -> DataFrame:
+    """The distinct lower-case needles that stand in some text as a part of it, without regard to case.
+
+    A needle is sought by the rarest of its parts of :data:`GRAM` characters, in
+    the texts that have that part, and verified there. A text is written out once
+    a character, whatever needles there are, and once more for each length of
+    needles shorter than a part. Only parts that some needle has are counted.
     """
-    lengths = [r["size"] for r in needles.select(F.length(needle).alias("size")).where("size > 0").distinct().collect()]
     low = haystack.where(F.col(text).isNotNull()).select(F.lower(text).alias("low")).distinct()
+    low = low.withColumn("at", F.xxhash64("low"))
+    sought = needles.where(F.length(needle) > 0).select(F.lower(needle).alias("low_needle")).distinct()
+    size = F.least(F.length("low_needle"), F.lit(GRAM))
+    asked = sought.select("low_needle", size.alias("size")).withColumn("gram", F.explode(F.transform(F.sequence(F.lit(1), F.length("low_needle") - F.col("size") + 1), lambda at: F.substring(F.col("low_needle"), at, F.col("size")))))
+    wanted = asked.select("gram").distinct()
+    sizes = sorted(r["size"] for r in sought.select(size.alias("size")).distinct().collect())
+    written = low.select("at", F.explode(F.flatten(F.array(*(grams(F.col("low"), n) for n in sizes))) if sizes else F.array().cast("array<string>")).alias("gram"))
+    held = written.join(wanted, "gram", "left_semi")
+    counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    ranked = asked.join(counts, "gram", "left").groupBy("low_needle").agg(F.min_by(F.struct("gram", "texts"), F.struct(F.coalesce("texts", F.lit(0)), "gram")).alias("best"))
+    rare = ranked.where(F.col("best.texts").isNotNull()).select("low_needle", F.col("best.gram").alias("gram"))
+    # A needle no longer than a part stands wherever that part does.
+    short = rare.where(F.length("low_needle") <= GRAM).select("low_needle")
+    met = rare.where(F.length("low_needle") > GRAM).join(held, "gram").select("low_needle", "at").join(low, "at")
+    return short.unionByName(met.where(F.col("low").contains(F.col("low_needle"))).select("low_needle")).distinct()
 
-    def parts_of(size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length("low") - size + 1)
-        return F.when(F.length("low") >= size, F.transform(starts, lambda at: F.substring(F.col("low"), at, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
-    parts = F.flatten(F.array(*map(parts_of, sorted(lengths)))) if lengths else F.array().cast("array<string>")
-    there = low.select(F.explode(F.array_distinct(parts)).alias("part")).distinct()
+def not_contained(needles: DataFrame, needle: str, haystack: DataFrame, text: str) -> DataFrame:
+    """Needles that stand in no text as a part of it, without regard to case; empty and null ones are left out."""
+    there = contained(needles, needle, haystack, text)
     kept = needles.where(F.length(needle) > 0)
-    return kept.join(there, F.lower(needle) == F.col("part"), "left_anti").select(*needles.columns)
+    return kept.join(there, F.lower(needle) == F.col("low_needle"), "left_anti").select(*needles.columns)
 
 
 def longest_prefix(paths: DataFrame, path: str, known: DataFrame, folder: str) -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallymark.functions import text as T
-from tallymark.operators import profile, quality, search
+from tallymark.operators import cells, profile, quality, search, text_index
 from tallymark.session import table
 
+#: Of a hundred cells so many are read: the given vectors hardly cluster, so that takes most of them.
+PROBED = 70
+
 
 def prompt_metrics(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").where("role = 'user'")
@@ -138,6 +141,24 @@ def cosine_topk(spark, sf_dir):
     return search.cosine_topk(vectors, queries, 10)
 
 
+def cell_search(spark, sf_dir):
+    """Approximate search by cells for every fiftieth vector: whether nine in ten of the exact answers are found, and less than all is read."""
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    index = cells.build(vectors, "vec_id", "embedding")
+    n_probes = -(-index.n_cells * PROBED // 100)
+    right = cells.recall(cells.topk(index, queries, 10, n_probes), search.cosine_topk(vectors, queries, 10)).agg(F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.9).alias("recall_ok"))
+    read = cells.share_read(index, queries, n_probes).agg((F.avg("share") < 0.8).alias("reads_less"))
+    return right.crossJoin(read).crossJoin(index.vectors.agg(F.count(F.lit(1)).alias("indexed")))
+
+
+def bm25_prompts(spark, sf_dir):
+    """The five documents most like each fiftieth conversation's first turn, by BM25."""
+    first = table(spark, sf_dir, "conversations").where("conv_id % 50 = 0").groupBy("conv_id").agg(F.min_by("text", F.struct("turn", "text")).alias("query"))
+    index = text_index.build(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return text_index.bm25(index, first.select(F.col("conv_id").alias("query_id"), "query"), 5)
+
+
 def search_rerank(spark, sf_dir):
     """The fifty most like the least vector, ranked again by nearness of label and score."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -158,7 +179,7 @@ def labelled_documents(spark, sf_dir):
     return docs.join(labels, "doc_id", "left").groupBy("lang").agg(F.count("quality").alias("labelled"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("quality").isNull()).alias("unlabelled"))
 
 
-QUERIES = {f.__name__: f for f in (prompt_metrics, prompt_metrics_documents, prompt_bucket, vendor_split, redact_documents, email_findings, emails_masked, pseudonymise, prose_findings, scrub_findings, quality_states, rule_matrix, content_digest_dups, hash_chain_breaks, vocabulary, json_key_collapse, markup_visible_text, url_hosts, language_by_ext, exclusion_filter, cosine_topk, search_rerank, search_documents, labelled_documents)}
+QUERIES = {f.__name__: f for f in (prompt_metrics, prompt_metrics_documents, prompt_bucket, vendor_split, redact_documents, email_findings, emails_masked, pseudonymise, prose_findings, scrub_findings, quality_states, rule_matrix, content_digest_dups, hash_chain_breaks, vocabulary, json_key_collapse, markup_visible_text, url_hosts, language_by_ext, exclusion_filter, cosine_topk, cell_search, bm25_prompts, search_rerank, search_documents, labelled_documents)}
 
 
 def q(text: str) -> str:
@@ -218,6 +239,15 @@ ORACLES = {
     "language_by_ext": f"WITH {_PATHS}, x(ext, language) AS (VALUES {_LANGS}) SELECT language, count(*) AS files FROM pt JOIN x ON ext = lower(string_split(path, '.')[-1]) WHERE NOT regexp_matches(path, '(^|/)(node_modules|dist|build|out|coverage|vendor|\\.next|\\.cache)(/|$)|package-lock\\.json$', 'i') GROUP BY language",
     "exclusion_filter": f"WITH {_PATHS} SELECT p_partkey, array_to_string(string_split(regexp_replace(path, '/[^/]*$', ''), '/')[-2:], '/') AS project FROM pt WHERE NOT contains(lower(path), 'red/') AND NOT contains(lower(path), 'dist')",
     "cosine_topk": f"WITH qv AS (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1), s AS (SELECT qv.vec_id AS query_id, v.vec_id AS id, {_COS} AS score FROM embeddings v, qv) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM s QUALIFY rank <= 10",
+    "cell_search": "SELECT count(*) FILTER (WHERE vec_id % 50 = 0) AS queries, true AS recall_ok, true AS reads_less, count(*) AS indexed FROM embeddings",
+    "bm25_prompts": r"""WITH q AS (SELECT conv_id AS query_id, min_by(text, (turn, text)) AS query FROM conversations WHERE conv_id % 50 = 0 GROUP BY 1),
+a AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}]+')) AS term FROM q) GROUP BY ALL),
+t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), l AS (SELECT doc_id, sum(tf) AS words FROM p GROUP BY 1), c AS (SELECT count(*) AS docs, sum(words) / count(*) AS mean FROM l),
+d AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+s AS (SELECT query_id, p.doc_id AS id, CAST(sum(times * CAST(floor(ln(1.0::DOUBLE + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * words / mean))) * 1000000) AS BIGINT)) AS BIGINT) AS score
+  FROM a JOIN d ON d.term = a.term JOIN p ON p.term = a.term JOIN l ON l.doc_id = p.doc_id, c GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM s QUALIFY rank <= 5""",
     "search_rerank": f"WITH qv AS (SELECT * FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT qv.vec_id AS query_id, v.vec_id AS id, v.label = qv.label AS same, {_COS} AS score FROM embeddings v, qv), f AS (SELECT * FROM s ORDER BY score DESC, id LIMIT 50), r AS (SELECT query_id, id, round(CASE WHEN same THEN 1 ELSE 0 END + score, 6) AS score FROM f) SELECT query_id, row_number() OVER (ORDER BY score DESC, id) AS rank, id, score FROM r QUALIFY rank <= 10",
     "search_documents": "SELECT conv_id, substr(min_by(text, turn) FILTER (WHERE role = 'user' AND text IS NOT NULL), 1, 1024) AS snippet, count(*) AS turns, array_to_string(list_sort(list(DISTINCT role)), ',') AS tools FROM conversations GROUP BY conv_id",
     "labelled_documents": "SELECT lang, count(quality) AS labelled, count(*) FILTER (WHERE toxic = 1) AS toxic, count(*) FILTER (WHERE quality IS NULL) AS unlabelled FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang",

@@ -6,9 +6,11 @@ starts a query. The batch operators give the same results on the same rows.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,6 +21,9 @@ from tallymark.operators.ledger import KEY
 from tallymark.operators.partials import Kept
 from tallymark.sources.sinks import add_to_ledger, read_ledger, write_snapshots
 
+# The worker that sets up a stream's state on the driver does not look into files that were added to the session.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
