@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallymark.operators import fleet as fleets
 from tallymark.operators import ledger as ledgers
-from tallymark.operators import partials, quality, rollup, scoring
+from tallymark.operators import activity, partials, quality, rollup, scoring
 from tallymark.operators.activity import micros
 from tallymark.operators.partials import Kept, Measure
 from tallymark.plans.corpus import _metrics
@@ -111,7 +111,8 @@ def four_stars(spark, sf_dir):
     e = events(spark, sf_dir)
     last = e.agg(F.date_trunc("month", F.max("ts")).alias("m")).first()["m"]
     month = e.where(F.col("ts") >= F.lit(last))
-    full = lambda rows: rows.groupBy("user_id").agg((F.sum("v") / 1e6).alias("tokens_m"), F.count_distinct("event_type").cast("double").alias("projects"), F.count(F.lit(1)).cast("double").alias("tool_calls"), F.count_distinct("k").cast("double").alias("models"), F.count_distinct(F.to_date("ts")).cast("double").alias("active_days"), F.lit(1.0).alias("streak"))
+    streak = lambda rows: activity.islands(rows, ["user_id"], F.to_date("ts")).groupBy("user_id").agg(F.max("days").cast("double").alias("streak"))
+    full = lambda rows: rows.groupBy("user_id").agg((F.sum("v") / 1e6).alias("tokens_m"), F.count_distinct("event_type").cast("double").alias("projects"), F.count(F.lit(1)).cast("double").alias("tool_calls"), F.count_distinct("k").cast("double").alias("models"), F.count_distinct(F.to_date("ts")).cast("double").alias("active_days")).join(streak(rows), "user_id")
     part = lambda rows: rows.groupBy("user_id").agg((F.sum("v") / 1e6).alias("tokens_m"), F.count_distinct(F.to_date("ts")).cast("double").alias("active_days"))
     out = scoring.sources({("corpus", "month"): full(month), ("corpus", "lifetime"): full(e), ("fleet", "month"): part(month), ("fleet", "lifetime"): part(e)}, ["user_id"])
     return out.groupBy("user_id", "source", "span", "floor").agg(F.sum("level").cast("long").alias("total"), F.count_if("measured").alias("measured"))
@@ -129,6 +130,22 @@ def profile_usage_by_day(spark, sf_dir):
     return usage.groupBy(name.alias("profile"), "day", "model").agg(F.count(F.lit(1)).alias("turns"), F.sum("input").cast("long").alias("input"), F.sum("output").cast("long").alias("output"))
 
 
+def profile_totals(spark, sf_dir):
+    """Sessions and usage of profiles: a profile a kind of event, a transcript a user; views bring no usage, sub-agents no sessions."""
+    e = events(spark, sf_dir)
+    lines = e.withColumn("line", _messages(e)).groupBy("event_type", "user_id").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("content"))
+    nested = F.when(F.col("user_id") % 4 == 3, F.lit("subagents/")).otherwise(F.lit(""))
+    path = F.concat("event_type", F.lit("/projects/p/"), nested, F.lit("t"), F.col("user_id"), F.lit(".jsonl"))
+    root = scratch_path(spark, "profiles")
+    sinks.write_documents(lines.select(path.alias("path"), "content"), root)
+    files = fleet.profile_files(spark, [root])
+    usage = fleet.profile_usage(spark, [root])
+    rows = fleet.profile_sessions(usage, files)
+    empty = rows.where("turns = 0").groupBy("profile").agg(F.count(F.lit(1)).alias("without_usage"))
+    out = fleet.profile_totals(usage, files).join(empty, "profile", "left")
+    return out.select(F.element_at(F.split("profile", "/"), -1).alias("profile"), "sessions", F.coalesce("without_usage", F.lit(0)).alias("without_usage"), "input", "output")
+
+
 def rollout_sessions(spark, sf_dir):
     """Rollouts: counters that only grow, a session after the other in a file, each begun by its id."""
     from pyspark.sql import Window
@@ -303,7 +320,7 @@ def fleet_sketches(spark, sf_dir):
     return exact.join(about, "n_regionkey").select("n_regionkey", "n_rows", "n_parts", "n_customers", near("parts", "n_parts").alias("parts_near"), near("customers", "n_customers").alias("customers_near"))
 
 
-QUERIES = {f.__name__: f for f in (transcript_sessions, transcript_projects, profile_usage_by_day, rollout_sessions, grok_sessions, gemini_sessions, provider_states, ledger_from_log, fleet_read, fleet_warnings, run_log, corpus_rollup, corpus_months, person_profile, four_stars, stream_hourly, stream_sessions, stream_ledger, stream_snapshots, kept_days, fleet_sketches)}
+QUERIES = {f.__name__: f for f in (transcript_sessions, transcript_projects, profile_usage_by_day, profile_totals, rollout_sessions, grok_sessions, gemini_sessions, provider_states, ledger_from_log, fleet_read, fleet_warnings, run_log, corpus_rollup, corpus_months, person_profile, four_stars, stream_hourly, stream_sessions, stream_ledger, stream_snapshots, kept_days, fleet_sketches)}
 
 _GROK = "gk AS (SELECT user_id, min(us) AS first_micros, max(us) AS last_micros, count(*) AS turns, CAST(sum(v - v // 4) AS BIGINT) AS input, CAST(sum(v * 3) AS BIGINT) AS output, CAST(sum(v // 4) AS BIGINT) AS cache_read FROM e WHERE event_type <> 'error' GROUP BY user_id)"
 _GEMINI = "gm AS (SELECT user_id, min(us) AS first_micros, max(us) AS last_micros, count(*) AS turns, CAST(sum(v - v // 2 + 2) AS BIGINT) AS input, CAST(sum(k + 1) AS BIGINT) AS output, CAST(sum(v // 2) AS BIGINT) AS cache_read FROM e WHERE event_type <> 'view' GROUP BY user_id)"
@@ -338,14 +355,17 @@ SELECT prompts, question_bp, correction_bp, mean_chars, CASE WHEN chars / prompt
   (SELECT min_by(h, (-n, h)) FROM hp) AS peak_hour, longest_streak, current_streak, (SELECT CAST(min_by(day, (-tokens, day)) AS VARCHAR) FROM dayt) AS busy_day, (SELECT CAST(max(tokens) AS BIGINT) FROM dayt) AS busy_tokens, (SELECT CAST(min_by(day, (-minutes, day)) AS VARCHAR) FROM dayt) AS long_day, longest_id, most_tokens, most_turns, 1 AS languages,
   {_clamp(_lg('hours', 8) + ' * 0.5 + ' + _lg('total_m', 5) + ' * 0.5')} AS intensity, {_clamp('active_days / elapsed_days::DOUBLE * 5 * 0.5 + ' + _lg('longest_streak', 3) + ' * 0.5')} AS consistency, {_clamp(_lg('1', 2) + ' * 0.4 + pct / 100 * 5 * 0.3 + ' + _lg('deleg', 3) + ' * 0.3')} AS craft FROM al""",
     "four_stars": f"""WITH {_E}, lastm AS (SELECT date_trunc('month', max(ts)) AS m FROM e),
-inp AS (SELECT user_id, span, sum(v) / 1e6 AS tokens_m, count(DISTINCT event_type) AS projects, count(*) AS tool_calls, count(DISTINCT k) AS models, count(DISTINCT d) AS active_days FROM (SELECT *, 'lifetime' AS span FROM e UNION ALL SELECT e.*, 'month' FROM e, lastm WHERE ts >= m) GROUP BY ALL),
-lv AS (SELECT user_id, span, {{t}} AS a0, {{p}} AS a1, {{c}} AS a2, {{m}} AS a3, {{s}} AS a4 FROM inp)
+sp AS (SELECT *, 'lifetime' AS span FROM e UNION ALL SELECT e.*, 'month' FROM e, lastm WHERE ts >= m),
+inp AS (SELECT user_id, span, sum(v) / 1e6 AS tokens_m, count(DISTINCT event_type) AS projects, count(*) AS tool_calls, count(DISTINCT k) AS models, count(DISTINCT d) AS active_days FROM sp GROUP BY ALL),
+iv AS (SELECT user_id, span, max(n) AS streak FROM (SELECT user_id, span, count(*) AS n FROM (SELECT user_id, span, d, d - CAST(row_number() OVER (PARTITION BY user_id, span ORDER BY d) AS INT) AS run FROM (SELECT DISTINCT user_id, span, d FROM sp)) GROUP BY user_id, span, run) GROUP BY ALL),
+lv AS (SELECT user_id, span, {{t}} AS a0, {{p}} AS a1, {{c}} AS a2, {{m}} AS a3, {{s}} AS a4 FROM inp JOIN iv USING (user_id, span))
 SELECT user_id, 'corpus' AS source, span, false AS floor, a0 + a1 + a2 + a3 + a4 AS total, 5 AS measured FROM lv UNION ALL SELECT user_id, 'fleet', span, true, a0, 1 FROM lv""",
     "transcript_sessions": f"""WITH {_E}, {_MIN}, mx AS (SELECT user_id, k, max(v) AS v FROM e WHERE event_type <> 'view' GROUP BY ALL), sm AS (SELECT user_id, CAST(sum(v) AS BIGINT) AS input, CAST(sum(v * 2) AS BIGINT) AS output FROM mx GROUP BY 1),
 b AS (SELECT user_id, min(us) AS first_micros, max(us) AS last_micros, count(*) AS events, count(*) FILTER (WHERE event_type = 'view') AS turns, count(*) FILTER (WHERE event_type <> 'view') AS tool_calls, count(DISTINCT d) AS days FROM e GROUP BY user_id)
 SELECT 's' || user_id AS session_id, first_micros, last_micros, events, turns, tool_calls, 'work/u' || user_id AS project, days, active_minutes, coalesce(input, 0) AS input, coalesce(output, 0) AS output FROM b JOIN active USING (user_id) LEFT JOIN sm USING (user_id)""",
     "transcript_projects": "SELECT DISTINCT 'work/u' || user_id AS project FROM events WHERE CAST(user_id AS VARCHAR) NOT LIKE '1%'",
     "profile_usage_by_day": f"WITH {_E} SELECT CASE WHEN event_type = 'click' THEN 'b' ELSE 'a' END AS profile, strftime(ts, '%Y-%m-%d') AS day, 'claude-' || event_type AS model, count(*) AS turns, CAST(sum(v) AS BIGINT) AS input, CAST(sum(v * 2) AS BIGINT) AS output FROM e WHERE event_type IN ('purchase', 'signup', 'click') GROUP BY ALL",
+    "profile_totals": f"WITH {_E} SELECT event_type AS profile, count(DISTINCT user_id) FILTER (WHERE user_id % 4 <> 3) AS sessions, CASE WHEN event_type = 'view' THEN count(DISTINCT user_id) FILTER (WHERE user_id % 4 <> 3) ELSE 0 END AS without_usage, CASE WHEN event_type = 'view' THEN 0 ELSE CAST(sum(v) AS BIGINT) END AS input, CASE WHEN event_type = 'view' THEN 0 ELSE CAST(sum(v * 2) AS BIGINT) END AS output FROM e GROUP BY event_type",
     "rollout_sessions": f"WITH {_E}, t AS (SELECT user_id, min(us) AS first_micros, max(us) AS last_micros, CAST(sum(v) AS BIGINT) AS total, count(*) AS n FROM e GROUP BY 1) SELECT 'r' || user_id AS session_id, first_micros, last_micros, total - total // 2 AS input, n AS output, total // 2 AS cache_read, 'gpt-5' AS model FROM t",
     "grok_sessions": f"WITH {_E}, {_GROK} SELECT 'user_id=' || user_id AS session_id, * EXCLUDE (user_id) FROM gk",
     "gemini_sessions": f"WITH {_E}, {_GEMINI} SELECT 'g' || user_id AS session_id, * EXCLUDE (user_id) FROM gm",
@@ -373,4 +393,4 @@ def _level(*terms: tuple[str, float, float]) -> str:
     return f"CAST(floor(least(7e0, greatest(0e0, {worth})) * 1000 + 0.5) AS BIGINT)"
 
 
-ORACLES["four_stars"] = ORACLES["four_stars"].format(t=_level(("tokens_m", 5.0, 1.0)), p=_level(("projects", 4.0, 0.6)), c=_level(("tool_calls", 2000.0, 1.0)), m=_level(("models", 1.0, 0.7)), s=_level(("1", 3.0, 0.5), ("active_days", 8.0, 0.5)))
+ORACLES["four_stars"] = ORACLES["four_stars"].format(t=_level(("tokens_m", 5.0, 1.0)), p=_level(("projects", 4.0, 0.6)), c=_level(("tool_calls", 2000.0, 1.0)), m=_level(("models", 1.0, 0.7)), s=_level(("streak", 3.0, 0.5), ("active_days", 8.0, 0.5)))

@@ -6,7 +6,7 @@ tasks list the next level; only beginnings of files are read here.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tallymark.session import scratch_path
 
+#: Bytes that leave a task at once.
+TOGETHER = 1 << 24
 FOUND = "path string, folder boolean, size long"
 _SCHEMA = pa.schema([("path", pa.string()), ("folder", pa.bool_()), ("size", pa.int64())])
 
@@ -39,10 +41,19 @@ def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(dict(zip(_SCHEMA.names, map(list, zip(*rows, strict=True)) if rows else [[], [], []], strict=True)), schema=_SCHEMA)
 
 
-def walk(spark: SparkSession, root: str, depth: int, skip: tuple[str, ...] = ()) -> DataFrame:
+def qualified(spark: SparkSession, root: str) -> str:
+    """A bare path on the file system that Spark's readers take it from: as it is on a local one, else with its scheme."""
+    if not root.startswith("/"):
+        return root
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    home = path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().toString()
+    return root if home.startswith("file:") else home.rstrip("/") + root
+
+
+def walk(spark: SparkSession, root: str, depth: int, skip: Sequence[str] = ()) -> DataFrame:
     """Files down to ``depth`` folders below the root: path, size; of folders that cannot be listed the size is null."""
     at = scratch_path(spark, "walk")
-    level = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string")
+    level = spark.createDataFrame([(qualified(spark, root).rstrip("/") or "/",)], "path string")
     for nth in range(depth + 1):
         level.mapInArrow(_list, FOUND).write.parquet(f"{at}/level={nth}")
         found = spark.read.schema(FOUND).parquet(f"{at}/level={nth}")
@@ -59,7 +70,9 @@ def heads(files: DataFrame, most: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            paths: list[str] = []
             out: list[bytes | None] = []
+            held = 0
             for path in batch.column("path").to_pylist():
                 try:
                     opened, at = _files(path)
@@ -67,6 +80,12 @@ def heads(files: DataFrame, most: int) -> DataFrame:
                         out.append(f.read(most))
                 except OSError:
                     out.append(None)
-            yield pa.RecordBatch.from_pydict({"path": batch.column("path").to_pylist(), "head": out}, schema=schema)
+                paths.append(path)
+                held += len(out[-1] or b"")
+                if held >= TOGETHER:
+                    yield pa.RecordBatch.from_pydict({"path": paths, "head": out}, schema=schema)
+                    paths, out, held = [], [], 0
+            if paths:
+                yield pa.RecordBatch.from_pydict({"path": paths, "head": out}, schema=schema)
 
     return files.select("path").mapInArrow(run, "path string, head binary")

@@ -242,3 +242,21 @@ def test_a_cluster_must_name_its_shared_folder():
     with pytest.raises(ValueError):
         session.shared_dir(Session(**{"spark.master": "spark://host:7077"}))
     assert session.shared_dir(Session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:///x/"})) == "hdfs:///x"
+
+
+def test_a_transcript_without_usage_is_a_session(spark, tmp_path):
+    row = json.dumps({"timestamp": "2026-02-01T00:00:00Z", "uuid": "u", "message": {"model": "m", "usage": {"input_tokens": 5}}})
+    for path, text in (("a/projects/p/used.jsonl", row), ("a/projects/p/empty.jsonl", '{"type":"user"}'), ("a/projects/p/subagents/none.jsonl", "{}"), ("b/projects/p/copy.jsonl", row), ("b/other.jsonl", row)):
+        write(tmp_path / path, text)
+    files, usage = fleet.profile_files(spark, [str(tmp_path)]), fleet.profile_usage(spark, [str(tmp_path)])
+    name = lambda p: p.rsplit("/", 1)[1]
+    rows = {(name(r.profile), r.session_id): (r.turns, r.input, r.model) for r in fleet.profile_sessions(usage, files).collect()}
+    # The copied row counts once; the file it was copied to is a session of zeros.
+    assert rows == {("a", "used"): (1, 5, "m"), ("a", "empty"): (0, 0, None), ("b", "copy"): (0, 0, None)}
+    assert {name(r.profile): (r.sessions, r.input) for r in fleet.profile_totals(usage, files).collect()} == {"a": (2, 5), "b": (1, 0)}
+
+
+def test_tool_roots(spark):
+    at = lambda p: spark.range(1).select(fleet.tool_root(F.lit(p), "/h/a.b")).first()[0]
+    assert at("/h/a.b/.config/x/y") == "/h/a.b/.config/x" and at("/h/a.b/.tool/s") == "/h/a.b/.tool" and at("/h/a.b/Library/Application Support/T/z") == "/h/a.b/Library/Application Support/T"
+    assert at("/h/a.b/.config") == "/h/a.b/.config" and at("/elsewhere/x") == "/elsewhere/x" and at("/h/a.b") == "/h/a.b"
