@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import text as T
 from tallymark.operators import activity, profile, scoring
+from tallymark.session import kept
 
 TOKENS = ["input", "output", "cache_read", "cache_write"]
 # Sources of code work, tools of hands-on work, of operating and of orchestration.
@@ -23,6 +24,8 @@ OPERATOR = ["Bash", "shell", "local_shell_call", "exec_command"]
 ORCHESTRATION = ["Task"]
 #: Hours of the night for a profile, and the share of them that makes an owl.
 NIGHT, OWL_BP = [22, 23, 0, 1, 2, 3, 4], 3500
+#: Fixed value: minutes before this hour are of the night for a scan.
+EARLY = 6
 #: Projects, tools and models listed.
 TOP_PROJECTS, TOP_TOOLS = 20, 8
 
@@ -54,27 +57,55 @@ def touched(events: DataFrame, excluded: list[str] | None = None) -> DataFrame:
     return paths.where(~T.excluded(F.col("path"), excluded or []))
 
 
+def by_minute(events: DataFrame) -> DataFrame:
+    """Events and user turns of each minute that has any, kept: what days, hours, nights and streaks are read off, in one scan of the events."""
+    return kept(events.groupBy(F.date_trunc("minute", "ts").alias("minute")).agg(F.count(F.lit(1)).alias("events"), F.count_if("user_turn").alias("turns")), "minutes")
+
+
+def tallied(events: DataFrame, excluded: list[str] | None = None) -> DataFrame:
+    """How often each tool was called, and each language touched by a path, kept, in one scan of the events: kind, value, n."""
+    item = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    paths = F.filter("t.paths", lambda p: ~T.excluded(p, excluded or []))
+    items = F.concat(F.array(item("tool", F.col("t.name"))), F.transform(paths, lambda p: item("language", T.counted_language(p))))
+    seen = events.select(F.explode("tools").alias("t")).select(F.explode(items).alias("i"))
+    return kept(seen.groupBy("i.kind", "i.value").agg(F.count(F.lit(1)).alias("n")), "tallies")
+
+
+def listed(tallies: DataFrame, kind: str, name: str, k: int | None = None) -> DataFrame:
+    """One row: the values of a kind with their counts as an array, most first, then by value."""
+    rows = tallies.where((F.col("kind") == kind) & F.col("value").isNotNull())
+    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), F.col("value").alias("name"))))
+    top = F.slice(order, 1, k) if k else order
+    return rows.agg(F.transform(top, lambda x: F.struct(x["name"].alias("name"), (-x["order"]).alias("n"))).alias(name))
+
+
 def corpus(events: DataFrame, sessions: DataFrame, projects: DataFrame, excluded: list[str] | None = None) -> DataFrame:
     """The roll-up of a scan, one row.
 
     ``projects`` are the distinct projects of sessions and folders. The list of
-    projects is cut for display; ``projects_count`` is not.
+    projects is cut for display; ``projects_count`` is not. Events are scanned
+    twice, for their times and for their tools; everything else reads what these
+    two left.
     """
-    paths = touched(events, excluded)
-    runs = activity.islands(events.withColumn("k", F.lit(1)), ["k"], F.to_date("ts"))
-    hours = activity.hour_histogram(events, "ts").agg(F.array_sort(F.collect_list(F.struct("hour", "events"))).alias("h"))
-    night = activity.night_minutes(events.withColumn("k", F.lit(1)), ["k"], "ts")
+    times, tallies = by_minute(events), tallied(events, excluded)
+    at = F.col("minute")
+    number = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    runs = activity.islands(times.withColumn("k", F.lit(1)), ["k"], F.to_date(at))
     return side_by_side([
-        sessions.agg(F.count(F.lit(1)).alias("total_sessions"), F.coalesce(F.sum("active_minutes"), F.lit(0)).alias("active_minutes"), *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(f"total_{c}") for c in TOKENS)),
-        events.agg(F.count_if("user_turn").alias("user_turns"), F.count_distinct(F.to_date("ts")).alias("active_days"), share(F.count_if(F.dayofweek("ts").isin(1, 7)), F.count(F.lit(1))).alias("weekend_bp")),
-        ranked(events.select(F.explode("tools.name").alias("tool")), "tool", 1 << 30, "tool_calls"),
+        sessions.agg(F.count(F.lit(1)).alias("total_sessions"), F.coalesce(F.sum("active_minutes"), F.lit(0)).alias("active_minutes"), *(number(c).alias(f"total_{c}") for c in TOKENS)),
+        times.agg(
+            number("turns").alias("user_turns"),
+            F.count_distinct(F.to_date(at)).alias("active_days"),
+            share(F.sum(F.when(F.dayofweek(at).isin(1, 7), F.col("events")).otherwise(F.lit(0))), F.sum("events")).alias("weekend_bp"),
+            F.array(*(number(F.when(F.hour(at) == h, F.col("events"))) for h in range(24))).alias("hour_buckets"),
+            F.count_if(F.hour(at) < EARLY).alias("night_minutes"),
+        ),
+        listed(tallies, "tool", "tool_calls"),
         ranked(sessions.select("project"), "project", TOP_PROJECTS, "projects"),
         projects.agg(F.count_distinct("project").alias("projects_count")),
         ranked(sessions.select("model"), "model", 1 << 30, "models"),
-        paths.agg(F.count(F.lit(1)).alias("file_paths_touched")),
-        ranked(paths.select(T.counted_language(F.col("path")).alias("language")), "language", 1 << 30, "languages"),
-        hours.select(F.transform("h", lambda x: x["events"]).alias("hour_buckets")),
-        night.agg(F.coalesce(F.sum("night_minutes"), F.lit(0)).cast("long").alias("night_minutes")),
+        tallies.where("kind = 'language'").agg(number("n").alias("file_paths_touched")),
+        listed(tallies, "language", "languages"),
         runs.agg(F.coalesce(F.max("days"), F.lit(0)).alias("longest_streak_days")),
     ])
 
@@ -110,20 +141,24 @@ def person(events: DataFrame, sessions: DataFrame, today: Column) -> DataFrame:
     talk = profile.prompt_metrics(events.where("user_turn").withColumn("k", F.lit(1)), ["k"], "prompt").drop("k")
     empty = sessions.agg(F.lit(0).cast("long").alias("prompts_"))
     talk = empty.join(talk, F.lit(True), "left").select(F.coalesce("prompts", "prompts_").alias("prompts"), "question_bp", "correction_bp", "mean_chars", profile.prompt_style(F.col("chars") / F.when(F.col("prompts") > 0, F.col("prompts"))).alias("prompt_style"))
-    tools = events.select(F.explode("tools.name").alias("tool"))
-    of = lambda names: F.count_if(F.col("tool").isin(names))
-    work = tools.agg(F.count(F.lit(1)).alias("tool_calls"), share(of(HANDS_ON), F.count(F.lit(1))).alias("hands_on_bp"), share(of(ORCHESTRATION), F.count(F.lit(1))).alias("orchestration_bp"), share(of(OPERATOR), F.count(F.lit(1))).alias("operator_bp"))
+    times, tallies = by_minute(events), tallied(events)
+    calls = tallies.where("kind = 'tool'")
+    all_calls = F.coalesce(F.sum("n"), F.lit(0)).cast("long")
+    of = lambda names: F.coalesce(F.sum(F.when(F.col("value").isin(names), F.col("n"))), F.lit(0))
+    work = calls.agg(all_calls.alias("tool_calls"), share(of(HANDS_ON), all_calls).alias("hands_on_bp"), share(of(ORCHESTRATION), all_calls).alias("orchestration_bp"), share(of(OPERATOR), all_calls).alias("operator_bp"))
     vendors = s.where("model is not null").agg(*(F.count_if(T.vendor_class(F.col("model")) == v).alias(f"{v}_sessions") for v in ("anthropic", "openai", "other")))
     cadence = s.agg(F.count(F.lit(1)).alias("sessions"), F.median("active_minutes").alias("median_minutes"), *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in TOKENS), F.coalesce(F.sum("total"), F.lit(0)).cast("long").alias("total"), F.coalesce(F.sum(F.when((F.col("day") > F.date_sub(today, 30)) & (F.col("day") <= today), F.col("active_minutes"))), F.lit(0)).alias("minutes_30d"))
-    days = events.agg(F.count_distinct(F.to_date("ts")).alias("active_days"), (F.datediff(F.max(F.to_date("ts")), F.min(F.to_date("ts"))) + 1).alias("elapsed_days"), F.count_if(F.dayofweek("ts").isin(1, 7)).alias("weekend_events"), F.count_if(F.hour("ts").isin(NIGHT)).alias("night_events"), F.count(F.lit(1)).alias("events"))
-    hours = activity.hour_histogram(events, "ts").agg(F.min_by("hour", F.struct(-F.col("events"), "hour")).alias("peak_hour"))
-    streak = activity.streaks(events.withColumn("k", F.lit(1)), ["k"], F.to_date("ts"), today).agg(F.coalesce(F.max("longest"), F.lit(0)).alias("longest_streak"), F.coalesce(F.max("current_strict"), F.lit(0)).alias("current_streak"))
+    at = F.col("minute")
+    here = lambda c: F.coalesce(F.sum(F.when(c, F.col("events"))), F.lit(0)).cast("long")
+    days = times.agg(F.count_distinct(F.to_date(at)).alias("active_days"), (F.datediff(F.max(F.to_date(at)), F.min(F.to_date(at))) + 1).alias("elapsed_days"), here(F.dayofweek(at).isin(1, 7)).alias("weekend_events"), here(F.hour(at).isin(NIGHT)).alias("night_events"), here(F.lit(True)).alias("events"))
+    hours = times.groupBy(F.hour(at).cast("long").alias("hour")).agg(F.sum("events").alias("events")).agg(F.min_by("hour", F.struct(-F.col("events"), "hour")).alias("peak_hour"))
+    streak = activity.streaks(times.withColumn("k", F.lit(1)), ["k"], F.to_date(at), today).agg(F.coalesce(F.max("longest"), F.lit(0)).alias("longest_streak"), F.coalesce(F.max("current_strict"), F.lit(0)).alias("current_streak"))
     of_day = s.groupBy("day").agg(F.sum("total").cast("long").alias("tokens"), F.sum("active_minutes").alias("minutes"))
     rhythm = of_day.agg(F.min_by(F.struct("day", "tokens"), F.struct(-F.col("tokens"), "day")).alias("busiest_day"), F.min_by(F.struct("day", "minutes"), F.struct(-F.col("minutes"), "day")).alias("longest_day"))
     record = lambda c: F.min_by(F.struct("session_id", F.col(c).cast("long").alias("value")), F.struct(-F.col(c), "start", "session_id"))
     records = s.agg(record("active_minutes").alias("longest_session"), record("total").alias("most_tokens_session"), record("turns").alias("most_turns_session"))
-    craft = touched(events).agg(F.count_distinct(T.counted_language(F.col("path"))).alias("languages"))
-    row = side_by_side([talk, work, ranked(tools, "tool", TOP_TOOLS, "tool_mix"), vendors, cadence, days, hours, streak, rhythm, records, craft])
+    craft = tallies.where("kind = 'language'").agg(F.count_distinct("value").alias("languages"))
+    row = side_by_side([talk, work, listed(tallies, "tool", "tool_mix", TOP_TOOLS), vendors, cadence, days, hours, streak, rhythm, records, craft])
     row = row.withColumns({"weekend_bp": share(F.col("weekend_events"), F.col("events")), "night_bp": share(F.col("night_events"), F.col("events")), "delegation": F.try_divide(F.col("tool_calls"), F.col("prompts"))})
     row = row.withColumns({"night_owl": F.col("night_bp") >= OWL_BP, "peak_hour": F.when(F.col("events") > 0, F.col("peak_hour")), **{f"{c}_bp": share(F.col(c), F.col("total")) for c in TOKENS}, "new_content": F.col("input") + F.col("cache_write") + F.col("output")})
     row = row.withColumns({"hours_30d": F.col("minutes_30d") / 60, "total_m": F.col("total") / 1e6, "streak": F.col("longest_streak"), "langs": F.col("languages"), "hands_on_pct": F.col("hands_on_bp") / 100, "k": F.lit(1)})
