@@ -154,6 +154,86 @@ def map_labels(documents: DataFrame, text: str, salt: str = "") -> DataFrame:
     return documents.withColumn("masked", trees.mask_labels(salt)(F.col(text)))
 
 
+# Scripts that a package manager runs by itself, and fields that name dependencies.
+LIFECYCLE_HOOKS = ["preinstall", "install", "postinstall", "prepare", "prepublish", "prepublishOnly", "prepack", "postpack", "postpublish", "preuninstall", "uninstall", "postuninstall"]
+DEPENDENCY_FIELDS = ["dependencies", "optionalDependencies", "peerDependencies", "bundledDependencies", "bundleDependencies"]
+# How a text names a destination: a URL, a host's field, a domain in quotes.
+DESTINATIONS = [
+    (r"(?i)\b[a-z][a-z0-9+.-]*://[^\s\"'`<>)\\]+", 0),
+    (r"(?i)\b(?:host|hostname|target|endpoint)\s*:\s*[\"'`]([^\"'`]+)[\"'`]", 1),
+    (r"(?i)[\"'`]((?:[a-z0-9][a-z0-9-]*\.)+(?:com|net|org|io|ai|xyz|info|ru|cn|us|gg|example|onion))(?::\d+)?(?:/[^\"'`]*)?[\"'`]", 1),
+]
+# Hosts that cannot be reached from elsewhere, endings of such, and names that are only identifiers.
+NOWHERE, NOWHERE_ENDINGS, IDENTIFIERS = ["localhost", "127.0.0.1", "0.0.0.0", "::1"], [".example", ".invalid", ".test", ".localhost", ".local"], ["www.w3.org", "w3.org"]
+RESERVED = ["example.com", "example.net", "example.org"]
+#: Fixed value: the destination that an exempt file may name.
+PROBE = ["1.1.1.1"]
+
+
+def package_findings(files: DataFrame, path: str, text: str) -> DataFrame:
+    """What a package.json must not declare: path, rule (lifecycle hook, dependencies), name, n.
+
+    A hook is found whatever its script says; a field of dependencies is found
+    unless it is empty, and ``n`` counts them.
+    """
+    name = F.element_at(F.split(path, "/"), -1)
+    j = files.where(name == "package.json").select(F.col(path).alias("path"), F.try_parse_json(text).alias("j"))
+    said = lambda at: F.try_variant_get("j", at, "variant")
+    hooks = [F.when(said(f"$.scripts.{h}").isNotNull(), F.struct(F.lit("lifecycle hook").alias("rule"), F.lit(h).alias("name"), F.lit(1).alias("n"))) for h in LIFECYCLE_HOOKS]
+    size = lambda f: F.coalesce(F.size(F.map_keys(F.try_variant_get("j", f"$.{f}", "map<string,variant>"))), F.size(F.try_variant_get("j", f"$.{f}", "array<variant>")))
+    fields = [F.when(size(f) > 0, F.struct(F.lit("dependencies").alias("rule"), F.lit(f).alias("name"), size(f).alias("n"))) for f in DEPENDENCY_FIELDS]
+    return j.select("path", F.explode(F.array_compact(F.array(*hooks, *fields))).alias("f")).select("path", "f.rule", "f.name", F.col("f.n").cast("long").alias("n"))
+
+
+def destinations(text: Column) -> Column:
+    """Every destination that a text names, in any of the ways of :data:`DESTINATIONS`, once each."""
+    return F.array_distinct(F.transform(F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in DESTINATIONS))), F.trim))
+
+
+def host_of(destination: Column) -> Column:
+    """A destination's host in lower case, without scheme, user, port and path."""
+    bare = F.element_at(F.split(F.regexp_replace(destination, "^.*?://", ""), "/"), 1)
+    return F.lower(F.regexp_replace(F.element_at(F.split(bare, "@"), -1), r":\d+$", ""))
+
+
+def unroutable(host: Column) -> Column:
+    """Whether a host can lead nowhere: one label, a reserved name, or an identifier of a name space."""
+    ends = F.lit(False)
+    for ending in NOWHERE_ENDINGS:
+        ends = ends | host.endswith(ending)
+    for name in RESERVED:
+        ends = ends | (host == name) | host.endswith(f".{name}")
+    return ~host.contains(".") | host.isin(NOWHERE + IDENTIFIERS) | ends
+
+
+def host_findings(files: DataFrame, path: str, text: str, allowed: list[str], own_hosts: list[str] | None = None) -> DataFrame:
+    """Destinations that a test or an exempt file (by name) must not name: path, kind, host, literal.
+
+    A test may name hosts that lead nowhere, an exempt file the probe's; both
+    may name the package's own hosts.
+    """
+    exempt = F.element_at(F.split(path, "/"), -1).isin(allowed)
+    kind = F.when(file_kind(F.col(path), F.element_at(F.split(text, "\n"), 1)) == "test", "test").when(exempt, "exempt")
+    named = files.select(F.col(path).alias("path"), kind.alias("kind"), F.col(text).alias("body")).where("kind is not null")
+    found = named.select("path", "kind", F.explode(destinations(F.col("body"))).alias("literal")).withColumn("host", host_of(F.col("literal")))
+    fine = F.col("host").isin(own_hosts or []) | F.when(F.col("kind") == "test", unroutable(F.col("host"))).otherwise(F.col("host").isin(PROBE))
+    return found.where((F.col("literal") != "") & ~fine).select("path", "kind", "host", "literal")
+
+
+def pin_states(files: DataFrame, path: str, text: str, pins: DataFrame, hits: DataFrame) -> DataFrame:
+    """Each exempt file's pin and whether its exemption is used: path, pin (ok, MISMATCH, UNPINNED), gutted.
+
+    ``pins`` has name and sha256 of the exempt files, null where none was made;
+    ``hits`` are rows of :func:`static_scan`. A file without a hit needs no
+    exemption: what it was exempt for is gone.
+    """
+    name = F.element_at(F.split(path, "/"), -1)
+    own = files.select(F.col(path).alias("path"), name.alias("name"), F.sha2(F.col(text).cast("binary"), 256).alias("got")).join(pins.select("name", "sha256"), "name")
+    used = hits.select("path").distinct().withColumn("used", F.lit(True))
+    pin = F.when(F.col("sha256").isNull(), "UNPINNED").when(F.col("sha256") == F.col("got"), "ok").otherwise("MISMATCH")
+    return own.join(used, "path", "left").select("path", pin.alias("pin"), F.coalesce(~F.col("used"), F.lit(True)).alias("gutted"))
+
+
 def rule_matrix(lines: DataFrame, rules: dict[str, tuple[str, str]], kind: str, line: str) -> DataFrame:
     """Rows of ``lines`` with each rule that matches: rule name -> (file kind or ``*``, pattern).
 

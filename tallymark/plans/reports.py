@@ -142,6 +142,23 @@ def walked_in_sql(spark, sf_dir):
     return spark.sql("SELECT w.path, w.string, count(*) AS n, count(DISTINCT d.o_orderkey) AS docs FROM {docs} d, LATERAL json_walk(d.doc) w WHERE w.string IS NOT NULL GROUP BY ALL", docs=docs)
 
 
+def shipped_files(spark, sf_dir):
+    """Parts as packages of three files each: hooks and dependencies, hosts that tests and exempt files name, pins."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.replace(F.lower("p_brand"), F.lit("#"), F.lit("")).alias("brand"))
+    folder = F.concat(F.lit("p"), "p_partkey", F.lit("/"))
+    hook = F.when(F.col("p_size") % 3 == 0, F.lit(', "postinstall": "x"')).otherwise(F.lit(""))
+    package = F.concat(F.lit('{"scripts": {"test": "y"'), hook, F.lit('}, "dependencies": {'), F.when(F.col("p_size") % 2 == 0, F.lit('"a": "1", "b": "2"')).otherwise(F.lit("")), F.lit("}}"))
+    test = F.concat(F.lit("get('https://u@"), "brand", F.when(F.col("p_size") % 5 == 0, F.lit(".com:80/a')")).otherwise(F.lit(".example/a')")), F.lit("; host: 'localhost'"))
+    exempt = F.concat(F.when(F.col("p_size") % 7 == 0, F.lit("// nothing")).otherwise(F.lit("fetch(x)")), F.lit('; const probe = {target: "1.1.1.1"}; // '), "brand")
+    files = p.select(F.explode(F.array(F.struct(F.concat(folder, F.lit("package.json")).alias("path"), package.alias("text")), F.struct(F.concat(F.lit("tests/"), folder, F.lit("a.mjs")).alias("path"), test.alias("text")), F.struct(F.concat(folder, F.lit("exempt"), "p_partkey", F.lit(".mjs")).alias("path"), exempt.alias("text")))).alias("f")).select("f.*")
+    pins = p.select(F.concat(F.lit("exempt"), "p_partkey", F.lit(".mjs")).alias("name"), F.when(F.col("p_size") % 11 == 0, F.lit(None)).otherwise(F.sha2(F.concat(F.lit('fetch(x); const probe = {target: "1.1.1.1"}; // '), "brand").cast("binary"), 256)).alias("sha256"))
+    declared = quality.package_findings(files, "path", "text").groupBy("rule", "name").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("n"))
+    hosts = quality.host_findings(files, "path", "text", []).groupBy(F.lit("host").alias("rule"), F.col("host").alias("name")).agg(F.count(F.lit(1)).alias("files"), F.count(F.lit(1)).alias("n"))
+    hits = quality.static_scan(files, "path", "text")
+    pinned = quality.pin_states(files, "path", "text", pins, hits).groupBy(F.lit("pin").alias("rule"), F.concat_ws(" ", "pin", F.when(F.col("gutted"), "gutted")).alias("name")).agg(F.count(F.lit(1)).alias("files"), F.count(F.lit(1)).alias("n"))
+    return declared.unionByName(hosts).unionByName(pinned)
+
+
 def static_rules(spark, sf_dir):
     """Parts as shipped files of four kinds, and which rules their lines break."""
     part = table(spark, sf_dir, "part")
@@ -156,7 +173,7 @@ def skip_reasons(spark, sf_dir):
     return quality.skipped(table(spark, sf_dir, "documents"), "text")
 
 
-QUERIES = {f.__name__: f for f in (proficiency_gauges, signature_line, share_url, flag_suggestion, allowlist_findings, known_path_prefix, receipt, human_counts, fixed_prices, short_counts, peak_hours, folder_slugs, escaped_pages, json_vocabulary, masked_labels, walked_in_sql, static_rules, skip_reasons)}
+QUERIES = {f.__name__: f for f in (proficiency_gauges, signature_line, share_url, flag_suggestion, allowlist_findings, known_path_prefix, receipt, human_counts, fixed_prices, short_counts, peak_hours, folder_slugs, escaped_pages, json_vocabulary, masked_labels, walked_in_sql, static_rules, shipped_files, skip_reasons)}
 
 _G = f"""WITH {_E}, {_streak_sql()},
 m AS (SELECT DISTINCT user_id, us // 60000000 AS mi FROM e), g AS (SELECT user_id, mi - lag(mi) OVER (PARTITION BY user_id ORDER BY mi) AS gap FROM m),
@@ -190,6 +207,11 @@ ORACLES = {
 SELECT c_custkey, '{"deep":{"project":"' || o || '"},"projects":[{"langs":["py"],"name":"' || n || '"},{"name":"[excluded]"}],"rest":["' || n || '","' || o || '","[excluded]","see ' || c_name || '","{\"project\":\"' || f || '\",\"seen\":[\"' || n || '\",\"' || f || '\"]}"],"n":1.50}' AS masked FROM p""",
     "walked_in_sql": """WITH s AS (SELECT 'o_orderstatus' AS path, o_orderstatus AS string FROM orders UNION ALL SELECT 'list[].o_orderpriority', o_orderpriority FROM orders UNION ALL SELECT 'list[].nested', '{"o_orderstatus":"' || o_orderstatus || '"}' FROM orders UNION ALL SELECT 'list[].nested(nested).o_orderstatus', o_orderstatus FROM orders)
 SELECT path, string, count(*) AS n, count(*) AS docs FROM s GROUP BY ALL""",
+    "shipped_files": """WITH p AS (SELECT p_size, lower(replace(p_brand, '#', '')) AS brand FROM part)
+SELECT 'lifecycle hook' AS rule, 'postinstall' AS name, count(*) AS files, count(*) AS n FROM p WHERE p_size % 3 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'dependencies', 'dependencies', count(*), 2 * count(*) FROM p WHERE p_size % 2 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'host', brand || '.com', count(*), count(*) FROM p WHERE p_size % 5 = 0 GROUP BY 2
+UNION ALL SELECT 'pin', CASE WHEN p_size % 11 = 0 THEN 'UNPINNED' WHEN p_size % 7 = 0 THEN 'MISMATCH' ELSE 'ok' END || CASE WHEN p_size % 7 = 0 THEN ' gutted' ELSE '' END, count(*), count(*) FROM p GROUP BY 2""",
     "static_rules": """WITH f AS (SELECT CASE p_size % 4 WHEN 0 THEN 'shell' WHEN 1 THEN 'js' WHEN 2 THEN 'test' END AS kind, count(*) AS n FROM part WHERE p_size % 4 < 3 GROUP BY 1),
 r(kind, line_no, rule, verdict) AS (VALUES ('shell', 2, 'curl', 'FAIL'), ('shell', 2, 'pipe to an interpreter', 'FAIL'), ('js', 1, 'fetch', 'allowed'), ('js', 3, 'eval', 'FAIL'), ('js', 3, 'import of no literal', 'FAIL'), ('test', 1, 'fetch', 'listed'), ('test', 3, 'eval', 'listed'), ('test', 3, 'import of no literal', 'listed'))
 SELECT kind, line_no, rule, verdict, n FROM f JOIN r USING (kind)""",
