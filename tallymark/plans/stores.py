@@ -20,7 +20,7 @@ from tallymark.plans.events import _E, _MIN, events
 from tallymark.plans.reports import _clamp, _lg
 from tallymark.plans.fleet import cents
 from tallymark.session import kept, scratch_path, table
-from tallymark.sources import fleet, providers, sinks, transcripts
+from tallymark.sources import discover, fleet, providers, sinks, transcripts
 from tallymark.streaming import incremental
 
 #: What Spark's text writer calls its files.
@@ -146,6 +146,18 @@ def profile_totals(spark, sf_dir):
     return out.select(F.element_at(F.split("profile", "/"), -1).alias("profile"), "sessions", F.coalesce("without_usage", F.lit(0)).alias("without_usage"), "input", "output")
 
 
+def discovered_sources(spark, sf_dir):
+    """Transcripts of three stores found below a home folder, one a user, those too deep or in no store left out; and their lines."""
+    e = events(spark, sf_dir)
+    folder = F.when(F.col("event_type") == "view", ".claude/projects/p/sub/agents/").when(F.col("event_type") == "click", "Library/Application Support/Claude/local-agent-mode-sessions/a/").when(F.col("event_type") == "purchase", ".codex/sessions/2024/01/").when(F.col("event_type") == "signup", ".claude/projects/1/2/3/4/5/6/7/").otherwise(".claude/notes/")
+    rows = e.groupBy("event_type", "user_id").agg(F.array_join(F.collect_list(F.to_json(F.struct("event_id"))), "\n").alias("content"))
+    home = scratch_path(spark, "home")
+    sinks.write_documents(rows.select(F.concat(folder, F.lit("u"), "user_id", F.lit(".jsonl")).alias("path"), "content"), home)
+    found = kept(discover.transcripts(spark, [home.removeprefix("file://")]), "found")
+    lines = discover.lines_of(spark, found).groupBy("source").agg(F.count(F.lit(1)).alias("lines"))
+    return found.groupBy("source").agg(F.count(F.lit(1)).alias("files")).join(lines, "source")
+
+
 def rollout_sessions(spark, sf_dir):
     """Rollouts: counters that only grow, a session after the other in a file, each begun by its id."""
     from pyspark.sql import Window
@@ -320,7 +332,7 @@ def fleet_sketches(spark, sf_dir):
     return exact.join(about, "n_regionkey").select("n_regionkey", "n_rows", "n_parts", "n_customers", near("parts", "n_parts").alias("parts_near"), near("customers", "n_customers").alias("customers_near"))
 
 
-QUERIES = {f.__name__: f for f in (transcript_sessions, transcript_projects, profile_usage_by_day, profile_totals, rollout_sessions, grok_sessions, gemini_sessions, provider_states, ledger_from_log, fleet_read, fleet_warnings, run_log, corpus_rollup, corpus_months, person_profile, four_stars, stream_hourly, stream_sessions, stream_ledger, stream_snapshots, kept_days, fleet_sketches)}
+QUERIES = {f.__name__: f for f in (transcript_sessions, transcript_projects, profile_usage_by_day, profile_totals, discovered_sources, rollout_sessions, grok_sessions, gemini_sessions, provider_states, ledger_from_log, fleet_read, fleet_warnings, run_log, corpus_rollup, corpus_months, person_profile, four_stars, stream_hourly, stream_sessions, stream_ledger, stream_snapshots, kept_days, fleet_sketches)}
 
 _GROK = "gk AS (SELECT user_id, min(us) AS first_micros, max(us) AS last_micros, count(*) AS turns, CAST(sum(v - v // 4) AS BIGINT) AS input, CAST(sum(v * 3) AS BIGINT) AS output, CAST(sum(v // 4) AS BIGINT) AS cache_read FROM e WHERE event_type <> 'error' GROUP BY user_id)"
 _GEMINI = "gm AS (SELECT user_id, min(us) AS first_micros, max(us) AS last_micros, count(*) AS turns, CAST(sum(v - v // 2 + 2) AS BIGINT) AS input, CAST(sum(k + 1) AS BIGINT) AS output, CAST(sum(v // 2) AS BIGINT) AS cache_read FROM e WHERE event_type <> 'view' GROUP BY user_id)"
@@ -366,6 +378,7 @@ SELECT 's' || user_id AS session_id, first_micros, last_micros, events, turns, t
     "transcript_projects": "SELECT DISTINCT 'work/u' || user_id AS project FROM events WHERE CAST(user_id AS VARCHAR) NOT LIKE '1%'",
     "profile_usage_by_day": f"WITH {_E} SELECT CASE WHEN event_type = 'click' THEN 'b' ELSE 'a' END AS profile, strftime(ts, '%Y-%m-%d') AS day, 'claude-' || event_type AS model, count(*) AS turns, CAST(sum(v) AS BIGINT) AS input, CAST(sum(v * 2) AS BIGINT) AS output FROM e WHERE event_type IN ('purchase', 'signup', 'click') GROUP BY ALL",
     "profile_totals": f"WITH {_E} SELECT event_type AS profile, count(DISTINCT user_id) FILTER (WHERE user_id % 4 <> 3) AS sessions, CASE WHEN event_type = 'view' THEN count(DISTINCT user_id) FILTER (WHERE user_id % 4 <> 3) ELSE 0 END AS without_usage, CASE WHEN event_type = 'view' THEN 0 ELSE CAST(sum(v) AS BIGINT) END AS input, CASE WHEN event_type = 'view' THEN 0 ELSE CAST(sum(v * 2) AS BIGINT) END AS output FROM e GROUP BY event_type",
+    "discovered_sources": "SELECT CASE event_type WHEN 'view' THEN 'claude_code' WHEN 'click' THEN 'cowork' ELSE 'codex' END AS source, count(DISTINCT user_id) AS files, count(*) AS lines FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY 1",
     "rollout_sessions": f"WITH {_E}, t AS (SELECT user_id, min(us) AS first_micros, max(us) AS last_micros, CAST(sum(v) AS BIGINT) AS total, count(*) AS n FROM e GROUP BY 1) SELECT 'r' || user_id AS session_id, first_micros, last_micros, total - total // 2 AS input, n AS output, total // 2 AS cache_read, 'gpt-5' AS model FROM t",
     "grok_sessions": f"WITH {_E}, {_GROK} SELECT 'user_id=' || user_id AS session_id, * EXCLUDE (user_id) FROM gk",
     "gemini_sessions": f"WITH {_E}, {_GEMINI} SELECT 'g' || user_id AS session_id, * EXCLUDE (user_id) FROM gm",
