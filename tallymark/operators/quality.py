@@ -154,6 +154,62 @@ def map_labels(documents: DataFrame, text: str, salt: str = "") -> DataFrame:
     return documents.withColumn("masked", trees.mask_labels(salt)(F.col(text)))
 
 
+#: More children than this make an object a map of data, and a key longer than that is text.
+MOST_CHILDREN, LONGEST_KEY = 3, 64
+#: Fixed value: ends of the names of views, which hold words by design.
+VIEW = r"(?i)\.(svg|html?|xhtml|xml)$"
+
+
+def receipt_files(files: DataFrame, path: str, text: str) -> DataFrame:
+    """What a receipt says of each file: path, bytes, sha256 (null if not read), note (too large, binary, not valid JSON, or null)."""
+    why = skip_reason(text)
+    broken = F.col(path).rlike(r"(?i)\.json$") & F.try_parse_json(text).isNull()
+    note = F.coalesce(why, F.when(broken, "not valid JSON"))
+    digest = F.when(~why.eqNullSafe("too large"), F.sha2(F.col(text).cast("binary"), 256))
+    return files.where(F.col(text).isNotNull()).select(F.col(path).alias("path"), F.octet_length(text).cast("long").alias("bytes"), digest.alias("sha256"), note.alias("note"))
+
+
+def _json_of(files: DataFrame, path: str, text: str) -> DataFrame:
+    """path and string of every value of the JSON files that are read, JSON within strings not walked."""
+    read = files.where(F.col(path).rlike(r"(?i)\.json$") & skip_reason(text).isNull() & F.col(text).isNotNull())
+    return json_paths(read, path, text).where(~F.col("path").contains("(nested)"))
+
+
+def key_vocabulary(files: DataFrame, path: str, text: str) -> DataFrame:
+    """The distinct key paths of all JSON files, without what is data: key.
+
+    A parent with more than :data:`MOST_CHILDREN` different children is a map,
+    whose keys become ``<key>``; of maps within maps the outermost counts.
+    """
+    keys = _json_of(files, path, text).select("path").where(~F.col("path").endswith("[]")).distinct()
+    parent = F.regexp_extract("path", r"^(.*)\.[^.]*$", 1)
+    maps = keys.select(parent.alias("parent")).where("parent <> ''").groupBy("parent").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_CHILDREN).select("parent")
+    parts = F.split("path", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    met = keys.withColumn("parent", F.explode(above)).where("parent <> path").join(maps, "parent")
+    outermost = met.groupBy("path").agg(F.min_by("parent", F.length("parent")).alias("map"))
+    rest = F.regexp_replace(F.substring(F.col("path"), F.length("map") + 2, F.length("path")), r"^[^.]*", "<key>")
+    return keys.join(outermost, "path", "left").select(F.coalesce(F.concat("map", F.lit("."), rest), "path").alias("key")).distinct()
+
+
+def longest_texts(files: DataFrame, path: str, text: str) -> DataFrame:
+    """The longest text of stored data and of views: kind, at, chars; of equals the first by place.
+
+    Data is what JSON holds as strings, long keys included, or another file as a
+    whole; a view is judged by its sentences, as a reader sees them.
+    """
+    read = files.where(skip_reason(text).isNull() & F.col(text).isNotNull()).select(F.col(path).alias("path"), F.col(text).alias("text"))
+    values = _json_of(files, path, text)
+    key = F.regexp_extract("path", r"([^.]*)$", 1)
+    said = values.where("string is not null").select(F.col("path").alias("at"), F.length("string").alias("chars"))
+    keys = values.where(F.length(key) > LONGEST_KEY).select(F.concat(F.regexp_extract("path", r"^(.*?)[^.]*$", 1), F.lit("<key>")).alias("at"), F.length(key).alias("chars"))
+    shown = read.where(F.col("path").rlike(VIEW)).select(F.col("path").alias("at"), F.explode(F.split(T.visible_text(F.col("text")), r"(?<=[.!?])\s+")).alias("t")).select("at", F.length("t").alias("chars"))
+    broken = F.col("path").rlike(r"(?i)\.json$") & F.try_parse_json("text").isNotNull()
+    whole = read.where(~F.col("path").rlike(VIEW) & ~broken).select(F.col("path").alias("at"), F.length("text").alias("chars"))
+    every = said.unionByName(keys).unionByName(whole).withColumn("kind", F.lit("data")).unionByName(shown.withColumn("kind", F.lit("view")))
+    return every.groupBy("kind").agg(F.min_by(F.struct("at", "chars"), F.struct(-F.col("chars"), F.col("at"))).alias("t")).select("kind", "t.at", F.col("t.chars").cast("long").alias("chars"))
+
+
 # Scripts that a package manager runs by itself, and fields that name dependencies.
 LIFECYCLE_HOOKS = ["preinstall", "install", "postinstall", "prepare", "prepublish", "prepublishOnly", "prepack", "postpack", "postpublish", "preuninstall", "uninstall", "postuninstall"]
 DEPENDENCY_FIELDS = ["dependencies", "optionalDependencies", "peerDependencies", "bundledDependencies", "bundleDependencies"]

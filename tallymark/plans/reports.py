@@ -80,6 +80,18 @@ def receipt(spark, sf_dir):
     return p.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").cast("long").alias("bytes"), F.max("size").cast("long").alias("largest"))
 
 
+def receipt_report(spark, sf_dir):
+    """Events as stored files, JSON or torn: the vocabulary without names of users, notes, and the longest text."""
+    e = events(spark, sf_dir)
+    doc = F.to_json(F.struct("event_type", F.create_map(F.concat(F.lit("u"), "user_id"), F.struct(F.col("k"), F.col("event_type").alias("what"))).alias("by_user"), F.array(F.struct(F.col("event_id").cast("string").alias("id"))).alias("list")))
+    torn = F.col("event_type") == "error"
+    files = e.select(F.concat(F.lit("snapshots/"), "event_id", F.lit(".json")).alias("path"), F.when(torn, F.lit('{"half": ')).otherwise(doc).alias("text"))
+    keys = quality.key_vocabulary(files, "path", "text").select(F.lit("key").alias("part"), F.col("key").alias("name"), F.lit(1).cast("long").alias("n"))
+    notes = quality.receipt_files(files, "path", "text").groupBy(F.coalesce("note", F.lit("inspected")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    longest = quality.longest_texts(files, "path", "text").select(F.lit("longest").alias("part"), F.col("kind").alias("name"), F.col("chars").alias("n"))
+    return keys.unionByName(notes.select(F.lit("files").alias("part"), "name", "n")).unionByName(longest)
+
+
 def human_counts(spark, sf_dir):
     """Order totals, raised by powers of ten, in units; halves round up."""
     n = F.floor(F.col("o_totalprice")) * F.element_at(F.array(*(F.lit(10**i) for i in range(9))), (F.col("o_orderkey") % 9 + 1).cast("int"))
@@ -173,7 +185,7 @@ def skip_reasons(spark, sf_dir):
     return quality.skipped(table(spark, sf_dir, "documents"), "text")
 
 
-QUERIES = {f.__name__: f for f in (proficiency_gauges, signature_line, share_url, flag_suggestion, allowlist_findings, known_path_prefix, receipt, human_counts, fixed_prices, short_counts, peak_hours, folder_slugs, escaped_pages, json_vocabulary, masked_labels, walked_in_sql, static_rules, shipped_files, skip_reasons)}
+QUERIES = {f.__name__: f for f in (proficiency_gauges, signature_line, share_url, flag_suggestion, allowlist_findings, known_path_prefix, receipt, receipt_report, human_counts, fixed_prices, short_counts, peak_hours, folder_slugs, escaped_pages, json_vocabulary, masked_labels, walked_in_sql, static_rules, shipped_files, skip_reasons)}
 
 _G = f"""WITH {_E}, {_streak_sql()},
 m AS (SELECT DISTINCT user_id, us // 60000000 AS mi FROM e), g AS (SELECT user_id, mi - lag(mi) OVER (PARTITION BY user_id ORDER BY mi) AS gap FROM m),
@@ -223,5 +235,8 @@ SELECT kind, line_no, rule, verdict, n FROM f JOIN r USING (kind)""",
     "allowlist_findings": "WITH p AS (SELECT c_nationkey, min_by(sha256(c_mktsegment), c_custkey) AS pin FROM customer WHERE c_acctbal > 9000 GROUP BY 1) SELECT CASE WHEN pin IS NULL THEN 'new' WHEN pin = sha256(c_mktsegment) THEN 'pinned' ELSE 'changed' END AS state, count(*) AS n FROM customer LEFT JOIN p USING (c_nationkey) GROUP BY 1",
     "known_path_prefix": f"WITH {_PATHS}, k AS (SELECT DISTINCT '/home/someone/' || string_split(p_name, ' ')[1] AS known FROM part UNION SELECT '/home/someone/' || array_to_string(string_split(p_name, ' ')[1:2], '/') FROM part WHERE p_size = 1), m AS (SELECT path, max_by(known, length(known)) AS known FROM (SELECT DISTINCT path FROM pt) JOIN k ON path = known OR starts_with(path, known || '/') GROUP BY path) SELECT known, count(*) AS n FROM pt LEFT JOIN m USING (path) GROUP BY 1",
     "receipt": "WITH p AS (SELECT octet_length(encode(html)) AS size FROM pages) SELECT CASE WHEN size > 20000 THEN 'too large' WHEN size < 1000 THEN 'too small' ELSE 'read' END AS reason, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, max(size) AS largest FROM p GROUP BY 1",
+    "receipt_report": """SELECT 'key' AS part, unnest(['event_type', 'by_user', 'by_user.<key>', 'by_user.<key>.k', 'by_user.<key>.what', 'list', 'list[].id']) AS name, 1 AS n
+UNION ALL SELECT 'files', CASE WHEN event_type = 'error' THEN 'not valid JSON' ELSE 'inspected' END, count(*) FROM events GROUP BY 2
+UNION ALL SELECT 'longest', 'data', max(CASE WHEN event_type = 'error' THEN 9 ELSE greatest(length(event_type), length(CAST(event_id AS VARCHAR))) END) FROM events""",
     "human_counts": "WITH n AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * CAST(pow(10, o_orderkey % 9) AS BIGINT) AS n FROM orders) SELECT o_orderkey, CASE WHEN n >= 1e12 THEN printf('%.1fT', floor(n / 1e12 * 10 + 0.5) / 10) WHEN n >= 1e9 THEN printf('%.1fB', floor(n / 1e9 * 10 + 0.5) / 10) WHEN n >= 1e6 THEN printf('%.1fM', floor(n / 1e6 * 10 + 0.5) / 10) WHEN n >= 1e3 THEN printf('%.1fK', floor(n / 1e3 * 10 + 0.5) / 10) ELSE CAST(CAST(n AS BIGINT) AS VARCHAR) END AS shown FROM n",
 }

@@ -15,6 +15,7 @@ from pyspark.sql.utils import AnalysisException
 
 from tallymark.operators import fleet, ledger, months, quality
 from tallymark.sources.commits import Committed, Version
+from tallymark.sources.lines import files
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
@@ -49,6 +50,15 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame | None:
     return Committed(spark, path).read()
 
 
+def read_month_documents(spark: SparkSession, roots: list[str], schema: str) -> DataFrame:
+    """Months kept as JSON documents, one a file: path and the fields of ``schema``; a document that cannot be read is left out.
+
+    ``schema`` has a month; a document without one is none.
+    """
+    found = files(spark, roots, "*.json").select("path", F.from_json("content", schema, {"mode": "PERMISSIVE"}).alias("d"), F.try_parse_json("content").isNotNull().alias("whole"))
+    return found.where("whole and d.month is not null").select("path", "d.*")
+
+
 def _appended(table: Committed, fresh: DataFrame, base: Version) -> list[dict] | None:
     staged = table.stage(fresh)
     if table.read(version=Version(0, staged)).isEmpty():
