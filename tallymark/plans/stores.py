@@ -213,6 +213,39 @@ def provider_states(spark, sf_dir):
     return providers.rollup(every, installed).select("cli", "state", "sessions", "tokens").join(sums, "cli", "left")
 
 
+def copilot_kilo_sessions(spark, sf_dir):
+    """Two tools' stores, a session a user: logs with shutdowns and compactions, and tasks of requests that are JSON in JSON."""
+    e = events(spark, sf_dir).withColumn("us", micros("ts"))
+    metrics = F.create_map(F.lit("gpt-5"), F.struct(F.struct(F.col("v").alias("inputTokens"), F.col("k").alias("outputTokens"), F.lit(1).alias("reasoningTokens")).alias("usage")))
+    shutdown = _json(type=F.lit("session.shutdown"), timestamp=_stamp(), data=F.struct(metrics.alias("modelMetrics")))
+    compaction = _json(type=F.lit("session.compaction_complete"), timestamp=_stamp(), data=F.struct(F.struct(F.lit(5).alias("input"), F.lit(2).alias("output"), F.lit(3).alias("cachedInput"), F.lit(999).alias("duration")).alias("compactionTokensUsed")))
+    line = F.when(F.col("event_type") == "purchase", shutdown).when(F.col("event_type") == "click", compaction).otherwise(_json(type=F.lit("user.message"), timestamp=_stamp()))
+    logs = e.groupBy("user_id").agg(F.array_join(F.collect_list(line), "\n").alias("content")).select(F.concat(F.lit("copilot/c"), "user_id", F.lit(".jsonl")).alias("path"), "content")
+    asked = F.struct((F.col("v") + 30).alias("tokensIn"), F.col("k").alias("tokensOut"), F.lit(10).alias("cacheReads"), F.lit(20).alias("cacheWrites"))
+    message = F.struct(F.floor(F.col("us") / 1000).alias("ts"), F.lit("api_req_started").alias("say"), F.to_json(asked).alias("text"))
+    tasks = e.groupBy("user_id").agg(F.to_json(F.collect_list(message)).alias("ui"))
+    tasks = tasks.select(F.explode(F.array(F.struct(F.concat(F.lit("kilo/k"), "user_id", F.lit("/ui_messages.json")).alias("path"), F.col("ui").alias("content")), F.struct(F.concat(F.lit("kilo/k"), "user_id", F.lit("/api_conversation_history.json")).alias("path"), F.lit("<model>vendor/kimi-k2</model>").alias("content")))).alias("f")).select("f.*")
+    root = scratch_path(spark, "stores")
+    sinks.write_documents(logs.unionByName(tasks), root)
+    every = providers.union({"copilot": providers.copilot(spark, [f"{root}/copilot"]), "kilo": providers.kilo(spark, [f"{root}/kilo"])})
+    return every.select("cli", "session_id", "turns", "input", "output", "cache_read", "cache_write", "model")
+
+
+def profile_counters(spark, sf_dir):
+    """Profiles, one a user: whose they are, told by address, user id or folder, and their vendors' frozen counters."""
+    e = events(spark, sf_dir)
+    mine = e.groupBy("user_id").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    folder = F.concat(F.lit("u"), "user_id", F.lit("/"))
+    config = F.when(F.col("user_id") % 3 == 0, _json(oauthAccount=F.struct(F.concat(F.lit("u"), "user_id", F.lit("@x.org")).alias("emailAddress")), userID=F.lit("not this"))).when(F.col("user_id") % 3 == 1, _json(userID=F.concat(F.lit("0123456789"), F.lpad(F.col("user_id").cast("string"), 6, "0")))).otherwise(F.lit("{torn"))
+    stats = _json(lastComputedDate=F.lit("2024-01-10"), modelUsage=F.create_map(F.lit("a"), F.struct(F.col("v").alias("inputTokens")), F.lit("b"), F.struct(F.col("n").alias("inputTokens"))), dailyModelTokens=F.array(F.lit(7)))
+    file = lambda name, content: F.struct(F.concat(folder, F.lit(name)).alias("path"), content.alias("content"))
+    root = scratch_path(spark, "profiles")
+    sinks.write_documents(mine.select(F.explode(F.array(file(".claude.json", config), file("stats-cache.json", stats), file("projects/p/s.jsonl", F.lit("{}")))).alias("f")).select("f.*"), root)
+    accounts = fleet.profile_accounts(spark, [root.removeprefix("file://")])
+    counters = providers.stats_counter(spark, [root]).select(F.element_at(F.split("path", "/"), -2).alias("profile"), "last_computed", "input")
+    return accounts.select(F.element_at(F.split("profile", "/"), -1).alias("profile"), "account").join(counters, "profile")
+
+
 def ledger_from_log(spark, sf_dir):
     """The ledger as a log of lines, a row an event, and the lifetime of each session in it."""
     e = events(spark, sf_dir)
@@ -332,7 +365,7 @@ def fleet_sketches(spark, sf_dir):
     return exact.join(about, "n_regionkey").select("n_regionkey", "n_rows", "n_parts", "n_customers", near("parts", "n_parts").alias("parts_near"), near("customers", "n_customers").alias("customers_near"))
 
 
-QUERIES = {f.__name__: f for f in (transcript_sessions, transcript_projects, profile_usage_by_day, profile_totals, discovered_sources, rollout_sessions, grok_sessions, gemini_sessions, provider_states, ledger_from_log, fleet_read, fleet_warnings, run_log, corpus_rollup, corpus_months, person_profile, four_stars, stream_hourly, stream_sessions, stream_ledger, stream_snapshots, kept_days, fleet_sketches)}
+QUERIES = {f.__name__: f for f in (transcript_sessions, transcript_projects, profile_usage_by_day, profile_totals, discovered_sources, rollout_sessions, grok_sessions, gemini_sessions, provider_states, copilot_kilo_sessions, profile_counters, ledger_from_log, fleet_read, fleet_warnings, run_log, corpus_rollup, corpus_months, person_profile, four_stars, stream_hourly, stream_sessions, stream_ledger, stream_snapshots, kept_days, fleet_sketches)}
 
 _GROK = "gk AS (SELECT user_id, min(us) AS first_micros, max(us) AS last_micros, count(*) AS turns, CAST(sum(v - v // 4) AS BIGINT) AS input, CAST(sum(v * 3) AS BIGINT) AS output, CAST(sum(v // 4) AS BIGINT) AS cache_read FROM e WHERE event_type <> 'error' GROUP BY user_id)"
 _GEMINI = "gm AS (SELECT user_id, min(us) AS first_micros, max(us) AS last_micros, count(*) AS turns, CAST(sum(v - v // 2 + 2) AS BIGINT) AS input, CAST(sum(k + 1) AS BIGINT) AS output, CAST(sum(v // 2) AS BIGINT) AS cache_read FROM e WHERE event_type <> 'view' GROUP BY user_id)"
@@ -387,6 +420,11 @@ u AS (SELECT 'grok' AS cli, 'xai' AS provider, input, output, cache_read FROM gk
 s AS (SELECT cli, count(*) AS sessions, CAST(sum(input + output + cache_read) AS BIGINT) AS tokens, CAST(sum(input + cache_read) AS BIGINT) AS sent, CAST(sum(output) AS BIGINT) AS received, count(*) AS billed, max(provider) AS provider FROM u GROUP BY cli)
 SELECT i.cli, CASE WHEN NOT there THEN 'not installed' WHEN sessions IS NULL THEN 'installed, no usage' WHEN tokens = 0 THEN 'zero' ELSE 'used' END AS state, coalesce(sessions, 0) AS sessions, coalesce(tokens, 0) AS tokens, sent, received, billed, provider
 FROM (VALUES ('grok', true), ('gemini', true), ('copilot', true), ('kilo', false)) i(cli, there) LEFT JOIN s ON s.cli = i.cli""",
+    "copilot_kilo_sessions": f"""WITH {_E} SELECT 'copilot' AS cli, 'c' || user_id AS session_id, count(*) FILTER (WHERE event_type NOT IN ('purchase', 'click')) AS turns, CAST(sum(CASE event_type WHEN 'purchase' THEN v WHEN 'click' THEN 5 ELSE 0 END) AS BIGINT) AS input,
+  CAST(sum(CASE event_type WHEN 'purchase' THEN k + 1 WHEN 'click' THEN 2 ELSE 0 END) AS BIGINT) AS output, 3 * count(*) FILTER (WHERE event_type = 'click') AS cache_read, 0 AS cache_write, CASE WHEN count(*) FILTER (WHERE event_type = 'purchase') > 0 THEN 'gpt-5' END AS model
+FROM e GROUP BY user_id HAVING count(*) FILTER (WHERE event_type IN ('purchase', 'click')) > 0
+UNION ALL SELECT 'kilo', 'k' || user_id, count(*), CAST(sum(v) AS BIGINT), CAST(sum(k) AS BIGINT), 10 * count(*), 20 * count(*), 'kimi-k2' FROM e GROUP BY user_id""",
+    "profile_counters": f"WITH {_E} SELECT 'u' || user_id AS profile, CASE user_id % 3 WHEN 0 THEN 'u' || user_id || '@x.org' WHEN 1 THEN 'user:0123456789' || substr(lpad(CAST(user_id AS VARCHAR), 6, '0'), 1, 2) ELSE 'unknown (u' || user_id || ')' END AS account, '2024-01-10' AS last_computed, CAST(sum(v) + count(*) AS BIGINT) AS input FROM e GROUP BY user_id",
     "ledger_from_log": f"WITH {_E} SELECT event_type AS cli, CAST(user_id AS VARCHAR) AS session_id, max(v) AS total, max(k) AS output FROM e GROUP BY ALL",
     "fleet_read": f"WITH {_MACHINES} SELECT s_name AS machine, total AS grand_total, total AS floor FROM supplier JOIN dy ON l_suppkey = s_suppkey WHERE s_acctbal >= 0",
     "fleet_warnings": f"WITH {_MACHINES} SELECT 'm' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS folder, 'totals.json unreadable or missing required fields' AS warning FROM supplier JOIN dy ON l_suppkey = s_suppkey WHERE s_acctbal < 0",
