@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tallymark.operators import scans
 
-#: Stretches of time into which an as-of join cuts the rows of a key.
-PIECES = 256
+#: Stretches of time, of as many rows each, into which an as-of join cuts both sides.
+PIECES = 64
 #: Each level of an overlap join has buckets so many times as wide as the one below.
 FACTOR = 8
 
@@ -34,9 +34,9 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: st
     carried = list(dict.fromkeys([since, *values]))
     mine = left.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col(at).cast("long").alias("__at"), F.lit(0 if strictly else 1).alias("__side"), F.struct(*left.columns).alias("__left"), F.lit(None).cast(right.select(F.struct(*carried)).schema[0].dataType).alias("__right"), *(none(right, t).alias("__tie") for t in extra))
     theirs = right.where(F.col(since).isNotNull()).select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col(since).cast("long").alias("__at"), F.lit(1 if strictly else 0).alias("__side"), F.lit(None).cast(mine.schema["__left"].dataType).alias("__left"), F.struct(*carried).alias("__right"), *(F.col(t).alias("__tie") for t in extra))
-    both = scans.even_segments(mine.unionByName(theirs), "__at", pieces, "__segment")
     names = [f"__k{i}" for i in range(len(keys))]
     order = ["__at", "__side", *(["__tie"] if tie else [])]
+    both = scans.even_segments(mine.unionByName(theirs), *order, pieces=pieces, name="__segment")
     seen = scans.prefix_scan(both, names, ["__segment"], order, {"__seen": ("last", F.col("__right"))}).where("__left is not null")
     near = F.col("__left")[at].isNotNull()
     if within is not None:

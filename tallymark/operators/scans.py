@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.session import kept
+
 #: How a running value is taken: over rows in a window, and from two neighbouring stretches.
 KINDS = {
     "last": (lambda c: F.last(c, ignorenulls=True), lambda before, here: F.coalesce(here, before)),
@@ -50,13 +52,17 @@ def prefix_scan(df: DataFrame, part: list[str], segment: list[str], order: list[
     found = rows.withColumns({taken[name]: KINDS[kind][0](taken[name]).over(inside) for name, (kind, _) in values.items()})
     same = reduce(lambda a, b: a & b, (found[g].eqNullSafe(F.col(f"__key_{g}")) for g in group))
     met = found.join(carries, same, "left")
-    kept = [c for c in df.columns if c not in values]
-    return met.select(*kept, *(KINDS[kind][1](F.col(f"__carry_{name}"), F.col(taken[name])).alias(name) for name, (kind, _) in values.items()))
+    others = [c for c in df.columns if c not in values]
+    return met.select(*others, *(KINDS[kind][1](F.col(f"__carry_{name}"), F.col(taken[name])).alias(name) for name, (kind, _) in values.items()))
+
 
+def even_segments(df: DataFrame, *order: str, pieces: int = 64, name: str = "segment") -> DataFrame:
+    """``df``, kept, with a segment number that rises with ``order``; segments hold about as many rows each.
 
-def even_segments(df: DataFrame, order: str, pieces: int = 64, name: str = "segment") -> DataFrame:
-    """``df`` with a segment number that rises with a numeric order, of about equal width from its least to its greatest."""
-    bounds = df.agg(F.min(order).alias("__low"), F.max(order).alias("__high"))
-    width = (F.col("__high") - F.col("__low") + 1) / F.lit(float(pieces))
-    number = F.floor((F.col(order) - F.col("__low")) / width).cast("int")
-    return df.crossJoin(F.broadcast(bounds)).withColumn(name, number).drop("__low", "__high")
+    Spark's range partitioning draws the bounds from a sample, so a burst of rows
+    at one time makes more segments there, not a larger one. Only rows that are
+    equal in all of ``order`` stay together. It is written once, for bounds drawn
+    anew would be others.
+    """
+    dealt = df.repartitionByRange(pieces, *order).withColumn(name, F.spark_partition_id())
+    return kept(dealt, "segments")
