@@ -4,26 +4,28 @@ Each source's documents, in a pseudo-random order, are dealt into blocks of
 equal size. With weight w the source's block i has release time floor(i / w)
 and deadline ceil((i + 1) / w) in slots; in every slot the released block of
 earliest deadline runs. So after any number of slots t a source has run less
-than one block more or less than w * t.
-
-:func:`deal` does this with the weights as they are given, as fractions, so
-nothing is rounded and nothing adds up, however long the run and however many
-the sources. Its schedule is not periodic; one task walks it slot by slot,
-holding one entry a source, and documents meet it by an equi-join on (source,
-block).
-
-:func:`mix` by default rounds weights to whole shares of ``period`` slots, as
-its SQL does, so less than one block holds against the rounded shares only; with
-weights that are given, or more sources than slots, it deals exactly. With
-shares the schedule repeats: at each multiple of the period every source has
-run exactly its share. One period, a table of fixed size, is all that is
-scheduled; slots are a range that meets it, and documents meet the slots by an
-equi-join on (source, rank). The run lasts until every source has shown all its
-documents; a source that is through earlier starts over (``epoch`` counts from
-0), so no document is left out and the weights hold to the end.
-
-A rank inside a source is the rank inside one of many hash ranges plus the
-sizes of the ranges before, so no task holds a source.
+than one block more or less than w * t. Weights are exact fractions: nothing is
+rounded and nothing adds up, however long the run and however many the sources.
+
+The time line is cut into spans of ``span`` slots, one task walking one span.
+When a span begins at time T, every source has run floor(w * T) blocks or one
+more, its open block, which was released before T and may wait until after it.
+Which open blocks have run by then, the schedule from the beginning decides;
+:func:`begun` finds it without walking there. A released block that waits at T
+and has waited since before s is one of those that waited at s, and how many
+those are follows from the weights alone (released by s, less s slots). So of
+the open blocks those of earliest deadline have run, as far as for every s
+before T the ones left over fit into the number that waited at s. The last
+times at which few blocks waited are all that a span must know of the spans
+before it: a number for each source, found span by span in a first pass and
+handed on as running maxima. Spans join to exactly the schedule of one walk.
+
+Documents meet their slots by an equi-join on (source, rank). The run lasts
+until every source has shown all its documents; a source that is through
+earlier starts over (``epoch`` counts from 0), so no document is left out and
+the weights hold to the end. A rank inside a source is the rank inside one of
+many hash ranges plus the sizes of the ranges before, summed in two steps, so
+no task holds a source. The driver and each task hold one entry a source.
 
 Cases: a null source is a source of its own. Rows of null id and repeated rows
 are documents like others. Text is not read. Sources not named in ``weights``
@@ -34,57 +36,33 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from fractions import Fraction
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tallymark.llm.store import arrow_batch, materialise
 
-PERIOD = 1000
 BLOCK = 8
+#: Slots that one task walks at a time.
+SPAN = 1 << 16
 #: Target weights default to each source's number of documents to this power.
 SMOOTHING = 0.7
 #: Documents in a hash range are about so many.
 RANGE = 2_000
 DEALT = "at long, block long, slot long"
+LOWS = "span long, waiting long, last long"
 #: Slots sent on at once.
 TOGETHER = 1 << 15
-
-
-def shares(weights: dict, period: int = PERIOD) -> dict:
-    """Whole slots of a period for each weight, one at least, by largest remainder."""
-    if not weights:
-        return {}
-    if len(weights) > period:
-        raise ValueError(f"{len(weights)} sources need a period of as many slots; it is {period}")
-    if any(not w > 0 for w in weights.values()):
-        raise ValueError("weights must be positive")
-    names = sorted(weights, key=lambda k: (k is not None, k))
-    total = sum(Fraction(w) for w in weights.values())
-    exact = {k: Fraction(weights[k]) / total * (period - len(names)) for k in names}
-    out = {k: 1 + int(exact[k]) for k in names}
-    spare = period - sum(out.values())
-    for k in sorted(names, key=lambda k: (int(exact[k]) - exact[k], names.index(k)))[:spare]:
-        out[k] += 1
-    return out
-
-
-def pfair(share: dict) -> list:
-    """The source of each slot of a period: earliest deadline first among released blocks."""
-    period, done = sum(share.values()), dict.fromkeys(share, 0)
-    slots = []
-    for t in range(period):
-        ready = [k for k in share if done[k] < share[k] and done[k] * period // share[k] <= t]
-        best = min(ready, key=lambda k: -((-(done[k] + 1) * period) // share[k]))
-        done[best] += 1
-        slots.append(best)
-    return slots
+#: Tasks that walk spans, at most; each takes one span after the other.
+TASKS = 4096
 
 
 def whole(weights: list) -> list[int]:
@@ -96,15 +74,19 @@ def whole(weights: list) -> list[int]:
     return [int(w * scale) for w in exact]
 
 
-def dealt(weights: list, blocks: list[int]) -> Iterator[tuple[int, int]]:
-    """Source and its block of each slot, earliest deadline first, until every source has run its ``blocks``."""
+def dealt(weights: list, blocks: list[int], done: list[int] | None = None, slot: int = 0, until: float = math.inf) -> Iterator[tuple[int, int]]:
+    """Source and its block of each slot, earliest deadline first, until every source has run its ``blocks``.
+
+    The walk begins at ``slot``, by when sources have run ``done`` blocks, and ends before ``until`` at the latest.
+    """
     weights = whole(weights)
     total = sum(weights)
-    done, left = [0] * len(weights), sum(n > 0 for n in blocks)
-    waiting = [(0, k) for k in range(len(weights))]
+    done = list(done) if done else [0] * len(weights)
+    left = sum(d < n for d, n in zip(done, blocks))
+    waiting = [(d * total // w, k) for k, (d, w) in enumerate(zip(done, weights))]
+    heapq.heapify(waiting)
     ready: list[tuple[int, int]] = []
-    slot = 0
-    while left:
+    while left and slot < until:
         while waiting and waiting[0][0] <= slot:
             k = heapq.heappop(waiting)[1]
             heapq.heappush(ready, (-(-(done[k] + 1) * total // weights[k]), k))
@@ -116,13 +98,52 @@ def dealt(weights: list, blocks: list[int]) -> Iterator[tuple[int, int]]:
         slot += 1
 
 
+def lows(weights: list[int], first: int, last: int) -> list[int]:
+    """For each v below the number of sources the last time from ``first`` to ``last`` at which at most v released blocks waited; -1 if none."""
+    total = sum(weights)
+    released = np.zeros(last - first, dtype=np.int64)
+    waits = -first
+    for w in weights:
+        block = -(-w * first // total)
+        waits += block
+        while (slot := block * total // w) < last:
+            released[slot - first] += 1
+            block += 1
+    at = np.full(len(weights), -1, dtype=np.int64)
+    np.maximum.at(at, waits + np.concatenate([[0], np.cumsum(released - 1)]), np.arange(first, last + 1))
+    return np.maximum.accumulate(at).tolist()
+
+
+def begun(weights: list[int], slot: int, low: list[int]) -> list[int]:
+    """Blocks that each source has run when ``slot`` begins; ``low`` are the :func:`lows` of all time before."""
+    total = sum(weights)
+    done = [w * slot // total for w in weights]
+    room = slot - sum(done)
+    unsure = sorted(((b * total // w, -(-(b + 1) * total // w), k) for k, (b, w) in enumerate(zip(done, weights)) if w * slot % total), reverse=True)
+    run: list[tuple[int, int]] = []
+    for n, (release, deadline, k) in enumerate(unsure, 1):
+        heapq.heappush(run, (-deadline, -k))
+        before = unsure[n][0] if n < len(unsure) else -1
+        if before < release:
+            # Those released from before + 1 on: no more than slots are left by what had to run in them.
+            while len(run) > room + bisect_left(low, before + 1) - (len(unsure) - n):
+                heapq.heappop(run)
+    for _, k in run:
+        done[-k] += 1
+    return done
+
+
 def ranked(docs: DataFrame, ranges: int) -> DataFrame:
     """doc_id, source and rank in the source by hash of the id, from 0."""
     rows = docs.select("doc_id", "source", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
     rows = rows.withColumn("part", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("int"))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    # Sizes before a range: of the groups of ranges before its own, and of the ranges before it in its group.
+    wide = math.isqrt(ranges) + 1
+    so_far = lambda n, *by: F.coalesce(F.sum(n).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = rows.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("many", F.floor(F.col("part") / wide))
+    groups = sizes.groupBy(F.col("source").alias("gs"), F.col("many").alias("g")).agg(F.sum("n").alias("gn")).withColumn("base", so_far("gn", "gs", "g"))
+    sizes = sizes.withColumn("inner", so_far("n", "source", "many", "part")).join(groups, F.col("source").eqNullSafe(F.col("gs")) & (F.col("many") == F.col("g")))
+    sizes = sizes.select(F.col("source").alias("s"), F.col("part").alias("p"), (F.col("base") + F.col("inner")).alias("offset"))
     inside = rows.withColumn("nth", F.row_number().over(Window.partitionBy("source", "part").orderBy("h", "doc_id")) - 1)
     met = inside.join(sizes, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
     return met.select("doc_id", "source", (F.col("offset") + F.col("nth")).cast("long").alias("rank"))
@@ -144,48 +165,46 @@ def shown(docs: DataFrame, sizes: dict, names: list, slots: DataFrame, block: in
     return places.join(order, ["at", "rank"]).select("slot", "place", "doc_id", "source", "block", "epoch")
 
 
-def deal(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
-    """The columns of :func:`mix`, less than one block from the target weights themselves after every slot."""
-    spark = docs.sparkSession
-    sizes = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if weights is not None and (unknown := [s for s in sizes if s not in weights]):
-        raise ValueError(f"no weight for {unknown[:5]}")
-    names = sorted(sizes, key=lambda k: (k is not None, k))
-    exact = whole([weights[s] if weights is not None else sizes[s] ** SMOOTHING for s in names])
-    blocks = [-(-sizes[s] // block) for s in names]
-    arrow = to_arrow_schema(StructType.fromDDL(DEALT))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _ in batches:
-            slots, first = dealt(exact, blocks), 0
-            while held := list(islice(slots, TOGETHER)):
-                yield arrow_batch(arrow, [k for k, _ in held], [b for _, b in held], list(range(first, first + len(held))))
-                first += len(held)
-
-    table = materialise(spark.range(0, 1, 1, 1).mapInArrow(run, DEALT), "schedule")
-    return shown(docs, sizes, names, table, block)
-
-
-def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def schedule(spark: SparkSession, weights: list[int], blocks: list[int], span: int = SPAN) -> DataFrame:
+    """at (the source's place in the lists), block and slot of every slot until each source has run its ``blocks``."""
+    total = sum(weights)
+    slots = max((-(-n * total // w) for n, w in zip(blocks, weights)), default=0)
+    spans = -(-slots // span)
+    tasks = max(1, min(spans, TASKS))
+    low_schema, dealt_schema = (to_arrow_schema(StructType.fromDDL(ddl)) for ddl in (LOWS, DEALT))
+
+    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in batch.column(0).to_pylist():
+                low = lows(weights, n * span, min(slots, (n + 1) * span))
+                yield arrow_batch(low_schema, [n] * len(low), list(range(len(low))), low)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, low in zip(*(batch.column(c).to_pylist() for c in ("span", "low"))):
+                at = n * span
+                run = dealt(weights, blocks, begun(weights, at, [v["last"] for v in low]) if n else None, at, at + span)
+                while held := list(islice(run, TOGETHER)):
+                    yield arrow_batch(dealt_schema, [k for k, _ in held], [b for _, b in held], list(range(at, at + len(held))))
+                    at += len(held)
+
+    found = materialise(spark.range(0, spans, 1, tasks).mapInArrow(first_pass, LOWS), "waiting")
+    before = F.max("last").over(Window.partitionBy("waiting").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
+    known = found.select("span", F.struct("waiting", before.alias("last")).alias("low")).groupBy("span").agg(F.sort_array(F.collect_list("low")).alias("low"))
+    # As many tasks as asked for: by their few bytes they would be put together.
+    return known.repartition(tasks, "span").mapInArrow(walk, DEALT)
+
+
+def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, span: int = SPAN) -> DataFrame:
     """A row per scheduled document: slot, place (in the slot's block), doc_id, source, block, epoch.
 
     Ordered by (slot, place) it is the mixed stream. ``weights`` maps a source to
     its target weight; by default they are sizes to the power ``SMOOTHING``.
     """
-    if weights is not None:
-        return deal(docs, weights, block)
-    spark = docs.sparkSession
-    sizes = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(period + 1).collect()}
-    if len(sizes) > period:
-        return deal(docs, block=block)
-    share = shares({s: n**SMOOTHING for s, n in sizes.items()}, period)
-    turns: dict = {s: [] for s in share}
-    for at, s in enumerate(pfair(share)):
-        turns[s].append(at)
-    # The slot after that in which the last source has shown all its documents.
-    slots = max((((blocks := -(-n // block)) - 1) // share[s] * period + turns[s][(blocks - 1) % share[s]] + 1 for s, n in sizes.items()), default=0)
-    names = list(share)
-    once = spark.createDataFrame([(at, n, k, share[s]) for n, s in enumerate(names) for k, at in enumerate(turns[s])], "turn int, at long, k long, share long")
-    run = spark.range(slots).withColumn("turn", (F.col("id") % period).cast("int")).join(F.broadcast(once), "turn")
-    dealt_out = run.select("at", (F.floor(F.col("id") / period) * F.col("share") + F.col("k")).alias("block"), F.col("id").alias("slot"))
-    return shown(docs, sizes, names, dealt_out, block)
+    sizes = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if weights is not None and (unknown := [s for s in sizes if s not in weights]):
+        raise ValueError(f"no weight for {unknown[:5]}")
+    names = sorted(sizes, key=lambda k: (k is not None, k))
+    exact = whole([weights[s] if weights is not None else sizes[s] ** SMOOTHING for s in names])
+    slots = schedule(docs.sparkSession, exact, [-(-sizes[s] // block) for s in names], span)
+    return shown(docs, sizes, names, slots, block)

@@ -94,11 +94,6 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-def op10_exact_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixed stream of all documents by target weights that are not rounded."""
-    return mixing.deal(table(spark, sf_dir, "documents"))
-
-
 def op11_kronecker_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every anchor and positive; every seventh row has the next label."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -123,7 +118,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_order_minhash, op4_warc_bundles, op5_token_rollup, op6_quartile_digest, op7_passage_dedup, op7_line_dedup, op8_main_text, op9_decontaminate, op10_pfair_mix, op10_exact_mix, op11_kronecker_negatives, op12_line_bitmaps, op13_filter_audit, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_order_minhash, op4_warc_bundles, op5_token_rollup, op6_quartile_digest, op7_passage_dedup, op7_line_dedup, op8_main_text, op9_decontaminate, op10_pfair_mix, op11_kronecker_negatives, op12_line_bitmaps, op13_filter_audit, pipeline)}
 
 ORACLES = {
     "op1_chat_format": r"""
@@ -200,25 +195,20 @@ SELECT documents.doc_id, coalesce(n_cut, 0) AS n_cut, coalesce(cut_spans, '') AS
 FROM documents LEFT JOIN c ON c.doc_id = documents.doc_id LEFT JOIN k ON k.doc_id = documents.doc_id""",
     "op10_pfair_mix": r"""
 WITH RECURSIVE s AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY source NULLS FIRST) AS idx FROM documents GROUP BY source),
-x AS (SELECT *, pow(n, 0.7) / sum(pow(n, 0.7)) OVER () * (1000 - count(*) OVER ()) AS exact FROM s),
-y AS (SELECT *, 1 + CAST(floor(exact) AS BIGINT) AS low, row_number() OVER (ORDER BY floor(exact) - exact, idx) AS nth FROM x),
-z AS (SELECT source, n, idx, low + CASE WHEN nth <= 1000 - sum(low) OVER () THEN 1 ELSE 0 END AS share FROM y),
-l AS (SELECT list(share ORDER BY idx) AS p FROM z),
-sim(t, pick, done) AS (
-  SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT), list_transform(p, lambda v: CAST(0 AS BIGINT)) FROM l
+e AS (SELECT *, CAST(pow(n, 0.7) * 4503599627370496 AS HUGEINT) AS exact FROM s),
+l AS (SELECT list(exact ORDER BY idx) AS w, CAST(sum(exact) AS HUGEINT) AS total, list((n + 7) // 8 ORDER BY idx) AS need FROM e HAVING count(*) > 0),
+sim(t, pick, block, done) AS (
+  SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), list_transform(w, lambda v: CAST(0 AS BIGINT)) FROM l
   UNION ALL
-  SELECT t + 1, pk, list_transform(range(1, len(done) + 1), lambda i: done[i] + CASE WHEN i = pk THEN 1 ELSE 0 END)
-  FROM (SELECT t, done, list_sort(list_filter(list_transform(range(1, len(p) + 1), lambda i:
-      CASE WHEN done[i] < p[i] AND (done[i] * 1000) // p[i] <= t + 1 THEN [((done[i] + 1) * 1000 + p[i] - 1) // p[i], i] END), lambda v: v IS NOT NULL))[1][2] AS pk
-    FROM sim, l WHERE t + 1 < 1000)),
-b AS (SELECT t AS at, pick AS idx, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS k FROM sim WHERE t >= 0),
-w AS (SELECT z.*, ((n + 7) // 8 - 1) AS lastb FROM z),
-e AS (SELECT max(lastb // share * 1000 + b.at + 1) AS slots FROM w JOIN b ON b.idx = w.idx AND b.k = lastb % share),
-runs AS (SELECT z.source, z.n, z.idx, z.share, (slots // 1000) * share + (SELECT count(*) FROM b WHERE b.idx = z.idx AND b.at < slots % 1000) AS blocks FROM z, e),
+  SELECT t + 1, pk, done[pk], list_transform(range(1, len(done) + 1), lambda i: done[i] + CASE WHEN i = pk THEN 1 ELSE 0 END)
+  FROM (SELECT t, done, CAST(list_sort(list_filter(list_transform(range(1, len(w) + 1), lambda i:
+      CASE WHEN done[i] * total // w[i] <= t + 1 THEN [((done[i] + 1) * total + w[i] - 1) // w[i], CAST(i AS HUGEINT)] END), lambda v: v IS NOT NULL))[1][2] AS BIGINT) AS pk
+    FROM sim, l WHERE len(list_filter(range(1, len(w) + 1), lambda i: done[i] < need[i])) > 0)),
+p AS (SELECT t, pick, block, unnest(range(8)) AS place FROM sim WHERE t >= 0),
 r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS rank FROM documents),
-shown AS (SELECT doc_id, r.source, n, idx, share, unnest(range(rank, CAST(blocks * 8 AS BIGINT), n)) AS i FROM r JOIN runs ON r.source IS NOT DISTINCT FROM runs.source)
-SELECT CAST(i // 8 // share * 1000 + b.at AS BIGINT) AS slot, i % 8 AS place, doc_id, source, i // 8 AS block, i // n AS epoch
-FROM shown JOIN b ON b.idx = shown.idx AND b.k = (i // 8) % share""",
+d AS (SELECT doc_id, s.source, s.idx, rank FROM r JOIN s ON r.source IS NOT DISTINCT FROM s.source),
+q AS (SELECT p.*, (block * 8 + place) % n AS rank, (block * 8 + place) // n AS epoch FROM p JOIN s ON s.idx = p.pick)
+SELECT t AS slot, place, doc_id, source, block, epoch FROM q JOIN d ON d.idx = q.pick AND d.rank = q.rank""",
     "op11_kronecker_negatives": r"""
 WITH t AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
@@ -241,7 +231,8 @@ j AS (SELECT m.doc_id, line, k, c.key IS NOT NULL AS gone FROM m LEFT JOIN c ON
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id""",
     "op13_filter_audit": r"""
-WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda w: w <> '') AS words FROM documents),
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda w: w <> '') AS words FROM documents),
 m AS (SELECT body, min(doc_id) AS least FROM d GROUP BY body),
 q AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
 x AS (

@@ -2,6 +2,7 @@
 
 import random
 import re
+from itertools import islice
 
 import numpy as np
 import pytest
@@ -174,17 +175,31 @@ def test_cuts():
     assert linededup.cut("abcdefghij", [(0, 2), (4, 6)]) == "cdghij" and linededup.cut("ab", []) == "ab"
 
 
-def test_pfair_lag_is_below_one_block():
-    rng = random.Random(1)
-    for _ in range(20):
-        share = mixing.shares({f"s{i}": rng.random() ** 3 + 1e-6 for i in range(rng.randint(1, 30))}, 500)
-        assert sum(share.values()) == 500 and min(share.values()) >= 1
-        done = dict.fromkeys(share, 0)
-        for t, s in enumerate(mixing.pfair(share), 1):
-            done[s] += 1
-            assert all(abs(done[k] * 500 - share[k] * t) < 500 for k in share)
+def test_spans_join_to_one_walk():
+    rng = random.Random(3)
+    kinds = [lambda: rng.randint(1, 5), lambda: rng.random() ** 6 + 1e-7, lambda: 1, lambda: 10 ** rng.randint(0, 4)]
+    for trial in range(120):
+        weights = mixing.whole([kinds[trial % 4]() for _ in range(rng.randint(1, 12))])
+        blocks = [max(1, min(40, 2_000 * w // sum(weights))) for w in weights]
+        one, span = list(islice(mixing.dealt(weights, blocks), 2_000)), rng.choice([1, 3, 7, 50])
+        low, out = [-1] * len(weights), []
+        for at in range(0, 2_000, span):
+            done = mixing.begun(weights, at, low)
+            assert sum(done) == at
+            out += mixing.dealt(weights, blocks, done, at, at + span)
+            low = list(map(max, low, mixing.lows(weights, at, at + span)))
+        assert out[:2_000] == one
     with pytest.raises(ValueError):
-        mixing.shares({"a": 0})
+        mixing.whole([0])
+
+
+def test_unlike_sources_stay_within_a_block_of_their_weights():
+    weights = mixing.whole([n**mixing.SMOOTHING for n in (10**6, 10**4, 100, 1)])
+    total, done = sum(weights), [0] * 4
+    # Twenty times as many slots as the rarest but one source needs for a block.
+    for t, (k, _) in enumerate(islice(mixing.dealt(weights, [1 << 40] * 4), 20 * total // weights[2]), 1):
+        done[k] += 1
+        assert all(abs(n * total - w * t) < total for n, w in zip(done, weights))
 
 
 def test_dealt_lag_is_below_one_block_of_the_weights():
