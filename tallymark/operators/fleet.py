@@ -63,8 +63,8 @@ def grams(text: Column, size: int) -> Column:
     return F.when(F.length(text) >= size, F.array_distinct(parts)).otherwise(F.array().cast("array<string>"))
 
 
-def contained(needles: DataFrame, needle: str, haystack: DataFrame, text: str) -> DataFrame:
-    """The distinct lower-case needles that stand in some text as a part of it, without regard to case.
+def _sought(needles: DataFrame, needle: str, haystack: DataFrame, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Needles with the part they are sought by, parts with the texts that hold them, and the distinct texts.
 
     A needle is sought by the rarest of its parts of :data:`GRAM` characters, in
     the texts that have that part, and verified there. A text is written out once
@@ -82,7 +82,12 @@ def contained(needles: DataFrame, needle: str, haystack: DataFrame, text: str) -
     held = written.join(wanted, "gram", "left_semi")
     counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
     ranked = asked.join(counts, "gram", "left").groupBy("low_needle").agg(F.min_by(F.struct("gram", "texts"), F.struct(F.coalesce("texts", F.lit(0)), "gram")).alias("best"))
-    rare = ranked.where(F.col("best.texts").isNotNull()).select("low_needle", F.col("best.gram").alias("gram"))
+    return ranked.where(F.col("best.texts").isNotNull()).select("low_needle", F.col("best.gram").alias("gram")), held, low
+
+
+def contained(needles: DataFrame, needle: str, haystack: DataFrame, text: str) -> DataFrame:
+    """The distinct lower-case needles that stand in some text as a part of it, without regard to case."""
+    rare, held, low = _sought(needles, needle, haystack, text)
     # A needle no longer than a part stands wherever that part does.
     short = rare.where(F.length("low_needle") <= GRAM).select("low_needle")
     met = rare.where(F.length("low_needle") > GRAM).join(held, "gram").select("low_needle", "at").join(low, "at")
@@ -96,6 +101,16 @@ def not_contained(needles: DataFrame, needle: str, haystack: DataFrame, text: st
     return kept.join(there, F.lower(needle) == F.col("low_needle"), "left_anti").select(*needles.columns)
 
 
+def without_fragments(haystack: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
+    """Rows whose text holds none of a table of needles, without regard to case; rows without a text hold none.
+
+    Needles may be as many as texts: they meet by the parts that :func:`contained` seeks them by.
+    """
+    rare, held, low = _sought(needles, needle, haystack, text)
+    met = rare.join(held, "gram").join(low, "at").where(F.col("low").contains(F.col("low_needle")))
+    return haystack.join(met.select("low").distinct(), F.lower(text) == F.col("low"), "left_anti").select(*haystack.columns)
+
+
 def longest_prefix(paths: DataFrame, path: str, known: DataFrame, folder: str) -> DataFrame:
     """``paths`` with the longest known folder that is the path or contains it.
 

@@ -15,12 +15,12 @@ from tallymark.operators import ledger as ledgers
 from tallymark.operators import activity, partials, quality, rollup, scoring
 from tallymark.operators.activity import micros
 from tallymark.operators.partials import Kept, Measure
-from tallymark.plans.corpus import _metrics
+from tallymark.plans.corpus import _PATHS, _metrics, _paths
 from tallymark.plans.events import _E, _MIN, events
 from tallymark.plans.reports import _clamp, _lg
 from tallymark.plans.fleet import cents
 from tallymark.session import kept, scratch_path, table
-from tallymark.sources import discover, fleet, providers, sinks, transcripts
+from tallymark.sources import discover, fleet, log_source, providers, rules, sinks, transcripts
 from tallymark.streaming import incremental
 
 #: What Spark's text writer calls its files.
@@ -64,6 +64,27 @@ def transcript_sessions(spark, sf_dir):
     return found.select("session_id", F.unix_micros("start").alias("first_micros"), F.unix_micros("end").alias("last_micros"), "events", "turns", "tool_calls", "project", "days", "active_minutes", "input", "output")
 
 
+def log_source_sessions(spark, sf_dir):
+    """Sessions of the same logs, read by the data source in ranges of a megabyte, files linked or named twice once."""
+    e = events(spark, sf_dir)
+    root = _write(spark, e, _messages(e), "messages")
+    lines = log_source.read(spark, [root, f"{root}/"], suffix=".txt", splitBytes=1 << 20)
+    found = transcripts.sessions(transcripts.message_events(spark, [], lines=lines))
+    return found.select("session_id", F.unix_micros("start").alias("first_micros"), F.unix_micros("end").alias("last_micros"), "events", "turns", "tool_calls", "project", "days", "active_minutes", "input", "output")
+
+
+def log_source_stream(spark, sf_dir):
+    """Lines of logs in a folder for each kind of event, followed as a stream that opens those of three kinds only: rows and volume of each user."""
+    e = events(spark, sf_dir)
+    root = scratch_path(spark, "followed")
+    e.select(F.to_json(F.struct("event_id", "user_id", "v")).alias("value"), F.col("event_type").alias("kind")).write.partitionBy("kind").text(root)
+    roots = [f"{root}/kind={kind}" for kind in ("view", "click", "purchase")]
+    j = F.from_json("line", "event_id long, user_id long, v long")
+    rows = log_source.follow(spark, roots, suffix=".txt", splitBytes=1 << 20).select(F.regexp_extract("path", "kind=([a-z]+)", 1).alias("event_type"), j.alias("j")).select("event_type", "j.*")
+    got = _appended(spark, rows, "followed-rows")
+    return got.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("volume"), F.min("event_id").alias("first_id"))
+
+
 def transcript_projects(spark, sf_dir):
     """Distinct projects of the same logs, those of some folders excluded."""
     e = events(spark, sf_dir)
@@ -158,6 +179,33 @@ def discovered_sources(spark, sf_dir):
     return found.groupBy("source").agg(F.count(F.lit(1)).alias("files")).join(lines, "source")
 
 
+def source_classes(spark, sf_dir):
+    """The lines of transcripts below a home folder, found and read by the data source, by class of their store: code or other work."""
+    e = events(spark, sf_dir)
+    folder = F.when(F.col("event_type") == "view", ".claude/projects/p/sub/").when(F.col("event_type") == "click", f"{discover.STORES[0][1]}/a/").when(F.col("event_type") == "purchase", ".codex/sessions/2024/01/").otherwise(".claude/notes/")
+    rows = e.groupBy("event_type", "user_id").agg(F.array_join(F.collect_list(F.to_json(F.struct("event_id"))), "\n").alias("content"))
+    home = scratch_path(spark, "home")
+    sinks.write_documents(rows.select(F.concat(folder, F.lit("u"), "user_id", F.lit(".jsonl")).alias("path"), "content"), home)
+    lines = log_source.read(spark, [home], stores=True)
+    return lines.groupBy(rollup.code_source(F.col("source")).alias("code")).agg(F.count_distinct("real").alias("files"), F.count(F.lit(1)).alias("lines"), F.count_distinct("source").alias("sources"))
+
+
+def excluded_by_rules(spark, sf_dir):
+    """Files of parts that no machine's rules exclude: a document of fragments a nation, some of them broken."""
+    made = F.concat(F.lit('{"paths": ["'), F.lower(F.substring("n_name", 1, 3)), F.lit('", " ", 7, "Brand#1'), F.col("n_nationkey").cast("string"), F.lit('"]'))
+    documents = table(spark, sf_dir, "nation").select(F.col("n_name").alias("path"), F.when(F.col("n_regionkey") == 1, made).otherwise(F.concat(made, F.lit("}"))).alias("content"))
+    return rules.scanned(_paths(spark, sf_dir), "path", documents).select("p_partkey", "path")
+
+
+def machine_roots(spark, sf_dir):
+    """The roots of suppliers' machines: home, those of a hand-written document, one given; repeats in other case left out."""
+    s = table(spark, sf_dir, "supplier")
+    homes = s.select(F.col("s_suppkey").alias("machine"), F.concat(F.lit("/home/s"), "s_suppkey").alias("home"))
+    made = F.concat(F.lit('{"extra_roots": ["/HOME/S'), F.col("s_suppkey").cast("string"), F.lit('", " /data/n'), F.col("s_nationkey").cast("string"), F.lit(' ", "", "/Mnt/All"]}'))
+    documents = s.where("s_nationkey < 20").select(F.col("s_suppkey").alias("machine"), made.alias("content"))
+    return rules.effective_roots(homes, documents, ["/mnt/all"]).select("machine", "seq", "root")
+
+
 def rollout_sessions(spark, sf_dir):
     """Rollouts: counters that only grow, a session after the other in a file, each begun by its id."""
     from pyspark.sql import Window
@@ -365,7 +413,7 @@ def fleet_sketches(spark, sf_dir):
     return exact.join(about, "n_regionkey").select("n_regionkey", "n_rows", "n_parts", "n_customers", near("parts", "n_parts").alias("parts_near"), near("customers", "n_customers").alias("customers_near"))
 
 
-QUERIES = {f.__name__: f for f in (transcript_sessions, transcript_projects, profile_usage_by_day, profile_totals, discovered_sources, rollout_sessions, grok_sessions, gemini_sessions, provider_states, copilot_kilo_sessions, profile_counters, ledger_from_log, fleet_read, fleet_warnings, run_log, corpus_rollup, corpus_months, person_profile, four_stars, stream_hourly, stream_sessions, stream_ledger, stream_snapshots, kept_days, fleet_sketches)}
+QUERIES = {f.__name__: f for f in (transcript_sessions, log_source_sessions, log_source_stream, transcript_projects, profile_usage_by_day, profile_totals, discovered_sources, source_classes, excluded_by_rules, machine_roots, rollout_sessions, grok_sessions, gemini_sessions, provider_states, copilot_kilo_sessions, profile_counters, ledger_from_log, fleet_read, fleet_warnings, run_log, corpus_rollup, corpus_months, person_profile, four_stars, stream_hourly, stream_sessions, stream_ledger, stream_snapshots, kept_days, fleet_sketches)}
 
 _GROK = "gk AS (SELECT user_id, min(us) AS first_micros, max(us) AS last_micros, count(*) AS turns, CAST(sum(v - v // 4) AS BIGINT) AS input, CAST(sum(v * 3) AS BIGINT) AS output, CAST(sum(v // 4) AS BIGINT) AS cache_read FROM e WHERE event_type <> 'error' GROUP BY user_id)"
 _GEMINI = "gm AS (SELECT user_id, min(us) AS first_micros, max(us) AS last_micros, count(*) AS turns, CAST(sum(v - v // 2 + 2) AS BIGINT) AS input, CAST(sum(k + 1) AS BIGINT) AS output, CAST(sum(v // 2) AS BIGINT) AS cache_read FROM e WHERE event_type <> 'view' GROUP BY user_id)"
@@ -411,6 +459,10 @@ SELECT 's' || user_id AS session_id, first_micros, last_micros, events, turns, t
     "transcript_projects": "SELECT DISTINCT 'work/u' || user_id AS project FROM events WHERE CAST(user_id AS VARCHAR) NOT LIKE '1%'",
     "profile_usage_by_day": f"WITH {_E} SELECT CASE WHEN event_type = 'click' THEN 'b' ELSE 'a' END AS profile, strftime(ts, '%Y-%m-%d') AS day, 'claude-' || event_type AS model, count(*) AS turns, CAST(sum(v) AS BIGINT) AS input, CAST(sum(v * 2) AS BIGINT) AS output FROM e WHERE event_type IN ('purchase', 'signup', 'click') GROUP BY ALL",
     "profile_totals": f"WITH {_E} SELECT event_type AS profile, count(DISTINCT user_id) FILTER (WHERE user_id % 4 <> 3) AS sessions, CASE WHEN event_type = 'view' THEN count(DISTINCT user_id) FILTER (WHERE user_id % 4 <> 3) ELSE 0 END AS without_usage, CASE WHEN event_type = 'view' THEN 0 ELSE CAST(sum(v) AS BIGINT) END AS input, CASE WHEN event_type = 'view' THEN 0 ELSE CAST(sum(v * 2) AS BIGINT) END AS output FROM e GROUP BY event_type",
+    "log_source_stream": f"WITH {_E} SELECT event_type, user_id, count(*) AS n, CAST(sum(v) AS BIGINT) AS volume, min(event_id) AS first_id FROM e WHERE event_type IN ('view', 'click', 'purchase') GROUP BY 1, 2",
+    "source_classes": "SELECT event_type <> 'click' AS code, count(DISTINCT event_type || user_id) AS files, count(*) AS lines, count(DISTINCT event_type) AS sources FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY 1",
+    "excluded_by_rules": f"WITH {_PATHS}, f AS (SELECT unnest([lower(substr(n_name, 1, 3)), 'brand#1' || n_nationkey]) AS fragment FROM nation WHERE n_regionkey <> 1) SELECT p_partkey, path FROM pt WHERE NOT EXISTS (SELECT 1 FROM f WHERE contains(lower(path), fragment))",
+    "machine_roots": "SELECT s_suppkey AS machine, unnest(CASE WHEN s_nationkey < 20 THEN [0, 1, 2] ELSE [0, 1] END) AS seq, unnest(CASE WHEN s_nationkey < 20 THEN ['/home/s' || s_suppkey, '/data/n' || s_nationkey, '/Mnt/All'] ELSE ['/home/s' || s_suppkey, '/mnt/all'] END) AS root FROM supplier",
     "discovered_sources": "SELECT CASE event_type WHEN 'view' THEN 'claude_code' WHEN 'click' THEN 'cowork' ELSE 'codex' END AS source, count(DISTINCT user_id) AS files, count(*) AS lines FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY 1",
     "rollout_sessions": f"WITH {_E}, t AS (SELECT user_id, min(us) AS first_micros, max(us) AS last_micros, CAST(sum(v) AS BIGINT) AS total, count(*) AS n FROM e GROUP BY 1) SELECT 'r' || user_id AS session_id, first_micros, last_micros, total - total // 2 AS input, n AS output, total // 2 AS cache_read, 'gpt-5' AS model FROM t",
     "grok_sessions": f"WITH {_E}, {_GROK} SELECT 'user_id=' || user_id AS session_id, * EXCLUDE (user_id) FROM gk",
@@ -444,4 +496,5 @@ def _level(*terms: tuple[str, float, float]) -> str:
     return f"CAST(floor(least(7e0, greatest(0e0, {worth})) * 1000 + 0.5) AS BIGINT)"
 
 
+ORACLES["log_source_sessions"] = ORACLES["transcript_sessions"]
 ORACLES["four_stars"] = ORACLES["four_stars"].format(t=_level(("tokens_m", 5.0, 1.0)), p=_level(("projects", 4.0, 0.6)), c=_level(("tool_calls", 2000.0, 1.0)), m=_level(("models", 1.0, 0.7)), s=_level(("streak", 3.0, 0.5), ("active_days", 8.0, 0.5)))

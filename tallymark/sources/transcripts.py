@@ -16,13 +16,13 @@ TOKENS = list(USAGE)
 SENTINEL = "[excluded]"
 
 
-def _timed(spark: SparkSession, roots: list[str], glob: str) -> DataFrame:
-    rows = objects(log_lines(spark, roots, glob))
+def _timed(spark: SparkSession, roots: list[str], glob: str, lines: DataFrame | None = None) -> DataFrame:
+    rows = objects(log_lines(spark, roots, glob) if lines is None else lines)
     return rows.withColumn("ts", instant(string("j", "$.timestamp"))).where("ts is not null")
 
 
-def message_events(spark: SparkSession, roots: list[str], exclude: list[str] | None = None, home: str | None = None, user: str | None = None, glob: str = "*.jsonl") -> DataFrame:
-    """Rows of message logs, typed: a row is kept if it is an object with a parsable timestamp string.
+def message_events(spark: SparkSession, roots: list[str], exclude: list[str] | None = None, home: str | None = None, user: str | None = None, glob: str = "*.jsonl", lines: DataFrame | None = None) -> DataFrame:
+    """Rows of message logs, typed, or of ``lines`` read already: a row is kept if it is an object with a parsable timestamp string.
 
     A row without session id inherits the last one seen in its file, else the
     file's last two path segments. A folder that names nothing (one segment at
@@ -31,7 +31,7 @@ def message_events(spark: SparkSession, roots: list[str], exclude: list[str] | N
     Rows are parsed once and kept, so that ids are filled in by splits of files
     and a file of any size stays many tasks.
     """
-    j = _timed(spark, roots, glob)
+    j = _timed(spark, roots, glob, lines)
     rows = j.select(
         "path",
         "split",
