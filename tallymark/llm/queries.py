@@ -74,11 +74,6 @@ def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_rows(passages.remove_passages(table(spark, sf_dir, "documents")))
 
 
-def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's later repeats of lines and paragraphs cut, with the cuts' offsets."""
-    return cut_rows(linededup.remove_repeats(table(spark, sf_dir, "documents")))
-
-
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html.main_text(table(spark, sf_dir, "pages"))
@@ -118,7 +113,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_order_minhash, op4_warc_bundles, op5_token_rollup, op6_quartile_digest, op7_passage_dedup, op7_line_dedup, op8_main_text, op9_decontaminate, op10_pfair_mix, op11_kronecker_negatives, op12_line_bitmaps, op13_filter_audit, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_order_minhash, op4_warc_bundles, op5_token_rollup, op6_quartile_digest, op7_passage_dedup, op8_main_text, op9_decontaminate, op10_pfair_mix, op11_kronecker_negatives, op12_line_bitmaps, op13_filter_audit, pipeline)}
 
 ORACLES = {
     "op1_chat_format": r"""
@@ -164,32 +159,6 @@ g AS (SELECT *, CASE WHEN a <= max(z) OVER (PARTITION BY doc_id ORDER BY a, z RO
 m AS (SELECT doc_id, min(a) AS a, max(z) AS z FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS nth FROM g) GROUP BY doc_id, nth),
 c AS (SELECT doc_id, count(*) AS n_cut, string_agg(a || ':' || z, ';' ORDER BY a) AS cut_spans FROM m GROUP BY doc_id),
 k AS (SELECT o.doc_id, string_agg(tok, '' ORDER BY k) AS kept FROM o LEFT JOIN m ON m.doc_id = o.doc_id AND o.pos >= m.a AND o.pos < m.z WHERE m.doc_id IS NULL GROUP BY o.doc_id)
-SELECT documents.doc_id, coalesce(n_cut, 0) AS n_cut, coalesce(cut_spans, '') AS cut_spans,
-  CASE WHEN text IS NOT NULL THEN length(coalesce(kept, '')) END AS kept_chars, CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256
-FROM documents LEFT JOIN c ON c.doc_id = documents.doc_id LEFT JOIN k ON k.doc_id = documents.doc_id""",
-    "op7_line_dedup": r"""
-WITH t AS (
-  SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+')) AS tok, generate_subscripts(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+'), 1) AS k
-  FROM documents WHERE text IS NOT NULL),
-o AS (
-  SELECT *, CAST(sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY k) - length(tok) AS BIGINT) AS pos, regexp_matches(tok, '^[\p{L}\p{N}]') AS word,
-    NOT regexp_matches(tok, '[\p{L}\p{N}]') AND regexp_matches(tok, '[^ ''\x{2019}-]') AS stop FROM t),
-w AS (
-  SELECT doc_id, pos, k, lower(tok) AS tok, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i,
-    coalesce(lag(stops) OVER (PARTITION BY doc_id ORDER BY k) <> stops, true) AS begins,
-    lead(pos) OVER (PARTITION BY doc_id ORDER BY k) AS next_pos
-  FROM (SELECT *, count(*) FILTER (WHERE stop) OVER (PARTITION BY doc_id ORDER BY k) AS stops FROM o) WHERE word),
-e AS (SELECT *, coalesce(lead(begins) OVER (PARTITION BY doc_id ORDER BY i), true) AS ends FROM w),
-d AS (SELECT doc_id, list(tok ORDER BY i) AS toks FROM w GROUP BY doc_id),
-b AS (SELECT doc_id, i, pos, i + 45 - 1 AS need FROM e WHERE begins),
-z AS (SELECT doc_id, i, next_pos FROM e WHERE ends),
-p AS (SELECT b.doc_id, b.pos AS a, coalesce(z.next_pos, length(documents.text)) AS z, sha256(array_to_string(toks[b.i:z.i], ' ')) AS h
-  FROM b ASOF JOIN z ON b.doc_id = z.doc_id AND b.need <= z.i JOIN d ON d.doc_id = b.doc_id JOIN documents ON documents.doc_id = b.doc_id),
-r AS (SELECT doc_id, a, z FROM p QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, a) > 1),
-g AS (SELECT *, CASE WHEN a <= max(z) OVER (PARTITION BY doc_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM r),
-m AS (SELECT doc_id, min(a) AS a, max(z) AS z FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS nth FROM g) GROUP BY doc_id, nth),
-c AS (SELECT doc_id, count(*) AS n_cut, string_agg(a || ':' || z, ';' ORDER BY a) AS cut_spans FROM m GROUP BY doc_id),
-k AS (SELECT o.doc_id, string_agg(tok, '' ORDER BY k) AS kept FROM o LEFT JOIN m ON m.doc_id = o.doc_id AND o.pos >= m.a AND o.pos < m.z WHERE m.doc_id IS NULL GROUP BY o.doc_id)
 SELECT documents.doc_id, coalesce(n_cut, 0) AS n_cut, coalesce(cut_spans, '') AS cut_spans,
   CASE WHEN text IS NOT NULL THEN length(coalesce(kept, '')) END AS kept_chars, CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256
 FROM documents LEFT JOIN c ON c.doc_id = documents.doc_id LEFT JOIN k ON k.doc_id = documents.doc_id""",
