@@ -197,10 +197,10 @@ def _redacted(text: str) -> str:
 
 
 def _metrics(source: str, keys: str) -> str:
-    return rf"""b AS (SELECT {keys}, regexp_replace(text, '^\s+|\s+$', '', 'g') AS p FROM {source}),
+    return rf"""b AS (SELECT {keys}, regexp_replace(text, '\A[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z', '', 'g') AS p FROM {source}),
 pm AS (SELECT {keys}, CASE WHEN p NOT LIKE '<%' AND p NOT LIKE '/%' AND length(p) >= 16 THEN p END AS p FROM b),
 met AS (SELECT {keys}, count(p) AS prompts, CAST(coalesce(sum(length(p)), 0) AS BIGINT) AS chars, count(*) FILTER (WHERE contains(p, '?')) AS questions,
-  count(*) FILTER (WHERE regexp_matches(p, {q(profile.CORRECTION.removeprefix('(?i)'))}, 'i')) AS corrections FROM pm GROUP BY {keys}),
+  count(*) FILTER (WHERE regexp_matches(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {q(chr(92) + 'b(' + profile.WORDS + ')' + chr(92) + 'b')}, 'c')) AS corrections FROM pm GROUP BY {keys}),
 met2 AS (SELECT *, CASE WHEN prompts > 0 THEN questions * 10000 // prompts END AS question_bp, CASE WHEN prompts > 0 THEN corrections * 10000 // prompts END AS correction_bp, CASE WHEN prompts > 0 THEN chars // prompts END AS mean_chars FROM met)"""
 
 
