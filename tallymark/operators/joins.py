@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.operators import scans
+from tallymark.session import kept
 
 #: Stretches of time, of as many rows each, into which an as-of join cuts both sides.
 PIECES = 64
@@ -78,3 +79,35 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], left_ends: tupl
     once = F.floor(F.greatest("__start_a", "__start_b") / size) == col("__bucket_a")
     found = a.join(b, same & meet & once)
     return found.select(*(col(f"__k{i}_a").alias(k) for i, k in enumerate(keys)), *(col("__id_a")[c].alias(f"left_{c}") for c in left_id), *(col("__id_b")[c].alias(f"right_{c}") for c in right_id))
+
+
+def overlap_counts(df: DataFrame, keys: list[str], who: str, start: str, end: str, width: int) -> DataFrame:
+    """keys, who, start, others, last_start: how many intervals of equal keys and another ``who`` overlap each one, and the last start of these.
+
+    Intervals are closed whole numbers, none of one ``who`` and keys overlap each
+    other, and no name is null. Pairs are counted, not made: those that begin by
+    an interval's end, less those that end before it begins. The last of the
+    former that is another's counts if it begins inside. Only where none does,
+    the intervals that hold the start are looked up as pairs; such starts lie
+    further apart than their intervals are long, so they are few.
+    """
+    mine = df.select(*keys, who, F.col(start).cast("long").alias("__start"), F.col(end).cast("long").alias("__end")).where("__start <= __end")
+    points = mine.select("*", F.explode(F.array(F.struct(F.col("__start").alias("t"), F.lit(0).alias("side")), F.struct(F.col("__end").alias("t"), F.lit(1).alias("side")))).alias("p")).select("*", F.col("p.t").alias("__t"), F.col("p.side").alias("__side")).drop("p")
+    order = ["__t", "__side", who]
+    cut = scans.even_segments(points, *order, name="__segment")
+    begins = F.col("__side") == 0
+    seen = {"__begun": ("sum", F.when(begins, 1).otherwise(0)), "__ended": ("sum", F.col("__side")), "__last": ("last", F.when(begins, F.struct(F.col("__t").alias("t"), F.col(who).alias("who"))))}
+    scanned = kept(scans.prefix_scan(cut, keys, ["__segment"], order, seen, inclusive=False), "begun")
+    # The last start that is not by who made the last one.
+    turned = F.when(begins & (F.col("__last.who") != F.col(who)), F.col("__last"))
+    both = scans.prefix_scan(scanned, keys, ["__segment"], order, {"__other": ("last", turned)})
+    near = F.when(F.col("__last.who") != F.col(who), F.col("__last.t")).otherwise(F.col("__other.t"))
+    ids = [*keys, who, "__start", "__end"]
+    others = F.max(F.when(~begins, F.col("__begun"))) - F.coalesce(F.max(F.when(begins, F.col("__ended"))), F.lit(0)) - 1
+    found = kept(both.groupBy(*ids).agg(others.cast("long").alias("others"), F.max(F.when(~begins, near)).alias("last_start")).where("others > 0"), "counted")
+    inside = found.where("last_start >= __start").drop("__end")
+    without = found.where("last_start is null or last_start < __start").select(*ids, "others")
+    pairs = overlaps(without, mine, keys, ("__start", "__start"), ("__start", "__end"), [who, "__start"], [who, "__start"], width).where(F.col(f"left_{who}") != F.col(f"right_{who}"))
+    last = pairs.groupBy(*keys, F.col(f"left_{who}").alias(who), F.col("left___start").alias("__start")).agg(F.max("right___start").alias("last_start"))
+    rest = without.drop("__end").join(last, [*keys, who, "__start"]).select(*inside.columns)
+    return inside.unionByName(rest).withColumnRenamed("__start", start)
