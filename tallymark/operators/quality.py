@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import text as T
 from tallymark.functions import trees
+from tallymark.session import kept
 
 
 #: Larger files and files with a zero byte this near their beginning are not inspected.
@@ -139,7 +140,7 @@ def json_paths(documents: DataFrame, ident: str, text: str) -> DataFrame:
     Texts that are no JSON have no paths.
     """
     rows = documents.where(F.col(text).isNotNull()).select(F.col(ident).alias("ident"), F.col(text).alias("document"))
-    return trees.walked(rows, "document").select("ident", "path", "string")
+    return trees.json_values(rows, "ident", "document")
 
 
 def map_labels(documents: DataFrame, text: str, salt: str = "") -> DataFrame:
@@ -181,7 +182,8 @@ def key_vocabulary(files: DataFrame, path: str, text: str) -> DataFrame:
     A parent with more than :data:`MOST_CHILDREN` different children is a map,
     whose keys become ``<key>``; of maps within maps the outermost counts.
     """
-    keys = _json_of(files, path, text).select("path").where(~F.col("path").endswith("[]")).distinct()
+    # Kept, for it is used three times and documents are walked once.
+    keys = kept(_json_of(files, path, text).select("path").where(~F.col("path").endswith("[]")).distinct(), "keys")
     parent = F.regexp_extract("path", r"^(.*)\.[^.]*$", 1)
     maps = keys.select(parent.alias("parent")).where("parent <> ''").groupBy("parent").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_CHILDREN).select("parent")
     parts = F.split("path", r"\.")
@@ -201,12 +203,13 @@ def longest_texts(files: DataFrame, path: str, text: str) -> DataFrame:
     read = files.where(skip_reason(text).isNull() & F.col(text).isNotNull()).select(F.col(path).alias("path"), F.col(text).alias("text"))
     values = _json_of(files, path, text)
     key = F.regexp_extract("path", r"([^.]*)$", 1)
-    said = values.where("string is not null").select(F.col("path").alias("at"), F.length("string").alias("chars"))
-    keys = values.where(F.length(key) > LONGEST_KEY).select(F.concat(F.regexp_extract("path", r"^(.*?)[^.]*$", 1), F.lit("<key>")).alias("at"), F.length(key).alias("chars"))
+    said = F.when(F.col("string").isNotNull(), F.struct(F.col("path").alias("at"), F.length("string").alias("chars")))
+    long_key = F.when(F.length(key) > LONGEST_KEY, F.struct(F.concat(F.regexp_extract("path", r"^(.*?)[^.]*$", 1), F.lit("<key>")).alias("at"), F.length(key).alias("chars")))
+    held = values.select(F.inline(F.array_compact(F.array(said, long_key))))
     shown = read.where(F.col("path").rlike(VIEW)).select(F.col("path").alias("at"), F.explode(F.split(T.visible_text(F.col("text")), r"(?<=[.!?])\s+")).alias("t")).select("at", F.length("t").alias("chars"))
     broken = F.col("path").rlike(r"(?i)\.json$") & F.try_parse_json("text").isNotNull()
     whole = read.where(~F.col("path").rlike(VIEW) & ~broken).select(F.col("path").alias("at"), F.length("text").alias("chars"))
-    every = said.unionByName(keys).unionByName(whole).withColumn("kind", F.lit("data")).unionByName(shown.withColumn("kind", F.lit("view")))
+    every = held.unionByName(whole).withColumn("kind", F.lit("data")).unionByName(shown.withColumn("kind", F.lit("view")))
     return every.groupBy("kind").agg(F.min_by(F.struct("at", "chars"), F.struct(-F.col("chars"), F.col("at"))).alias("t")).select("kind", "t.at", F.col("t.chars").cast("long").alias("chars"))
 
 
