@@ -191,6 +191,8 @@ FUNCTIONS = {"json_walk": JsonWalk, "protobuf_walk": ProtobufWalk}
 
 #: Values given out at once.
 VALUES = 1 << 15
+#: Tasks that walk documents, by core.
+DEALT = 2
 
 
 def json_values(rows: DataFrame, ident: str, document: str) -> DataFrame:
@@ -221,7 +223,12 @@ def json_values(rows: DataFrame, ident: str, document: str) -> DataFrame:
                         yield batched()
             yield batched()
 
-    return rows.select(ident, document).mapInArrow(run, schema)
+    return dealt(rows.select(ident, document)).mapInArrow(run, schema)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt evenly over the cores: walking documents costs far more than moving them, and a file may be one task."""
+    return rows.repartition(DEALT * rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def register(spark: SparkSession) -> None:

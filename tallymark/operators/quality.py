@@ -152,7 +152,7 @@ def map_labels(documents: DataFrame, text: str, salt: str = "") -> DataFrame:
     whatever characters they hold. A new column ``masked`` takes the result; it
     is null for a text that cannot be read.
     """
-    return documents.withColumn("masked", trees.mask_labels(salt)(F.col(text)))
+    return trees.dealt(documents).withColumn("masked", trees.mask_labels(salt)(F.col(text)))
 
 
 #: More children than this make an object a map of data, and a key longer than that is text.
