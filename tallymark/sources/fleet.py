@@ -48,9 +48,11 @@ def _path(root: str) -> str:
 
 
 def _valid(found: DataFrame) -> DataFrame:
-    totals = found.where(F.col("name") == "totals.json").withColumn("j", F.try_parse_json("content"))
+    # Out of a generator, below which no filter is pushed: a document is parsed once.
+    totals = found.where(F.col("name") == "totals.json").withColumn("j", F.explode(F.array(F.try_parse_json("content")))).drop("content")
     number = F.schema_of_variant(get("j", "$.grand_total_tokens", "variant")).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    listed_ = F.schema_of_variant(get("j", "$.accounts", "variant")).startswith("ARRAY")
+    # Not by its schema, which would be made of every day in it.
+    listed_ = get("j", "$.accounts", "array<variant>").isNotNull()
     named = F.coalesce(string("j", "$.machine"), F.lit("")) != ""
     return totals.withColumn("ok", F.coalesce(number & listed_ & named, F.lit(False)))
 
@@ -69,7 +71,9 @@ def machines(found: DataFrame) -> DataFrame:
 def account_days(found: DataFrame) -> DataFrame:
     """Usage of machines by account and day: machine, account, grand_total, day, value; a day's numbers are summed."""
     accounts = _valid(found).where("ok").select(string("j", "$.machine").alias("machine"), F.posexplode(get("j", "$.accounts", "array<variant>")).alias("place", "a"))
-    rows = accounts.select("machine", "place", string("a", "$.account").alias("account"), counting.finite(get("a", "$.grand_total", "string")).cast("long").alias("grand_total"), F.explode_outer(F.map_entries(get("a", "$.by_day", "map<string,variant>"))).alias("d"))
+    # An account's own fields are taken before its days are dealt out, or each day would carry and search the whole account.
+    own = accounts.select("machine", "place", string("a", "$.account").alias("account"), counting.finite(get("a", "$.grand_total", "string")).cast("long").alias("grand_total"), F.map_entries(get("a", "$.by_day", "map<string,variant>")).alias("days"))
+    rows = own.select("machine", "place", "account", "grand_total", F.explode_outer("days").alias("d"))
     # A day is a number, or an object of counters.
     flat = F.aggregate(F.map_values(get("d.value", "$", "map<string,variant>")), F.lit(0.0), lambda s, v: s + counting.finite(F.try_variant_get(v, "$", "string")))
     value = F.when(F.schema_of_variant(F.col("d.value")).startswith("OBJECT"), flat).otherwise(counting.finite(get("d.value", "$", "string")))
