@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import text as T
 from tallymark.operators import counting
+from tallymark.session import kept
 from tallymark.sources.lines import files, get, instant, listed, log_lines, objects, plain, resolved, string
 from tallymark.sources.walk import heads, walk
 
@@ -127,7 +128,7 @@ def profile_usage(spark: SparkSession, roots: list[str], glob: str = "*.jsonl")
     day (of the stamp as written), model, and the counters; a counter that is no
     whole number is 0, rows without uuid all count.
     """
-    j = objects(log_lines(spark, roots, glob).where(F.col("line").contains('"usage"')))
+    j = objects(log_lines(spark, roots, glob, many=True).where(F.col("line").contains('"usage"')))
     usage = get("j", "$.message.usage", "variant")
     stamp = F.coalesce(string("j", "$.timestamp"), F.lit(""))
     rows = j.where(F.schema_of_variant(usage).startswith("OBJECT")).select(
@@ -139,14 +140,15 @@ def profile_usage(spark: SparkSession, roots: list[str], glob: str = "*.jsonl")
         F.coalesce(T.model_name(string("j", "$.message.model")), F.lit("unknown")).alias("model"),
         *(F.coalesce(counting.strict_int(get("j", f"$.message.usage.{f}", "variant")), F.lit(0)).alias(c) for c, f in USAGE.items()),
     )
-    first = counting.first_wins(rows, "uuid", F.struct("root_seq", "path", "line_no"))
+    # Kept, for sessions, their models and totals each use it, and copies are told apart by a shuffle of all rows.
+    first = kept(counting.first_wins(rows, "uuid", F.struct("root_seq", "path", "line_no")), "usage")
     return first.select(_profile(F.col("path")).alias("profile"), "path", _main(F.col("path")).alias("main"), "line_no", instant(F.col("stamp")).alias("ts"), F.substring("stamp", 1, 10).alias("day"), "model", *USAGE).where("profile is not null")
 
 
 def profile_files(spark: SparkSession, roots: list[str], glob: str = "*.jsonl") -> DataFrame:
     """All transcript files of profiles, read or not: profile, path, main."""
     found = listed(spark, roots, glob)
-    return found.select(_profile(F.col("path")).alias("profile"), "path", _main(F.col("path")).alias("main")).where("profile is not null")
+    return kept(found.select(_profile(F.col("path")).alias("profile"), "path", _main(F.col("path")).alias("main")).where("profile is not null"), "files")
 
 
 def _session_name(path: Column) -> Column:
