@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.session import kept
+
 KEY = ["cli", "session_id"]
 
 
@@ -16,11 +18,14 @@ def lifetime(rows: DataFrame, counters: list[str]) -> DataFrame:
 
     A version is as new as the last row of the ledger that carries it.
     """
-    newest = rows.groupBy(F.col("version").alias("newest")).agg(F.max("pos").alias("rank"))
-    named = rows.where("cli is not null and session_id is not null")
-    ranked = named.join(newest, F.col("version").eqNullSafe(F.col("newest"))).select(*KEY, *counters, "rank")
-    # The greatest (rank, counter) by field has the counter's maximum at the best rank.
-    return ranked.groupBy(*KEY).agg(*(F.max(F.struct("rank", c))[c].alias(c) for c in counters))
+    # Rows are summed up first, in one scan and by hashing: rows of one version would meet in one task of a join.
+    best = kept(rows.groupBy(*KEY, "version").agg(F.max("pos").alias("pos"), *(F.max(c).alias(c) for c in counters)), "versions")
+    newest = best.groupBy(F.col("version").alias("newest")).agg(F.max("pos").alias("rank"))
+    named = best.where("cli is not null and session_id is not null")
+    ranked = named.join(F.broadcast(newest), F.col("version").eqNullSafe(F.col("newest"))).select(*KEY, *counters, "rank")
+    # Versions of one rank count together. Numbers only, which are hashed, where a maximum of structs would sort every row.
+    ranked = ranked.groupBy(*KEY, "rank").agg(*(F.max(c).alias(c) for c in counters))
+    return ranked.groupBy(*KEY).agg(*(F.max_by(c, "rank").alias(c) for c in counters))
 
 
 def append_plan(ledger: DataFrame, scan: DataFrame) -> DataFrame:
