@@ -74,7 +74,7 @@ def lines_of(spark: SparkSession, found: DataFrame) -> DataFrame:
     bases = sorted(r["base"] for r in found.select("base").distinct().collect())
     # Spark's readers give paths as URIs, in which blanks and the like are escaped; a plus sign is itself.
     unescaped = F.coalesce(F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), F.col("path"))
-    read = log_lines(spark, bases).withColumn("at", plain(unescaped))
+    read = log_lines(spark, bases, many=True).withColumn("at", plain(unescaped))
     mine = found.select("source", plain(F.col("path")).alias("at"))
     return read.join(mine, "at").select("source", "path", "split", "line_no", "line")
 
