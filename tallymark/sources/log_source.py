@@ -13,7 +13,8 @@ a log that was last changed before a time holds nothing later.
 
 Options: ``paths`` (a JSON list) or the path of ``load``; ``stores`` for the
 stores of home folders with a depth each, else ``suffix`` (.jsonl) and ``depth``
-(folders below a root, 12); ``splitBytes``.
+(folders below a root, 12); ``splitBytes``; ``tasks``, the most that read a batch
+(0: one for each split; :func:`read` gives some a core).
 
 A file that several roots or links reach is read once, by its first path (root,
 then name). Folders that cannot be listed are passed over. Bytes that are no
@@ -45,6 +46,8 @@ from tallymark.sources.walk import TOGETHER, _files, qualified
 NAME = "session_logs"
 SCHEMA = "root_seq int, path string, real string, source string, modified timestamp, split bigint, line_no bigint, line string"
 SPLIT_BYTES = 32 << 20
+#: Tasks that read, by core.
+READERS = 8
 _ARROW = pa.schema([("root_seq", pa.int32()), ("path", pa.string()), ("real", pa.string()), ("source", pa.string()), ("modified", pa.timestamp("us", "UTC")), ("split", pa.int64()), ("line_no", pa.int64()), ("line", pa.string())])
 
 
@@ -107,6 +110,7 @@ class Logs:
         self.suffix = options.get("suffix", ".jsonl")
         self.depth = max(PROFILE_AT + 1 + PROFILE_DEPTH, *(f.count("/") + 1 + d for _, f, d in STORES)) if self.stores else int(options.get("depth", 12))
         self.split_bytes = max(1, int(options.get("splitBytes", SPLIT_BYTES)))
+        self.tasks = int(options.get("tasks", 0))
         self.tests: list = []
 
     def listed(self) -> list[Log]:
@@ -133,6 +137,11 @@ class Logs:
                 start = upto
         return out
 
+    def dealt(self, parts: list[Ranges]) -> list[Ranges]:
+        """The stretches as they are cut, in at most ``tasks`` tasks: one costs a Python worker its start, however little it reads."""
+        each = -(-len(parts) // self.tasks) if self.tasks else 1
+        return [Ranges([stretch for part in parts[i : i + each] for stretch in part.ranges]) for i in range(0, len(parts), max(1, each))]
+
 
 def _lines(log: Log, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     """Lines that begin in the stretch, each with its place in the file."""
@@ -148,22 +157,38 @@ def _lines(log: Log, start: int, end: int) -> Iterator[tuple[int, bytes]]:
 
 
 def _batches(part: Ranges) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple] = []
+    # What a stretch's rows have in common is held once for it.
+    runs: list[tuple[Log, int, int]] = []
+    places: list[int] = []
+    lines: list[bytes] = []
     held = 0
     for log, start, end in part.ranges:
+        seen = len(lines)
         for at, line in _lines(log, start, end):
             if line.strip():
-                rows.append((log.root_seq, log.path, log.real, log.source, log.modified, start, at + 1, line.decode("utf-8", "replace").rstrip("\r\n")))
+                places.append(at + 1)
+                lines.append(line.rstrip(b"\r\n"))
                 held += len(line) + 200
             if held >= TOGETHER:
-                yield _batch(rows)
-                rows, held = [], 0
-    if rows:
-        yield _batch(rows)
+                yield _batch([*runs, (log, start, len(lines) - seen)], places, lines)
+                runs, places, lines, held, seen = [], [], [], 0, 0
+        if len(lines) > seen:
+            runs.append((log, start, len(lines) - seen))
+    if lines:
+        yield _batch(runs, places, lines)
+
 
+def _batch(runs: list[tuple[Log, int, int]], places: list[int], lines: list[bytes]) -> pa.RecordBatch:
+    def common(name: str, value) -> pa.Array:
+        kind = _ARROW.field(name).type
+        return pa.concat_arrays([pa.repeat(pa.scalar(value(log, start), kind), n) for log, start, n in runs])
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+    logs = [common(name, lambda log, _, name=name: getattr(log, name)) for name in ("root_seq", "path", "real", "source", "modified")]
+    try:
+        text = pa.array(lines, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:
+        text = pa.array([line.decode("utf-8", "replace") for line in lines], pa.string())
+    return pa.RecordBatch.from_arrays([*logs, common("split", lambda _, start: start), pa.array(places, pa.int64()), text], schema=_ARROW)
 
 
 def _test(given: ds.Filter):
@@ -197,7 +222,7 @@ class LogReader(ds.DataSourceReader):
 
     def partitions(self) -> list[Ranges]:
         # Without a file there is one task with nothing to read.
-        return self.logs.packed((log, 0, log.size) for log in self.logs.listed()) or [Ranges([])]
+        return self.logs.dealt(self.logs.packed((log, 0, log.size) for log in self.logs.listed())) or [Ranges([])]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         return _batches(partition)
@@ -273,7 +298,7 @@ def _options(spark: SparkSession, roots: list[str], options: dict) -> dict:
 
 def read(spark: SparkSession, roots: list[str], **options) -> DataFrame:
     """The lines of the logs below the roots."""
-    return spark.read.format(NAME).options(**_options(spark, roots, options)).load()
+    return spark.read.format(NAME).options(**_options(spark, roots, {"tasks": READERS * spark.sparkContext.defaultParallelism} | options)).load()
 
 
 def follow(spark: SparkSession, roots: list[str], **options) -> DataFrame:
