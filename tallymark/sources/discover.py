@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.session import kept
-from tallymark.sources.lines import log_lines, plain
+from tallymark.sources.lines import lines_in
 from tallymark.sources.walk import walk
 
 # Stores below a home folder, and how many folders below each its transcripts may lie.
@@ -70,13 +70,8 @@ def transcripts(spark: SparkSession, roots: list[str], skip: list[str] | None =
 
 
 def lines_of(spark: SparkSession, found: DataFrame) -> DataFrame:
-    """The lines of found transcripts with their source; stores are few, and each is read as one, file by file split."""
-    bases = sorted(r["base"] for r in found.select("base").distinct().collect())
-    # Spark's readers give paths as URIs, in which blanks and the like are escaped; a plus sign is itself.
-    unescaped = F.coalesce(F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), F.col("path"))
-    read = log_lines(spark, bases, many=True).withColumn("at", plain(unescaped))
-    mine = found.select("source", plain(F.col("path")).alias("at"))
-    return read.join(mine, "at").select("source", "path", "split", "line_no", "line")
+    """The lines of found transcripts with their source: source, path, split, line_no, line; tasks read what was found, wherever it lies."""
+    return lines_in(found.select("source", "path", "size"))
 
 
 def outside(profiles: list[str], roots: list[str]) -> list[str]:

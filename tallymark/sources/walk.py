@@ -7,6 +7,7 @@ tasks list the next level; only beginnings of files are read here.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 from tallymark.session import scratch_path
 
-#: Bytes that leave a task at once.
+#: Bytes, and names of a folder, that leave a task at once.
 TOGETHER = 1 << 24
+NAMES = 1 << 16
 FOUND = "path string, folder boolean, size long"
 _SCHEMA = pa.schema([("path", pa.string()), ("folder", pa.bool_()), ("size", pa.int64())])
 
@@ -29,6 +31,7 @@ def _files(uri: str):
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs
 
+    table = lambda rows: pa.RecordBatch.from_pydict(dict(zip(_SCHEMA.names, map(list, zip(*rows, strict=True)) if rows else [[], [], []], strict=True)), schema=_SCHEMA)
     for batch in batches:
         rows: list[tuple] = []
         for path in batch.column("path").to_pylist():
@@ -36,9 +39,12 @@ def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             try:
                 for info in files.get_file_info(fs.FileSelector(at)):
                     rows.append((path.rstrip("/") + "/" + info.base_name, info.type == fs.FileType.Directory, info.size))
+                    if len(rows) >= NAMES:
+                        yield table(rows)
+                        rows = []
             except (PermissionError, FileNotFoundError):
                 rows.append((path, None, None))  # a folder that cannot be listed is not an empty one
-        yield pa.RecordBatch.from_pydict(dict(zip(_SCHEMA.names, map(list, zip(*rows, strict=True)) if rows else [[], [], []], strict=True)), schema=_SCHEMA)
+        yield table(rows)
 
 
 def qualified(spark: SparkSession, root: str) -> str:
@@ -50,18 +56,29 @@ def qualified(spark: SparkSession, root: str) -> str:
     return root if home.startswith("file:") else home.rstrip("/") + root
 
 
-def walk(spark: SparkSession, root: str, depth: int, skip: Sequence[str] = ()) -> DataFrame:
-    """Files down to ``depth`` folders below the root: path, size; of folders that cannot be listed the size is null."""
+def below(spark: SparkSession, root: str, depth: int | None, skip: Sequence[str] = (), hidden: bool = True) -> DataFrame:
+    """Files down to ``depth`` folders below the root, or all: path, folder, size; of folders that cannot be listed the last two are null.
+
+    Without ``hidden``, names that Spark's readers pass over are left out. A link to
+    nothing is a file without a size.
+    """
     at = scratch_path(spark, "walk")
     level = spark.createDataFrame([(qualified(spark, root).rstrip("/") or "/",)], "path string")
-    for nth in range(depth + 1):
-        level.mapInArrow(_list, FOUND).write.parquet(f"{at}/level={nth}")
+    name = F.element_at(F.split("path", "/"), -1)
+    passed = (name.startswith("_") & ~name.contains("=")) | name.startswith(".") | name.endswith("._COPYING_")
+    shown = F.lit(True) if hidden else F.col("folder").isNull() | ~passed
+    for nth in count() if depth is None else range(depth + 1):
+        level.mapInArrow(_list, FOUND).where(shown).write.parquet(f"{at}/level={nth}")
         found = spark.read.schema(FOUND).parquet(f"{at}/level={nth}")
-        name = F.element_at(F.split("path", "/"), -1)
         level = found.where("folder").where(~name.isin(*skip) if skip else F.lit(True)).select("path").repartition("path")
         if level.isEmpty():
             break
-    return spark.read.schema(FOUND).parquet(at).where("folder is null or not folder").select("path", "size")
+    return spark.read.schema(FOUND).parquet(at).where("folder is null or not folder")
+
+
+def walk(spark: SparkSession, root: str, depth: int, skip: Sequence[str] = ()) -> DataFrame:
+    """Files down to ``depth`` folders below the root: path, size; of folders that cannot be listed the size is null."""
+    return below(spark, root, depth, skip).select("path", "size")
 
 
 def heads(files: DataFrame, most: int) -> DataFrame:
